@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op8_language_id
 from .mixing import op5_mixing
+from .simhash import op1_simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_dedup": op1_simhash_dedup,
     "op5_mixing": op5_mixing,
     "op8_language_id": op8_language_id,
 }
