@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op8_language_id
 from .mixing import op5_mixing
+from .secrets import op3_secret_scan
 from .simhash import op1_simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op5_mixing": op5_mixing,
     "op8_language_id": op8_language_id,
 }
