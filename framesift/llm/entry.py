@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op8_language_id
 from .mixing import op5_mixing
+from .pii import op9_pii
+from .rules import op6_quality_rules
 from .secrets import op3_secret_scan
 from .simhash import op1_simhash_dedup
 
@@ -15,7 +17,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op5_mixing": op5_mixing,
+    "op6_quality_rules": op6_quality_rules,
     "op8_language_id": op8_language_id,
+    "op9_pii": op9_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}

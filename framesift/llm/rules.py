@@ -11,7 +11,7 @@ sees only those counts (statistics x BINS x 2). Thresholds are quantiles over al
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,7 +106,8 @@ def learn(labelled: DataFrame, *, good_col: str = "good", key_col: str = "doc_id
     if quantiles[STATISTICS[0]] is None:
         return []
     cuts = {s: sorted(set(quantiles[s])) for s in STATISTICS}
-    bins = [F.size(F.filter(F.array(*[F.lit(x) for x in cuts[s]]), lambda x, s=s: x < F.col(s))).alias(s) for s in STATISTICS]
+    place = lambda s: F.size(F.filter(F.array(*[F.lit(x) for x in cuts[s]]), lambda x: x < F.col(s)))
+    bins = [place(s).alias(s) for s in STATISTICS]
     rows = cut(labelled.select(F.col(good_col).alias("_good"), (F.pmod(F.xxhash64(key_col), F.lit(3)) == 0).alias("_prunes"), *bins))
 
     def on_bins(c: Condition) -> Column:
@@ -156,7 +157,19 @@ def learn(labelled: DataFrame, *, good_col: str = "good", key_col: str = "doc_id
             break
         rules.append(rule[: keep + 1])
         free = free & ~prefixes[keep]
-    return rules
+    return _widest(labelled, rules)
+
+
+def _widest(labelled: DataFrame, rules: list[list[Condition]]) -> list[list[Condition]]:
+    """Each threshold moved halfway between the labelled values on its two sides: no row changes sides."""
+    every = [c for rule in rules for c in rule]
+    if not every:
+        return rules
+    value = lambda c: F.col(c.statistic).cast("double")
+    sides = labelled.agg(*[f for i, c in enumerate(every) for f in (F.max(F.when(value(c) <= c.threshold, value(c))).alias(f"a{i}"), F.min(F.when(value(c) > c.threshold, value(c))).alias(f"b{i}"))]).first()
+    moved = {i: c if sides[f"a{i}"] is None or sides[f"b{i}"] is None else replace(c, threshold=(sides[f"a{i}"] + sides[f"b{i}"]) / 2) for i, c in enumerate(every)}
+    numbers = iter(range(len(every)))
+    return [[moved[next(numbers)] for _ in rule] for rule in rules]
 
 
 def verdict(rules: list[list[Condition]]) -> Column:
