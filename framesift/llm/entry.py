@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op8_language_id
 from .mixing import op5_mixing
+from .quality import op2_line_crf
 from .pii import op9_pii
 from .rules import op6_quality_rules
 from .secrets import op3_secret_scan
 from .simhash import op1_simhash_dedup
+from .tokens import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_line_crf": op2_line_crf,
     "op3_secret_scan": op3_secret_scan,
+    "op4_token_counts": op4_token_counts,
     "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op8_language_id": op8_language_id,
