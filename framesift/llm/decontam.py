@@ -28,11 +28,17 @@ from pyspark.sql import functions as F
 from .common import by_bytes, table
 
 SIMILARITY = 0.8
-#: (steps walked, places sampled) of each repetition; 64 steps at most.
-REPETITIONS = ((8, 3), (8, 3), (16, 4), (16, 4))
+#: (steps walked, places sampled) of each repetition; 64 steps at most. One place is drawn from each of
+#: equal stretches of the steps, as neighbouring places often read one word.
+REPETITIONS = ((12, 5),) * 6
 SEED = 7
+#: Up to so many of the words that stand in most items say nothing of one; windows are read without
+#: them, but an item keeps LEAST_WORDS of its words at least (all, if it has no more).
+COMMON_WORDS, LEAST_WORDS = 128, 8
 #: Steps of the whole embedding per word of an item, and the share of places that may differ.
-STRETCH, MOST_APART = 2, 0.85
+STRETCH, MOST_APART = 2, 0.84
+#: A window is left early where more than EARLY_STEPS places plus this share of the steps so far differ.
+MOST_EARLY, EARLY_STEPS = 0.9, 12
 #: Bytes of item text in one broadcast block.
 BLOCK_BYTES = 8 << 20
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -89,7 +95,8 @@ def read_words(texts: pa.Array) -> Words:
 
 def _sampled(repetition: int) -> list[int]:
     steps, places = REPETITIONS[repetition]
-    return sorted(np.random.default_rng(SEED + repetition).choice(steps, places, replace=False).tolist())
+    drawn = np.random.default_rng(SEED + repetition).random(places)
+    return [int((k + x) * steps / places) for k, x in enumerate(drawn)]
 
 
 def window_keys(hashes: np.ndarray, repetition: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,14 +118,25 @@ def window_keys(hashes: np.ndarray, repetition: int) -> tuple[np.ndarray, np.nda
     return key, at
 
 
-def _embed(x: np.ndarray, bits: tuple[np.ndarray, np.ndarray], at: np.ndarray, end: np.ndarray, steps: int) -> Iterator[np.ndarray]:
-    """Word hash under each walk at each step; 0 once a walk has left its window."""
-    at = at.copy()
-    for step in range(steps):
-        here = np.minimum(at, end - 1)
-        inside = at < end
-        yield np.where(inside, x[here], np.uint64(0))
-        at += np.where(inside, (bits[step // 64 % 2][here] >> np.uint64(step % 64)) & np.uint64(1), 0).astype(at.dtype)
+def _near(x: np.ndarray, bits: tuple[np.ndarray, np.ndarray], items: Items, begin: np.ndarray, item: np.ndarray, final: np.ndarray) -> np.ndarray:
+    """Which item-sized windows have an embedding near enough to the item's. Windows that are already
+    too far apart however they go on are left early."""
+    left, size = np.arange(len(begin)), items.told_count[item]
+    ours, theirs = begin.copy(), items.told_first[item].copy()
+    end, end_i = np.minimum(begin + size + size // 4 + 1, final), theirs + size
+    apart, most = np.zeros(len(begin)), MOST_APART * STRETCH * size
+    for step in range(STRETCH * int(size.max(initial=0))):
+        bit = np.uint64(step % 64)
+        a, b = np.minimum(ours, end - 1), np.minimum(theirs, end_i - 1)
+        xa, xb = np.where(ours < end, x[a], np.uint64(0)), np.where(theirs < end_i, items.told[b], np.uint64(1))
+        apart += (xa != xb) & (step < STRETCH * size)
+        k = step // 64 % 2
+        ours = ours + ((bits[k][a] >> bit) & np.uint64(1)).astype(np.int64)
+        theirs = theirs + ((items.bits[k][b] >> bit) & np.uint64(1)).astype(np.int64)
+        if step % 8 == 7:
+            keep = (apart <= most) & (apart <= MOST_EARLY * step + EARLY_STEPS)
+            left, size, ours, theirs, end, end_i, apart, most = (v[keep] for v in (left, size, ours, theirs, end, end_i, apart, most))
+    return left[apart <= most]
 
 
 class Items:
@@ -131,20 +149,45 @@ class Items:
         self.count = np.diff(np.r_[self.first, total])
         self.ids = np.array(ids, np.int64)
         self.norm = [self.words.text(a, a + n) for a, n in zip(self.first, self.count)]
-        self.bits = tuple(_mix(self.words.hashes, 200 + k) for k in range(2))
         self.keys, self.item, self.offset, self.maybe = [], [], [], []
         owner = np.repeat(np.arange(len(ids)), self.count)
+        self.common = self._common(owner)
+        told = np.flatnonzero(~np.isin(self.words.hashes, self.common))
+        own = owner[told]
+        self.told = self.words.hashes[told]
+        self.told_first = np.searchsorted(own, np.arange(len(ids)))
+        self.told_count = np.bincount(own, minlength=len(ids))
+        self.bits = tuple(_mix(self.told, 200 + k) for k in range(2))
+        beyond = np.searchsorted(own, own, side="right")
         for r in range(len(REPETITIONS)):
-            key, last = window_keys(self.words.hashes, r)
-            within = last < (self.first + self.count)[owner] if total else np.zeros(0, bool)
+            key, last = window_keys(self.words.hashes[told], r)
+            within = last < beyond
             by = np.argsort(key[within], kind="stable")
             self.keys.append(key[within][by])
-            self.item.append(owner[within][by])
-            self.offset.append((np.arange(total) - self.first[owner])[within][by] if total else np.zeros(0, np.int64))
+            self.item.append(own[within][by])
+            self.offset.append(np.stack([told - self.first[own], np.arange(len(own)) - self.told_first[own]], axis=1)[within][by])
             maybe = np.zeros(1 << 20, bool)
             maybe[(self.keys[-1] >> np.uint64(44)).astype(np.int64)] = True
             self.maybe.append(maybe)
 
+    def _common(self, owner: np.ndarray) -> np.ndarray:
+        """Words that stand in the most items, in more than one of 50, but for what scanty items need."""
+        if not len(owner):
+            return np.zeros(0, np.uint64)
+        word, at = np.unique(self.words.hashes, return_inverse=True)
+        held = np.unique(at * len(self.ids) + owner)
+        n = np.bincount(held // len(self.ids), minlength=len(word))
+        common = np.zeros(len(word), bool)
+        common[np.argsort(-n, kind="stable")[:COMMON_WORDS]] = True
+        common &= (n > len(self.ids) / 50) & (n > 3)
+        while True:
+            rest = np.bincount(owner[~common[at]], minlength=len(self.ids))
+            scanty = rest < np.minimum(LEAST_WORDS, self.count)
+            spared = common & np.isin(np.arange(len(word)), at[scanty[owner]])
+            if not spared.any():
+                return word[common]
+            common &= ~spared
+
 
 def best_match(item: str, text: str, most: int) -> tuple[int, int, int] | None:
     """(distance, start, end) of the part of text nearest to item, if at most `most` edits away.
@@ -191,33 +234,33 @@ def find_items(texts: pa.Array, items: Items, similarity: float = SIMILARITY) ->
     if not total or not len(items.words.hashes):
         return []
     pairs = []
+    told = np.flatnonzero(~np.isin(words.hashes, items.common))
     for r in range(len(REPETITIONS)):
-        key, _ = window_keys(words.hashes, r)
+        key, _ = window_keys(words.hashes[told], r)
         hit = np.flatnonzero(items.maybe[r][(key >> np.uint64(44)).astype(np.int64)])
         low = np.searchsorted(items.keys[r], key[hit], side="left")
         n = np.searchsorted(items.keys[r], key[hit], side="right") - low
         which = np.repeat(np.arange(len(hit)), n)
         posting = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pairs.append(np.stack([hit[which], items.item[r][posting], items.offset[r][posting]], axis=1))
+        pairs.append(np.stack([hit[which], items.item[r][posting], *items.offset[r][posting].T], axis=1))
     found = np.concatenate(pairs)
     if not len(found):
         return []
-    doc = np.searchsorted(words.first, found[:, 0], side="right") - 1
-    final = np.r_[words.first[1:], total]
-    begin = np.maximum(found[:, 0] - found[:, 2], words.first[doc])
-    by = np.unique(np.stack([doc, found[:, 1], begin], axis=1), axis=0)
-    doc, item, begin = by.T
-    size = items.count[item]
-    bits = tuple(_mix(words.hashes, 200 + k) for k in range(2))
-    apart, steps = np.zeros(len(by)), STRETCH * int(size.max())
-    theirs = _embed(items.words.hashes, items.bits, items.first[item], items.first[item] + size, steps)
-    ours = _embed(words.hashes, bits, begin, np.minimum(begin + size + size // 4 + 1, final[doc]), steps)
-    for step, (a, b) in enumerate(zip(ours, theirs)):
-        apart += (a != b) & (step < STRETCH * size)
-    near = apart <= MOST_APART * STRETCH * size
+    final, told_first = np.r_[words.first[1:], total], np.searchsorted(told, words.first)
+    doc = np.searchsorted(words.first, told[found[:, 0]], side="right") - 1
+    # Where the item would begin, counted in all words and in those that windows are read in.
+    begin = np.maximum(told[found[:, 0]] - found[:, 2], words.first[doc])
+    read = np.maximum(found[:, 0] - found[:, 3], told_first[doc])
+    # One number for text, item and place: unique collisions in this order.
+    packed = (doc * len(items.ids) + found[:, 1]) * (total + 1) + read
+    _, one = np.unique(packed, return_index=True)
+    doc, item, begin, read = doc[one], found[one, 1], begin[one], read[one]
+    bits = tuple(_mix(words.hashes[told], 200 + k) for k in range(2))
+    near = _near(words.hashes[told], bits, items, read, item, np.r_[told_first[1:], len(told)][doc])
+    doc, item, begin, size = doc[near], item[near], begin[near], items.count[item[near]]
     best: dict[tuple[int, int], tuple] = {}
     covered: dict[tuple[int, int], int] = {}
-    for d, i, at, n in zip(doc[near].tolist(), item[near].tolist(), begin[near].tolist(), size[near].tolist()):
+    for d, i, at, n in zip(doc.tolist(), item.tolist(), begin.tolist(), size.tolist()):
         if covered.get((d, i), -1) >= at:  # the last stretch that was looked at holds this window
             continue
         slack = n // 4 + 2

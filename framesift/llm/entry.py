@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import op7_decontaminate
 from .langid import op8_language_id
 from .mixing import op5_mixing
 from .quality import op2_line_crf
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_decontaminate": op7_decontaminate,
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
 }
