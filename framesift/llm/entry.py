@@ -14,6 +14,7 @@ from .pii import op9_pii
 from .rules import op6_quality_rules
 from .secrets import op3_secret_scan
 from .simhash import op1_simhash_dedup
+from .substrings import op10_suffix_dedup
 from .tokens import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
