@@ -1,8 +1,64 @@
-"""Corpus pipeline: language ID, near-dedup, decontamination, secret scans, mixing."""
+"""Corpus pipeline: language ID, SimHash near-dedup, decontamination, secret scans, mixing.
 
-STAGES = []
+Each stage works on all that the one before kept, written as Parquet and read again by its caller.
+All but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framesift.llm import decontam, langid, mixing, secrets, simhash
+from framesift.llm.common import crc_fold, ensure_checkpoint_dir, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the models accept; `lang` stays as given. Texts without letters go."""
+    model = langid.train(docs.filter(crc_fold(F.col("doc_id"), 3) != 1))
+    kept = langid.identify(docs, model, keep=[F.col(c) for c in COLUMNS[1:]]).filter("accepted")
+    return kept.select("doc_id", *[F.col(f"k{i}").alias(c) for i, c in enumerate(COLUMNS[1:])])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document of least id; of rows that repeat an id, all stay."""
+    leaders = simhash.near_duplicates(docs).filter("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
+    return docs.join(leaders, docs.doc_id.eqNullSafe(leaders.doc_id), "left_semi").select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti").select(*COLUMNS)
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret's span replaced in the text and n_chars following."""
+    hidden = secrets.redact(docs.select(*COLUMNS), secrets.train(docs))
+    return hidden.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words to take of every document."""
+    return mixing.mix_sources(docs)
+
+
+STAGES = [("language_id", language), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("secret_scan", hide_secrets), ("mixing", mix)]
+
+#: Stages 1 to 4 rest on trained models, fingerprints and embeddings that SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, each stage's documents written to the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    at = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for no, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{no}")
+        docs = spark.read.parquet(f"{at}/{no}")
+    return docs
