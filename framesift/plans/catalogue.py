@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..streaming import ingest as streaming
 from ..operators import catalog, forensics, ingest, jobs, metrics, report, rollups, sampling, scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -602,3 +603,15 @@ def case_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     kind = F.element_at(F.array(F.lit("strong_ai_origin_evidence"), F.lit("unverified_ai_origin_claim"), F.lit("inconclusive")), (k % 3 + 1).cast("int"))
     return _t(spark, sf_dir, "documents").select("doc_id", report.headline(kind, k % 8 / 8, F.when(k % 2 == 0, "completed").otherwise("skipped")).alias("headline"))
+
+
+@query("""SELECT user_id, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id""")
+def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _t(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.col("event_id").alias("at"))
+    return streaming.latest_status(log).select(F.col("id").alias("user_id"), "status")
+
+
+@query("""SELECT epoch_us(time_bucket(INTERVAL 1 hour, ts)) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = streaming.event_counts(_t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return counted.select(F.unix_micros("window.start").alias("hour"), "event_type", "n")
