@@ -1,36 +1,5 @@
-"""Connected components of an undirected graph given as links, by alternating star contractions."""
+"""Connected components, as the library's graph functions compute them."""
 
-from __future__ import annotations
+from ..functions.graph import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import cut
-
-
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """links (a, b) of integers -> (node, component): each linked node with the least node it reaches.
-
-    A round hangs every node's larger neighbours onto its least one (large star), then its smaller
-    neighbours and itself (small star). The number of links never grows and each round is cut to the
-    shared checkpoint folder; the rounds grow with the logarithm of the nodes. Grouping is a min with
-    map-side combine, so a node with very many links is no single task's group. Self links, repeated
-    links and nulls are ignored; no links give an empty result.
-    """
-    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        new = cut(small.select("b", "m").union(small.select("a", "m")).toDF("a", "b").filter("a <> b").distinct())
-        # Done once every link leads from a node of one link to a node that is nobody's larger end.
-        stars = new.groupBy("a").agg(F.count("*").alias("n"))
-        chained = new.join(stars.select(F.col("a").alias("c"), "n"), F.col("b") == F.col("c"), "left_semi")
-        edges = new
-        if stars.filter("n > 1").isEmpty() and chained.isEmpty():
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    raise RuntimeError(f"components not settled after {most_rounds} rounds")
+__all__ = ["connected_components"]

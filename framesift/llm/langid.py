@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,6 +32,8 @@ CALIBRATE_EVERY = 5
 #: Accepted up to this factor times the calibration texts' quantile of cross-entropy.
 REJECT_QUANTILE, REJECT_FACTOR = 0.995, 1.5
 UND = "und"
+#: Bytes of text that are scored at once.
+SLICE_BYTES = 2 << 20
 _START, _END = "\x02", "\x03"
 
 
@@ -91,7 +93,7 @@ class KneserNey:
             if not len(open_):
                 return out
             if order > 1:
-                keys = _grams(codes[:-1], order - 1)[np.maximum(open_ - 1, 0)]
+                keys = _grams(np.append(codes[:1], codes), order - 1)[open_]  # the context ends one place before
                 at = np.minimum(np.searchsorted(self.contexts[order], keys), len(self.contexts[order]) - 1)
                 weight[open_] += np.where((self.contexts[order][at] == keys)[:, None], self.backoff[order][at], 0.0)
         return np.where(np.isnan(out), self.floor + weight, out)
@@ -223,46 +225,60 @@ def _entropies(frame: DataFrame, model: KneserNey) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in by_bytes(whole, 1):
+            for batch in by_bytes(whole, 1, SLICE_BYTES):
                 entropy, symbols = shared.value.texts(batch.column(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(entropy), pa.list_(pa.float64())), pa.array(symbols)], ["lang", "entropy", "symbols"])
 
     return frame.mapInArrow(score, "lang string, entropy array<double>, symbols long")
 
 
-def identify(docs: DataFrame, model: KneserNey | None, *, id_col: str = "doc_id", text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
-    """The id, the columns in `keep`, lang_pred, score, entropy, accepted; one row per input row.
+def _judge(model: KneserNey | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, cross-entropy (NaN without letters) and acceptance of each text."""
+    n = len(texts)
+    lang, p, best, ok = np.full(n, UND, object), np.zeros(n), np.full(n, np.nan), np.zeros(n, bool)
+    if model is not None:
+        entropy, symbols = model.texts(texts)
+        first = entropy.argmin(axis=1)
+        z = np.exp(-model.temperature * (entropy - entropy.min(axis=1, keepdims=True)))
+        some = symbols > 0
+        best[some] = entropy[np.arange(n), first][some]
+        lang[some] = np.array(model.languages, object)[first[some]]
+        p[some] = (1 / z.sum(axis=1))[some]
+        ok = some & (best <= model.limits[first])
+    return lang, p, best, ok
+
+
+def identify(docs: DataFrame, model: KneserNey | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score, entropy, accepted; one row per input row.
 
     Null texts, texts without a letter, and all texts without a model are `und` with score 0, not
-    accepted. Repeated rows give repeated rows; an empty table gives an empty result.
+    accepted. Repeated rows give repeated rows; an empty table gives an empty result. Other columns
+    are ignored, whatever their names.
     """
-    names = [f"k{i}" for i in range(len(keep or []))]
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *[c.alias(n) for c, n in zip(keep or [], names)])
-    types = {f.name: f.dataType.simpleString() for f in given.schema.fields}
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for whole in batches:
-            for batch in by_bytes(whole, 1):
-                n = len(batch)
-                lang, p, best, ok = np.full(n, UND, object), np.zeros(n), np.full(n, np.nan), np.zeros(n, bool)
-                if model is not None:
-                    entropy, symbols = model.texts(batch.column(1))
-                    first = entropy.argmin(axis=1)
-                    z = np.exp(-model.temperature * (entropy - entropy.min(axis=1, keepdims=True)))
-                    some = symbols > 0
-                    best[some] = entropy[np.arange(n), first][some]
-                    lang[some] = np.array(model.languages, object)[first[some]]
-                    p[some] = (1 / z.sum(axis=1))[some]
-                    ok = some & (best <= model.limits[first])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *batch.columns[2:], pa.array(lang, pa.string()), pa.array(p), pa.array(best, from_pandas=True), pa.array(ok)],
-                    ["doc_id", *names, "lang_pred", "score", "entropy", "accepted"],
-                )
-
-    kept = "".join(f"{n} {types[n]}, " for n in names)
-    return given.mapInArrow(score, f"doc_id {types['doc_id']}, {kept}lang_pred string, score double, entropy double, accepted boolean")
+            for batch in by_bytes(whole, 1, SLICE_BYTES):
+                lang, p, best, ok = _judge(shared.value, batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(p), pa.array(best, from_pandas=True), pa.array(ok)], ["doc_id", "lang_pred", "score", "entropy", "accepted"])
+
+    kind = given.schema["doc_id"].dataType.simpleString()
+    return given.mapInArrow(score, f"doc_id {kind}, lang_pred string, score double, entropy double, accepted boolean")
+
+
+def accepted(docs: DataFrame, model: KneserNey | None, *, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text the model accepts, all columns unchanged; texts do not leave the JVM twice."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("boolean")
+    def passes(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        parts = [_judge(shared.value, part.column(0))[3] for part in by_bytes(batch, 0, SLICE_BYTES)]
+        return pa.array(np.concatenate([*parts, np.zeros(0, bool)]))
+
+    return docs.filter(passes(F.col(text_col)))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,10 @@ offset L), so the identifiers of depths 1, 2, 4, ... reach any depth by reuse, a
    one anchor make a segment: one row (anchor's bucket, bucket of the whole segment, document, place).
 2. Rows are dealt and sorted by (anchor's bucket, segment's bucket, document). A bucket with one
    segment is settled. Equal segments of a later document are covered whole by the first document's.
-3. Segments that differ inside an anchor's bucket are refined to their single 50-byte strings; the
-   least document of each string decides, by a grouped minimum with map-side combine.
+3. A 50-byte string reaches at least half of its other bytes beyond its anchor on one side. Segments
+   that differ inside an anchor's bucket are refined by the buckets of those two SIDE-byte strings;
+   segments that share neither with another document are settled. The rest go down to their single
+   50-byte strings, whose least document decides. Both are grouped minima with map-side combine.
 
 Equality rests on pairs of 64-bit identifiers (anchor and string), not on one. Bytes are removed from
 whole texts at the end, joined by document. No list of a bucket is ever collected.
@@ -33,6 +35,8 @@ from .common import by_bytes, cut, table
 DEPTH = 50
 #: q-grams of the first buckets; the anchors of a 50-byte string are chosen among 50 - GRAM + 1.
 GRAM = 20
+#: Bytes of the strings that hold an anchor and reach beyond it on one side.
+SIDE = GRAM + (DEPTH - GRAM + 1) // 2
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -46,16 +50,17 @@ def _refine(here: np.ndarray, later: np.ndarray) -> np.ndarray:
     return x
 
 
-def buckets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Identifiers of the GRAM-byte and of the DEPTH-byte bucket at each place that has so many bytes left."""
+def buckets(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Identifiers of the GRAM-, SIDE- and DEPTH-byte bucket at each place that has so many bytes left."""
     level, depth = _refine(data.astype(np.uint64) + np.uint64(1), np.uint64(0)), 1
-    gram = None
-    while depth * 2 <= DEPTH:
-        if depth < GRAM <= 2 * depth:
-            gram = _refine(level[: len(data) - GRAM + 1], level[GRAM - depth : len(data) - depth + 1])
+    at = lambda d: _refine(level[: len(data) - d + 1], level[d - depth : len(data) - depth + 1])
+    found = {}
+    while True:
+        found |= {d: at(d) for d in (GRAM, SIDE, DEPTH) if depth < d <= 2 * depth}
+        if DEPTH in found:
+            return found[GRAM], found[SIDE], found[DEPTH]
         level = _refine(level[:-depth], level[depth:])
         depth *= 2
-    return gram, _refine(level[: len(data) - DEPTH + 1], level[DEPTH - depth : len(data) - depth + 1])
 
 
 def anchors(gram: np.ndarray, strings: int) -> np.ndarray:
@@ -72,34 +77,33 @@ def anchors(gram: np.ndarray, strings: int) -> np.ndarray:
 
 
 def segments(text: bytes) -> tuple[np.ndarray, ...] | None:
-    """anchor bucket, segment bucket, first string, strings of each segment; and all strings' buckets."""
+    """anchor bucket, segment bucket, first string, strings, anchor's place of each segment; all strings'
+    buckets; all sides' buckets."""
     if len(text) < DEPTH:
         return None
-    gram, deep = buckets(np.frombuffer(text, np.uint8))
+    gram, side, deep = buckets(np.frombuffer(text, np.uint8))
     at = anchors(gram, len(deep))
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     last = np.r_[first[1:], len(deep)] - 1
     # The strings at both ends hold every byte of a segment between them, as they overlap.
     shape = ((last - first) * 64 + (at[first] - first)).astype(np.uint64)
     whole = _refine(_refine(deep[first], deep[last]), shape)
-    return gram[at[first]], whole, first, last - first + 1, deep
+    return gram[at[first]], whole, first, last - first + 1, at[first], deep, side
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
-    for whole in batches:
-        for batch in by_bytes(whole, 1):
-            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-            yield from zip(batch.column(0).to_pylist(), texts)
+#: A row of the input: its id, and a hash of its text that tells rows of one id apart.
+_Row = tuple[int, int]
+_ROW = ["doc_no", "text_no"]
 
 
-def _gathered(rows: Iterator[tuple[int, list[np.ndarray]]], names: list[str], most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of about `most` rows from (document, columns) of many documents."""
+def _gathered(rows: Iterator[tuple[_Row, list[np.ndarray]]], names: list[str], most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of about `most` rows from (input row, columns) of many input rows."""
     ids, parts, held = [], [], 0
 
     def batch() -> pa.RecordBatch:
         columns = [np.concatenate(c) for c in zip(*parts)]
-        doc = np.repeat(np.array(ids, np.int64), [len(p[0]) for p in parts])
-        return pa.RecordBatch.from_arrays([pa.array(doc), *(pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int32)) for c in columns)], names)
+        doc, text = (np.repeat(np.array(x, np.int64), [len(p[0]) for p in parts]) for x in zip(*ids))
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(text.astype(np.int32)), *(pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int32)) for c in columns)], [*_ROW, *names])
 
     for doc, columns in rows:
         ids.append(doc), parts.append(columns)
@@ -112,28 +116,54 @@ def _gathered(rows: Iterator[tuple[int, list[np.ndarray]]], names: list[str], mo
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[tuple[int, list[np.ndarray]]]:
-        for doc, text in _documents(batches):
-            if found := segments(text):
-                yield doc, list(found[:4])
+    def rows() -> Iterator[tuple[_Row, list[np.ndarray]]]:
+        for whole in batches:
+            for batch in by_bytes(whole, 2):
+                for doc, no, text in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2).cast(pa.large_binary()).to_pylist()):
+                    if found := segments(text):
+                        yield (doc, no), list(found[:4])
+
+    yield from _gathered(rows(), ["anchor", "segment", "first", "strings"])
+
+
+def _open_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Row, int, tuple[np.ndarray, ...]]]:
+    """Input row, its bytes, and its segments that are still open, from (doc_no, text_no, text, places of the open)."""
+    for whole in batches:
+        for batch in by_bytes(whole, 2):
+            texts = batch.column(2).cast(pa.large_binary()).to_pylist()
+            for doc, no, text, open_ in zip(*(c.to_pylist() for c in batch.columns[:2]), texts, batch.column(3).to_pylist()):
+                *each, deep, side = segments(text)
+                chosen = np.isin(each[2], np.array(open_, np.int64))
+                yield (doc, no), len(text), (*(x[chosen] for x in each), deep, side)
+
 
-    yield from _gathered(rows(), ["doc_no", "anchor", "segment", "first", "strings"])
+def _side_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each side of each open segment that lies inside the text."""
+
+    def rows() -> Iterator[tuple[_Row, list[np.ndarray]]]:
+        for doc, size, (anchor, _, first, _, at, _, side) in _open_segments(batches):
+            left, right = at - (SIDE - GRAM) >= 0, at + SIDE <= size
+            before = _refine(side[at[left] - (SIDE - GRAM)], np.uint64(1))
+            yield doc, [np.r_[anchor[left], anchor[right]], np.r_[before, side[at[right]]], np.r_[first[left], first[right]]]
+
+    yield from _gathered(rows(), ["anchor", "bucket", "first"])
 
 
 def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_no, text, places of open segments) -> a row for each of their strings."""
+    """A row for each string of each open segment."""
 
-    def rows() -> Iterator[tuple[int, list[np.ndarray]]]:
-        for whole in batches:
-            for batch in by_bytes(whole, 1):
-                for doc, text, open_ in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist()):
-                    anchor, _, first, n, deep = segments(text)
-                    chosen = np.isin(first, np.array(open_, np.int64))
-                    first, n, anchor = first[chosen], n[chosen], anchor[chosen]
-                    places = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    yield doc, [np.repeat(anchor, n), deep[places], places]
+    def rows() -> Iterator[tuple[_Row, list[np.ndarray]]]:
+        for doc, _, (anchor, _, first, n, _, deep, _) in _open_segments(batches):
+            places = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield doc, [np.repeat(anchor, n), deep[places], places]
+
+    yield from _gathered(rows(), ["anchor", "bucket", "first"])
 
-    yield from _gathered(rows(), ["doc_no", "anchor", "string", "first"])
+
+def _across(rows: DataFrame) -> DataFrame:
+    """Rows (document, anchor, bucket, first) of buckets that several documents share, with the least of these."""
+    owners = rows.groupBy("anchor", "bucket").agg(F.min("doc_no").alias("owner"), F.max("doc_no").alias("other")).filter("owner < other").drop("other")
+    return rows.join(owners, ["anchor", "bucket"])
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
@@ -160,31 +190,33 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Null texts are empty; texts under 50 bytes stay whole; an empty table gives an empty result.
     """
     least = F.lit(-(2**63))
+    text_no = F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int")
     given = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), least).alias("doc_no"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    )
-    rows = given.filter(F.octet_length("text") >= DEPTH).select("doc_no", "text").mapInArrow(_segment_rows, "doc_no long, anchor long, segment long, first int, strings int")
-    dealt = rows.repartition("anchor")
+    ).withColumn("text_no", text_no)
+    texts = given.select(*_ROW, "text")
+    rows = texts.filter(F.octet_length("text") >= DEPTH).mapInArrow(_segment_rows, "doc_no long, text_no int, anchor long, segment long, first int, strings int")
     order = Window.partitionBy("anchor").orderBy("segment", "doc_no", "first")
-    beside = [f(c).over(order).alias(f"{n}_{c}") for f, n in ((F.lag, "last"), (F.lead, "next")) for c in ("segment", "doc_no")]
-    shared = dealt.select("*", *beside).filter("last_segment IS NOT NULL OR next_segment IS NOT NULL")
+    beside = [f("segment").over(order).alias(n) for f, n in ((F.lag, "last"), (F.lead, "next"))]
+    shared = rows.repartition("anchor").select("*", *beside).filter("last IS NOT NULL OR next IS NOT NULL")
     equal = Window.partitionBy("anchor", "segment").orderBy("doc_no", "first")
     bucket = Window.partitionBy("anchor")
-    # Of each bucket: its first segment's and last segment's identifiers differ if it stays open.
     told = shared.select(
-        "doc_no", "first", "strings", "segment",
-        F.first("doc_no").over(equal).alias("owner"), F.row_number().over(equal).alias("no"),
+        *_ROW, "first", "strings", F.first("doc_no").over(equal).alias("owner"), F.row_number().over(equal).alias("no"),
         (F.min("segment").over(bucket) != F.max("segment").over(bucket)).alias("open"),
         (F.min("doc_no").over(bucket) != F.max("doc_no").over(bucket)).alias("across"),
     ).filter("across")
-    told = cut(told.select("doc_no", "first", "strings", (F.col("owner") < F.col("doc_no")).alias("covered"), (F.col("open") & (F.col("no") == 1)).alias("refine")))
-    texts = given.select("doc_no", "text")
-    open_ = told.filter("refine").groupBy("doc_no").agg(F.collect_set("first").alias("open"))
-    strings = texts.join(open_, "doc_no").select("doc_no", "text", "open").mapInArrow(_string_rows, "doc_no long, anchor long, string long, first int")
-    owners = strings.groupBy("anchor", "string").agg(F.min("doc_no").alias("owner"), F.max("doc_no").alias("other")).filter("owner < other").drop("other")
-    late = strings.join(owners, ["anchor", "string"]).filter("owner < doc_no").select("doc_no", F.col("first").alias("start"), (F.col("first") + DEPTH).alias("end"))
-    whole = told.filter("covered").select("doc_no", F.col("first").alias("start"), (F.col("first") + F.col("strings") - 1 + DEPTH).alias("end"))
-    spans = whole.union(late).groupBy("doc_no").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    told = cut(told.select(*_ROW, "first", "strings", (F.col("owner") < F.col("doc_no")).alias("covered"), (F.col("open") & (F.col("no") == 1)).alias("refine")))
+    opened = "doc_no long, text_no int, anchor long, bucket long, first int"
+
+    def refined(places: DataFrame, rows_of) -> DataFrame:  # noqa: ANN001
+        by_text = places.groupBy(*_ROW).agg(F.collect_set("first").alias("open"))
+        return _across(texts.join(by_text, _ROW).select(*_ROW, "text", "open").mapInArrow(rows_of, opened))
+
+    open_ = cut(refined(told.filter("refine"), _side_rows).select(*_ROW, "first").distinct())
+    late = refined(open_, _string_rows).filter("owner < doc_no").select(*_ROW, F.col("first").alias("start"), (F.col("first") + DEPTH).alias("end"))
+    whole = told.filter("covered").select(*_ROW, F.col("first").alias("start"), (F.col("first") + F.col("strings") - 1 + DEPTH).alias("end"))
+    spans = whole.union(late).groupBy(*_ROW).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_ in batches:
@@ -197,7 +229,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = given.schema["doc_id"].dataType.simpleString()
-    return given.join(spans, "doc_no", "left").select("doc_id", "text", "spans").mapInArrow(clean, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return given.join(spans, _ROW, "left").select("doc_id", "text", "spans").mapInArrow(clean, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
