@@ -20,8 +20,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models accept; `lang` stays as given. Texts without letters go."""
     model = langid.train(docs.filter(crc_fold(F.col("doc_id"), 3) != 1))
-    kept = langid.identify(docs, model, keep=[F.col(c) for c in COLUMNS[1:]]).filter("accepted")
-    return kept.select("doc_id", *[F.col(f"k{i}").alias(c) for i, c in enumerate(COLUMNS[1:])])
+    return langid.accepted(docs, model).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
