@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, substrings
 from .decontam import op7_decontaminate
 from .langid import op8_language_id
 from .mixing import op5_mixing
@@ -30,4 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": mixing.ORACLE_SQL,
+    "op10_suffix_dedup": substrings.ORACLE_SQL,
+}

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from .common import cut, table, word_count
 
 SEED = 20
-BLOCK_WORDS = 32
+BLOCK_WORDS = 16
 SHARD_WORDS = 1_000_000
 #: Repeated over the sources in order.
 WEIGHTS = (5, 2, 1)
@@ -107,9 +107,10 @@ def mix_sources(
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size")).collect()
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["source_size"] for r in totals]
-    wanted = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], int(share * sum(sizes)))
+    mixed = int(share * sum(sizes))
+    wanted = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], mixed)
     shards = [max(1, -(-n // shard_words)) for n in sizes]
-    seats = round(sum(wanted) / block_words)
+    seats = (mixed + block_words // 2) // block_words
     blocks = [MOST_PASSES * -(-n // block_words) for n in sizes]
     quotas = sainte_lague(wanted, blocks, seats)
     plan = spark.createDataFrame(
@@ -143,3 +144,30 @@ def mix_sources(
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+#: The same mix, its quotients ranked one by one.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')) AS BIGINT) AS size,
+    md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM d GROUP BY source),
+w AS (SELECT *, ({list(WEIGHTS)})[no % {len(WEIGHTS)} + 1] AS w, {MOST_PASSES} * source_size AS most, greatest(1, (source_size + {SHARD_WORDS - 1}) // {SHARD_WORDS}) AS shards FROM t),
+o AS (SELECT *, sum(source_size) OVER () AS total, sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER (ORDER BY most / w, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w FROM w),
+c AS (SELECT *, rest * w > most * rest_w AS full_ FROM o),
+f AS (SELECT arg_min(rest, most / w) AS rest, arg_min(rest_w, most / w) AS rest_w FROM c WHERE NOT full_),
+g AS (SELECT c.*, CASE WHEN full_ THEN CAST(most AS DOUBLE) ELSE CAST(f.rest * w AS DOUBLE) / CAST(f.rest_w AS DOUBLE) END AS target FROM c, f),
+q AS (SELECT no, target / (2 * k + 1) AS quotient FROM g, range({MOST_PASSES} * ((source_size + {BLOCK_WORDS - 1}) // {BLOCK_WORDS})) r(k)),
+r AS (SELECT no, row_number() OVER (ORDER BY quotient DESC, no) AS place FROM q),
+n AS (SELECT g.no, count(r.no) AS quota FROM g LEFT JOIN r ON r.no = g.no AND place <= (total + {BLOCK_WORDS // 2}) // {BLOCK_WORDS} GROUP BY g.no),
+dealt AS (SELECT d.doc_id, d.size, d.key, g.no, g.source_size, g.target, n.quota, CAST('0x' || substr(d.key, 1, 7) AS BIGINT) % g.shards AS shard FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source JOIN n USING (no)),
+cells AS (SELECT no, shard, CAST(sum(size) AS BIGINT) AS words, any_value(quota) AS quota, greatest(1, (CAST(sum(size) AS BIGINT) + {BLOCK_WORDS - 1}) // {BLOCK_WORDS}) AS blocks FROM dealt GROUP BY no, shard),
+cq AS (SELECT no, shard, quota, row_number() OVER (PARTITION BY no ORDER BY CAST(words AS DOUBLE) / (2 * k + 1) DESC, shard) AS place FROM cells, range({MOST_PASSES} * blocks) r(k) WHERE words > 0),
+cn AS (SELECT no, shard, count(*) AS got FROM cq WHERE place <= quota GROUP BY no, shard),
+plan AS (SELECT no, shard, blocks, coalesce(got, 0) // blocks AS passes, coalesce(got, 0) % blocks AS rest, CAST('0x' || substr(md5('{SEED}:' || no || ':' || shard), 1, 7) AS BIGINT) % blocks AS start FROM cells LEFT JOIN cn USING (no, shard)),
+laid AS (SELECT *, CAST(sum(size) OVER (PARTITION BY no, shard ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS x1 FROM dealt),
+e AS (SELECT *, x1 - size AS x0 FROM laid JOIN plan USING (no, shard))
+SELECT doc_id, size, source_size, target, CAST(passes * size
+    + (x1 // {BLOCK_WORDS} * rest + start) // blocks * {BLOCK_WORDS} + (((x1 // {BLOCK_WORDS} + 1) * rest + start) // blocks - (x1 // {BLOCK_WORDS} * rest + start) // blocks) * (x1 % {BLOCK_WORDS})
+    - (x0 // {BLOCK_WORDS} * rest + start) // blocks * {BLOCK_WORDS} - (((x0 // {BLOCK_WORDS} + 1) * rest + start) // blocks - (x0 // {BLOCK_WORDS} * rest + start) // blocks) * (x0 % {BLOCK_WORDS}) AS BIGINT) AS taken FROM e
+"""

@@ -13,7 +13,9 @@ offset L), so the identifiers of depths 1, 2, 4, ... reach any depth by reuse, a
 3. A 50-byte string reaches at least half of its other bytes beyond its anchor on one side. Segments
    that differ inside an anchor's bucket are refined by the buckets of those two SIDE-byte strings;
    segments that share neither with another document are settled. The rest go down to their single
-   50-byte strings, whose least document decides. Both are grouped minima with map-side combine.
+   50-byte strings, whose least document decides. What one batch of rows can tell it tells: of rows of
+   one bucket only that of the least document is dealt by the bucket, the others keep the document
+   that they saw and are dealt anywhere, so a bucket that very many documents share stays small.
 
 Equality rests on pairs of 64-bit identifiers (anchor and string), not on one. Bytes are removed from
 whole texts at the end, joined by document. No list of a bucket is ever collected.
@@ -146,7 +148,7 @@ def _side_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before = _refine(side[at[left] - (SIDE - GRAM)], np.uint64(1))
             yield doc, [np.r_[anchor[left], anchor[right]], np.r_[before, side[at[right]]], np.r_[first[left], first[right]]]
 
-    yield from _gathered(rows(), ["anchor", "bucket", "first"])
+    yield from map(_combined, _gathered(rows(), ["anchor", "bucket", "first"]))
 
 
 def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,13 +159,31 @@ def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             yield doc, [np.repeat(anchor, n), deep[places], places]
 
-    yield from _gathered(rows(), ["anchor", "bucket", "first"])
+    yield from map(_combined, _gathered(rows(), ["anchor", "bucket", "first"]))
+
+
+def _combined(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Adds the least document of each row's bucket in this batch, and whether there are others. Rows of
+    other documents than that one get a bucket of their own each."""
+    doc, anchor, bucket = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
+    by = np.lexsort((doc, bucket, anchor))
+    first = np.r_[True, (anchor[by][1:] != anchor[by][:-1]) | (bucket[by][1:] != bucket[by][:-1])]
+    group = np.cumsum(first) - 1
+    last = np.r_[np.flatnonzero(first)[1:], len(by)] - 1
+    owner, shared, own = np.empty_like(doc), np.empty(len(doc), bool), bucket.copy()
+    owner[by] = doc[by][first][group]
+    shared[by] = (doc[by][first] != doc[by][last])[group]
+    rest = np.flatnonzero(owner < doc)
+    own[rest] = _refine(bucket[rest].view(np.uint64), _refine(doc[rest].view(np.uint64), rest.astype(np.uint64))).view(np.int64)
+    return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own), batch.column(4), pa.array(owner), pa.array(shared)], [*batch.schema.names, "owner", "shared"])
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """Rows (document, anchor, bucket, first) of buckets that several documents share, with the least of these."""
-    owners = rows.groupBy("anchor", "bucket").agg(F.min("doc_no").alias("owner"), F.max("doc_no").alias("other")).filter("owner < other").drop("other")
-    return rows.join(owners, ["anchor", "bucket"])
+    """Rows of buckets that several documents share, with the least of these as owner: one shuffle, one sort."""
+    bucket = Window.partitionBy("anchor", "bucket")
+    least, most = F.min("owner").over(bucket), F.max("owner").over(bucket)
+    told = rows.repartition("anchor", "bucket").select(*_ROW, "first", least.alias("owner"), (F.col("shared") | (least != most)).alias("shared"))
+    return told.filter("shared").drop("shared")
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
@@ -207,7 +227,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         (F.min("doc_no").over(bucket) != F.max("doc_no").over(bucket)).alias("across"),
     ).filter("across")
     told = cut(told.select(*_ROW, "first", "strings", (F.col("owner") < F.col("doc_no")).alias("covered"), (F.col("open") & (F.col("no") == 1)).alias("refine")))
-    opened = "doc_no long, text_no int, anchor long, bucket long, first int"
+    opened = "doc_no long, text_no int, anchor long, bucket long, first int, owner long, shared boolean"
 
     def refined(places: DataFrame, rows_of) -> DataFrame:  # noqa: ANN001
         by_text = places.groupBy(*_ROW).agg(F.collect_set("first").alias("open"))
@@ -234,3 +254,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: The same by all 50-byte strings, as hexadecimal text.
+ORACLE_SQL = f"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+s AS (SELECT doc_id, p, substr(h, 2 * p + 1, {2 * DEPTH}) AS s FROM (SELECT doc_id, h, unnest(range(greatest(n - {DEPTH - 1}, 0))) AS p FROM h)),
+m AS (SELECT s, min(doc_id) AS m FROM s GROUP BY s HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM s JOIN m USING (s) WHERE m < doc_id),
+k AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + {DEPTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM c),
+r AS (SELECT doc_id, min(p) AS a, max(p) + {DEPTH} AS z FROM k GROUP BY doc_id, run),
+g AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM r),
+t AS (SELECT doc_id, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM g JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT h.doc_id, h.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM h LEFT JOIN t USING (doc_id)
+"""

@@ -46,6 +46,15 @@ def test_substrings(spark):
     assert got == sorted(want)
 
 
+def test_combined_rows_still_learn(spark):
+    """A string that stands twice in one text and in a smaller document of another batch goes at both places."""
+    s = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rows = [(1, s + "one"), (2, "x" + s + "y" + s + "z"), (3, s[:55] + "q" + s[5:] + "w" + s)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in substrings.remove_repeats(frame).collect()}
+    assert got == {1: (0, 0), 2: (2 * len(s), 2), 3: (55 + len(s) - 5 + len(s), 3)}
+
+
 def test_statistics(spark):
     rng = random.Random(6)
     every = ["", None, "a", "a a", "a a a a", "x\x0by #1 <b>|&%$*", "l\nl\n \nl"] + ["".join(rng.choice(["a", "b ", "c\n", "é", " ", "#", "AB! "]) for _ in range(rng.randint(0, 200))) for _ in range(200)]
@@ -162,8 +171,9 @@ def test_mix(spark, docs):
         for r in rows:
             assert 0 <= r.taken <= 3 * r.size
             taken[source[r.doc_id]] += r.taken
-        blocks = mixing.BLOCK_WORDS * (2 if shard_words > 700 else 12)
-        assert all(abs(taken[source[r.doc_id]] - r.target) <= blocks for r in rows)
+        # A block of rounding, and in each shard a short last block in each of up to three passes.
+        for r in rows:
+            assert abs(taken[source[r.doc_id]] - r.target) <= mixing.BLOCK_WORDS * (1 + 3 * -(-r.source_size // shard_words))
 
 
 def test_best_match_by_table():
