@@ -23,7 +23,7 @@ WINDOW = 3
 LEAST_WORDS, MOST_REPEATED = 50, 50
 STATISTICS = ("symbol_rate", "shout_rate", "upper_rate", "digit_rate", "dup_line_rate", "repeat_rate", "distinct_rate", "mean_word", "n_words")
 BINS = 32
-MOST_RULES, MOST_CONDITIONS, LEAST_COVERED = 12, 4, 10
+MOST_RULES, MOST_CONDITIONS, LEAST_COVERED = 12, 4, 4
 
 
 @dataclass(frozen=True)
