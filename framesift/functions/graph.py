@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Keep the cluster's shared checkpoint folder; set one only where none is configured (tests)."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framesift-"))
+
+
 def cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():  # a cluster names its shared folder; tests get one of their own
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framesift-"))
+    """Materialise df in the shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -6,13 +6,15 @@ for pixel residuals, orders for the job ledger, conversations for study answers.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming import ingest as streaming
+from ..functions import graph
 from ..operators import catalog, forensics, ingest, jobs, metrics, report, rollups, sampling, scoring
+from ..streaming import ingest as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -615,3 +617,14 @@ def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = streaming.event_counts(_t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return counted.select(F.unix_micros("window.start").alias("hour"), "event_type", "n")
+
+
+@query("SELECT event_id AS id, event_type AS status FROM events")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events that have arrived, through a stream into the shared folder, as a status log."""
+    graph.ensure_checkpoint_dir(spark)
+    at = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(_t(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    log = source.select(F.col("event_id").alias("id"), F.col("event_type").alias("status"))
+    streaming.run_available(log, f"{at}/state", lambda batch, no: batch.write.parquet(f"{at}/log/batch={no}")).awaitTermination()
+    return spark.read.parquet(f"{at}/log").select("id", "status")
