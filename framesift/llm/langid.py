@@ -167,10 +167,18 @@ def _estimate(rows: list[tuple[str, str, int]]) -> KneserNey:
 
 
 def _labelled(docs: DataFrame, per_language: int) -> DataFrame:
-    """A bounded sample: the first rows of each language by a hash of the id and the text."""
+    """A bounded sample: the first rows of each language by a hash of the id and the text.
+
+    Rows are first thinned by that hash to about twice what is wanted of each language, so that the
+    ranking sees a bounded number of texts however many there are.
+    """
+    known = docs.filter("lang IS NOT NULL").select("lang", "text", F.xxhash64(F.col("id").cast("string")).alias("pick"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
+    span = 1 << 63
+    bounds = [(r["lang"], min(span - 1, -span + 2 * span * 2 * per_language // r["n"])) for r in counts]
+    thin = known.join(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"), "lang").filter("pick <= bound AND text IS NOT NULL")
     pick = Window.partitionBy("lang").orderBy("pick", "text")
-    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64(F.col("id").cast("string")).alias("pick"))
-    return known.withColumn("rank", F.row_number().over(pick)).filter(F.col("rank") <= per_language)
+    return thin.withColumn("rank", F.row_number().over(pick)).filter(F.col("rank") <= per_language)
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = DOCS_PER_LANGUAGE) -> KneserNey | None:
