@@ -40,6 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
 
 
+def thinned(rows: DataFrame, pick: Column, wanted: int) -> DataFrame:
+    """Rows of lowest hash, about twice as many as wanted: what is then ordered for a sample of a bounded
+    size stays bounded itself, however many rows there are. pick: a 64-bit hash; counts the rows first."""
+    n = rows.count()
+    return rows if n <= 2 * wanted else rows.filter(pick <= -(1 << 63) + (1 << 64) * 2 * wanted // n)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, crc_fold, table
+from .common import by_bytes, crc_fold, table, thinned
 
 TRAIN_DOCS = 4000
 STEPS, RATE, RIDGE = 200, 0.1, 1e-3
@@ -166,7 +166,7 @@ def fit(features: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Chain:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCS) -> Chain:
     """Field of the labelled documents; without any, every line is good at one half."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
-    sample = marks.orderBy(F.xxhash64("id"), "id", "label").limit(most)
+    sample = thinned(marks, F.xxhash64("id"), most).orderBy(F.xxhash64("id"), "id", "label").limit(most)
     # `most` rows at most: the hint's bound.
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("label", "text")
 
