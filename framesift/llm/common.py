@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,6 +41,21 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, before)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like cut, but a Parquet table in the shared folder: for frames of many narrow rows, whose
+    checkpoint would hold each column of each row in eight bytes and more."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    at = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.select("*").write.option("compression", "zstd").parquet(at)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def thinned(rows: DataFrame, pick: Column, wanted: int) -> DataFrame:
     """Rows of lowest hash, about twice as many as wanted: what is then ordered for a sample of a bounded
     size stays bounded itself, however many rows there are. pick: a 64-bit hash; counts the rows first."""

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_bytes, cut, table
+from .common import by_bytes, stored, table
 
 DEPTH = 50
 #: q-grams of the first buckets; the anchors of a 50-byte string are chosen among 50 - GRAM + 1.
@@ -226,15 +226,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         (F.min("segment").over(bucket) != F.max("segment").over(bucket)).alias("open"),
         (F.min("doc_no").over(bucket) != F.max("doc_no").over(bucket)).alias("across"),
     ).filter("across")
-    told = cut(told.select(*_ROW, "first", "strings", (F.col("owner") < F.col("doc_no")).alias("covered"), (F.col("open") & (F.col("no") == 1)).alias("refine")))
+    told = stored(told.select(*_ROW, "first", "strings", (F.col("owner") < F.col("doc_no")).alias("covered"), (F.col("open") & (F.col("no") == 1)).alias("refine")))
     opened = "doc_no long, text_no int, anchor long, bucket long, first int, owner long, shared boolean"
 
     def refined(places: DataFrame, rows_of) -> DataFrame:  # noqa: ANN001
         by_text = places.groupBy(*_ROW).agg(F.collect_set("first").alias("open"))
         return _across(texts.join(by_text, _ROW).select(*_ROW, "text", "open").mapInArrow(rows_of, opened))
 
-    open_ = cut(refined(told.filter("refine"), _side_rows).select(*_ROW, "first").distinct())
-    late = refined(open_, _string_rows).filter("owner < doc_no").select(*_ROW, F.col("first").alias("start"), (F.col("first") + DEPTH).alias("end"))
+    open_ = stored(refined(told.filter("refine"), _side_rows).select(*_ROW, "first").distinct())
+    late = stored(refined(open_, _string_rows).filter("owner < doc_no").select(*_ROW, F.col("first").alias("start"), (F.col("first") + DEPTH).alias("end")))
     whole = told.filter("covered").select(*_ROW, F.col("first").alias("start"), (F.col("first") + F.col("strings") - 1 + DEPTH).alias("end"))
     spans = whole.union(late).groupBy(*_ROW).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
