@@ -56,6 +56,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: Rows up to which a table made on the driver is broadcast; beyond, joins shuffle and AQE splits skew.
+MOST_BROADCAST = 10_000
+
+
+def small(table_: DataFrame, rows: int) -> DataFrame:
+    """A driver-made table of so many narrow rows, hinted for broadcast if that is few enough: Spark takes
+    its size for unknown, and would else shuffle the other side by what may be one hot key."""
+    return F.broadcast(table_) if rows <= MOST_BROADCAST else table_
+
+
 def thinned(rows: DataFrame, pick: Column, wanted: int) -> DataFrame:
     """Rows of lowest hash, about twice as many as wanted: what is then ordered for a sample of a bounded
     size stays bounded itself, however many rows there are. pick: a 64-bit hash; counts the rows first."""

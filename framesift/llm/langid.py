@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_bytes, crc_fold, table
+from .common import by_bytes, crc_fold, small, table
 
 ORDER = 4
 DOCS_PER_LANGUAGE = 1000
@@ -176,7 +176,7 @@ def _labelled(docs: DataFrame, per_language: int) -> DataFrame:
     counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
     span = 1 << 63
     bounds = [(r["lang"], min(span - 1, -span + 2 * span * 2 * per_language // r["n"])) for r in counts]
-    thin = known.join(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"), "lang").filter("pick <= bound AND text IS NOT NULL")
+    thin = known.join(small(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"), len(bounds)), "lang").filter("pick <= bound AND text IS NOT NULL")
     pick = Window.partitionBy("lang").orderBy("pick", "text")
     return thin.withColumn("rank", F.row_number().over(pick)).filter(F.col("rank") <= per_language)
 
