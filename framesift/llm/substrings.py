@@ -9,7 +9,8 @@ offset L), so the identifiers of depths 1, 2, 4, ... reach any depth by reuse, a
    anchor; equal strings have equal anchors at equal offsets. Consecutive strings of one text with
    one anchor make a segment: one row (anchor's bucket, bucket of the whole segment, document, place).
 2. Rows are dealt and sorted by (anchor's bucket, segment's bucket, document). A bucket with one
-   segment is settled. Equal segments of a later document are covered whole by the first document's.
+   segment is settled. Equal segments of a later document are covered whole by the first document's;
+   of the first document each one goes on, as a smaller document may hold its strings in another segment.
 3. A 50-byte string reaches at least half of its other bytes beyond its anchor on one side. Segments
    that differ inside an anchor's bucket are refined by the buckets of those two SIDE-byte strings;
    segments that share neither with another document are settled. The rest go down to their single
@@ -222,11 +223,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     equal = Window.partitionBy("anchor", "segment").orderBy("doc_no", "first")
     bucket = Window.partitionBy("anchor")
     told = shared.select(
-        *_ROW, "first", "strings", F.first("doc_no").over(equal).alias("owner"), F.row_number().over(equal).alias("no"),
+        *_ROW, "first", "strings", F.first("doc_no").over(equal).alias("owner"),
         (F.min("segment").over(bucket) != F.max("segment").over(bucket)).alias("open"),
         (F.min("doc_no").over(bucket) != F.max("doc_no").over(bucket)).alias("across"),
     ).filter("across")
-    told = stored(told.select(*_ROW, "first", "strings", (F.col("owner") < F.col("doc_no")).alias("covered"), (F.col("open") & (F.col("no") == 1)).alias("refine")))
+    told = stored(told.select(*_ROW, "first", "strings", (F.col("owner") < F.col("doc_no")).alias("covered"), (F.col("open") & (F.col("owner") == F.col("doc_no"))).alias("refine")))
     opened = "doc_no long, text_no int, anchor long, bucket long, first int, owner long, shared boolean"
 
     def refined(places: DataFrame, rows_of) -> DataFrame:  # noqa: ANN001

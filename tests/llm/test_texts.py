@@ -55,6 +55,19 @@ def test_combined_rows_still_learn(spark):
     assert got == {1: (0, 0), 2: (2 * len(s), 2), 3: (55 + len(s) - 5 + len(s), 3)}
 
 
+def test_repeats_inside_the_owner(spark):
+    """A paragraph that stands twice in one text goes at both places where a smaller document holds its inner passage."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for i in range(40):
+        edge, inner, other, between = ("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (60, 50 + i % 31, 60, 7))
+        paragraph = edge + "x" + inner + "x" + edge[::-1]
+        rows += [(2 * i, other + "y" + inner + "y" + other[::-1]), (2 * i + 1, paragraph + between + paragraph)]
+        want |= {2 * i: (0, 0), 2 * i + 1: (2 * len(inner), 2)}
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_statistics(spark):
     rng = random.Random(6)
     every = ["", None, "a", "a a", "a a a a", "x\x0by #1 <b>|&%$*", "l\nl\n \nl"] + ["".join(rng.choice(["a", "b ", "c\n", "é", " ", "#", "AB! "]) for _ in range(rng.randint(0, 200))) for _ in range(200)]
