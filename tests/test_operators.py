@@ -117,6 +117,32 @@ def test_components_and_splits(spark):
         catalog.assign_splits(sizes[:2])
 
 
+def test_split_covers_all_records(spark):
+    """Every order is in the component that union-find gives it, and each component in one split."""
+    from framesift.plans.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey").collect()
+    head = {}
+
+    def top(x):
+        while head.setdefault(x, x) != x:
+            x = head[x]
+        return x
+
+    for k, c in orders:
+        for i in (c, c + 1) if k % 70 == 0 else (c,):
+            head[top(("c", i))] = top(("k", k))
+    least = {}
+    for k, _ in orders:
+        least[top(("k", k))] = min(k, least.get(top(("k", k)), k))
+    want = {k: least[top(("k", k))] for k, _ in orders}
+    assert {r.key: r.component for r in QUERIES["components_all"](spark, sf).collect()} == want
+    got = QUERIES["split_assign"](spark, sf).collect()
+    assert len(got) == len(orders) and {r.key: r.component for r in got} == want
+    assert len({(r.component, r.split) for r in got}) == len(set(want.values())) and {r.split for r in got} == set(catalog.SPLITS)
+
+
 def test_long_chain_is_one_component(spark):
     links = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     from framesift.functions.graph import connected_components
