@@ -323,8 +323,11 @@ CASE WHEN k IN (2, 3) THEN 'unverified_ai_origin_claim' ELSE 'inconclusive' END
 def provenance_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
     mark = F.element_at(F.array(*[F.lit(m) for m in _MARKS]), (F.col("doc_id") % 7 + 1).cast("int"))
-    files = docs.select("doc_id", F.encode(F.concat("text", F.lit(" "), mark), "UTF-8").alias("content"))
-    found = files.select("doc_id", forensics.provenance(F.col("content"), 256).alias("p"))
+    # The mark stands at the text's start, middle or end.
+    before = F.element_at(F.array(F.lit(0), F.floor(F.char_length("text") / 2).cast("int"), F.char_length("text")), (F.floor(F.col("doc_id") / 7) % 3 + 1).cast("int"))
+    text = F.concat(F.substr("text", F.lit(1), before), F.lit(" "), mark, F.lit(" "), F.substr("text", before + 1))
+    files = docs.select("doc_id", F.encode(text, "UTF-8").alias("content"))
+    found = files.select("doc_id", forensics.provenance(F.col("content")).alias("p"))
     join = lambda c: F.array_join(F.col(f"p.{c}"), ",").alias(c)
     return found.select("doc_id", join("c2pa_markers"), join("ai_claims"), join("providers"), scoring.assessment(F.lit(False), F.size("p.ai_claims") > 0).alias("assessment"))
 

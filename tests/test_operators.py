@@ -85,6 +85,16 @@ def test_provenance(spark):
     assert not scan("photographer added visible watermark").ai_claims
 
 
+def test_provenance_scan_reads_whole_texts(spark, tmp_path):
+    """A marker of the text itself is found wherever it stands."""
+    from framesift.plans.catalogue import QUERIES
+
+    rows = [(4 + 7 * i, "x" * a + " made with Midjourney " + "y" * (3000 - a)) for i, a in enumerate((0, 700, 1500, 2200, 3000, 1000))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.providers for r in QUERIES["provenance_scan"](spark, str(tmp_path)).collect()}
+    assert got == {d: "Midjourney" for d, _ in rows}
+
+
 def test_jobs(spark):
     now = datetime.datetime(2026, 9, 11, 12)
     rows = [("ab12", "completed", "Clip.MOV", now, now, None, "r"), ("ab34", "failed", "Image.PNG", now, now - datetime.timedelta(hours=2), "e", None), ("zz", "processing", "x", now, now - datetime.timedelta(days=2), None, None)]
