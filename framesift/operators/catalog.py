@@ -6,8 +6,9 @@ import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.graph import connected_components
+from ..functions.graph import connected_components, cut
 
 FAKE, REAL = ("1", "fake", "manipulated", "deepfake"), ("0", "real", "authentic", "original")
 SPLITS = ("train", "validation", "test")
@@ -66,14 +67,25 @@ def first_of(rows: DataFrame, key: str, line: str) -> DataFrame:
     return rows.join(rows.groupBy(key).agg(F.min(line).alias("first_line")), key)
 
 
+def _check(ratios: tuple[float, float, float]) -> None:
+    if any(r <= 0 for r in ratios) or abs(sum(ratios) - 1) > 1e-9:
+        raise ValueError("ratios must be positive and sum to 1")
+
+
+def _cost(have: list[int], counts: list[int], totals: tuple[int, int], share: float) -> tuple[float, int]:
+    """How far a split of this share is from its size and its labels' counts with `counts` added, and what it holds."""
+    error = abs(sum(have) + sum(counts) - sum(totals) * share) / max(sum(totals) * share, 1)
+    error += sum(abs(have[y] + counts[y] - totals[y] * share) / max(totals[y] * share, 1) for y in (0, 1) if totals[y])
+    return error, sum(have)
+
+
 def assign_splits(sizes: list[tuple[int, int, int]], ratios: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 2205) -> dict[int, str]:
     """component -> split, from (component, reals, fakes) in order of component.
 
     The three largest (after a seeded shuffle) open the splits; each further one goes where sizes
     and labels stay nearest their shares, then to the smallest split. Counters are kept as it goes.
     """
-    if any(r <= 0 for r in ratios) or abs(sum(ratios) - 1) > 1e-9:
-        raise ValueError("ratios must be positive and sum to 1")
+    _check(ratios)
     if len(sizes) < len(SPLITS):
         raise ValueError("fewer than three disconnected groups")
     order = sorted(sizes)
@@ -83,19 +95,64 @@ def assign_splits(sizes: list[tuple[int, int, int]], ratios: tuple[float, float,
     held = {s: [0, 0] for s in SPLITS}
     out: dict[int, str] = {}
 
-    def cost(split: str, counts: tuple[int, int]) -> tuple[float, int]:
-        share, have = ratios[SPLITS.index(split)], held[split]
-        error = abs(sum(have) + sum(counts) - sum(totals) * share) / max(sum(totals) * share, 1)
-        error += sum(abs(have[y] + counts[y] - totals[y] * share) / max(totals[y] * share, 1) for y in (0, 1) if totals[y])
-        return error, sum(have)
-
     for i, (component, *counts) in enumerate(order):
-        split = SPLITS[i] if i < len(SPLITS) else min(SPLITS, key=lambda s: cost(s, tuple(counts)))
+        split = SPLITS[i] if i < len(SPLITS) else min(SPLITS, key=lambda s: _cost(held[s], counts, totals, ratios[SPLITS.index(s)]))
         out[component] = split
         held[split] = [a + b for a, b in zip(held[split], counts)]
     return out
 
 
+def split_quotas(classes: list[tuple[int, int, int]], ratios: tuple[float, float, float] = (0.7, 0.15, 0.15)) -> list[tuple[int, int, int, int, int]]:
+    """(reals, fakes, components of that size) -> (reals, fakes, how many of them go to each split).
+
+    The rule of assign_splits, with the classes of one size mixed evenly in place of its shuffle. Components
+    of a class are alike, so counts say it all: many go by shares of 1/128 of what is left, the last 255 one by one.
+    """
+    _check(ratios)
+    if sum(n for *_, n in classes) < len(SPLITS):
+        raise ValueError("fewer than three disconnected groups")
+    totals = (sum(r * n for r, _, n in classes), sum(f * n for _, f, n in classes))
+    held, opened, out = [[0, 0] for _ in SPLITS], 0, []
+    sized: dict[int, list[tuple[int, int, int]]] = {}
+    for c in sorted(classes):
+        sized.setdefault(c[0] + c[1], []).append(c)
+    for _, group in sorted(sized.items(), reverse=True):
+        left, quota = [n for *_, n in group], [[0] * len(SPLITS) for _ in group]
+        while any(left):
+            k = max(range(len(group)), key=lambda k: left[k] / group[k][2])  # noqa: B023
+            r, f, step = *group[k][:2], 1
+            if opened < len(SPLITS):
+                at, opened = opened, opened + 1
+            else:
+                step = max(1, left[k] // 128)
+                at = min(range(len(SPLITS)), key=lambda s: _cost(held[s], [r * step, f * step], totals, ratios[s]))  # noqa: B023
+            quota[k][at] += step
+            held[at] = [held[at][0] + r * step, held[at][1] + f * step]
+            left[k] -= step
+        out += [(r, f, *q) for (r, f, _), q in zip(group, quota)]
+    return out
+
+
+def split_components(records: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 2205, bucket_size: int = 10_000) -> DataFrame:
+    """records (component, label) -> (component, split) by split_quotas.
+
+    Only counts by (reals, fakes) come to the driver. In a class, components are ranked by a seeded
+    hash, in buckets of about bucket_size, and the first ranks go to train, the next to validation.
+    """
+    sizes = cut(records.groupBy("component").agg(F.count_if(F.col("label") == 0).alias("r"), F.count_if(F.col("label") == 1).alias("f")))
+    classes = [(c["r"], c["f"], c["n"]) for c in sizes.groupBy("r", "f").agg(F.count("*").alias("n")).collect()]
+    quotas = records.sparkSession.createDataFrame(split_quotas(classes, ratios), "r long, f long, train long, validation long, test long")
+    h = F.xxhash64(F.lit(seed), "component")
+    buckets = max(1, sum(n for *_, n in classes) // bucket_size)
+    dealt = sizes.withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    earlier = Window.partitionBy("r", "f").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("r", "f", "bucket").agg(F.count("*").alias("n")).select("r", "f", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    within = Window.partitionBy("r", "f", "bucket").orderBy("h", "component")
+    ranked = dealt.withColumn("no", F.row_number().over(within)).join(starts, ["r", "f", "bucket"]).withColumn("rank", F.col("start") + F.col("no"))
+    split = F.when(F.col("rank") <= F.col("train"), SPLITS[0]).when(F.col("rank") <= F.col("train") + F.col("validation"), SPLITS[1]).otherwise(SPLITS[2])
+    return ranked.join(F.broadcast(quotas), ["r", "f"]).select("component", split.alias("split"))
+
+
 def split_summary(records: DataFrame) -> DataFrame:
     """records (split, label, identity_ids, source_group) -> counts by split."""
     base = records.groupBy("split").agg(

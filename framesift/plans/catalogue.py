@@ -428,12 +428,9 @@ def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leakage-free split of the component table; only it (sizes and labels) comes to the driver."""
+    """Leakage-free split of all records; only counts of components by size and labels come to the driver."""
     found = components_all(spark, sf_dir).withColumn("label", (F.col("key") / 10 % 2).cast("int"))
-    sizes = found.groupBy("component").agg(F.count_if(F.col("label") == 0).alias("r"), F.count_if(F.col("label") == 1).alias("f")).collect()
-    chosen = catalog.assign_splits([(r["component"], r["r"], r["f"]) for r in sizes])
-    table = spark.createDataFrame(sorted(chosen.items()), "component long, split string")
-    return found.join(table, "component").select("key", "component", "split")
+    return found.join(catalog.split_components(found), "component").select("key", "component", "split")
 
 
 # --- metrics ---------------------------------------------------------------------------------------

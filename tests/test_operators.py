@@ -1,4 +1,5 @@
 import datetime
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -127,6 +128,30 @@ def test_components_and_splits(spark):
         catalog.assign_splits(sizes[:2])
 
 
+def test_split_by_size_classes(spark, monkeypatch):
+    """Each component gets one split, shares hold in size and labels, and no component is a row on the driver."""
+    size = lambda i: 60 if i < 3 else 1 + i % 4
+    rows = [(i, (i + j) % 2) for i in range(900) for j in range(size(i))]
+    records = spark.createDataFrame(rows, "component long, label int")
+    most, made = [], spark.createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: most.append(len(data)) or made(data, *a, **b))
+    got = catalog.split_components(records, bucket_size=50)
+    monkeypatch.undo()
+    assert most and max(most) < 20
+    split = dict(got.collect())
+    assert len(split) == got.count() == 900
+    # Here each size has one class, so the counts are those of the rule that takes components one by one.
+    sizes = [(i, sum((i + j) % 2 == 0 for j in range(size(i))), sum((i + j) % 2 for j in range(size(i)))) for i in range(900)]
+    told = catalog.assign_splits(sizes)
+    for name in catalog.SPLITS:
+        assert Counter((r, f) for i, r, f in sizes if split[i] == name) == Counter((r, f) for i, r, f in sizes if told[i] == name)
+    assert dict(catalog.split_components(records.repartition(7), bucket_size=50).collect()) == split
+    many = [(1, 0, 10**9), (0, 1, 10**9), (500, 400, 3)]
+    assert {(r, f, sum(q)) for r, f, *q in catalog.split_quotas(many)} == set(many)
+    with pytest.raises(ValueError):
+        catalog.split_quotas([(1, 0, 2)])
+
+
 def test_split_covers_all_records(spark):
     """Every order is in the component that union-find gives it, and each component in one split."""
     from framesift.plans.catalogue import QUERIES
