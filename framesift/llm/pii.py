@@ -111,4 +111,6 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data(table(spark, sf_dir, "documents")).drop("scored")
+    """scored as text: kind:start:end:score of each span, joined like spans."""
+    told = F.transform("scored", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"], s["score"]))
+    return personal_data(table(spark, sf_dir, "documents")).withColumn("scored", F.array_join(told, ","))

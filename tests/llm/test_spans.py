@@ -75,3 +75,10 @@ def test_personal_data(spark):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k) for s in found) for k in PII]
     told = next(r for r in rows if r.doc_id == len(every) - 2)
     assert told.n_iban == 1 and [s.score for s in told.scored] == [1.0, 1.1]
+
+
+def test_query_keeps_scores(spark, tmp_path):
+    rows = [(1, "write to a.b@c.de or see 192.168.0.1"), (2, "a.b@c.de"), (3, None), (4, "call +1 (555) 123-4567")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.scored for r in pii.op9_pii(spark, str(tmp_path)).collect()}
+    assert got == {1: "email:9:17:1.0,ip:25:36:0.5", 2: "email:0:8:0.8", 3: "", 4: "phone:5:22:0.7"}
