@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,12 +73,49 @@ def status_of(modules: Column) -> Column:
 
 
 def retention_plan(jobs: DataFrame, before: Column, safe: Column) -> DataFrame:
-    """Expired jobs split by whether all their paths may be removed: one row of counts and lists."""
-    due = jobs.filter(expired_at(before)).withColumn("_safe", safe)
-    return due.agg(
-        F.count("*").alias("expired"), F.count_if("_safe").alias("deleted"), F.count_if(~F.col("_safe")).alias("failed"),
-        F.array_sort(F.collect_list(F.when(F.col("_safe"), F.col("id")))).alias("deleted_ids"),
-    )
+    """Expired jobs as rows (id, safe): whether all their paths may be removed."""
+    return jobs.filter(expired_at(before)).select("id", safe.alias("safe"))
+
+
+def retention_counts(plan: DataFrame) -> DataFrame:
+    """One row of counts over a retention plan."""
+    return plan.agg(F.count("*").alias("expired"), F.count_if("safe").alias("deleted"), F.count_if(~F.col("safe")).alias("failed"))
+
+
+def ids_sha256(ids: DataFrame, block_bytes: int = 8 << 10) -> DataFrame:
+    """ids (id: string) -> one row (sha256) of all ids in order, joined by commas; nulls are left out.
+
+    Ids are sorted in many tasks, each of which joins stretches of them into blocks. SHA-256 has to read
+    bytes in order, so one task reads the blocks, one after the other; no list of all ids is ever held.
+    """
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = lambda held: pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([",".join(held).encode()], pa.binary())], ["id", "block"])
+        held, size = [], 0
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                if held and size >= block_bytes and i != held[-1]:  # equal ids stay in one block, so blocks have one order
+                    yield row(held)
+                    held, size = [], 0
+                held.append(i)
+                size += len(i) + 1
+        if held:
+            yield row(held)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, first = hashlib.sha256(), True
+        for batch in batches:
+            for block in batch.column(1).drop_null():
+                found.update(b"" if first else b",")
+                found.update(block.as_py())
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array([found.hexdigest()])], ["sha256"])
+
+    spark = ids.sparkSession
+    none = spark.createDataFrame([(None, None)], "id string, block binary")
+    told = ids.select("id").filter("id IS NOT NULL").repartitionByRange("id").sortWithinPartitions("id").mapInArrow(blocks, "id string, block binary")
+    # A block of nothing makes sure that there is a task, and a digest, where there are no ids.
+    return told.union(none).repartition(1).sortWithinPartitions("id").mapInArrow(digest, "sha256 string")
 
 
 def stale_parts(files: DataFrame, before: Column) -> DataFrame:

@@ -181,7 +181,7 @@ sha256(coalesce(string_agg(id, ',' ORDER BY id) FILTER (o_custkey % 10 <> 0), ''
 def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.when(F.col("o_custkey") % 10 == 0, "../").otherwise("uploads/"), "id")
     plan = jobs.retention_plan(_jobs(spark, sf_dir), F.lit("1996-06-01").cast("timestamp"), ingest.stays_inside(path))
-    return plan.withColumn("deleted_ids", F.sha2(F.array_join("deleted_ids", ",").cast("binary"), 256))
+    return jobs.retention_counts(plan).crossJoin(jobs.ids_sha256(plan.filter("safe").select("id")).withColumnRenamed("sha256", "deleted_ids"))
 
 
 @query(f"""WITH l AS (SELECT id, unnest([{{'n': 0, 's': 'Forensic Risk Assessment'}}, {{'n': 1, 's': 'Analysis ID: ' || id}}, {{'n': 2, 's': 'Status: ' || status}}, {{'n': 3, 's': 'Source: ' || source_name}},

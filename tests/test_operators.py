@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -114,6 +115,20 @@ def test_jobs(spark):
     assert [t.due(0), t.due(30), t.due(61)] == [True, False, True]
 
 
+def test_retention_plan_holds_no_list(spark):
+    """Expired ids are rows; their digest is that of the sorted list, over many blocks, one or none."""
+    now = datetime.datetime(2026, 9, 11, 12)
+    j = spark.range(3000).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 7 == 0, "queued").otherwise("failed").alias("status"), F.lit(now).alias("updated_at"))
+    plan = jobs.retention_plan(j, F.lit(now + datetime.timedelta(hours=1)), F.col("id").cast("long") % 10 != 0)
+    want = sorted(str(i) for i in range(3000) if i % 7 and i % 10)
+    assert plan.columns == ["id", "safe"] and sorted(r.id for r in plan.filter("safe").collect()) == want
+    expired = sum(1 for i in range(3000) if i % 7)
+    assert tuple(jobs.retention_counts(plan).first()) == (expired, len(want), expired - len(want))
+    for ids, size in ((want, 50), (want, 1 << 20), (want[:5] * 9 + ["é", "z" * 200], 10), ([], 10)):
+        rows = spark.createDataFrame([(i,) for i in ids] + [(None,)], "id string").repartition(3)
+        assert [r.sha256 for r in jobs.ids_sha256(rows, size).collect()] == [hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()]
+
+
 def test_components_and_splits(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (3, "b"), (4, "c"), (5, "d"), (6, "d"), (7, "e")], "key long, constraint string")
     got = {r.key: r.component for r in catalog.components(rows).collect()}
