@@ -16,8 +16,10 @@ Items come in blocks of bounded size, each broadcast; more items take more passe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -227,6 +229,11 @@ def best_match(item: str, text: str, most: int) -> tuple[int, int, int] | None:
     return d, end - back, end
 
 
+def edit_limit(length: int, similarity: float) -> int:
+    """Most edits that leave `similarity` or more of so many characters; exact, as 1 - 0.8 is not in floats."""
+    return math.floor((1 - Fraction(str(similarity))) * length)
+
+
 def find_items(texts: pa.Array, items: Items, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, int, float]]:
     """(text, item_id, start, end, distance, similarity) of each text's best match of each item."""
     words = read_words(texts)
@@ -267,7 +274,7 @@ def find_items(texts: pa.Array, items: Items, similarity: float = SIMILARITY) ->
         low, high = max(int(words.first[d]), at - slack), min(int(final[d]), at + n + 2 * slack)
         covered[d, i] = at + slack
         text = words.text(low, high)
-        match = best_match(items.norm[i], text, int((1 - similarity) * len(items.norm[i])))
+        match = best_match(items.norm[i], text, edit_limit(len(items.norm[i]), similarity))
         if match and ((d, i) not in best or match[0] < best[d, i][0]):
             best[d, i] = (match[0], low + text.count(" ", 0, match[1]), low + text.count(" ", 0, max(match[1] + 1, match[2])))
     rows = []

@@ -226,6 +226,17 @@ def test_contamination_recall(spark):
     assert clean == []
 
 
+def test_contamination_at_the_threshold():
+    """A passage at a similarity of exactly 0.8 counts, one edit less like does not."""
+    assert [decontam.edit_limit(n, 0.8) for n in (4, 5, 99, 100, 1995)] == [0, 1, 19, 20, 399]
+    rng = random.Random(3)
+    item = " ".join("".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(20)) + "k"
+    block = decontam.Items([1], [item])
+    assert len(item) == 100
+    found = decontam.find_items(pa.array([item[:80] + "9999", item[:79] + "9999"]), block)
+    assert [(d, i, distance, round(like, 9)) for d, i, _, _, distance, like in found] == [(0, 1, 20, 0.8)]
+
+
 def test_contamination_places(spark):
     item = "Seven gray owls quietly watched eleven brown mice near the old stone mill at dusk today"
     frame = spark.createDataFrame([(4, f"Élan! intro words go here. {item} then more"), (5, "quite different words in this one")], "doc_id long, text string")
