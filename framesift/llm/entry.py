@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, substrings
+from . import mixing, pii, substrings
 from .decontam import op7_decontaminate
 from .langid import op8_language_id
 from .mixing import op5_mixing
@@ -33,5 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_mixing": mixing.ORACLE_SQL,
+    "op9_pii": pii.ORACLE_SQL,
     "op10_suffix_dedup": substrings.ORACLE_SQL,
 }
