@@ -1,24 +1,27 @@
 """Benchmark decontamination: CGK random-walk embedding, bit-sampling LSH, exact edit verification.
 
-Texts are sequences of words (lower-cased runs of letters, digits and non-ASCII bytes). The CGK walk
-reads a window from its first word: at step j it writes the word under it and moves on if a random
-bit of (j, word) is set, so windows at small edit distance fall into step again and agree in most
-written places. A repetition draws its own bits and samples a few places of the embedding; a
-document's window and an item's window that agree in all sampled places collide. Windows start at
-every word of every document and at every offset inside an item. Each collision aligns an item-sized
-window of the document, whose whole embedding is compared with the item's (Hamming share below
-MOST_APART), and what remains is verified by the exact edit distance of the item to the best matching
-part of that stretch of the text; verified pairs have similarity 1 - distance / length of at least 0.8.
-
-Repetitions and samples are set for the recall that tests/llm measures on randomly edited passages.
-Items come in blocks of bounded size, each broadcast; more items take more passes over the documents.
+Texts are read as letters: words (lower-cased runs of letters, digits and non-ASCII bytes) apart by one
+space each. The CGK walk reads a window from its first letter: at step j it writes the letter under it and
+moves on if a random bit of (j, letter) is set, so windows at small edit distance fall into step again and
+agree in most written places: edit distance becomes Hamming distance. A repetition draws its own bits and
+samples PLACES of the STEPS written places; windows that agree in all of them collide. Windows start at
+every word of every document, and at every word inside each item-sized passage that is looked for, so an
+edited passage is met wherever one stretch of it still agrees in the sampled places. Each collision aligns
+an item-sized window of the document; no collision is left out. Collisions of one text, item and alignment
+are verified together by the exact edit distance of the item to the best matching part of the stretch of
+text that any passage within the limit must lie in; verified pairs have a similarity
+1 - distance / length of at least 0.8.
+
+Repetitions, steps and places are set for the recall that tests/llm measures on letters and words edited at
+random up to that limit. Items of fewer than STEPS letters, which may have no window, are also looked for as
+whole sequences of words, unchanged. Items come in blocks of bounded size, each broadcast; more items take
+more passes over the documents.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -26,30 +29,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import by_bytes, table
 
 SIMILARITY = 0.8
-#: (steps walked, places sampled) of each repetition; 64 steps at most. One place is drawn from each of
-#: equal stretches of the steps, as neighbouring places often read one word.
-REPETITIONS = ((12, 5),) * 6
+#: Steps of a window's walk, places sampled of them (one from each of equal stretches, as neighbouring
+#: places often read one letter), and how often that is repeated with other random bits and places.
+STEPS, PLACES, REPETITIONS = 32, 14, 6
 SEED = 7
-#: Up to so many of the words that stand in most items say nothing of one; windows are read without
-#: them, but an item keeps LEAST_WORDS of its words at least (all, if it has no more).
-COMMON_WORDS, LEAST_WORDS = 128, 8
-#: Steps of the whole embedding per word of an item, and the share of places that may differ.
-STRETCH, MOST_APART = 2, 0.84
-#: A window is left early where more than EARLY_STEPS places plus this share of the steps so far differ.
-MOST_EARLY, EARLY_STEPS = 0.9, 12
-#: Bytes of item text in one broadcast block.
-BLOCK_BYTES = 8 << 20
+#: Letters by which a collision's alignment may be off beside the edits allowed.
+SLACK = 8
+#: Bytes of item text in one broadcast block, and of documents read at once.
+BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 19
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
-_SCHEMA = "item_id long, start long, end long, distance int, similarity double"
+_SPACE, _STOP = 32, 0
 
 
-def _mix(x: np.ndarray, seed: int) -> np.ndarray:
-    x = (x ^ np.uint64(seed * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) * _ODD
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x * _ODD
     x ^= x >> np.uint64(31)
     x *= _MIX
     return x ^ (x >> np.uint64(29))
@@ -59,136 +57,140 @@ _WORD = np.zeros(256, bool)
 _WORD[list(range(48, 58)) + list(range(97, 123)) + list(range(128, 256))] = True
 
 
-@dataclass
-class Words:
-    """Words of several texts in a row: hashes, places in the lower-cased bytes, and where each text's begin."""
+class Letters:
+    """Letters of several texts in a row, words apart by a space, each text ended by a stop.
 
-    data: np.ndarray
-    hashes: np.ndarray
-    starts: np.ndarray
-    ends: np.ndarray
-    first: np.ndarray
-    offsets: np.ndarray
+    start: place of each word. first: first word of each text. source: where the words' letters stand in
+    the lower-cased bytes `data`; place: where they stand here. offsets: where each text starts in data.
+    """
+
+    def __init__(self, texts: pa.Array) -> None:
+        lowered = pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
+        offsets = np.frombuffer(lowered.buffers()[1], np.int64)[lowered.offset : lowered.offset + len(lowered) + 1]
+        self.data = np.frombuffer(lowered.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        self.offsets = offsets - offsets[0]
+        inside = _WORD[self.data]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        cuts = self.offsets[1:-1][self.offsets[1:-1] < len(self.data)]  # words end where texts do
+        begins[cuts] = inside[cuts]
+        self.source = np.flatnonzero(inside)
+        begins = begins[self.source]
+        word = np.cumsum(begins)
+        self.place = np.arange(len(self.source)) + word - 1
+        self.letters = np.full(len(self.source) + (int(word[-1]) if len(word) else 0), _SPACE, np.uint8)
+        self.letters[self.place] = self.data[self.source]
+        self.start = self.place[begins]
+        self.first = np.searchsorted(self.source[begins], self.offsets)
+        last = self.first[1:][np.diff(self.first) > 0] - 1
+        self.letters[np.append(self.start[1:], len(self.letters))[last] - 1] = _STOP
+        # From the place of its first word to its stop.
+        bounds = np.append(self.start, len(self.letters))[self.first]
+        self.low, self.high = bounds[:-1], np.maximum(bounds[1:] - 1, bounds[:-1])
 
     def text(self, a: int, b: int) -> str:
-        """Words a to b, apart by one space each."""
-        return " ".join(self.data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(self.starts[a:b], self.ends[a:b]))
-
-
-def read_words(texts: pa.Array) -> Words:
-    lowered = pc.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
-    offsets = np.frombuffer(lowered.buffers()[1], np.int64)[lowered.offset : lowered.offset + len(lowered) + 1]
-    data = np.frombuffer(lowered.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    inside = _WORD[data]
-    begins, stops = inside.copy(), inside.copy()
-    begins[1:] &= ~inside[:-1]
-    stops[:-1] &= ~inside[1:]
-    cuts = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]  # words end where texts do
-    begins[cuts] = inside[cuts]
-    stops[cuts - 1] = inside[cuts - 1]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    powers = np.multiply.accumulate(np.full(len(data) + 1, _ODD)) if len(data) else np.ones(1, np.uint64)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(data * powers[: len(data)], dtype=np.uint64)])
-    back = np.multiply.accumulate(np.full(len(data) + 1, _INVERSE)) if len(data) else np.ones(1, np.uint64)
-    hashes = _mix((sums[ends] - sums[starts]) * back[starts], 0)
-    return Words(data, hashes, starts, ends, np.searchsorted(starts, offsets[:-1]), offsets)
-
-
-def _sampled(repetition: int) -> list[int]:
-    steps, places = REPETITIONS[repetition]
-    drawn = np.random.default_rng(SEED + repetition).random(places)
-    return [int((k + x) * steps / places) for k, x in enumerate(drawn)]
-
-
-def window_keys(hashes: np.ndarray, repetition: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key of the window that starts at each word, and the last word that its sampled places read.
-
-    The sequence is followed by a mark that is read on and on.
-    """
-    x = np.append(hashes, np.uint64(0))
-    bits = _mix(x, 100 + repetition)
-    bits[-1] = 0
-    at, key = np.arange(len(hashes), dtype=np.int32), np.full(len(hashes), np.uint64(repetition))
-    places = _sampled(repetition)
-    for step in range(places[-1] + 1):
+        """Letters a to b, moved outwards to whole code points."""
+        while a > 0 and self.letters[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(self.letters) and self.letters[b] & 0xC0 == 0x80:
+            b += 1
+        return self.letters[a:b].tobytes().decode("utf-8", "replace")
+
+    def points(self, text: int, a: int, b: int) -> tuple[int, int]:
+        """Code points, in a text, of its letters a to b."""
+        i, j = np.searchsorted(self.place, a), np.searchsorted(self.place, b) - 1
+        lead = lambda s, e: int(((self.data[s:e] & 0xC0) != 0x80).sum())
+        start = lead(self.offsets[text], self.source[i])
+        return start, start + lead(self.source[i], self.source[j] + 1)
+
+
+def normal(text: str | None) -> str:
+    """The letters that a text is read as."""
+    letters = Letters(pa.array([text], pa.large_string()))
+    return letters.text(int(letters.low[0]), int(letters.high[0]))
+
+
+def _drawn(repetition: int) -> tuple[set[int], np.ndarray]:
+    """Sampled places, and by step and letter whether the walk moves on; it stays at a stop."""
+    rng = np.random.default_rng(SEED + repetition)
+    places = {int((k + x) * STEPS / PLACES) for k, x in enumerate(rng.random(PLACES))}
+    moves = rng.integers(0, 2, (STEPS, 256)).astype(np.int32)
+    moves[:, _STOP] = 0
+    return places, moves
+
+
+def window_keys(letters: Letters, repetition: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key of the window that starts at each word, and the last letter that its sampled places read."""
+    places, moves = _drawn(repetition)
+    at, key = letters.start.astype(np.int32), np.full(len(letters.start), np.uint64(repetition))
+    for step in range(max(places) + 1):
+        letter = letters.letters[at]
         if step in places:
-            key = (key ^ x[at]) * _ODD
-            key ^= key >> np.uint64(32)
-        if step < places[-1]:
-            at += ((bits[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int32)
-    return key, at
-
-
-def _near(x: np.ndarray, bits: tuple[np.ndarray, np.ndarray], items: Items, begin: np.ndarray, item: np.ndarray, final: np.ndarray) -> np.ndarray:
-    """Which item-sized windows have an embedding near enough to the item's. Windows that are already
-    too far apart however they go on are left early."""
-    left, size = np.arange(len(begin)), items.told_count[item]
-    ours, theirs = begin.copy(), items.told_first[item].copy()
-    end, end_i = np.minimum(begin + size + size // 4 + 1, final), theirs + size
-    apart, most = np.zeros(len(begin)), MOST_APART * STRETCH * size
-    for step in range(STRETCH * int(size.max(initial=0))):
-        bit = np.uint64(step % 64)
-        a, b = np.minimum(ours, end - 1), np.minimum(theirs, end_i - 1)
-        xa, xb = np.where(ours < end, x[a], np.uint64(0)), np.where(theirs < end_i, items.told[b], np.uint64(1))
-        apart += (xa != xb) & (step < STRETCH * size)
-        k = step // 64 % 2
-        ours = ours + ((bits[k][a] >> bit) & np.uint64(1)).astype(np.int64)
-        theirs = theirs + ((items.bits[k][b] >> bit) & np.uint64(1)).astype(np.int64)
-        if step % 8 == 7:
-            keep = (apart <= most) & (apart <= MOST_EARLY * step + EARLY_STEPS)
-            left, size, ours, theirs, end, end_i, apart, most = (v[keep] for v in (left, size, ours, theirs, end, end_i, apart, most))
-    return left[apart <= most]
+            key = (key * _ODD) ^ (key >> np.uint64(29)) ^ letter
+        if step < max(places):
+            at = at + moves[step][letter]
+    return _mix(key), at
+
+
+def _sequences(letters: Letters, n: int) -> np.ndarray:
+    """Hash of the n words from each word on; 0 where they reach beyond the text."""
+    size = len(letters.start)
+    if size < n:
+        return np.zeros(size, np.uint64)
+    length = np.diff(np.append(letters.start, len(letters.letters)))
+    within = np.arange(len(letters.letters)) - np.repeat(letters.start, length)
+    powers = np.multiply.accumulate(np.full(int(length.max()) + 1, _ODD))
+    kept = np.where(letters.letters == _STOP, _SPACE, letters.letters).astype(np.uint64)
+    word = _mix(np.add.reduceat(kept * powers[within], letters.start))
+    out = np.zeros(size, np.uint64)
+    for k in range(n):
+        out[: size - n + 1] = (out[: size - n + 1] * _ODD) ^ word[k : size - n + 1 + k]
+    final = np.repeat(letters.first[1:], np.diff(letters.first))
+    out[np.arange(size) + n > final] = 0
+    return out
 
 
 class Items:
     """One block of benchmark items with their window keys."""
 
-    def __init__(self, ids: list[int], texts: list[str]) -> None:
-        self.words = read_words(pa.array(texts, pa.large_string()))
-        total = len(self.words.hashes)
-        self.first = self.words.first
-        self.count = np.diff(np.r_[self.first, total])
-        self.ids = np.array(ids, np.int64)
-        self.norm = [self.words.text(a, a + n) for a, n in zip(self.first, self.count)]
+    def __init__(self, ids: list, texts: list[str]) -> None:
+        self.ids = list(ids)
+        self.letters = Letters(pa.array(texts, pa.large_string()))
+        low, high, start = self.letters.low, self.letters.high, self.letters.start
+        self.size = high - low
+        self.norm = [self.letters.text(int(a), int(b)) for a, b in zip(low, high)]
+        owner = np.repeat(np.arange(len(ids)), np.diff(self.letters.first))
         self.keys, self.item, self.offset, self.maybe = [], [], [], []
-        owner = np.repeat(np.arange(len(ids)), self.count)
-        self.common = self._common(owner)
-        told = np.flatnonzero(~np.isin(self.words.hashes, self.common))
-        own = owner[told]
-        self.told = self.words.hashes[told]
-        self.told_first = np.searchsorted(own, np.arange(len(ids)))
-        self.told_count = np.bincount(own, minlength=len(ids))
-        self.bits = tuple(_mix(self.told, 200 + k) for k in range(2))
-        beyond = np.searchsorted(own, own, side="right")
-        for r in range(len(REPETITIONS)):
-            key, last = window_keys(self.words.hashes[told], r)
-            within = last < beyond
-            by = np.argsort(key[within], kind="stable")
-            self.keys.append(key[within][by])
-            self.item.append(own[within][by])
-            self.offset.append(np.stack([told - self.first[own], np.arange(len(own)) - self.told_first[own]], axis=1)[within][by])
+        for r in range(REPETITIONS):
+            key, last = window_keys(self.letters, r)
+            within = np.flatnonzero(last < high[owner])
+            by = within[np.argsort(key[within], kind="stable")]
+            self.keys.append(key[by])
+            self.item.append(owner[by])
+            self.offset.append(start[by] - low[owner[by]])
             maybe = np.zeros(1 << 20, bool)
-            maybe[(self.keys[-1] >> np.uint64(44)).astype(np.int64)] = True
+            maybe[(key[by] >> np.uint64(44)).astype(np.int64)] = True
             self.maybe.append(maybe)
+        #: Items without a sure window by their number of words: sorted hashes and whose they are.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        words = np.diff(self.letters.first)
+        for n in np.unique(words[(self.size < STEPS) & (words > 0)]).tolist():
+            which = np.flatnonzero((words == n) & (self.size < STEPS))
+            keys = _sequences(self.letters, n)[self.letters.first[which]]
+            by = np.argsort(keys, kind="stable")
+            self.short[n] = keys[by], which[by]
+
 
-    def _common(self, owner: np.ndarray) -> np.ndarray:
-        """Words that stand in the most items, in more than one of 50, but for what scanty items need."""
-        if not len(owner):
-            return np.zeros(0, np.uint64)
-        word, at = np.unique(self.words.hashes, return_inverse=True)
-        held = np.unique(at * len(self.ids) + owner)
-        n = np.bincount(held // len(self.ids), minlength=len(word))
-        common = np.zeros(len(word), bool)
-        common[np.argsort(-n, kind="stable")[:COMMON_WORDS]] = True
-        common &= (n > len(self.ids) / 50) & (n > 3)
-        while True:
-            rest = np.bincount(owner[~common[at]], minlength=len(self.ids))
-            scanty = rest < np.minimum(LEAST_WORDS, self.count)
-            spared = common & np.isin(np.arange(len(word)), at[scanty[owner]])
-            if not spared.any():
-                return word[common]
-            common &= ~spared
+def _postings(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of wanted, place in the sorted keys) of all equal pairs."""
+    low = np.searchsorted(keys, wanted, side="left")
+    n = np.searchsorted(keys, wanted, side="right") - low
+    return np.repeat(np.arange(len(wanted)), n), np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def edit_limit(length: int, similarity: float) -> int:
+    """Most edits that leave `similarity` or more of so many characters; exact, as 1 - 0.8 is not in floats."""
+    return math.floor((1 - Fraction(str(similarity))) * length)
 
 
 def best_match(item: str, text: str, most: int) -> tuple[int, int, int] | None:
@@ -229,64 +231,64 @@ def best_match(item: str, text: str, most: int) -> tuple[int, int, int] | None:
     return d, end - back, end
 
 
-def edit_limit(length: int, similarity: float) -> int:
-    """Most edits that leave `similarity` or more of so many characters; exact, as 1 - 0.8 is not in floats."""
-    return math.floor((1 - Fraction(str(similarity))) * length)
+def _collisions(letters: Letters, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(item, where it would start among the letters) of all windows that collide, each once, in order."""
+    found = []
+    for r in range(REPETITIONS):
+        key, _ = window_keys(letters, r)
+        hit = np.flatnonzero(items.maybe[r][(key >> np.uint64(44)).astype(np.int64)])
+        which, posting = _postings(items.keys[r], key[hit])
+        begin = letters.start[hit[which]] - items.offset[r][posting] + (1 << 40)  # may lie before the first letter
+        found.append(np.stack([items.item[r][posting], begin, letters.start[hit[which]]], axis=1))
+    pairs = np.concatenate(found)
+    # The text of the window, not of the start, tells which text this is.
+    text = np.searchsorted(letters.low, pairs[:, 2], side="right") - 1
+    pairs = np.unique(np.stack([text, pairs[:, 0], pairs[:, 1] - (1 << 40)], axis=1), axis=0)
+    return pairs
 
 
-def find_items(texts: pa.Array, items: Items, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, int, float]]:
+def find_items(texts: pa.Array, items: Items, similarity: float = SIMILARITY) -> list[tuple]:
     """(text, item_id, start, end, distance, similarity) of each text's best match of each item."""
-    words = read_words(texts)
-    total = len(words.hashes)
-    if not total or not len(items.words.hashes):
-        return []
-    pairs = []
-    told = np.flatnonzero(~np.isin(words.hashes, items.common))
-    for r in range(len(REPETITIONS)):
-        key, _ = window_keys(words.hashes[told], r)
-        hit = np.flatnonzero(items.maybe[r][(key >> np.uint64(44)).astype(np.int64)])
-        low = np.searchsorted(items.keys[r], key[hit], side="left")
-        n = np.searchsorted(items.keys[r], key[hit], side="right") - low
-        which = np.repeat(np.arange(len(hit)), n)
-        posting = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pairs.append(np.stack([hit[which], items.item[r][posting], *items.offset[r][posting].T], axis=1))
-    found = np.concatenate(pairs)
-    if not len(found):
+    return [(d, items.ids[i], *rest) for d, i, *rest in _found(texts, items, similarity)]
+
+
+def _found(texts: pa.Array, items: Items, similarity: float) -> list[tuple[int, int, int, int, int, float]]:
+    """The same with the item's number in the block."""
+    letters = Letters(texts)
+    if not len(letters.start) or not len(items.letters.start):
         return []
-    final, told_first = np.r_[words.first[1:], total], np.searchsorted(told, words.first)
-    doc = np.searchsorted(words.first, told[found[:, 0]], side="right") - 1
-    # Where the item would begin, counted in all words and in those that windows are read in.
-    begin = np.maximum(told[found[:, 0]] - found[:, 2], words.first[doc])
-    read = np.maximum(found[:, 0] - found[:, 3], told_first[doc])
-    # One number for text, item and place: unique collisions in this order.
-    packed = (doc * len(items.ids) + found[:, 1]) * (total + 1) + read
-    _, one = np.unique(packed, return_index=True)
-    doc, item, begin, read = doc[one], found[one, 1], begin[one], read[one]
-    bits = tuple(_mix(words.hashes[told], 200 + k) for k in range(2))
-    near = _near(words.hashes[told], bits, items, read, item, np.r_[told_first[1:], len(told)][doc])
-    doc, item, begin, size = doc[near], item[near], begin[near], items.count[item[near]]
-    best: dict[tuple[int, int], tuple] = {}
-    covered: dict[tuple[int, int], int] = {}
-    for d, i, at, n in zip(doc.tolist(), item.tolist(), begin.tolist(), size.tolist()):
-        if covered.get((d, i), -1) >= at:  # the last stretch that was looked at holds this window
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for n, (keys, which) in items.short.items():
+        at, posting = _postings(keys, _sequences(letters, n))
+        for a, i in zip(letters.start[at].tolist(), which[posting].tolist()):
+            size = int(items.size[i])
+            d = int(np.searchsorted(letters.low, a, side="right")) - 1
+            if (d, i) not in best and letters.text(a, a + size) == items.norm[i]:
+                best[d, i] = 0, a, a + size
+    found = _collisions(letters, items)
+    limits = [edit_limit(len(x), similarity) for x in items.norm]
+    # Alignments of one text and item that are no further apart than the edits allowed are one stretch.
+    gap = np.array(limits)[found[:, 1]] * 4 + SLACK
+    new = np.r_[True, (found[1:, 0] != found[:-1, 0]) | (found[1:, 1] != found[:-1, 1]) | (found[1:, 2] - found[:-1, 2] > gap[1:])] if len(found) else np.zeros(0, bool)
+    heads = np.flatnonzero(new)
+    tails = np.r_[heads[1:], len(found)] - 1 if len(found) else heads
+    for d, i, first, last in np.c_[found[heads], found[tails, 2]].tolist():
+        if best.get((d, i), (1,))[0] == 0:
             continue
-        slack = n // 4 + 2
-        low, high = max(int(words.first[d]), at - slack), min(int(final[d]), at + n + 2 * slack)
-        covered[d, i] = at + slack
-        text = words.text(low, high)
-        match = best_match(items.norm[i], text, edit_limit(len(items.norm[i]), similarity))
+        size, most = int(items.size[i]), limits[i]
+        slack = -(-most * size // max(1, len(items.norm[i]))) + SLACK  # edits in bytes
+        low, high = max(int(letters.low[d]), first - slack), min(int(letters.high[d]), last + size + slack)
+        text = letters.text(low, high)
+        match = best_match(items.norm[i], text, most)
         if match and ((d, i) not in best or match[0] < best[d, i][0]):
-            best[d, i] = (match[0], low + text.count(" ", 0, match[1]), low + text.count(" ", 0, max(match[1] + 1, match[2])))
-    rows = []
-    for (d, i), (distance, a, b) in sorted(best.items()):
-        start, end, base = int(words.starts[a]), int(words.ends[b]), int(words.offsets[d])
-        points = lambda s, e: int(((words.data[s:e] & 0xC0) != 0x80).sum())
-        at = points(base, start)
-        rows.append((d, int(items.ids[i]), at, at + points(start, end), distance, 1 - distance / len(items.norm[i])))
-    return rows
+            while low > 0 and letters.letters[low] & 0xC0 == 0x80:
+                low -= 1
+            before = len(text[: match[1]].encode())
+            best[d, i] = match[0], low + before, low + before + max(1, len(text[match[1] : match[2]].encode()))
+    return [(d, i, *letters.points(d, a, b), distance, 1 - distance / len(items.norm[i])) for (d, i), (distance, a, b) in sorted(best.items())]
 
 
-def _blocks(items: DataFrame) -> Iterator[tuple[list[int], list[str]]]:
+def _blocks(items: DataFrame) -> Iterator[tuple[list, list[str]]]:
     ids, texts, held = [], [], 0
     for r in items.toLocalIterator():
         ids.append(r["item_id"])
@@ -303,26 +305,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     """One row per document row and benchmark item found in it: doc_id, item_id, start, end, distance, similarity.
 
     start and end are code points of the best match. Null and empty texts and items without words match
-    nothing; repeated rows give repeated rows; empty tables give an empty result. Other columns are
-    ignored. Items of very few words may have no window of their own in any repetition.
+    nothing; an item's id may be null or of any type; repeated rows of either side give repeated rows; empty
+    tables give an empty result. Other columns are ignored. Items of fewer than STEPS letters are sure to be
+    found unchanged, as whole words; with edits only where a window of theirs fits.
     """
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = given.schema["doc_id"].dataType.simpleString()
+    kind, item_kind = (given.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType)
+    schema = f"doc_id {kind}, item_id {item_kind.simpleString()}, start long, end long, distance int, similarity double"
     sc = docs.sparkSession.sparkContext
-    wanted = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id")
-    out = docs.sparkSession.createDataFrame([], f"doc_id {kind}, {_SCHEMA}")
+    wanted = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).filter("text IS NOT NULL").orderBy("item_id", "text")
+    out = docs.sparkSession.createDataFrame([], schema)
+    names = out.columns
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
+    id_type = to_arrow_type(item_kind)
     for ids, texts in _blocks(wanted):
         shared = sc.broadcast(Items(ids, texts))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            known = pa.array(shared.value.ids, id_type)
             for whole in batches:
-                for batch in by_bytes(whole, 1):
-                    columns = list(zip(*find_items(batch.column(1), shared.value, similarity))) or [()] * 6
-                    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
-                    names = [x.split()[0] for x in _SCHEMA.split(", ")]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, t) for c, t in zip(columns[1:], types))], ["doc_id", *names])
+                for batch in by_bytes(whole, 1, SLICE_BYTES):
+                    columns = list(zip(*_found(batch.column(1), shared.value, similarity))) or [()] * 6
+                    doc, item = (pa.array(c, pa.int64()) for c in columns[:2])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), known.take(item), *(pa.array(c, t) for c, t in zip(columns[2:], types))], names)
 
-        out = out.union(given.mapInArrow(find, f"doc_id {kind}, {_SCHEMA}"))
+        out = out.union(given.mapInArrow(find, schema))
     return out
 
 
