@@ -4,12 +4,13 @@ Three patterns give the base spans (assignments, access keys, hexadecimal tokens
 labelled credentials of a kind each, train one probabilistic automaton a kind by state merging: a
 prefix tree of character classes, its states folded in breadth-first order into the first kept state
 whose outgoing frequencies (and, recursively, whose successors') agree within the Hoeffding bound.
-Every candidate token of every text is then scored by its log likelihood per character under each
-automaton against that of ordinary words under a background automaton; tokens that beat the
-threshold, set where all but a small share of the training credentials pass, are added as spans.
+Every candidate token of every text (a run of credential characters, LEAST_FORMAT or more, with a digit and a
+letter) is then scored whole: its log likelihood under each automaton against that of ordinary tokens, which
+must outweigh how much rarer that kind is than tokens are. Such tokens are added as spans.
 
-Training takes at most CREDENTIALS_PER_KIND values a kind and BACKGROUND_WORDS words of
-BACKGROUND_TEXTS texts, the first by hash; the scan covers every candidate of every text.
+Ordinary tokens' statistics, how often each class follows the CONTEXT classes before it, and the numbers of
+tokens and credentials are counted over all tokens of all texts. Only the labelled credentials that make the
+trees are a sample: CREDENTIALS_PER_KIND values a kind, the first by hash, of up to LONGEST characters each.
 """
 
 from __future__ import annotations
@@ -21,12 +22,13 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_bytes, table, thinned
+from .common import by_bytes, stored, table
 
 KINDS = ("assign", "access", "hex")
 ADDED = "format"
@@ -35,15 +37,15 @@ ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
-#: Candidates: runs of credential characters of this length on, with a digit and a letter.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}", re.ASCII)
-CREDENTIALS_PER_KIND = 2000
-BACKGROUND_TEXTS, BACKGROUND_WORDS = 200, 20000
+#: Characters of candidate tokens, and the least length of a candidate.
+TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+RUN, DIGIT = re.compile(r"[A-Za-z0-9+/_=-]*+", re.ASCII), re.compile(r"[0-9]")
+LEAST_FORMAT = 6
+#: Labelled credentials that are learned from: so many a kind, of up to so many characters.
+CREDENTIALS_PER_KIND, LONGEST = 2000, 128
 SLOTS = 20
-#: Hoeffding bound's confidence; share of the training credentials below the threshold.
-ALPHA, BELOW = 0.05, 0.01
-#: Prefix trees are cut at this depth: longer values go on in the last level's state.
-DEPTH = 48
+#: Hoeffding bound's confidence.
+ALPHA = 0.05
 PLACEHOLDER = "[SECRET]"
 
 
@@ -63,6 +65,18 @@ def credentials(text: str) -> Iterator[tuple[str, str]]:
         yield kind, ASSIGN.match(text[start:end])[1] if kind == "assign" else text[start:end]
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the tokens with a digit and a letter, of LEAST_FORMAT characters or more."""
+    at = 0
+    while found := DIGIT.search(text, at):
+        start, end = found.start(), RUN.match(text, found.start()).end()
+        while start > at and text[start - 1] in TOKEN:
+            start -= 1
+        at = end
+        if end - start >= LEAST_FORMAT and any(c.isalpha() for c in text[start:end]):
+            yield start, end
+
+
 def symbol(c: str) -> str:
     """Character class that the automata read: hexadecimal letters of either case stand apart."""
     if c.isdigit():
@@ -75,6 +89,45 @@ def symbol(c: str) -> str:
 
 
 SYMBOLS = 5
+#: Number of each symbol in the background's counts, where 0 stands for the token's start.
+_NUMBER = {s: i for i, s in enumerate("9azZ-", 1)}
+_BY_BYTE = np.zeros(256, np.int16)
+for _c in sorted(TOKEN):
+    _BY_BYTE[ord(_c)] = _NUMBER[symbol(_c)]
+#: Symbols before one that tell its probability in ordinary tokens.
+CONTEXT = 3
+_SIZE = SYMBOLS + 1
+
+
+@dataclass
+class Background:
+    """Ordinary tokens: how often each symbol follows each context, and the number of tokens."""
+
+    counts: np.ndarray = field(default_factory=lambda: np.zeros((_SIZE**CONTEXT, _SIZE), np.int64))
+    tokens: int = 0
+
+    def add(self, data: bytes) -> None:
+        """Counts all tokens of a text's bytes."""
+        code = np.concatenate([np.zeros(CONTEXT, np.int16), _BY_BYTE[np.frombuffer(data, np.uint8)]])
+        now, key = code[CONTEXT:], np.zeros(len(data), np.int16)
+        inside = np.ones(len(data), bool)
+        for k in range(1, CONTEXT + 1):  # a context does not reach beyond its token's start
+            before = code[CONTEXT - k : len(code) - k]
+            inside &= before > 0
+            key += np.where(inside, before, 0) * np.int16(_SIZE ** (k - 1))
+        some = now > 0
+        self.counts += np.bincount(key[some].astype(np.int64) * _SIZE + now[some], minlength=self.counts.size).reshape(self.counts.shape)
+        self.tokens += int((some & (code[CONTEXT - 1 : -1] == 0)).sum())
+
+    def log_likelihood(self, word: str) -> float:
+        """Log probability, smoothed by one count spread over the symbols."""
+        key, out = 0, 0.0
+        for c in word:
+            s = _NUMBER[symbol(c)]
+            row = self.counts[key]
+            out += math.log((row[s] + 1 / SYMBOLS) / (row.sum() + 1))
+            key = (key * _SIZE + s) % _SIZE**CONTEXT
+        return out
 
 
 @dataclass
@@ -89,21 +142,21 @@ class Automaton:
         return self.ended[q] + sum(self.left[q].values())
 
     def log_likelihood(self, word: str) -> float:
-        """Mean log probability per character, smoothed by one count spread over the symbols."""
+        """Log probability, smoothed by one count spread over the symbols."""
         q, out = 0, 0.0
         for c in word:
             s = symbol(c)
             n = self.total(q) if q >= 0 else 0
             out += math.log((((self.left[q].get(s, 0)) if q >= 0 else 0) + 1 / SYMBOLS) / (n + 1))
             q = self.go[q].get(s, -1) if q >= 0 else -1
-        return out / max(1, len(word))
+        return out
 
 
 def prefix_tree(words: list[str]) -> Automaton:
     tree = Automaton()
     for word in words:
         q = 0
-        for c in word[:DEPTH]:
+        for c in word:
             s = symbol(c)
             if s not in tree.go[q]:
                 tree.go[q][s] = len(tree.go)
@@ -167,48 +220,70 @@ def infer(words: list[str], alpha: float = ALPHA) -> Automaton:
 
 @dataclass
 class Formats:
+    """limits: by how much a kind is rarer than tokens are, as a log."""
+
     automata: dict[str, Automaton]
-    background: Automaton
+    background: Background
     limits: dict[str, float]
 
     def score(self, word: str) -> float:
-        """How far the best automaton lies above its threshold; positive: a credential's format."""
+        """How far the likeliest format outweighs an ordinary token; positive: a credential's format."""
         ground = self.background.log_likelihood(word)
         return max((a.log_likelihood(word) - ground - self.limits[k] for k, a in self.automata.items()), default=-math.inf)
 
 
+def _formats(samples: dict[str, list[str]], numbers: dict[str, int], background: Background) -> Formats:
+    automata = {kind: infer(sorted(samples[kind])) for kind in KINDS if samples.get(kind)}
+    return Formats(automata, background, {k: max(0.0, math.log(max(1, background.tokens) / max(1, numbers[k]))) for k in automata})
+
+
 def _fit(samples: dict[str, list[str]], words: list[str]) -> Formats:
-    background = infer(sorted(words))
-    automata, limits = {}, {}
-    for kind in KINDS:
-        if values := sorted(samples.get(kind, [])):
-            automata[kind] = infer(values)
-            ratios = sorted(automata[kind].log_likelihood(v) - background.log_likelihood(v) for v in values)
-            limits[kind] = max(0.25, ratios[int(BELOW * len(ratios))])
-    return Formats(automata, background, limits)
+    """Formats of these credentials against these words."""
+    background = Background()
+    background.add(" ".join(words).encode())
+    return _formats(samples, {k: len(v) for k, v in samples.items()}, background)
 
 
 def train(docs: DataFrame, *, text_col: str = "text") -> Formats:
-    """Automata from the base spans' values of all texts (a bounded sample by hash) and from words."""
+    """Automata from the base spans' values (a bounded sample by hash) and counts of all other tokens.
+
+    Null and empty texts say nothing; without credentials there are no automata; other columns are ignored.
+    """
     frame = docs.select(F.col(text_col).alias("text")).filter("text IS NOT NULL")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Credentials, and at the end the counts of the partition's other tokens."""
+        ground = Background()
         for whole in batches:
             for batch in by_bytes(whole, 0):
-                found = [x for text in batch.column(0).to_pylist() for x in credentials(text)]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], ["kind", "value"])
-
+                found, plain = [], []
+                for text in batch.column(0).to_pylist():
+                    at = 0
+                    for kind, start, end in sorted(base_spans(text), key=lambda x: x[1:]):
+                        found.append((kind, ASSIGN.match(text[start:end])[1] if kind == "assign" else text[start:end]))
+                        plain.append(text[at:start])
+                        at = max(at, end)
+                    plain.append(text[at:])
+                ground.add(" ".join(plain).encode("utf-8", "replace"))
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.string()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.array([ground.counts.ravel().tolist()], pa.list_(pa.int64())), pa.array([ground.tokens], pa.int64())], names)
+
+    names = ["kind", "value", "counts", "tokens"]
+    told = stored(frame.mapInArrow(label, "kind string, value string, counts array<long>, tokens long"))
+    numbers = {r["kind"]: r["n"] for r in told.filter("kind IS NOT NULL").groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    place = F.posexplode("counts").alias("at", "n")
+    background = Background(tokens=told.agg(F.sum("tokens").alias("n")).first()["n"] or 0)
+    for r in told.filter("counts IS NOT NULL").select(place).groupBy("at").agg(F.sum("n").alias("n")).collect():  # one row a place
+        background.counts.flat[r["at"]] = r["n"]
     # The first values by hash in each of SLOTS parts of the hashes: no task ranks all of a kind.
     slot = Window.partitionBy("kind", "slot").orderBy("pick", "value")
-    # Values of labelled credentials longer than the trees are deep train on their first DEPTH characters.
-    values = frame.mapInArrow(label, "kind string, value string").withColumn("value", F.substring("value", 1, DEPTH)).distinct().withColumn("pick", F.xxhash64("value")).withColumn("slot", F.pmod("pick", F.lit(SLOTS)))
+    values = told.filter((F.char_length("value") <= LONGEST)).select("kind", "value").distinct().withColumn("pick", F.xxhash64("value")).withColumn("slot", F.pmod("pick", F.lit(SLOTS)))
     chosen = values.withColumn("rank", F.row_number().over(slot)).filter(F.col("rank") <= CREDENTIALS_PER_KIND // SLOTS).select("kind", "value").collect()
     samples: dict[str, list[str]] = defaultdict(list)
     for r in chosen:
         samples[r["kind"]].append(r["value"])
-    texts = thinned(frame, F.xxhash64("text"), BACKGROUND_TEXTS).orderBy(F.xxhash64("text"), "text").limit(BACKGROUND_TEXTS).select(F.explode(F.array_distinct(F.split("text", r"[^\p{L}]+"))).alias("word"))
-    words = texts.filter("word <> ''").distinct().orderBy(F.xxhash64("word")).limit(BACKGROUND_WORDS).collect()
-    return _fit(samples, [r["word"] for r in words])
+    return _formats(samples, numbers, background)
 
 
 def find_spans(text: str | None, formats: Formats | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -219,12 +294,11 @@ def find_spans(text: str | None, formats: Formats | None) -> tuple[list[tuple[st
     added = []
     if formats and formats.automata:
         taken, k, reach = sorted((s, e) for _, s, e in base), 0, 0
-        for m in CANDIDATE.finditer(text):
-            while k < len(taken) and taken[k][0] < m.end():
+        for start, end in candidates(text):
+            while k < len(taken) and taken[k][0] < end:
                 reach, k = max(reach, taken[k][1]), k + 1
-            word = m[0]
-            if reach <= m.start() and any(c.isdigit() for c in word) and any(c.isalpha() for c in word) and formats.score(word) > 0:
-                added.append((ADDED, m.start(), m.end()))
+            if reach <= start and formats.score(text[start:end]) > 0:
+                added.append((ADDED, start, end))
     return base, added
 
 
@@ -260,7 +334,11 @@ def scan(docs: DataFrame, formats: Formats | None = None, *, id_col: str = "doc_
 
 
 def redact(docs: DataFrame, formats: Formats | None = None, *, text_col: str = "text", placeholder: str = PLACEHOLDER) -> DataFrame:
-    """docs with every span's text replaced by the placeholder; other columns and null texts unchanged."""
+    """docs with every span's text replaced by the placeholder.
+
+    Null and empty texts, other columns and their order are unchanged; repeated rows give repeated rows; an
+    empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(formats)
 
     def clean(text: str | None) -> str | None:

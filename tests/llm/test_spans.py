@@ -1,6 +1,7 @@
 """Secrets and personal data against plain scans; automata."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -53,6 +54,82 @@ def test_automata_tell_formats_apart(spark):
     assert clean == {1: "see [SECRET] and an ordinary sentence", 2: "[SECRET], kept"}
 
 
+def merged_plainly(words, alpha):
+    """State merging restated on sets of prefixes: a state is the set of prefixes that lead to it."""
+    coded = ["".join(map(secrets.symbol, w)) for w in words]
+    blocks = {p: p for w in coded for p in (w[:i] for i in range(len(w) + 1))}  # prefix -> its state's name
+
+    def futures(name):
+        inside = [p for p, n in blocks.items() if n == name]
+        ended = sum(w == p for p in inside for w in coded)
+        left = {}
+        for p in inside:
+            for w in coded:
+                if w.startswith(p) and len(w) > len(p):
+                    left[w[len(p)]] = left.get(w[len(p)], 0) + 1
+        return ended, left, {s: next(blocks[p + s] for p in inside if p + s in blocks) for s in left}
+
+    def alike(p, q, seen):
+        if p == q or (p, q) in seen:
+            return True
+        seen.add((p, q))
+        (e, left, go), (f, other, went) = futures(p), futures(q)
+        n, m = e + sum(left.values()), f + sum(other.values())
+        if not n or not m:
+            return True
+        bound = math.sqrt(0.5 * math.log(2 / alpha)) * (n**-0.5 + m**-0.5)
+        if abs(e / n - f / m) > bound or any(abs(left.get(s, 0) / n - other.get(s, 0) / m) > bound for s in {*left, *other}):
+            return False
+        return all(alike(go[s], went[s], seen) for s in go if s in went)
+
+    def fold(p, q):
+        if p == q:
+            return
+        go, went = futures(p)[2], futures(q)[2]
+        for k in [k for k, n in blocks.items() if n == q]:
+            blocks[k] = p
+        for s in go:
+            if s in went:
+                fold(blocks[go[s]], blocks[went[s]])
+
+    kept = [""]
+    while True:
+        edge = next(((p, s) for p in kept for s in sorted(futures(p)[2]) if futures(p)[2][s] not in kept), None)
+        if edge is None:
+            return [futures(p)[:2] for p in kept]
+        q = futures(edge[0])[2][edge[1]]
+        into = next((r for r in kept if alike(r, q, set())), None)
+        if into is None:
+            kept.append(q)
+        else:
+            fold(into, q)
+
+
+def test_merging_by_prefix_sets():
+    rng = random.Random(5)
+    for alpha in (0.05, 0.9):
+        for _ in range(12):
+            words = ["".join(rng.choice(rng.choice(["ag", "9G", "a9-"])) for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(1, 30))]
+            got = secrets.infer(sorted(words), alpha)
+            assert [(got.ended[q], got.left[q]) for q in range(len(got.go))] == merged_plainly(sorted(words), alpha)
+            assert sum(got.ended) == len(words)
+
+
+def test_background_counts_every_token():
+    rng = random.Random(8)
+    text = "".join(rng.choice("ab9Z-+ é.\n") for _ in range(3000))
+    ground, want, tokens = secrets.Background(), {}, re.findall(r"[A-Za-z0-9+/_=-]+", text)
+    ground.add(text.encode())
+    for w in tokens:
+        codes = [0, 0, 0] + [secrets._NUMBER[secrets.symbol(c)] for c in w]
+        for i in range(3, len(codes)):
+            key = (codes[i - 3] * 36 + codes[i - 2] * 6 + codes[i - 1], codes[i])
+            want[key] = want.get(key, 0) + 1
+    assert ground.tokens == len(tokens) and {(int(a), int(b)): int(ground.counts[a, b]) for a, b in zip(*ground.counts.nonzero())} == want
+    plain = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text) if len(m[0]) >= 6 and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    assert list(secrets.candidates(text)) == plain
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
