@@ -4,27 +4,29 @@ A 64-bit fingerprint is eight positional bytes. Two fingerprints that differ in
 share at least 5 positional bytes, so a pair must be tallied at 5 or more to be verified. Postings
 of single bytes would hold 1/256 of all fingerprints each; the index therefore keeps the postings of
 four bytes at once. The 14 blocks of the Steiner system S(3, 4, 8) are enough: whichever three bytes
-differ lie in one block, and its complement, again a block, is shared whole. Each candidate pair
-starts from a shared block, the tally counts all its shared bytes, and survivors are verified.
+differ lie in one block, and its complement, again a block, is shared whole. Of the pairs of a posting
+list, which share four bytes, the tally over all eight keeps those that share a fifth; these are verified
+by their differing bits. A long list is tallied by the index too: it is dealt again by each of its other
+bytes, so that only fingerprints with a fifth byte in common meet.
 
 Equal fingerprints are one entry. Within a posting list only a spanning forest of the verified
-links leaves the task, which joins the same fingerprints as all its pairs would; long lists are dealt
-to cells of bounded size, one for each pair of parts, so neither a task nor a list is unbounded.
+links leaves the task, which joins the same fingerprints as all its pairs would; lists that are long
+even so are dealt to cells of bounded size, one for each pair of parts, so no task is unbounded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_bytes, cut, table
-from .components import connected_components
+from ..functions.graph import connected_components
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
@@ -70,22 +72,27 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what all verified pairs of these fingerprints join."""
-    x = fps[:, None] ^ fps[None, :]
-    shared = (x.view(np.uint8).reshape(len(fps), len(fps), 8) == 0).sum(axis=2)
-    near = (shared >= LEAST_SHARED) & (np.bitwise_count(x) <= MOST_BITS)
+    bytes_ = fps.view(np.uint8).reshape(len(fps), 8)
+    tally = np.zeros((len(fps), len(fps)), np.uint8)
+    for k in range(8):
+        tally += bytes_[:, None, k] == bytes_[None, :, k]
+    i, j = np.nonzero(np.triu(tally >= LEAST_SHARED, 1))
+    near = np.bitwise_count(fps[i] ^ fps[j]) <= MOST_BITS
+    i, j = i[near], j[near]
     label = np.arange(len(fps))
     while True:
-        least = np.where(near, label[None, :], len(fps)).min(axis=1)
-        least = np.minimum(least, least[least])
-        if (least == label).all():
+        before = label.copy()
+        np.minimum.at(label, i, label[j])
+        np.minimum.at(label, j, label[i])
+        label = label[label]
+        if (label == before).all():
             break
-        label = least
     linked = np.flatnonzero(label != np.arange(len(fps)))
     return fps[linked], fps[label[linked]]
 
 
 def _link_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, key, i, j, fp) sorted by cell -> forest links (a, b) of each cell."""
+    """Rows (list, key, i, j, fp) sorted by cell -> forest links (a, b) of each cell."""
     held: tuple | None = None
     parts: list[np.ndarray] = []
 
@@ -107,25 +114,35 @@ def _link_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(np.concatenate(parts))
 
 
+def _key(positions: Sequence[int]) -> Column:
+    """Those bytes of fp as one number."""
+    value = F.lit(0).cast("long")
+    for k in positions:
+        value = value * 256 + F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255).cast("long"))
+    return value
+
+
 def near_links(fps: DataFrame, part: int = PART) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (a, b) that join all fingerprints at 3 or fewer bits."""
-    byte = [F.shiftrightunsigned("fp", 8 * k).bitwiseAND(F.lit(255).cast("long")) for k in range(8)]
-    keys = []
-    for no, block in enumerate(BLOCKS):
-        value = F.lit(0).cast("long")
-        for k in block:
-            value = value * 256 + byte[k]
-        keys.append(F.struct(F.lit(no).alias("block"), value.alias("key")))
+    """Distinct fingerprints (fp) -> links (a, b) that join all fingerprints at 3 or fewer bits.
+
+    A list is a block, or for long ones a block and a fifth byte: 8 * block + position, beyond all blocks.
+    """
+    keys = [F.struct(F.lit(no).alias("list"), _key(block).alias("key")) for no, block in enumerate(BLOCKS)]
     postings = fps.select("fp", F.inline(F.array(*keys)))
-    lengths = postings.groupBy("block", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    lengths = postings.groupBy("list", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    listed = cut(postings.join(lengths, ["list", "key"]))
+    fifth = [F.struct(F.lit(8 * (no + 2) + k).alias("list"), _key((*block, k)).alias("key")) for no, block in enumerate(BLOCKS) for k in range(8) if k not in block]
+    of_block = F.filter(F.array(*fifth), lambda x: F.call_function("div", x["list"], F.lit(8)) == F.col("list") + 2)
+    long = listed.filter(F.col("n") > part).select("fp", F.inline(of_block))
+    again = long.join(long.groupBy("list", "key").agg(F.count("*").alias("n")).filter("n > 1"), ["list", "key"])
     cells = (
-        postings.join(lengths, ["block", "key"])
+        listed.filter(F.col("n") <= part).unionByName(again)
         .withColumn("parts", F.ceil(F.col("n") / part).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("block", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    )
-    dealt = cells.repartition("block", "key", "i", "j").sortWithinPartitions("block", "key", "i", "j")
+        .select("list", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    )
+    dealt = cells.repartition("list", "key", "i", "j").sortWithinPartitions("list", "key", "i", "j")
     return dealt.mapInArrow(_link_cells, "a long, b long")
 
 
