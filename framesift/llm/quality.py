@@ -5,9 +5,13 @@ and in those of the lines before and after it; a two-by-two table couples neighb
 document's quality is the mean of its lines' marginal probabilities of being good, by the
 forward-backward recursions, weighted by the lines' lengths.
 
-Training: the lines of at most TRAIN_DOCS labelled documents (the first by a hash of the id) carry
-their document's label; the conditional likelihood with an L2 term is climbed on the driver, whose
-data are those documents' line statistics only. Scoring is one pass over all texts without shuffle.
+Training: labels are known of documents, not of lines, so the lines' labels are learned with the field
+(hard expectation maximisation). Lines begin with their document's label, and a first fit reads each line
+alone, as whole chains of one label would say only that labels repeat; after each fit, the lines whose
+marginals speak most clearly against their document's label change sides, for as long as their document's length-weighted share of
+good lines still agrees with its label. Learned from are at most TRAIN_DOCS labelled documents of up to
+TRAIN_BYTES each (the first by a hash of the id); the conditional likelihood with an L2 term is climbed on the
+driver, whose data are those documents' line statistics only. Scoring is one pass over all texts without shuffle.
 """
 
 from __future__ import annotations
@@ -23,9 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, crc_fold, table, thinned
 
-TRAIN_DOCS = 4000
-STEPS, RATE, RIDGE = 200, 0.1, 1e-3
+#: Labelled documents that are learned from: so many, of up to so many bytes.
+TRAIN_DOCS, TRAIN_BYTES = 4000, 1 << 18
+STEPS, RATE, RIDGE = 120, 0.1, 1e-3
 GOOD_FROM = 0.7
+#: Times that lines are labelled anew; a good document keeps this share of good lines at least, a bad one
+#: has at most that; a line changes sides if its marginal is this far on the other side.
+ROUNDS, GOOD_SHARE, BAD_SHARE, CLEAR = 2, 0.85, 0.4, 0.6
 #: Byte classes counted in each line.
 _CLASSES = (
     ("lower", b"abcdefghijklmnopqrstuvwxyz"),
@@ -141,21 +149,51 @@ class Chain:
         return np.clip(np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first), 0, 1)
 
 
-def fit(features: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Chain:
-    """Adam steps on the conditional log likelihood; labels: each text's, carried by its lines."""
+def relabelled(good: np.ndarray, weight: np.ndarray, first: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Lines' labels from their marginals: their document's, but for the clearest lines of the other label,
+    as far as the document's share of good lines allows."""
+    of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(good)]))
+    own = labels[of].astype(float)
+    against = np.where(own == 1, 1 - good, good)
+    by = np.lexsort((np.arange(len(good)), -against, of))
+    share = weight[by] / np.add.reduceat(weight, first)[of[by]]
+    total = np.cumsum(share)
+    moved = total - np.repeat(total[first] - share[first], np.diff(np.r_[first, len(good)]))
+    room = np.where(own[by] == 1, 1 - GOOD_SHARE, BAD_SHARE)
+    turned = by[(against[by] >= CLEAR) & (moved <= room)]
+    own[turned] = 1 - own[turned]
+    return own
+
+
+def fit(features: np.ndarray, weight: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Chain:
+    """Field of documents with a label each: fits in turn with labelling their lines."""
     x = with_neighbours(features, first)
-    counts = np.diff(np.r_[first, len(x)])
-    y = np.repeat(labels, counts).astype(float)
+    y = np.repeat(labels, np.diff(np.r_[first, len(x)])).astype(float)
+    size = x.shape[1]
+    alone = np.r_[np.arange(size) < features.shape[1], np.zeros(4, bool)]
+    alone[size - 1] = True
+    chain = climbed(x, first, y, Chain(np.zeros(size), np.zeros((2, 2))), alone)
+    for _ in range(ROUNDS):
+        y = relabelled(chain.marginals(x, first)[0], weight, first, labels)
+        chain = climbed(x, first, y, chain, np.ones(size + 4, bool))
+    return chain
+
+
+def climbed(x: np.ndarray, first: np.ndarray, y: np.ndarray, chain: Chain, free: np.ndarray) -> Chain:
+    """Adam steps on the conditional log likelihood of the lines' labels y, by the free parameters."""
     seen = np.zeros((2, 2))
-    for label in (0, 1):
-        seen[label, label] = (counts[labels == label] - 1).sum()
-    chain = Chain(np.zeros(x.shape[1]), np.zeros((2, 2)))
+    inner = np.ones(len(y), bool)
+    inner[first] = False
+    i = np.flatnonzero(inner)
+    np.add.at(seen, (y[i - 1].astype(int), y[i].astype(int)), 1)
     size = x.shape[1]
     m, v = np.zeros(size + 4), np.zeros(size + 4)
+    chain = Chain(chain.weights, chain.couple)
     for step in range(1, STEPS + 1):
         good, pairs = chain.marginals(x, first)
         gradient = np.concatenate([x.T @ (y - good), (seen - pairs).ravel()]) / len(first)
         gradient -= RIDGE * np.concatenate([chain.weights, chain.couple.ravel()])
+        gradient *= free
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         chain.weights = chain.weights + move[:size]
@@ -164,26 +202,32 @@ def fit(features: np.ndarray, first: np.ndarray, labels: np.ndarray) -> Chain:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCS) -> Chain:
-    """Field of the labelled documents; without any, every line is good at one half."""
+    """Field of the labelled documents; without any, every line is good at one half.
+
+    Labels that are null or neither 0 nor 1, null ids, and labelled texts over TRAIN_BYTES say nothing; a null
+    text is one empty line; rows that repeat a label count each; other columns are ignored.
+    """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
     sample = thinned(marks, F.xxhash64("id"), most).orderBy(F.xxhash64("id"), "id", "label").limit(most)
     # `most` rows at most: the hint's bound.
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("label", "text")
+    picked = picked.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, 1):
-                features, _, first = line_statistics(batch.column(1))
-                each = np.split(features, first[1:])
+                features, weight, first = line_statistics(batch.column(1))
+                each = np.split(np.c_[features, weight], first[1:])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.astype("<f4").tobytes() for f in each], pa.binary())], ["label", "features"])
 
     rows = picked.mapInArrow(measure, "label int, features binary").collect()
     if not rows:
         return Chain(np.zeros(3 * FEATURES + 3), np.zeros((2, 2)))
     rows.sort(key=lambda r: (r["label"], bytes(r["features"])))
-    each = [np.frombuffer(r["features"], "<f4").reshape(-1, FEATURES).astype(float) for r in rows]
+    each = [np.frombuffer(r["features"], "<f4").reshape(-1, FEATURES + 1).astype(float) for r in rows]
     first = np.concatenate([[0], np.cumsum([len(f) for f in each])[:-1]])
-    return fit(np.concatenate(each), first, np.array([r["label"] for r in rows]))
+    lines = np.concatenate(each)
+    return fit(lines[:, :-1], lines[:, -1], first, np.array([r["label"] for r in rows]))
 
 
 def score(docs: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: str = "text", good_from: float = GOOD_FROM) -> DataFrame:

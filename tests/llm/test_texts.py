@@ -147,6 +147,27 @@ def test_chain_marginals_by_enumeration():
     assert np.allclose(good, expected) and np.allclose(pairs, joint)
 
 
+def test_lines_may_differ_from_their_document():
+    """Good lines inside bad documents are told apart, though only documents are labelled."""
+    rng = np.random.default_rng(2)
+    features, first, labels, truth = [], [], [], []
+    for d in range(300):
+        good = d % 2
+        own = np.array([good] * 10)
+        if not good:
+            own[rng.choice(10, 3, replace=False)] = 1
+        first.append(len(truth))
+        labels.append(good)
+        truth += own.tolist()
+        features += [rng.normal(1.5 if g else -1.5, 0.7, 2) for g in own]
+    features, first, labels, truth = np.array(features), np.array(first), np.array(labels), np.array(truth)
+    chain = quality.fit(features, np.ones(len(features)), first, labels)
+    told, _ = chain.marginals(quality.with_neighbours(features, first), first)
+    assert ((told > 0.5) == truth).mean() > 0.95
+    share = np.add.reduceat(told, first) / 10
+    assert ((share >= quality.GOOD_FROM) == labels).mean() > 0.97
+
+
 def test_language_on_held_out(spark):
     big = "/root/testdata/sf0.01"
     got = langid.op8_language_id(spark, big).join(spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out")
