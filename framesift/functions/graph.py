@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; set one only where none is configured (tests)."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framesift-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from .checkpoint import cut
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -40,9 +27,9 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         edges = cut(small.select("b", "m").union(small.select("a", "m")).toDF("a", "b").filter("a <> b").distinct())
-        heads = edges.groupBy("a").agg(F.count("*").alias("n"))
-        chained = edges.join(heads.select(F.col("a").alias("head")), F.col("b") == F.col("head"), "left_semi")
-        if heads.filter("n > 1").isEmpty() and chained.isEmpty():
+        # Settled if no node has two links down, and none that links down is linked to.
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 OR (down > 0 AND up > 0)").isEmpty():
             break
     else:
         raise RuntimeError(f"components not settled after {most_rounds} rounds")
