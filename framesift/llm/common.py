@@ -2,60 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.checkpoint import cut, ensure_checkpoint_dir, release, remove, shared_folder, stored
+
+__all__ = ["SPACES", "SPACE_RUN", "by_bytes", "crc_fold", "cut", "ensure_checkpoint_dir", "release", "remove", "shared_folder", "small", "stored", "table", "thinned", "word_count"]
+
 #: Word separators: space and the ASCII controls tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; set one only where none is configured (tests)."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framesift-"))
-
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that lost executors cost no recomputation.
-
-    The shuffle files that led to it are of no more use and go at once, rather than with the driver's
-    next collection of garbage. Spark reads that setting as a frame is made, hence the select.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Like cut, but a Parquet table in the shared folder: for frames of many narrow rows, whose
-    checkpoint would hold each column of each row in eight bytes and more."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    at = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.select("*").write.option("compression", "zstd").parquet(at)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 #: Rows up to which a table made on the driver is broadcast; beyond, joins shuffle and AQE splits skew.
 MOST_BROADCAST = 10_000
 
@@ -77,11 +39,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words_array(text: Column) -> Column:
-    """Words as maximal runs without SPACES; null text has none. [''] never occurs: see word_count."""
-    return F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES)), SPACE_RUN)
-
-
 def word_count(text: Column) -> Column:
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE_RUN))).cast("long")
@@ -95,8 +52,6 @@ def crc_fold(key: Column, folds: int) -> Column:
 def by_bytes(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch with at most `most` bytes in one string column, at least a row each."""
     lengths = batch.column(column).cast(pa.large_binary()).fill_null(b"")
-    import pyarrow.compute as pc
-
     sizes = pc.binary_length(lengths).to_numpy(zero_copy_only=False)
     start = held = 0
     for i, n in enumerate(sizes):

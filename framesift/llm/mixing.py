@@ -2,8 +2,8 @@
 
 Each source's documents are dealt to shards by a seeded hash and laid end to end inside a shard in
 seeded order; the layout is cut into blocks of `block_words` words. Sainte-Lague's highest quotients
-turn the sources' targets into whole numbers of blocks, and each source's blocks into a quota per
-shard. A shard's quota is met by whole passes over its blocks plus a seeded, evenly spread choice of
+turn the sources' targets into whole numbers of blocks, each source's blocks into quotas of groups of
+GROUP_SHARDS shards, and a group's into one per shard. A shard's quota is met by whole passes over its blocks plus a seeded, evenly spread choice of
 the rest; how many of the first i blocks are chosen is a closed formula, so no block is ever a row.
 """
 
@@ -24,6 +24,8 @@ from .common import cut, table, word_count
 SEED = 20
 BLOCK_WORDS = 16
 SHARD_WORDS = 1_000_000
+#: Shards whose quotas one task shares out.
+GROUP_SHARDS = 1024
 #: Repeated over the sources in order.
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
@@ -94,16 +96,18 @@ def mix_sources(
     seed: int = SEED,
     block_words: int = BLOCK_WORDS,
     shard_words: int = SHARD_WORDS,
+    group_shards: int = GROUP_SHARDS,
 ) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken.
 
     Null text has size 0 and is never taken; a null source is a source of its own, ordered last;
-    repeated rows are laid out one after the other; an empty table gives an empty result. Other
+    rows that repeat an id are dealt by their sizes too, so that they don't share one shard, and those that
+    repeat both are laid out one after the other; an empty table gives an empty result. Other
     columns of the input are ignored, whatever their names. The driver holds one row per source.
     """
     spark = docs.sparkSession
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key")))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    sized = cut(sized.withColumn("key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size")).collect()
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["source_size"] for r in totals]
@@ -122,19 +126,32 @@ def mix_sources(
         (F.conv(F.substring("key", 1, 7), 16, 10).cast("long") % F.col("shards")).cast("int").alias("shard"),
     )
 
-    def share_out(group: pd.DataFrame) -> pd.DataFrame:
-        """Quotas of one source's shards: a row for each shard_words words of it."""
-        group = group.sort_values("shard")
-        n = [max(1, -(-int(x) // block_words)) for x in group.words]
-        got = sainte_lague([float(x) for x in group.words], [MOST_PASSES * x for x in n], int(group.quota.iloc[0]))
+    def apportion(parts: pd.DataFrame) -> list[int]:
+        """Blocks of one quota for parts in order, by their words, up to MOST_PASSES times their blocks."""
+        return sainte_lague([float(x) for x in parts.words], [MOST_PASSES * int(x) for x in parts.blocks], int(parts.quota.iloc[0]))
+
+    def to_groups(parts: pd.DataFrame) -> pd.DataFrame:
+        """Quotas of one source's groups: a row for each group_shards * shard_words words of it."""
+        parts = parts.sort_values("group")
+        return pd.DataFrame({"source_no": parts.source_no.to_numpy(), "group": parts.group.to_numpy(), "quota": apportion(parts)})
+
+    def to_shards(parts: pd.DataFrame) -> pd.DataFrame:
+        """Quotas of one group's shards."""
+        parts = parts.sort_values("shard")
+        n, got = [int(x) for x in parts.blocks], apportion(parts)
         return pd.DataFrame({
-            "source_no": group.source_no.to_numpy(), "shard": group.shard.to_numpy(), "blocks": n,
+            "source_no": parts.source_no.to_numpy(), "shard": parts.shard.to_numpy(), "blocks": n,
             "passes": [q // m for q, m in zip(got, n)], "rest": [q % m for q, m in zip(got, n)],
-            "start": [_offset(seed, int(s), int(h), m) for s, h, m in zip(group.source_no, group.shard, n)],
+            "start": [_offset(seed, int(s), int(h), m) for s, h, m in zip(parts.source_no, parts.shard, n)],
         })
 
     cells = dealt.groupBy("source_no", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
-    cells = cut(cells.groupBy("source_no").applyInPandas(share_out, "source_no int, shard int, blocks long, passes long, rest long, start long"))
+    of = F.call_function("div", F.col("shard"), F.lit(group_shards)).cast("int")
+    cells = cut(cells.select("source_no", "shard", "words", "quota", of.alias("group"), F.greatest(F.lit(1), F.ceil(F.col("words") / block_words)).cast("long").alias("blocks")))
+    groups = cells.groupBy("source_no", "group").agg(F.sum("words").alias("words"), F.sum("blocks").alias("blocks"), F.first("quota").alias("quota"))
+    groups = groups.groupBy("source_no").applyInPandas(to_groups, "source_no int, group int, quota long")
+    shared = cells.drop("quota").join(groups, ["source_no", "group"])
+    cells = cut(shared.groupBy("source_no", "group").applyInPandas(to_shards, "source_no int, shard int, blocks long, passes long, rest long, start long"))
     order = Window.partitionBy("source_no", "shard").orderBy("key", "doc_id", "size")
     laid = dealt.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     rows = laid.join(cells, ["source_no", "shard"])
@@ -149,7 +166,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same mix, its quotients ranked one by one.
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')) AS BIGINT) AS size,
-    md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+    md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size) AS key FROM documents),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM d GROUP BY source),
 w AS (SELECT *, ({list(WEIGHTS)})[no % {len(WEIGHTS)} + 1] AS w, {MOST_PASSES} * source_size AS most, greatest(1, (source_size + {SHARD_WORDS - 1}) // {SHARD_WORDS}) AS shards FROM t),
 o AS (SELECT *, sum(source_size) OVER () AS total, sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
@@ -162,7 +179,11 @@ r AS (SELECT no, row_number() OVER (ORDER BY quotient DESC, no) AS place FROM q)
 n AS (SELECT g.no, count(r.no) AS quota FROM g LEFT JOIN r ON r.no = g.no AND place <= (total + {BLOCK_WORDS // 2}) // {BLOCK_WORDS} GROUP BY g.no),
 dealt AS (SELECT d.doc_id, d.size, d.key, g.no, g.source_size, g.target, n.quota, CAST('0x' || substr(d.key, 1, 7) AS BIGINT) % g.shards AS shard FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source JOIN n USING (no)),
 cells AS (SELECT no, shard, CAST(sum(size) AS BIGINT) AS words, any_value(quota) AS quota, greatest(1, (CAST(sum(size) AS BIGINT) + {BLOCK_WORDS - 1}) // {BLOCK_WORDS}) AS blocks FROM dealt GROUP BY no, shard),
-cq AS (SELECT no, shard, quota, row_number() OVER (PARTITION BY no ORDER BY CAST(words AS DOUBLE) / (2 * k + 1) DESC, shard) AS place FROM cells, range({MOST_PASSES} * blocks) r(k) WHERE words > 0),
+gs AS (SELECT no, shard // {GROUP_SHARDS} AS grp, CAST(sum(words) AS BIGINT) AS words, CAST(sum(blocks) AS BIGINT) AS blocks, any_value(quota) AS quota FROM cells GROUP BY no, grp),
+gq AS (SELECT no, grp, quota, row_number() OVER (PARTITION BY no ORDER BY CAST(words AS DOUBLE) / (2 * k + 1) DESC, grp) AS place FROM gs, range({MOST_PASSES} * blocks) r(k) WHERE words > 0),
+gn AS (SELECT no, grp, count(*) AS got FROM gq WHERE place <= quota GROUP BY no, grp),
+cq AS (SELECT cells.no, shard, got AS quota, row_number() OVER (PARTITION BY cells.no, grp ORDER BY CAST(words AS DOUBLE) / (2 * k + 1) DESC, shard) AS place
+    FROM cells JOIN gn ON gn.no = cells.no AND grp = shard // {GROUP_SHARDS}, range({MOST_PASSES} * blocks) r(k) WHERE words > 0),
 cn AS (SELECT no, shard, count(*) AS got FROM cq WHERE place <= quota GROUP BY no, shard),
 plan AS (SELECT no, shard, blocks, coalesce(got, 0) // blocks AS passes, coalesce(got, 0) % blocks AS rest, CAST('0x' || substr(md5('{SEED}:' || no || ':' || shard), 1, 7) AS BIGINT) % blocks AS start FROM cells LEFT JOIN cn USING (no, shard)),
 laid AS (SELECT *, CAST(sum(size) OVER (PARTITION BY no, shard ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS x1 FROM dealt),
