@@ -118,11 +118,13 @@ class KneserNey:
 
 def _estimate(rows: list[tuple[str, str, int]]) -> KneserNey:
     """Interpolated Kneser-Ney from counts of full n-grams (language, n-gram of ORDER symbols, count)."""
-    languages = sorted({r[0] for r in rows})
+    full: dict[str, dict[str, int]] = {}
+    for language, gram, n in rows:
+        full.setdefault(language, {})[gram] = n
+    languages = sorted(full)
     tables: list[list[dict[str, float]]] = []
     for language in languages:
-        counts: list[dict[str, int]] = [{} for _ in range(ORDER + 1)]
-        counts[ORDER] = {g: n for lang, g, n in rows if lang == language}
+        counts: list[dict[str, int]] = [{} for _ in range(ORDER)] + [full[language]]
         for order in range(ORDER - 1, 0, -1):  # continuation counts: how many different symbols stand before
             for g in counts[order + 1]:
                 counts[order][g[1:]] = counts[order].get(g[1:], 0) + 1
@@ -182,7 +184,11 @@ def _labelled(docs: DataFrame, per_language: int) -> DataFrame:
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = DOCS_PER_LANGUAGE) -> KneserNey | None:
-    """Model of the labelled texts of docs; None if there are none with letters."""
+    """Model of the labelled texts of docs; None if there are none with letters.
+
+    Null languages and null texts say nothing, empty ones add nothing; rows that repeat count each, up to the
+    sample's bound; other columns are ignored.
+    """
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sample = _labelled(named, per_language).withColumn("calibrates", F.pmod("pick", F.lit(CALIBRATE_EVERY)) == 0).select("lang", "text", "calibrates").persist()
 
@@ -206,6 +212,10 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         return None
     model = _estimate([tuple(r) for r in rows])
     held = _entropies(sample.filter("calibrates").select("lang", "text"), model).collect()
+    # A language none of whose texts were held back is calibrated by those that trained it.
+    bare = sorted(set(model.languages) - {r["lang"] for r in held if r["symbols"]})
+    if bare:
+        held += _entropies(sample.filter(F.col("lang").isin(bare) & ~F.col("calibrates")).select("lang", "text"), model).collect()
     sample.unpersist()
     k = len(model.languages)
     model.limits = np.full(k, np.inf)
@@ -276,7 +286,11 @@ def identify(docs: DataFrame, model: KneserNey | None, *, id_col: str = "doc_id"
 
 
 def accepted(docs: DataFrame, model: KneserNey | None, *, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text the model accepts, all columns unchanged; texts do not leave the JVM twice."""
+    """The rows of docs whose text the model accepts, all columns unchanged; texts do not leave the JVM twice.
+
+    Null texts and texts without a letter go, and all rows without a model; repeated rows share their fate; an
+    empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("boolean")

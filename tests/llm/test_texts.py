@@ -185,6 +185,48 @@ def test_model_sums_to_one():
         assert np.allclose(p.sum(axis=0) + rest[0], 1)
 
 
+def test_entropies_by_the_definition():
+    """Interpolated Kneser-Ney restated by recursion, letter by letter."""
+    rng = random.Random(3)
+    order, start, end = langid.ORDER, langid._START, langid._END
+    samples = {k: ["".join(rng.choice(a) for _ in range(rng.randint(1, 7))) for _ in range(60)] for k, a in (("a", "aabcé"), ("b", "bcdd"), ("c", "xyzab"))}
+    counts = {k: Counter(p[i : i + order] for w in ws for p in [start * (order - 1) + w + end] for i in range(len(w) + 1)) for k, ws in samples.items()}
+    symbols = len({g[-1] for c in counts.values() for g in c}) + 1
+
+    def tables(full):
+        out = {order: full}
+        for n in range(order - 1, 0, -1):
+            out[n] = Counter(g[1:] for g in out[n + 1])
+        return out
+
+    def chance(grams, context, letter):
+        n = len(context) + 1
+        lower = chance(grams, context[1:], letter) if n > 1 else 1 / symbols
+        after = {g: k for g, k in grams[n].items() if g[:-1] == context}
+        if not after:
+            return lower
+        ones, twos = (sum(k == x for k in grams[n].values()) for x in (1, 2))
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        return (max(after.get(context + letter, 0) - d, 0) + d * len(after) * lower) / sum(after.values())
+
+    model = langid._estimate([(k, g, n) for k, c in counts.items() for g, n in c.items()])
+    texts = ["abc dd", "xyz q éa", "zzzz bcd", "A-b c", "", None, "12"]
+    got, n = model.texts(pa.array(texts))
+    for i, text in enumerate(texts):
+        words = [re.sub(r"[^\w]|[0-9_]", "", w) for w in (text or "").lower().split()]
+        pairs = [(p[j : j + order - 1], p[j + order - 1]) for w in words if w for p in [start * (order - 1) + w + end] for j in range(len(w) + 1)]
+        assert n[i] == len(pairs)
+        for k, language in enumerate(model.languages):
+            want = -sum(np.log(chance(tables(counts[language]), c, x)) for c, x in pairs) / max(1, len(pairs))
+            assert np.isclose(got[i, k], want), (text, language)
+
+
+def test_language_without_calibration(spark):
+    rows = [(i, "the house and the garden", "en") for i in range(40)] + [(100, "das haus und der garten", "de")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert np.isfinite(model.limits).all()
+
+
 def test_token_sections_add_up(docs, spark):
     rows = docs.select("doc_id", "text").collect()
     encoding, lengths = tokens.encoder(open(tokens.VOCABULARY, "rb").read())
@@ -224,9 +266,9 @@ def test_targets_are_filled():
 
 
 def test_mix(spark, docs):
-    for shard_words in (mixing.SHARD_WORDS, 700):
-        rows = mixing.mix_sources(docs, shard_words=shard_words).collect()
-        assert sorted(rows) == sorted(mixing.mix_sources(docs.repartition(5), shard_words=shard_words).collect())
+    for shard_words, group_shards in ((mixing.SHARD_WORDS, mixing.GROUP_SHARDS), (700, 1024), (700, 3)):
+        rows = mixing.mix_sources(docs, shard_words=shard_words, group_shards=group_shards).collect()
+        assert sorted(rows) == sorted(mixing.mix_sources(docs.repartition(5), shard_words=shard_words, group_shards=group_shards).collect())
         source = {r.doc_id: r.source for r in docs.collect()}
         taken = Counter()
         for r in rows:
