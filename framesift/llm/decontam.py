@@ -23,10 +23,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -36,8 +38,10 @@ from .common import by_bytes, table
 SIMILARITY = 0.8
 #: Steps of a window's walk, places sampled of them (one from each of equal stretches, as neighbouring
 #: places often read one letter), and how often that is repeated with other random bits and places.
-STEPS, PLACES, REPETITIONS = 32, 14, 6
-SEED = 7
+STEPS, PLACES, REPETITIONS = 36, 14, 4
+SEED = 23
+#: After so many sampled places, windows that no item agrees with so far are left.
+CHECKS = (6, 10)
 #: Letters by which a collision's alignment may be off beside the edits allowed.
 SLACK = 8
 #: Bytes of item text in one broadcast block, and of documents read at once.
@@ -119,17 +123,30 @@ def _drawn(repetition: int) -> tuple[set[int], np.ndarray]:
     return places, moves
 
 
-def window_keys(letters: Letters, repetition: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key of the window that starts at each word, and the last letter that its sampled places read."""
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (_mix(key) >> np.uint64(44)).astype(np.int64)
+
+
+def window_keys(letters: Letters, repetition: int, known: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Words at which windows start, their keys, the last letter that their sampled places read, and the slots
+    of their keys as far as CHECKS. known: the slots of items' windows; without any such, a window is left."""
     places, moves = _drawn(repetition)
-    at, key = letters.start.astype(np.int32), np.full(len(letters.start), np.uint64(repetition))
+    word, at, key = np.arange(len(letters.start)), letters.start.astype(np.int32), np.full(len(letters.start), np.uint64(repetition))
+    slots: list[np.ndarray] = []
+    read = 0
     for step in range(max(places) + 1):
         letter = letters.letters[at]
         if step in places:
             key = (key * _ODD) ^ (key >> np.uint64(29)) ^ letter
+            read += 1
         if step < max(places):
             at = at + moves[step][letter]
-    return _mix(key), at
+        if step in places and (read in CHECKS or read == len(places)):
+            slots.append(_slot(key))
+            if known is not None:
+                keep = np.flatnonzero(known[len(slots) - 1][slots[-1]])
+                word, at, key = word[keep], at[keep], key[keep]
+    return word, key, at, slots
 
 
 def _sequences(letters: Letters, n: int) -> np.ndarray:
@@ -160,17 +177,18 @@ class Items:
         self.size = high - low
         self.norm = [self.letters.text(int(a), int(b)) for a, b in zip(low, high)]
         owner = np.repeat(np.arange(len(ids)), np.diff(self.letters.first))
-        self.keys, self.item, self.offset, self.maybe = [], [], [], []
+        self.keys, self.item, self.offset, self.known = [], [], [], []
         for r in range(REPETITIONS):
-            key, last = window_keys(self.letters, r)
+            _, key, last, slots = window_keys(self.letters, r)
             within = np.flatnonzero(last < high[owner])
             by = within[np.argsort(key[within], kind="stable")]
             self.keys.append(key[by])
             self.item.append(owner[by])
             self.offset.append(start[by] - low[owner[by]])
-            maybe = np.zeros(1 << 20, bool)
-            maybe[(key[by] >> np.uint64(44)).astype(np.int64)] = True
-            self.maybe.append(maybe)
+            known = np.zeros((len(slots), 1 << 20), bool)
+            for mark, slot in zip(known, slots):
+                mark[slot[within]] = True
+            self.known.append(list(known))
         #: Items without a sure window by their number of words: sorted hashes and whose they are.
         self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         words = np.diff(self.letters.first)
@@ -188,6 +206,7 @@ def _postings(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.repeat(np.arange(len(wanted)), n), np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
+@lru_cache(maxsize=1 << 16)
 def edit_limit(length: int, similarity: float) -> int:
     """Most edits that leave `similarity` or more of so many characters; exact, as 1 - 0.8 is not in floats."""
     return math.floor((1 - Fraction(str(similarity))) * length)
@@ -235,9 +254,8 @@ def _collisions(letters: Letters, items: Items) -> tuple[np.ndarray, np.ndarray]
     """(item, where it would start among the letters) of all windows that collide, each once, in order."""
     found = []
     for r in range(REPETITIONS):
-        key, _ = window_keys(letters, r)
-        hit = np.flatnonzero(items.maybe[r][(key >> np.uint64(44)).astype(np.int64)])
-        which, posting = _postings(items.keys[r], key[hit])
+        hit, key, _, _ = window_keys(letters, r, items.known[r])
+        which, posting = _postings(items.keys[r], key)
         begin = letters.start[hit[which]] - items.offset[r][posting] + (1 << 40)  # may lie before the first letter
         found.append(np.stack([items.item[r][posting], begin, letters.start[hit[which]]], axis=1))
     pairs = np.concatenate(found)
@@ -288,9 +306,11 @@ def _found(texts: pa.Array, items: Items, similarity: float) -> list[tuple[int,
     return [(d, i, *letters.points(d, a, b), distance, 1 - distance / len(items.norm[i])) for (d, i), (distance, a, b) in sorted(best.items())]
 
 
-def _blocks(items: DataFrame) -> Iterator[tuple[list, list[str]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of the benchmark's items, BLOCK_BYTES at a time."""
+    wanted = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL").orderBy("item_id", "text")
     ids, texts, held = [], [], 0
-    for r in items.toLocalIterator():
+    for r in wanted.toLocalIterator():
         ids.append(r["item_id"])
         texts.append(r["text"])
         held += len(r["text"])
@@ -301,6 +321,30 @@ def _blocks(items: DataFrame) -> Iterator[tuple[list, list[str]]]:
         yield ids, texts
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs that hold no benchmark item, all columns unchanged and none moved.
+
+    Null and empty texts stay, all rows do without items; repeated rows share their fate.
+    """
+    sc = docs.sparkSession.sparkContext
+
+    def free_of(shared: Broadcast):  # noqa: ANN202
+        @F.arrow_udf("boolean")
+        def free(texts: pa.Array) -> pa.Array:
+            out = np.ones(len(texts), bool)
+            at = 0
+            for part in by_bytes(pa.RecordBatch.from_arrays([texts], ["text"]), 0, SLICE_BYTES):
+                out[[at + d for d, *_ in _found(part.column(0), shared.value, similarity)]] = False
+                at += len(part)
+            return pa.array(out)
+
+        return free(F.col(text_col))
+
+    for ids, texts in _blocks(benchmark, item_col, item_text_col):
+        docs = docs.filter(free_of(sc.broadcast(Items(ids, texts))))
+    return docs
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per document row and benchmark item found in it: doc_id, item_id, start, end, distance, similarity.
 
@@ -313,12 +357,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     kind, item_kind = (given.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType)
     schema = f"doc_id {kind}, item_id {item_kind.simpleString()}, start long, end long, distance int, similarity double"
     sc = docs.sparkSession.sparkContext
-    wanted = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).filter("text IS NOT NULL").orderBy("item_id", "text")
     out = docs.sparkSession.createDataFrame([], schema)
     names = out.columns
     types = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
     id_type = to_arrow_type(item_kind)
-    for ids, texts in _blocks(wanted):
+    for ids, texts in _blocks(benchmark, item_col, item_text_col):
         shared = sc.broadcast(Items(ids, texts))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
