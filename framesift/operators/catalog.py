@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.graph import connected_components, cut
+from ..functions.checkpoint import cut
+from ..functions.graph import connected_components
+from . import ingest
 
 FAKE, REAL = ("1", "fake", "manipulated", "deepfake"), ("0", "real", "authentic", "original")
 SPLITS = ("train", "validation", "test")
@@ -33,6 +35,31 @@ def sample_id(dataset: str, sha256: Column, line: Column) -> Column:
     return F.concat(F.lit(f"{dataset}-"), F.substring(sha256, 1, 16), F.lit("-"), F.lpad(line.cast("string"), 6, "0"))
 
 
+def build(metadata: DataFrame, files: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
+    """metadata (line, path, label, identity_ids, source_group, manipulation) and files (path, content)
+    -> (catalogue, rejects (line, reason)). Of rows that repeat a path or a content, the first line stays."""
+    path, text = F.col("path"), F.col("label")
+    read = metadata.join(files.select("path", F.sha2("content", 256).alias("sha256")), "path", "left")
+    reason = (
+        F.when(label(text).isNull(), "bad_label").when(F.size(identities(F.col("identity_ids"))) < 1, "no_identity").when(~F.coalesce(ingest.stays_inside(path), F.lit(False)), "unsafe_path")
+        .when(~ingest.image_suffix(path), "bad_suffix").when(F.col("sha256").isNull(), "missing_file")
+    )
+    told = read.withColumn("reason", reason)
+    for key, again in (("path", "duplicate_path"), ("sha256", "duplicate_content")):
+        first = told.filter("reason IS NULL").groupBy(key).agg(F.min("line").alias("_first"))
+        told = told.join(first, key, "left").withColumn("reason", F.coalesce("reason", F.when(F.col("line") > F.col("_first"), F.concat(F.lit(f"{again} of line "), F.col("_first").cast("string"))))).drop("_first")
+    told = cut(told)
+    good = told.filter("reason IS NULL").select(
+        sample_id(dataset, F.col("sha256"), F.col("line") - 1).alias("sample_id"), "path", label(text).alias("label"), identities(F.col("identity_ids")).alias("identity_ids"), "source_group",
+        F.lit(dataset).alias("dataset"), manipulation(F.col("manipulation")).alias("manipulation"), "sha256",
+    )
+    return good, told.filter("reason IS NOT NULL").select("line", "reason")
+
+
+def label_counts(records: DataFrame) -> DataFrame:
+    return records.groupBy("label").agg(F.count("*").alias("n"))
+
+
 def constraints(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, constraint): everything that two records must not share across splits; arrays give each element."""
     parts = []

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,28 +48,45 @@ def provenance(content: Column, k: int = SCAN_BYTES) -> Column:
     return F.struct(c2pa.alias("c2pa_markers"), names(AI_CLAIMS).alias("ai_claims"), names(PROVIDERS).alias("providers"), F.lit(False).alias("signature_verified"))
 
 
-def byte_values(rows: DataFrame, key: str, content: str) -> DataFrame:
-    """key, pos, v: a row for each byte."""
-    pairs = F.regexp_extract_all(F.hex(content), F.lit("(..)"), 1)
-    return rows.select(key, F.posexplode(pairs).alias("pos", "_h")).select(key, "pos", F.conv("_h", 16, 10).cast("int").alias("v"))
+def histograms(rows: DataFrame, key: str, content: str, channels: int = 1) -> DataFrame:
+    """key, channel, counts: how often each byte value stands at the places of each channel (place modulo
+    channels); a row for each channel that has a byte. Counted inside the row's batch: nothing is shuffled."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            which, channel, found = [], [], []
+            for i, data in enumerate(batch.column(1).cast(pa.large_binary())):
+                raw = np.frombuffer(data.as_buffer() or b"", np.uint8) if data.is_valid else np.zeros(0, np.uint8)
+                for c in range(min(channels, len(raw))):
+                    which.append(i), channel.append(c), found.append(np.bincount(raw[c::channels], minlength=256))
+            counts = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * 256, pa.int32()), pa.array(np.concatenate(found or [np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), pa.array(channel, pa.int32()), counts], [key, "channel", "counts"])
+
+    return rows.select(key, content).mapInArrow(count, f"{key} {rows.schema[key].dataType.simpleString()}, channel int, counts array<long>")
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def channel_statistics(values: DataFrame, key: str) -> DataFrame:
+def channel_statistics(counted: DataFrame, key: str) -> DataFrame:
     """Share of set lowest bits, and mean imbalance over the non-empty pairs of values 2 k, 2 k + 1, by channel.
 
-    values: key, channel, v. Histograms come first, so the shuffle holds 128 rows a channel at most.
+    counted: key, channel, counts, as histograms gives them.
     """
-    one = F.col("v").bitwiseAND(1)
-    pairs = values.groupBy(key, "channel", F.shiftright("v", 1).alias("pair")).agg(F.count("*").alias("n"), F.sum(one).alias("ones"))
-    return pairs.groupBy(key, "channel").agg((F.sum("ones") / F.sum("n")).alias("ones_ratio"), F.avg(F.abs(F.col("n") - 2 * F.col("ones")) / F.col("n")).alias("pair_imbalance"))
+    pair = lambda k: F.struct((F.get("counts", 2 * k) + F.get("counts", 2 * k + 1)).alias("n"), F.get("counts", 2 * k + 1).alias("ones"))
+    paired = counted.select(key, "channel", F.filter(F.transform(F.sequence(F.lit(0), F.lit(127)), pair), lambda p: p["n"] > 0).alias("pairs"))
+    ones, n = _total(F.transform("pairs", lambda p: p["ones"].cast("double"))), _total(F.transform("pairs", lambda p: p["n"].cast("double")))
+    apart = _total(F.transform("pairs", lambda p: F.abs(p["n"] - 2 * p["ones"]) / p["n"])) / F.size("pairs")
+    return paired.select(key, "channel", (ones / n).alias("ones_ratio"), apart.alias("pair_imbalance"))
 
 
-def entropy(values: DataFrame, key: str) -> DataFrame:
-    """Shannon entropy in bits of the byte values of each key; never a negative zero."""
-    n = values.groupBy(key, "v").agg(F.count("*").alias("n"))
+def entropy(counted: DataFrame, key: str) -> DataFrame:
+    """Shannon entropy in bits of the byte values of each row of histograms; never a negative zero."""
+    some = F.transform(F.filter("counts", lambda n: n > 0), lambda n: n.cast("double"))
     # sum p log2 p = sum n log2 n / N - log2 N: one pass over the counts.
-    parts = n.groupBy(key).agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("s"))
-    return parts.select(key, F.greatest(F.log2("total") - F.col("s") / F.col("total"), F.lit(0.0)).alias("entropy"))
+    parts = counted.select(key, _total(some).alias("n"), _total(F.transform(some, lambda n: n * F.log2(n))).alias("s"))
+    return parts.select(key, F.greatest(F.log2("n") - F.col("s") / F.col("n"), F.lit(0.0)).alias("entropy"))
 
 
 def payload(stream: Column) -> Column:

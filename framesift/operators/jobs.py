@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ingest
+
 ACTIVE = ("queued", "processing")
 RECENT_DEFAULT, RECENT_MOST = 50, 200
 
@@ -82,6 +84,27 @@ def retention_counts(plan: DataFrame) -> DataFrame:
     return plan.agg(F.count("*").alias("expired"), F.count_if("safe").alias("deleted"), F.count_if(~F.col("safe")).alias("failed"))
 
 
+def checked_paths(jobs: DataFrame, before: Column, paths: Column) -> DataFrame:
+    """Expired jobs as rows (id, failure): all of a job's paths (an array) are looked at before any may be
+    removed; failure names the first that leaves its folder and is null if the job may go."""
+    outside = F.get(F.filter(paths, lambda p: ~F.coalesce(ingest.stays_inside(p), F.lit(False))), F.lit(0))
+    unsafe = F.exists(paths, lambda p: ~F.coalesce(ingest.stays_inside(p), F.lit(False)))
+    return jobs.filter(expired_at(before)).select("id", F.when(unsafe, F.concat(F.lit("path leaves its folder: "), F.coalesce(outside, F.lit("null")))).alias("failure"))
+
+
+def cleanup(jobs: DataFrame, files: DataFrame, now: datetime.datetime, retention_hours: float, paths: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(kept ledger, checked rows (id, failure), stale unfinished uploads (path), one row of counts).
+
+    A job that fails is kept and stands in nobody's way. What the rows name is removed by the caller; files
+    are a listing (path, modificationTime).
+    """
+    before = F.lit(cutoff(now, retention_hours))
+    checked = checked_paths(jobs, before, paths)
+    stale = stale_parts(files, before)
+    counts = checked.agg(F.count("*").alias("expired_jobs"), F.count_if(F.col("failure").isNull()).alias("deleted_jobs"), F.count("failure").alias("failed_jobs")).crossJoin(stale.agg(F.count("*").alias("deleted_temporary_uploads")))  # single rows
+    return delete(jobs, checked.filter("failure IS NULL")), checked, stale.select("path"), counts
+
+
 def ids_sha256(ids: DataFrame, block_bytes: int = 8 << 10) -> DataFrame:
     """ids (id: string) -> one row (sha256) of all ids in order, joined by commas; nulls are left out.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalar
+
 MODULES = ("media_authenticity", "deepfake_detection", "image_forensics")
 
 
@@ -46,6 +48,45 @@ def report_lines(jobs: DataFrame) -> DataFrame:
     return jobs.select("id", F.posexplode(lines).alias("line_no", "line"))
 
 
+LIMITATION = "Limitation: this report holds forensic risk indicators, not conclusive proof of authenticity or manipulation."
+SCORE_NOTE = "This score does not measure whole-media AI-generation probability."
+
+
+def full_report(jobs: DataFrame, width: int = 92) -> DataFrame:
+    """jobs with results -> id, line_no, line: the whole report in its fixed order, wrapped at `width`.
+
+    jobs: id, status, source_name, media_type, sha256, size_bytes, created_at, and result: null, or a struct of
+    code_version, analysed_at, width, height, duration_seconds, frame_rate (the last two null for stills),
+    sampled_frames, modules (module, status, version, duration_ms, settings and findings as JSON, warnings)
+    and warnings.
+    """
+    r = F.col("result")
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    moment = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    some = lambda when, *lines: F.when(when, F.array(*lines)).otherwise(F.array().cast("array<string>"))
+    given = lambda json: json.isNotNull() & (json != "{}")
+
+    def module(m: Column) -> Column:
+        score = F.get_json_object(m["findings"], "$.deepfake_probability").cast("double")
+        scored = (m["module"] == "deepfake_detection") & score.isNotNull()
+        return F.concat(
+            F.array(text(m["module"], ": ", m["status"]), text("Version: ", m["version"], "; duration: ", m["duration_ms"].cast("string"), " ms")), some(given(m["settings"]), text("Settings: ", m["settings"])),
+            some(scored, text("Face-manipulation model score: ", scalar.percent(score)), F.lit(SCORE_NOTE)), F.transform(m["warnings"], lambda w: text("Warning: ", w)), some(given(m["findings"]), m["findings"]),
+        )
+
+    head = F.array(
+        F.lit("Forensic Risk Assessment"), text("Analysis ID: ", F.col("id")), text("Status: ", F.col("status")), text("Source: ", F.col("source_name")), text("Media type: ", F.col("media_type")),
+        text("SHA-256: ", F.col("sha256")), text("Size: ", F.col("size_bytes").cast("string"), " bytes"), text("Created: ", moment(F.col("created_at"))),
+    )
+    media = F.concat(
+        F.array(F.lit("Media"), text("Code version: ", r["code_version"]), text("Analysed: ", moment(r["analysed_at"])), text("Dimensions: ", r["width"].cast("string"), " x ", r["height"].cast("string"))),
+        some(r["duration_seconds"].isNotNull(), text("Duration: ", F.format_string("%.3f", r["duration_seconds"]), " seconds"), text("Frame rate: ", r["frame_rate"].cast("string"), " FPS"), text("Sampled frames: ", r["sampled_frames"].cast("string"))),
+    )
+    body = F.concat(media, F.array(F.lit("Module findings")), F.flatten(F.transform(r["modules"], module)), F.when(F.size(r["warnings"]) > 0, F.concat(F.array(F.lit("Analysis warnings")), r["warnings"])).otherwise(F.array().cast("array<string>")))
+    lines = F.concat(head, F.when(r.isNotNull(), body).otherwise(F.array().cast("array<string>")), F.array(F.lit(LIMITATION)))
+    return jobs.select("id", F.posexplode(F.flatten(F.transform(lines, lambda x: scalar.wrapped(x, width)))).alias("line_no", "line"))
+
+
 def json_report(jobs: DataFrame, disclaimer: str) -> DataFrame:
     """One JSON document a job; null fields are kept."""
     body = F.struct(F.lit("forensic_risk_assessment").alias("report_type"), F.lit(disclaimer).alias("disclaimer"), F.struct(*jobs.columns).alias("analysis"))

@@ -51,8 +51,38 @@ def ela_rollup(cases: DataFrame) -> DataFrame:
 
 
 def study_task_counts(answers: DataFrame) -> DataFrame:
-    """answers (participant, task, status) -> task with the number of each status, zeros told."""
-    return answers.groupBy("task").agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])
+    """answers (participant, task, status) -> each of the tasks with the number of each status; what nobody
+    answered is told as zeros. One aggregation over all rows."""
+    counts = answers.agg(*[F.count_if((F.col("task") == t) & (F.col("status") == s)).alias(f"{t}_{s}") for t in TASKS for s in STATUSES])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(t).alias("task"), *[F.col(f"{t}_{s}").alias(s) for s in STATUSES]) for t in TASKS])))
+
+
+def study_completed(participants: DataFrame) -> DataFrame:
+    """participants -> those all of whose tasks were run, with their comments."""
+    done = ~F.exists(F.map_values("tasks"), lambda s: s == "not_run") & (F.size("tasks") > 0)
+    return participants.filter(done).select("id", "most_confusing", "recommended_change")
+
+
+STUDY_KEYS, PARTICIPANT_KEYS = ("schema_version", "task", "participants"), ("id", "tasks", "ratings", "most_confusing", "recommended_change")
+
+
+def study_document_errors(documents: DataFrame) -> DataFrame:
+    """documents (path, text: a study as JSON) -> path, errors: keys that are missing or too many, at the top and
+    in each participant, a wrong version, and ids that are blank or stand twice."""
+    top = F.from_json("text", "map<string,string>")
+    people = F.from_json(F.element_at("top", "participants"), "array<map<string,string>>")
+    listed = documents.select("path", top.alias("top")).select("path", "top", F.coalesce(people, F.array().cast("array<map<string,string>>")).alias("people"))
+    names = lambda c, wanted, where: [
+        F.when(F.size(apart) > 0, F.concat(where, F.lit(f" {what}: "), F.array_join(F.array_sort(apart), ",")))
+        for what, apart in (("lacks", F.array_except(F.array(*map(F.lit, wanted)), F.map_keys(c))), ("has unexpected", F.array_except(F.map_keys(c), F.array(*map(F.lit, wanted)))))
+    ]
+    ids = F.transform("people", lambda p: F.trim(F.coalesce(F.element_at(p, "id"), F.lit(""))))
+    each = F.flatten(F.transform("people", lambda p, i: F.array(*names(p, PARTICIPANT_KEYS, F.concat(F.lit("participant "), (i + 1).cast("string"))))))
+    general = F.array(
+        F.when(F.col("top").isNull(), "not a JSON object"), *names(F.col("top"), STUDY_KEYS, F.lit("document")), F.when(F.coalesce(F.element_at("top", "schema_version"), F.lit("")) != "1", "schema_version must be 1"),
+        F.when(F.size(F.array_distinct(ids)) < F.size(ids), "participant ids must differ"), F.when(F.array_contains(ids, ""), "participant ids must not be blank"),
+    )
+    return listed.select("path", F.array_compact(F.concat(general, each)).alias("errors"))
 
 
 def study_ratings(ratings: DataFrame) -> DataFrame:

@@ -7,19 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def sampled_frames(videos: DataFrame, *, interval_seconds: float = 1.0, most: int = 300) -> DataFrame:
-    """Videos (…, total, fps) -> a row for each sampled frame: ordinal, frame_index, timestamp_seconds, capped.
+def sampled_indices(total: Column, fps: Column, interval_seconds: float = 1.0, most: int = 300) -> Column:
+    """Array of (ordinal, frame_index, timestamp_seconds, capped) of a video's sampled frames.
 
     A frame every interval; if that makes more than `most`, so many frames evenly over the video.
     Halves round to even.
     """
-    step = F.greatest(F.lit(1.0), F.col("fps") * interval_seconds)
-    asked = F.ceil(F.col("total") / step).cast("long")
-    counted = videos.select("*", step.alias("_step"), F.least(asked, F.lit(most)).alias("_count"), (asked > most).alias("capped"))
-    rows = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1)).alias("ordinal"))
-    even = F.rint(F.col("ordinal") * (F.col("total") - 1) / (F.col("_count") - 1))
-    index = F.when(F.col("capped") & (F.col("_count") > 1), even).otherwise(F.least(F.rint(F.col("ordinal") * F.col("_step")), (F.col("total") - 1).cast("double")))
-    return rows.withColumn("frame_index", index.cast("long")).withColumn("timestamp_seconds", F.col("frame_index") / F.col("fps")).drop("_step", "_count")
+    step = F.greatest(F.lit(1.0), fps * interval_seconds)
+    asked = F.ceil(total / step).cast("long")
+    count = F.least(asked, F.lit(most).cast("long"))
+    capped = asked > most
+
+    def frame(i: Column) -> Column:
+        even = F.rint(i * (total - 1) / (count - 1))
+        index = F.when(capped & (count > 1), even).otherwise(F.least(F.rint(i * step), (total - 1).cast("double"))).cast("long")
+        return F.struct(i.alias("ordinal"), index.alias("frame_index"), (index / fps).alias("timestamp_seconds"), capped.alias("capped"))
+
+    return F.transform(F.sequence(F.lit(0).cast("long"), count - 1), frame)
+
+
+def sampled_frames(videos: DataFrame, *, interval_seconds: float = 1.0, most: int = 300) -> DataFrame:
+    """Videos (…, total, fps) -> a row for each sampled frame: ordinal, frame_index, timestamp_seconds, capped."""
+    return videos.select("*", F.inline(sampled_indices(F.col("total"), F.col("fps"), interval_seconds, most)))
 
 
 def too_long(total: Column, fps: Column, most_seconds: float = 7200) -> Column:
@@ -38,5 +47,9 @@ def numbered(frames: DataFrame, video: str, order: str) -> DataFrame:
 
 
 def attach_scores(frames: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Frames with the score of the face found in them, null where there was none."""
-    return frames.join(scores, keys, "left")
+    """Frames with their scores, one for one: a frame or a score without the other, or twice, is an error."""
+    n, m = frames.count(), scores.count()
+    joined = frames.join(scores, keys)
+    if n != m or joined.count() != n or frames.select(*keys).distinct().count() != n:
+        raise ValueError(f"{n} frames and {m} scores do not pair up")
+    return joined

@@ -46,6 +46,18 @@ def history(ledger: DataFrame, text: str = "", status: str | None = None, limit:
 
 
 def summary(results: DataFrame) -> DataFrame:
-    """results (job_id, status, assessment, probability, modules) -> headline and state of each case."""
+    """results (job_id, status, media_type, assessment, probability, analysed_faces, lsb_detected, modules)
+    -> headline, badge and state of each case."""
     model: Column = report.module_named(F.col("modules"), "deepfake_detection")["status"]
-    return results.select("job_id", report.headline(F.col("assessment"), F.col("probability"), model).alias("headline"), F.replace("status", F.lit("_"), F.lit(" ")).alias("state"))
+    badge = F.when(F.col("assessment") == "strong_ai_origin_evidence", "origin").when(F.col("assessment") == "unverified_ai_origin_claim", "claim").when(F.col("probability").isNotNull(), "score").otherwise("none")
+    media = F.when(F.startswith("media_type", F.lit("video/")), "video").otherwise("image")
+    return results.select(
+        "job_id", report.headline(F.col("assessment"), F.col("probability"), model).alias("headline"), badge.alias("badge"), F.replace("status", F.lit("_"), F.lit(" ")).alias("state"), media.alias("media"),
+        F.coalesce(F.col("analysed_faces").cast("string"), F.lit("—")).alias("faces"), F.when(F.col("lsb_detected"), "payload found").when(~F.col("lsb_detected"), "no payload").otherwise("not applied").alias("low_bits"),
+    )
+
+
+def summary_lines(row: DataFrame) -> DataFrame:
+    """Each column of a one-row summary as a line of text, in order."""
+    lines = F.array(*[F.concat(F.lit(c.replace("_", " ") + ": "), F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))) if row.schema[c].dataType.typeName() in ("array", "struct", "map") else F.col(c).cast("string"), F.lit("none"))) for c in row.columns])
+    return row.select(F.posexplode(lines).alias("line_no", "line"))

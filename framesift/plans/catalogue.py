@@ -6,13 +6,12 @@ for pixel residuals, orders for the job ledger, conversations for study answers.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import graph
+from ..functions.checkpoint import shared_folder
 from ..operators import catalog, forensics, ingest, jobs, metrics, report, rollups, sampling, scoring
 from ..streaming import ingest as streaming
 
@@ -275,9 +274,9 @@ def model_unavailable(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BYTE_ROWS = "(SELECT doc_id, unnest(range(octet_length(encode(text)))) AS pos, unnest(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS INTEGER))) AS v FROM documents)"
 
 
-def _bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bytes(spark: SparkSession, sf_dir: str, channels: int = 3) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    return forensics.byte_values(docs, "doc_id", "content").withColumn("channel", F.col("pos") % 3)
+    return forensics.histograms(docs, "doc_id", "content", channels)
 
 
 @query(f"SELECT doc_id, CAST(pos % 3 AS BIGINT) AS channel, round(avg(v & 1), 9) AS ones_ratio FROM {_BYTE_ROWS} GROUP BY ALL")
@@ -293,7 +292,7 @@ def lsb_pair_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, round(entropy(v), 9) AS entropy FROM {_BYTE_ROWS} GROUP BY doc_id")
 def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forensics.entropy(_bytes(spark, sf_dir), "doc_id").select("doc_id", F.round("entropy", 9).alias("entropy"))
+    return forensics.entropy(_bytes(spark, sf_dir, 1), "doc_id").select("doc_id", F.round("entropy", 9).alias("entropy"))
 
 
 @query("""WITH s AS (SELECT doc_id, doc_id % 4 AS k, 'note ' || doc_id AS note FROM documents)
@@ -629,9 +628,8 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id AS id, event_type AS status FROM events")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events that have arrived, through a stream into the shared folder, as a status log."""
-    graph.ensure_checkpoint_dir(spark)
-    at = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    at = shared_folder(spark, "stream")
     source = spark.readStream.schema(_t(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     log = source.select(F.col("event_id").alias("id"), F.col("event_type").alias("status"))
-    streaming.run_available(log, f"{at}/state", lambda batch, no: batch.write.parquet(f"{at}/log/batch={no}")).awaitTermination()
+    streaming.run_available(log, f"{at}/state", lambda batch, no: batch.write.mode("overwrite").parquet(f"{at}/log/batch={no}")).awaitTermination()
     return spark.read.parquet(f"{at}/log").select("id", "status")

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions import pixels
-from ..operators import forensics, ingest
+from ..operators import catalog, forensics, imaging, ingest
 
 METADATA = "path string, label string, identity_ids string, source_group string, manipulation string"
 CATALOG = "sample_id string, path string, label int, identity_ids string, source_group string, dataset string, manipulation string, sha256 string"
 STEGO_CASES = "schema_version int, task string, cases array<struct<id:string,file:string,category:string,seed:long,payload_size:int,payload_sha256:string,expected_supported_payload:boolean,image_sha256:string>>"
+ELA_CASES = "schema_version int, task string, interpretation_boundary string, cases array<struct<id:string,file:string,category:string,seed:long,known_edit:boolean,known_edit_region_xyxy:array<int>,ela_jpeg_quality:int,highlight_threshold:int,image_sha256:string>>"
+LEDGER = "id string, status string, source_name string, source_path string, media_type string, sha256 string, size_bytes long, created_at timestamp, updated_at timestamp, error string, result string"
 STUDY = "schema_version int, task string, participants array<struct<id:string,tasks:map<string,string>,ratings:map<string,int>,most_confusing:string,recommended_change:string>>"
 
 
@@ -32,37 +30,56 @@ def catalogued(spark: SparkSession, path: str, most: int = ingest.MAX_UPLOAD_BYT
 
 
 def images(spark: SparkSession, path: str, most_pixels: int = 40_000_000) -> DataFrame:
-    """Decoded images: path, height, width, channels, data (blue, green, red by row); undecodable ones go."""
-    decoded = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
-    sized = decoded.select(F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("channels"), "data")
-    return sized.filter(ingest.within_pixels(F.col("width"), F.col("height"), most_pixels))
+    """Image files: path, image (imaging.IMAGE) and reject_reason, null for those that are decoded; one row a
+    file, so undecodable and too large ones stay as rejects."""
+    decoded = spark.read.format("image").load(path).select("image.*")
+    image = F.struct("height", "width", F.col("nChannels").alias("channels"), "data")
+    reason = F.when(F.col("height") < 0, "unreadable").when(~ingest.within_pixels(F.col("width"), F.col("height"), most_pixels), "too_many_pixels")
+    return decoded.select(F.col("origin").alias("path"), F.when(reason.isNull(), image).cast(imaging.IMAGE).alias("image"), reason.alias("reject_reason"))
+
+
+def with_images(media: DataFrame, decoded: DataFrame) -> DataFrame:
+    """media (…, path) with the image of its file, null where there is none; paths are compared without a scheme."""
+    bare = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
+    return media.withColumn("_at", bare(F.col("path"))).join(decoded.select(bare(F.col("path")).alias("_at"), "image"), "_at", "left").drop("_at")
+
 
+def image_signals(decoded: DataFrame) -> DataFrame:
+    """path, signals (imaging.low_bits) and hidden (forensics.payload) of decoded images."""
+    told = decoded.filter("image IS NOT NULL").select("path", imaging.low_bits(F.col("image")).alias("signals"))
+    return told.withColumn("hidden", forensics.payload(F.col("signals.head")))
 
-def image_signals(decoded: DataFrame, quality: int = 90, threshold: int = 20) -> DataFrame:
-    """path, ones_ratio and pair_imbalance by red, green, blue, stream, mean_error, p95_error, max_error,
-    highlighted_ratio: one Arrow batch of images at a time."""
 
-    def measure(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for r in part.itertuples():
-                x = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
-                rgb = x[..., [2, 1, 0]] if r.channels >= 3 else np.repeat(x[..., :1], 3, axis=2)
-                ones, pairs = zip(*pixels.lsb_statistics(rgb))
-                rows.append((r.path, list(ones), list(pairs), pixels.lsb_stream(rgb), *pixels.ela(rgb, quality, threshold)))
-            yield pd.DataFrame(rows, columns=["path", "ones_ratio", "pair_imbalance", "stream", "mean_error", "p95_error", "max_error", "highlighted_ratio"])
+def required(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df, or an error that names the columns it lacks."""
+    missing = sorted(set(columns) - set(df.columns))
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df
 
-    measured = decoded.mapInPandas(measure, "path string, ones_ratio array<double>, pair_imbalance array<double>, stream binary, mean_error double, p95_error double, max_error int, highlighted_ratio double")
-    return measured.withColumn("hidden", forensics.payload(F.col("stream")))
+
+def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV file with a header that has to name all columns of the schema, in any order; extra ones are left
+    out. line: the number of the row's line, the header being the first; for files of one row a line."""
+    text = spark.read.option("header", True).csv(path)
+    names = [part.split()[0] for part in schema.split(", ")]
+    types = [part.split()[1] for part in schema.split(", ")]
+    # Lines of one file in its order: places come from the file, so no window over all rows is needed.
+    rows = required(text, names).select(*[F.col(n).try_cast(t).alias(n) for n, t in zip(names, types)], F.monotonically_increasing_id().alias("_id"), F.spark_partition_id().alias("_part"))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = counts.select("_part", "_first", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
+    placed = rows.join(F.broadcast(before), "_part")
+    return placed.select(*names, (F.col("_before") + F.col("_id") - F.col("_first") + 2).alias("line"))
 
 
 def metadata_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(METADATA).option("header", True).csv(path)
+    return csv_rows(spark, path, METADATA)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(CATALOG).option("header", True).csv(path)
-    return rows.withColumn("identity_ids", F.split("identity_ids", ";"))
+    rows = required(spark.read.option("header", True).csv(path), [part.split()[0] for part in CATALOG.split(", ")])
+    typed = rows.select(*[F.col(n).try_cast(t).alias(n) for n, t in (part.split() for part in CATALOG.split(", "))])
+    return typed.withColumn("identity_ids", F.split("identity_ids", ";"))
 
 
 def write_catalog(records: DataFrame, path: str, by: str | None = None) -> None:
@@ -72,10 +89,40 @@ def write_catalog(records: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).csv(path)
 
 
+def write_splits(records: DataFrame, path: str) -> DataFrame:
+    """Each split's records under `split=…`, ordered by sample_id, and the summary of all splits as JSON; gives the summary."""
+    write_catalog(records.repartition("split").sortWithinPartitions("split", "sample_id"), f"{path}/splits", "split")
+    told = catalog.split_summary(records)
+    write_json(told.coalesce(1), f"{path}/split_summary")
+    return told
+
+
+def write_evaluation(rows: DataFrame, metrics: DataFrame, path: str) -> None:
+    """Predictions as CSV, metrics as JSON, and the confusion matrix as CSV of actual by predicted."""
+    rows.write.option("header", True).csv(f"{path}/predictions")
+    write_json(metrics.coalesce(1), f"{path}/metrics")
+    line = lambda actual, real, fake: F.struct(F.lit(actual).alias("actual"), F.col(real).alias("real"), F.col(fake).alias("fake"))
+    metrics.select(F.inline(F.array(line("real", "tn", "fp"), line("fake", "fn", "tp")))).coalesce(1).write.option("header", True).csv(f"{path}/confusion_matrix")
+
+
+def write_artifacts(found: DataFrame, path: str) -> None:
+    """job_id, module, kind, name, content as a table by kind; bytes stay bytes and are never run."""
+    found.write.partitionBy("kind").parquet(path)
+
+
+def create_ledger(spark: SparkSession, name: str) -> None:
+    """The job ledger's table, if it is not there."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({LEDGER}) USING parquet")
+
+
 def stego_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STEGO_CASES).option("multiLine", True).json(path).select(F.inline("cases"))
 
 
+def ela_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ELA_CASES).option("multiLine", True).json(path).select("interpretation_boundary", F.inline("cases"))
+
+
 def study(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STUDY).option("multiLine", True).json(path).select(F.inline("participants"))
 

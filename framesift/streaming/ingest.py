@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from ..operators import ingest
 
@@ -31,3 +32,17 @@ def latest_status(log: DataFrame) -> DataFrame:
 def event_counts(events: DataFrame, window: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
     """Events by window and type; state older than the lateness is let go."""
     return events.withWatermark("ts", lateness).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"))
+
+
+def wrong_steps(log: DataFrame, allowed: Callable) -> DataFrame:
+    """Log (id, status, at) -> its entries whose step from the one before is not allowed(before, after); a first
+    entry has to be `queued`. Entries of one time go by name."""
+    before = F.lag("status").over(Window.partitionBy("id").orderBy("at", "status"))
+    steps = log.withColumn("before", before)
+    return steps.filter(F.when(F.col("before").isNull(), F.col("status") != "queued").otherwise(~allowed(F.col("before"), F.col("status"))))
+
+
+def every(spark: SparkSession, seconds: float, action: Callable[[int], None], checkpoint: str) -> StreamingQuery:
+    """Runs an action, such as a cleanup, once an interval until the query is stopped."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(lambda _, no: action(no)).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()

@@ -1,14 +1,20 @@
 import json
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from framesift.functions import scalar
-from framesift.operators import analyzers, views
+from framesift.operators import analyzers, imaging, video, views
 
 
 def media(spark):
-    rows = [("a", "image/png", bytearray(b"\x89PNG\r\n\x1a\n C2PA trainedAlgorithmicMedia")), ("b", "video/mp4", bytearray(b"plain"))]
-    return spark.createDataFrame(rows, "job_id string, media_type string, content binary")
+    clean = np.arange(8 * 8 * 3, dtype=np.uint8).reshape(8, 8, 3)
+    rows = [
+        ("a", "image/png", bytearray(b"\x89PNG\r\n\x1a\n C2PA trainedAlgorithmicMedia"), video.as_image(clean)),
+        ("b", "video/mp4", bytearray(b"plain"), None),
+        ("c", "image/png", bytearray(b"\x89PNG\r\n\x1a\n"), None),
+    ]
+    return spark.createDataFrame(rows, f"job_id string, media_type string, content binary, image {imaging.IMAGE}")
 
 
 def test_order_and_status(spark):
@@ -17,7 +23,32 @@ def test_order_and_status(spark):
     assert got["a"].status == "partially_completed" and got["a"].modules[1].status == "skipped"
     assert json.loads(got["a"].modules[0].findings)["assessment"] == "unverified_ai_origin_claim"
     assert json.loads(got["b"].modules[0].findings)["assessment"] == "inconclusive"
-    assert json.loads(got["a"].modules[2].findings)["extraction_method"] == "PNG signature at LSB stream start"
+    # A file's own signature is no payload: low bits of pixels are what counts, and an image that was not decoded fails.
+    low = json.loads(got["a"].modules[2].findings)["lsb"]
+    assert got["a"].modules[2].status == "completed" and low["extraction_method"] is None and not low["supported_payload_detected"]
+    assert got["b"].modules[2].status == "completed" and "lsb" not in json.loads(got["b"].modules[2].findings)
+    assert got["c"].modules[2].status == "failed" and got["c"].modules[2].warnings == ["image could not be decoded"]
+
+
+def test_payload_of_pixels(spark):
+    rgb = np.full((64, 64, 3), 128, np.uint8)
+    bits = np.unpackbits(np.frombuffer(b'STEGv1:say "hi" \\o/\0', np.uint8))
+    rgb.reshape(-1)[: len(bits)] |= bits
+    frame = media(spark).filter("job_id = 'c'").drop("image").crossJoin(spark.createDataFrame([(video.as_image(rgb),)], f"image {imaging.IMAGE}"))
+    done = analyzers.analyse(frame, [analyzers.ImageForensics(lambda rgb, quality: np.clip(rgb.astype(int) + 25, 0, 255).astype(np.uint8))])
+    m = done.first().modules[0]
+    found = json.loads(m.findings)
+    assert found["lsb"]["extraction_method"] == "STEGv1 marker" and found["lsb"]["ascii_preview"] == 'say "hi" \\o/' and found["lsb"]["extracted_size_bytes"] == 12
+    assert found["lsb"]["available_lsb_bits"] == rgb.size and set(found["lsb"]["channel_statistics"]) == {"red", "green", "blue"}
+    assert found["ela"]["mean_error"] == 25 and found["ela"]["highlighted_pixel_ratio"] == 1.0
+    assert {(a.kind, bytes(a.content)[:3]) for a in analyzers.artifacts(done).collect()} == {("extracted_payload", b"say"), ("ela_heatmap", b"\xff\xff\xff")}
+
+
+def test_broken_image_stays_local(spark):
+    """A kernel that fails for one row makes that row's module fail, not the job."""
+    bad = spark.createDataFrame([("d", "image/png", bytearray(b""), {"height": 9, "width": 9, "channels": 3, "data": bytearray(b"short")})], f"job_id string, media_type string, content binary, image {imaging.IMAGE}")
+    got = {r.job_id: r.modules[0] for r in analyzers.analyse(media(spark).unionByName(bad), [analyzers.ImageForensics()]).collect()}
+    assert got["a"].status == "completed" and got["d"].status == "failed" and got["d"].warnings[0].startswith("ValueError")
 
 
 def test_failures_stay_local(spark):
@@ -42,7 +73,7 @@ def test_views(spark):
     done = analyzers.analyse(media(spark))
     rows = {(r.job_id, r.module): r.detail for r in views.module_rows(done).collect()}
     assert rows["a", "deepfake_detection"] == "no model checkpoint configured"
-    assert "extracted size bytes: 0" in rows["b", "image_forensics"]
+    assert rows["c", "image_forensics"] == "image could not be decoded"
     cards = spark.createDataFrame([("a", 0.25, None, None, False)], "job_id string, probability double, assessment string, ela_max int, lsb_detected boolean")
     assert [r.value for r in views.signal_cards(cards).collect()] == ["25.0%", "not evaluated", "not applied", "no payload"]
     frames = spark.createDataFrame([("a", 3, 0.5, None)], "job_id string, frame_index int, timestamp_seconds double, probability double")

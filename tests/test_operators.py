@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framesift.functions import pixels
-from framesift.operators import catalog, forensics, ingest, jobs, metrics, report, rollups, sampling, scoring
+from framesift.operators import catalog, forensics, headers, imaging, ingest, jobs, metrics, report, rollups, sampling, scoring, video, watermark
 from framesift.sources import media
 from framesift.streaming import ingest as streaming
 
@@ -216,30 +216,56 @@ def test_pixels_keyed_and_statistics():
     assert pixels.lsb_statistics(np.full((4, 4, 3), 128, np.uint8)) == [(0.0, 1.0)] * 3
 
 
-def test_pixels_ela_and_maps():
+def test_pixels_maps(spark):
     rgb = np.zeros((40, 50, 3), np.uint8)
     rgb[10:30, 10:30] = (220, 30, 30)
-    mean, p95, most, ratio = pixels.ela(rgb)
-    assert most >= p95 >= 0 and 0 <= ratio <= 1 and mean > 0
-    assert pixels.ela(np.full((16, 16, 3), 128, np.uint8))[2] <= 1
+    assert pixels.error_summary(pixels.error_levels(rgb, rgb)) == (0.0, 0.0, 0, 0.0)
+    again = np.where(rgb > 0, rgb - 20, rgb)
+    assert pixels.error_summary(pixels.error_levels(rgb, again)) == (4.0, 20.0, 20, 0.2) and pixels.heatmap(rgb, again).max() == 255
     assert pixels.residual_maps(rgb).shape == (9, 40, 50)
     assert np.isfinite(pixels.spectrum_maps(pixels.residual_maps(rgb))).all()
-
-
-def test_visible_mark():
+    w = pixels.constrained(np.random.default_rng(0).normal(size=(2, 5, 5)))
+    assert np.allclose(w[:, 2, 2], -1) and np.allclose(w.sum(axis=(1, 2)), 0)
+    plane = np.arange(12.0).reshape(3, 4)
+    assert np.array_equal(pixels.resized(plane, 3, 4), plane) and np.allclose(pixels.resized(plane, 6, 8).mean(), plane.mean())
+    frame = spark.createDataFrame([("x", video.as_image(rgb)), ("y", None)], f"k string, image {imaging.IMAGE}")
+    i = F.col("image")
+    got = {r.k: r for r in frame.select("k", imaging.residuals(i).alias("r"), imaging.spectra(i).alias("s"), imaging.prediction_errors(i, np.ones((2, 5, 5))).alias("p"), imaging.keyed_payload(i, F.lit(1), F.lit(9)).alias("h")).collect()}
+    assert len(got["x"].r.levels) == 9 and len(got["x"].r.map) == 2000 and len(got["x"].s.levels) == 18 and len(got["x"].p.levels) == 6
+    assert got["x"].h.error.startswith("ValueError") and got["x"].h.payload is None and got["y"].r is None
+
+
+def frame_with(star, rng, size=34, at=(283, 563)):
+    g = np.tile(np.linspace(40, 90, 640), (360, 1)) + rng.integers(0, 12, (360, 640))
+    if star:
+        y, x = at
+        g[y : y + size, x : x + size] = np.maximum(g[y : y + size, x : x + size], pixels.star_template(size))
+    return video.as_image(np.repeat(g.astype(np.uint8)[..., None], 3, axis=2))
+
+
+def test_visible_marks(spark):
+    """The best match over all corners and sizes, told by a plain loop; only the bottom right one is a mark."""
     rng = np.random.default_rng(0)
-
-    def frame(star):
-        g = np.tile(np.linspace(40, 90, 640), (360, 1)) + rng.integers(0, 12, (360, 640))
-        if star:
-            t = pixels.star_template(34)
-            g[283:317, 563:597] = np.maximum(g[283:317, 563:597], t)
-        return g
-
-    found, score, corner, box = pixels.visible_mark([frame(True) for _ in range(4)])
-    assert found and corner == "bottom_right" and score >= 0.6 and box[0] > 416
-    assert not pixels.visible_mark([frame(False) for _ in range(4)])[0]
-    assert pixels.visible_mark([]) == (False, 0.0, None, None)
+    rows = [("marked", i, frame_with(True, rng)) for i in range(4)] + [("plain", i, frame_with(False, rng)) for i in range(4)]
+    rows += [("elsewhere", i, frame_with(True, rng, at=(20, 20))) for i in range(3)] + [("one", 0, frame_with(True, rng)), ("lost", 0, None)]
+    frames = spark.createDataFrame(rows, f"job_id string, frame_index long, image {imaging.IMAGE}")
+    got = {r.job_id: r.watermark for r in watermark.visible_marks(frames).collect()}
+    assert got["marked"].found and got["marked"].location == "bottom_right" and got["marked"].score >= 0.6 and got["marked"].box.x > 416 and got["marked"].frames == 4
+    assert not got["plain"].found and got["plain"].box is None
+    assert not got["elsewhere"].found and got["elsewhere"].score >= 0.6 and got["elsewhere"].location is None
+    assert got["one"].found == (got["one"].score >= 0.88) and "lost" not in got
+    best = {r.job_id: r for r in watermark.best_match(watermark.evidence(watermark.chosen(frames))).collect()}
+    assert best["elsewhere"].corner == "top_left" and abs(best["elsewhere"].box.x - 20) <= 4
+    maps = watermark.evidence(watermark.chosen(frames)).filter("job_id = 'marked'").first()
+    plane = np.frombuffer(maps["map"], np.uint8).reshape(maps.height, maps.width).astype(float)
+    scores = [pixels.correlation(plane[int(h * b0) : int(h * b1), int(w * a0) : int(w * a1)], pixels.star_template(n)).max() for h, w in [plane.shape] for a0, b0, a1, b1 in watermark.CORNERS.values() for n in range(18, 60) if n in {max(18, round(27 * s)) for s in watermark.SCALES}]
+    assert abs(max(scores) - best["marked"].score) < 1e-9
+
+
+def test_at_most_twelve_frames(spark):
+    rows = [("j", i) for i in range(300)] + [("k", i) for i in range(5)]
+    got = watermark.chosen(spark.createDataFrame(rows, "job_id string, frame_index long")).collect()
+    assert sorted(r.frame_index for r in got if r.job_id == "j") == [int(i * 299 / 11) for i in range(12)] and sum(r.job_id == "k" for r in got) == 5
 
 
 def test_image_source_round_trip(spark, tmp_path):
@@ -253,8 +279,12 @@ def test_image_source_round_trip(spark, tmp_path):
     raw = b"".join(b"\0" + row.tobytes() for row in rgb)
     (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 64, 64, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
     (tmp_path / "b.png").write_bytes(b"broken")
-    signals = media.image_signals(media.images(spark, str(tmp_path))).collect()
-    assert len(signals) == 1
+    decoded = media.images(spark, str(tmp_path))
+    assert {r.path[-5:]: (r.reject_reason, r.image is None) for r in decoded.collect()} == {"a.png": (None, False), "b.png": ("unreadable", True)}
+    signals = media.image_signals(decoded).collect()
+    assert len(signals) == 1 and signals[0].signals.bits == rgb.size
+    header = media.files(spark, str(tmp_path)).select(headers.header(F.col("content"), F.lit("image/png")).alias("h")).orderBy("h.format").collect()
+    assert (header[1].h.format, header[1].h.mode, header[1].h.width) == ("PNG", "RGB", 64) and header[0].h.parser_warning
     assert signals[0].hidden.method == "STEGv1 marker" and bytes(signals[0].hidden.payload) == b"review-one-secret"
     kinds = {r.path[-5:]: (r.media_type, r.reject_reason) for r in media.catalogued(spark, str(tmp_path)).collect()}
     assert kinds == {"a.png": ("image/png", None), "b.png": (None, "unsupported_type")}
