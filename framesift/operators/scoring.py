@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,8 +75,6 @@ def predict(frames: DataFrame, model: Callable | None, *, features: str, batch:
     """
     if model is None:
         return frames.select("*", F.lit(None).cast("double").alias("probability"), F.lit("skipped").alias("status"))
-    import pandas as pd
-
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = model()
