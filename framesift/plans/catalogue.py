@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.checkpoint import shared_folder
-from ..operators import catalog, forensics, ingest, jobs, metrics, report, rollups, sampling, scoring
+from ..operators import analyzers, catalog, evaluate, forensics, headers, imaging, ingest, jobs, metrics, process, report, rollups, sampling, scoring, watermark
 from ..streaming import ingest as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,7 +64,11 @@ def sanitize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "pages").select("page_id", ingest.safe_name(F.col("url")).alias("name"))
 
 
-@query("""SELECT page_id, page_id % 4 <> 1 AND page_id % 4 <> 2 AS inside, page_id % 3 = 0 AS image FROM pages""")
+@query("""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '\\.\\.?/', '', 'g') AS base FROM pages),
+p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN base WHEN 1 THEN 'a/../../' || base WHEN 2 THEN '/' || base ELSE 'a/../' || base END || CASE WHEN page_id % 3 = 0 THEN '.PNG' ELSE '.gif' END AS path FROM b),
+s AS (SELECT page_id, path, list_transform(string_split(path, '/'), lambda x: CASE x WHEN '..' THEN -1 WHEN '.' THEN 0 WHEN '' THEN 0 ELSE 1 END) AS steps FROM p)
+SELECT page_id, path[1] <> '/' AND path[1] <> chr(92) AND NOT regexp_matches(path, '^[A-Za-z]:') AND list_min([list_sum(steps[1:i]) FOR i IN range(1, len(steps) + 1)]) >= 0 AS inside,
+regexp_matches(lower(path), '\\.(jpg|jpeg|png)$') AS image FROM s""")
 def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _t(spark, sf_dir, "pages")
     base = F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://", ""), r"\.\.?/", "")
@@ -75,7 +79,8 @@ def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("page_id", ingest.stays_inside(F.col("path")).alias("inside"), ingest.image_suffix(F.col("path")).alias("image"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN 'read_error' WHEN doc_id % 10 = 0 THEN 'differs' ELSE 'ok' END AS status FROM documents""")
+@query("""WITH e AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN sha256('altered') ELSE sha256(text) END AS sha FROM documents), f AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id % 11 <> 3)
+SELECT e.doc_id, CASE WHEN f.sha IS NULL THEN 'read_error' WHEN f.sha = e.sha THEN 'ok' ELSE 'differs' END AS status FROM e LEFT JOIN f USING (doc_id)""")
 def integrity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
     wanted = F.when(F.col("doc_id") % 10 == 0, F.sha2(F.lit(b"altered"), 256)).otherwise(F.sha2("content", 256))
@@ -295,10 +300,23 @@ def byte_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forensics.entropy(_bytes(spark, sf_dir, 1), "doc_id").select("doc_id", F.round("entropy", 9).alias("entropy"))
 
 
-@query("""WITH s AS (SELECT doc_id, doc_id % 4 AS k, 'note ' || doc_id AS note FROM documents)
-SELECT doc_id, CASE k WHEN 0 THEN 'STEGv1 marker' WHEN 1 THEN '32-bit length prefix (text-like payload)' WHEN 2 THEN 'PDF signature at LSB stream start' END AS method,
-CASE k WHEN 0 THEN note WHEN 1 THEN note WHEN 2 THEN '%PDF' || note END AS payload FROM s""")
-def payload_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _signed(h: str) -> str:
+    """SQL: the name of the signature that the hexadecimal digits h start with."""
+    return "CASE " + " ".join(f"WHEN starts_with({h}, '{k}') THEN '{v}'" for k, v in forensics.SIGNATURES.items()) + " END"
+
+
+#: doc_id, method and payload (hexadecimal digits) by the layouts' rules, read from the stream's bytes.
+_PAYLOAD_SQL = f"""(WITH n AS (SELECT doc_id, doc_id % 4 AS k, 'note ' || doc_id AS note FROM documents),
+s AS (SELECT doc_id, CASE k WHEN 0 THEN hex('xx{forensics.PAYLOAD_MARK}' || note) || '00' || hex('tail') WHEN 1 THEN lpad(to_base(length(note), 16), 8, '0') || hex(note) || 'FF00FF' WHEN 2 THEN hex('%PDF' || note) ELSE 'FFFFFFFF8081828384' END AS h FROM n),
+m AS (SELECT doc_id, h, regexp_extract_all(h, '..') AS b, instr(left(h, 128), hex('{forensics.PAYLOAD_MARK}')) AS mark, CAST('0x' || left(h, 8) AS BIGINT) AS size FROM s),
+c AS (SELECT *, regexp_extract_all(substr(h, mark + {2 * len(forensics.PAYLOAD_MARK)}), '..') AS rest, b[5:4 + size] AS body FROM m),
+t AS (SELECT *, list_position(rest, '00') AS stop, len(b) >= 8 AND size BETWEEN 1 AND least({forensics.MOST_PAYLOAD}, len(b) - 4) AS fits, len(list_filter(body, lambda x: x BETWEEN '20' AND '7E' OR x IN ('0D', '0A', '09'))) AS shown, {_signed("array_to_string(body, '')")} AS inner_sign, {_signed("h")} AS sign FROM c)
+SELECT doc_id, CASE WHEN mark > 0 THEN 'STEGv1 marker' WHEN fits AND (inner_sign IS NOT NULL OR shown / size >= 0.8) THEN '32-bit length prefix (' || coalesce(inner_sign, 'text-like payload') || ')' WHEN sign IS NOT NULL THEN sign || ' signature at LSB stream start' END AS method,
+CASE WHEN mark > 0 THEN nullif(array_to_string(rest[1:coalesce(stop - 1, len(rest))], ''), '') WHEN fits AND (inner_sign IS NOT NULL OR shown / size >= 0.8) THEN array_to_string(body, '') WHEN sign IS NOT NULL THEN h END AS payload FROM t)"""
+
+
+def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, note and p: a decoded stream with one of three layouts, or with none."""
     docs = _t(spark, sf_dir, "documents")
     note = F.concat(F.lit("note "), F.col("doc_id").cast("string"))
     sized = F.concat(F.unhex(F.lpad(F.hex(F.octet_length(note)), 8, "0")), F.encode(note, "UTF-8"), F.lit(b"\xff\x00\xff"))
@@ -307,18 +325,66 @@ def payload_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 0, F.concat(F.encode(F.concat(F.lit("xx"), F.lit(forensics.PAYLOAD_MARK), note), "UTF-8"), F.lit(b"\x00tail")))
         .when(k == 1, sized).when(k == 2, F.encode(F.concat(F.lit("%PDF"), note), "UTF-8")).otherwise(F.lit(b"\xff\xff\xff\xff\x80\x81\x82\x83\x84"))
     )
-    found = docs.select("doc_id", stream.alias("stream")).select("doc_id", forensics.payload(F.col("stream")).alias("p"))
-    return found.select("doc_id", "p.method", F.decode("p.payload", "ISO-8859-1").alias("payload"))
+    return docs.select("doc_id", note.alias("note"), stream.alias("stream")).select("doc_id", "note", forensics.payload(F.col("stream")).alias("p"))
+
+
+@query(f"SELECT doc_id, method, decode(unhex(payload)) AS payload FROM {_PAYLOAD_SQL}")
+def payload_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streams(spark, sf_dir).select("doc_id", "p.method", F.decode("p.payload", "ISO-8859-1").alias("payload"))
+
+
+@query(f"""WITH f AS (SELECT doc_id, doc_id % 5 <> 0 AND doc_id % 4 < 2 AS expected, sha256(CASE WHEN doc_id % 6 = 0 THEN 'other' ELSE 'note ' || doc_id END) AS want, sha256(unhex(payload)) AS got FROM {_PAYLOAD_SQL}),
+c AS (SELECT *, got IS NOT NULL AS actual, expected AND got IS NOT NULL AND got = want AS exact, CASE WHEN expected THEN 'supported' WHEN doc_id % 4 = 3 THEN 'clean' ELSE 'unsupported-layout' END AS category FROM f),
+s AS (SELECT count(*) AS total_cases, count(*) FILTER (expected) AS supported_case_count, count(*) FILTER (expected AND actual) AS supported_payloads_detected, count(*) FILTER (exact) AS correct_payload_count, count(*) FILTER (category = 'clean') AS clean_case_count,
+count(*) FILTER (category = 'clean' AND actual) AS clean_false_positive_count, count(*) FILTER (expected AND NOT actual) AS false_negative_count, count(*) FILTER (expected AND actual AND NOT exact) AS incorrect_payload_count,
+count(*) FILTER (category = 'unsupported-layout') AS unsupported_case_count, count(*) FILTER (category = 'unsupported-layout' AND actual) AS unsupported_detection_count FROM c)
+SELECT *, round(100.0::DOUBLE * supported_payloads_detected / supported_case_count, 2) AS supported_extraction_success_rate_percent, round(100.0::DOUBLE * correct_payload_count / supported_case_count, 2) AS payload_correctness_rate_percent,
+round(100.0::DOUBLE * clean_false_positive_count / clean_case_count, 2) AS clean_false_positive_rate_percent FROM s""")
+def stego_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of all documents against what their streams hold."""
+    found = _streams(spark, sf_dir)
+    k, file = F.col("doc_id"), F.col("doc_id").cast("string").alias("file")
+    expected = (k % 5 != 0) & (k % 4 < 2)
+    category = F.when(expected, "supported").when(k % 4 == 3, "clean").otherwise("unsupported-layout")
+    want = F.sha2(F.when(k % 6 == 0, "other").otherwise(F.concat(F.lit("note "), k.cast("string"))), 256)
+    cases = _t(spark, sf_dir, "documents").select(file, category.alias("category"), expected.alias("expected_supported_payload"), want.alias("payload_sha256"))
+    return evaluate.hidden_summary(evaluate.hidden_cases(cases, found.select(file, "p.method", "p.payload")))
+
+
+_PIXELS_SQL = f"(SELECT doc_id, pos // 3 AS px, 2 - pos % 3 AS channel, v FROM {_BYTE_ROWS} JOIN (SELECT doc_id, octet_length(encode(text)) // 3 * 3 AS n FROM documents) USING (doc_id) WHERE pos < n)"
+
+
+@query(f"""WITH x AS (SELECT * FROM {_PIXELS_SQL}), h AS (SELECT doc_id, channel, v >> 1 AS pair, count(*) AS n, sum(v & 1) AS ones FROM x GROUP BY ALL),
+c AS (SELECT doc_id, channel, sum(ones) / sum(n) AS ones_ratio, avg(abs(n - 2 * ones) / n) AS pair_imbalance FROM h GROUP BY ALL),
+p AS (SELECT doc_id, (px * 3 + channel) // 8 AS place, sum((v & 1) << (7 - (px * 3 + channel) % 8)) AS packed FROM x GROUP BY ALL),
+e AS (SELECT doc_id, entropy(packed) AS entropy FROM p WHERE place < {forensics.MOST_PAYLOAD} GROUP BY doc_id)
+SELECT doc_id, (SELECT count(*) FROM x WHERE x.doc_id = e.doc_id) AS bits, {", ".join(f"round(max({v}) FILTER (channel = {i}), 6) AS {n}_{v}" for i, n in enumerate(imaging.CHANNELS) for v in ("ones_ratio", "pair_imbalance"))}, round(any_value(entropy), 6) AS entropy
+FROM e JOIN c USING (doc_id) GROUP BY doc_id""")
+def image_forensics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Low-bit findings of each text as the pixels of an image of one row."""
+    content = F.encode("text", "UTF-8")
+    width = F.floor(F.octet_length(content) / 3).cast("int")
+    image = F.struct(F.lit(1).alias("height"), width.alias("width"), F.lit(3).alias("channels"), F.substring(content, F.lit(1), width * 3).alias("data"))
+    media = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("job_id"), F.lit("image/png").alias("media_type"), content.alias("content"), F.when(width > 0, image).alias("image"))
+    done = analyzers.analyse(media, [analyzers.ImageForensics()]).select(F.col("job_id").alias("doc_id"), F.get("modules", F.lit(0))["findings"].alias("f"))
+    value = lambda path, kind: F.get_json_object("f", f"$.lsb.{path}").cast(kind)
+    channels = [value(f"channel_statistics.{n}.{v}", "double").alias(f"{n}_{v}") for n in imaging.CHANNELS for v in ("ones_ratio", "pair_imbalance")]
+    return done.select("doc_id", value("available_lsb_bits", "long").alias("bits"), *channels, value("packed_stream_entropy", "double").alias("entropy")).filter("bits IS NOT NULL")
 
 
 _MARKS = ("C2PA manifest", "made with Midjourney", "trainedAlgorithmicMedia", "Created by Google Generative AI Gemini", "", "Content Credentials", "jumb DALL-E")
 
 
-@query(f"""WITH m AS (SELECT doc_id, doc_id % 7 AS k FROM documents)
-SELECT doc_id, CASE k WHEN 0 THEN 'c2pa' WHEN 5 THEN 'content credentials' WHEN 6 THEN 'jumb' ELSE '' END AS c2pa_markers,
-CASE k WHEN 2 THEN 'Algorithmic media,Trained algorithmic media' WHEN 3 THEN 'Created by Google Generative AI' ELSE '' END AS ai_claims,
-CASE k WHEN 1 THEN 'Midjourney' WHEN 3 THEN 'Google Gemini,Google Generative AI' WHEN 6 THEN 'DALL-E' ELSE '' END AS providers,
-CASE WHEN k IN (2, 3) THEN 'unverified_ai_origin_claim' ELSE 'inconclusive' END AS assessment FROM m""")
+def _listed(markers: dict[str, str]) -> str:
+    """SQL: the names of the markers that `low` holds, in order and once."""
+    each = ", ".join(f"CASE WHEN contains(low, '{m}') THEN '{n}' END" for m, n in markers.items())
+    return f"array_to_string(list_sort(list_distinct(list_filter([{each}], lambda x: x IS NOT NULL))), ',')"
+
+
+@query(f"""WITH m AS (SELECT doc_id, text, ({list(_MARKS)})[doc_id % 7 + 1] AS mark, CASE doc_id // 7 % 3 WHEN 0 THEN 0 WHEN 1 THEN length(text) // 2 ELSE length(text) END AS place FROM documents),
+t AS (SELECT doc_id, lower(left(text, place) || ' ' || mark || ' ' || substr(text, place + 1)) AS low FROM m),
+f AS (SELECT doc_id, {_listed({m: m for m in forensics.C2PA})} AS c2pa_markers, {_listed(forensics.AI_CLAIMS)} AS ai_claims, {_listed(forensics.PROVIDERS)} AS providers FROM t)
+SELECT *, CASE WHEN ai_claims <> '' THEN 'unverified_ai_origin_claim' ELSE 'inconclusive' END AS assessment FROM f""")
 def provenance_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents")
     mark = F.element_at(F.array(*[F.lit(m) for m in _MARKS]), (F.col("doc_id") % 7 + 1).cast("int"))
@@ -388,7 +454,10 @@ def catalog_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-_RECORDS_SQL = "(SELECT o_orderkey AS k, o_custkey AS c FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT o_orderkey, o_custkey + 1 FROM orders WHERE o_orderkey % 70 = 0)"
+_COMPONENTS_SQL = """WITH RECURSIVE r AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders UNION ALL SELECT o_orderkey, o_custkey + 1 FROM orders WHERE o_orderkey % 70 = 0),
+e AS (SELECT DISTINCT r.k AS a, m.k AS b FROM r JOIN (SELECT c, min(k) AS k FROM r GROUP BY c) m USING (c)), links AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+found(key, component) USING KEY (key) AS (SELECT DISTINCT k, k FROM r UNION (SELECT l.a, min(w.component) FROM links l JOIN found w ON l.b = w.key JOIN recurring.found u ON u.key = l.a WHERE w.component < u.component GROUP BY l.a))
+SELECT key, component FROM found"""
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,16 +467,15 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("key"), ids.alias("identity"))
 
 
-@query(f"""WITH RECURSIVE r AS {_RECORDS_SQL}, e AS (SELECT DISTINCT a.k AS a, b.k AS b FROM r a JOIN r b USING (c)), reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
-SELECT a AS key, min(b) AS component FROM reach GROUP BY a""")
+@query(_COMPONENTS_SQL)
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every tenth record only, as its SQL has it; components_all has them all."""
-    return catalog.components(catalog.constraints(_records(spark, sf_dir).filter("key % 10 = 0"), "key", ["identity"]))
+    return catalog.components(catalog.constraints(_records(spark, sf_dir), "key", ["identity"]))
 
 
-@query()
+@query(_COMPONENTS_SQL)
 def components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.components(catalog.constraints(_records(spark, sf_dir), "key", ["identity"]))
+    """The same under its earlier name."""
+    return components(spark, sf_dir)
 
 
 @query("""SELECT sha256(text) AS constraint, count(DISTINCT doc_id % 3) AS splits FROM documents GROUP BY ALL HAVING count(DISTINCT doc_id % 3) > 1""")
@@ -432,6 +500,64 @@ def split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(catalog.split_components(found), "component").select("key", "component", "split")
 
 
+# --- headers, watermark tries, cleanup ---------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT doc_id, n_chars % 3000 AS w, 1 + doc_id % 2000 AS h FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 9 > 0 THEN 'PNG' END AS format, CASE WHEN doc_id % 9 > 0 THEN ['L', 'RGB', 'RGBA'][doc_id % 3 + 1] END AS mode, CASE WHEN doc_id % 9 > 0 THEN w END AS width, CASE WHEN doc_id % 9 > 0 THEN h END AS height,
+CASE WHEN doc_id % 9 = 0 OR w = 0 THEN 'unreadable' WHEN w * h > 2000000 THEN 'too_many_pixels' END AS decode_reject FROM d""")
+def media_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads of PNG files by size and colour; every ninth is cut short."""
+    d = _t(spark, sf_dir, "documents")
+    number = lambda c: F.lpad(F.hex(c), 8, "0")
+    colour = F.element_at(F.array(F.lit("00"), F.lit("02"), F.lit("06")), (F.col("doc_id") % 3 + 1).cast("int"))
+    head = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), F.when(F.col("doc_id") % 9 > 0, F.concat(number(F.col("n_chars") % 3000), number(1 + F.col("doc_id") % 2000), F.lit("08"), colour)).otherwise(""))
+    files = d.select("doc_id", F.unhex(head).alias("content"), F.lit("image/png").alias("media_type"))
+    found = headers.inspected(files, most_pixels=2_000_000)
+    return found.select("doc_id", "header.format", "header.mode", *[F.col(f"header.{c}").cast("long").alias(c) for c in ("width", "height")], "decode_reject")
+
+
+@query(f"""WITH d AS (SELECT doc_id, n_chars % 1900 + 20 AS w, doc_id * 37 % 1000 + 20 AS h FROM documents), c(no, corner, a, b, c, d) AS (VALUES {", ".join(f"({i}, '{n}', {a}, {b}, {c}, {d})" for i, (n, (a, b, c, d)) in enumerate(watermark.CORNERS.items()))}),
+s AS (SELECT doc_id, w, h, unnest(list_distinct([CAST(least({watermark.MOST_SIZE}, greatest({watermark.LEAST_SIZE}, round_even(greatest({watermark.LEAST_BASE}, least({watermark.MOST_SIZE}, round_even(least(w, h) * {watermark.SHARE}::DOUBLE, 0))) * x, 0))) AS BIGINT) FOR x IN [{", ".join(f"{x}::DOUBLE" for x in watermark.SCALES)}]])) AS size FROM d),
+t AS (SELECT doc_id, corner, size, CAST(floor(w * a::DOUBLE) AS BIGINT) AS x0, CAST(floor(h * b::DOUBLE) AS BIGINT) AS y0, CAST(floor(w * c::DOUBLE) AS BIGINT) AS x1, CAST(floor(h * d::DOUBLE) AS BIGINT) AS y1 FROM s, c)
+SELECT * FROM t WHERE x1 - x0 >= size AND y1 - y0 >= size""")
+def watermark_tries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners and template sizes that are looked at in images of many sizes."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 1900 + 20).cast("int").alias("w"), (F.col("doc_id") * 37 % 1000 + 20).cast("int").alias("h"))
+    return d.select("doc_id", F.inline(watermark.tries(F.col("h"), F.col("w")))).select("doc_id", "corner", *_long("size", "x0", "y0", "x1", "y1"))
+
+
+@query(f"""SELECT id, CASE WHEN o_custkey % 10 = 0 THEN 'path leaves its folder: ../' || id WHEN o_custkey % 10 = 1 THEN 'path leaves its folder: /reports/' || id END AS failure
+FROM {_JOBS_SQL} WHERE updated_at < TIMESTAMP '1996-06-01' AND status NOT IN ('queued', 'processing')""")
+def cleanup_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_custkey") % 10
+    paths = F.array(F.concat(F.when(k == 0, "../").otherwise("uploads/"), "id"), F.concat(F.when(k == 1, "/reports/").otherwise("reports/"), "id"))
+    return jobs.checked_paths(_jobs(spark, sf_dir), F.lit("1996-06-01").cast("timestamp"), paths)
+
+
+@query("""WITH l AS (SELECT user_id AS id, event_id AS "at", (['queued', 'processing', 'completed', 'failed'])[event_id % 4 + 1] AS status FROM events), s AS (SELECT *, lag(status) OVER (PARTITION BY id ORDER BY "at") AS before FROM l)
+SELECT id, "at", before, status FROM s WHERE NOT CASE WHEN before IS NULL THEN status = 'queued' WHEN before = 'queued' THEN status IN ('processing', 'failed') WHEN before = 'processing' THEN status IN ('completed', 'partially_completed', 'failed') ELSE false END""")
+def status_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.element_at(F.array(*map(F.lit, ("queued", "processing", "completed", "failed"))), (F.col("event_id") % 4 + 1).cast("int"))
+    log = _t(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("at"), status.alias("status"))
+    return streaming.wrong_steps(log, process.allowed_step).select("id", "at", "before", "status")
+
+
+@query(f"""WITH j AS (SELECT id, status, source_name, o_custkey, created_at, o_orderkey % 3 > 0 AS done, o_orderkey % 2 = 0 AS film FROM {_JOBS_SQL}),
+l AS (SELECT id, ['Forensic Risk Assessment', 'Analysis ID: ' || id, 'Status: ' || status, 'Source: ' || source_name, 'Media type: video/mp4', 'SHA-256: ' || sha256(id), 'Size: ' || o_custkey || ' bytes', 'Created: ' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g')]
+|| CASE WHEN done THEN ['Media', 'Code version: 1', 'Analysed: ' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g'), 'Dimensions: 640 x 360'] || CASE WHEN film THEN ['Duration: 2.500 seconds', 'Frame rate: 25.0 FPS', 'Sampled frames: 3'] ELSE [] END
+|| ['Module findings', 'deepfake_detection: completed', 'Version: 1; duration: 5 ms', 'Face-manipulation model score: 25.0%', '{report.SCORE_NOTE}', 'Warning: look twice', '{{"deepfake_probability":0.25}}', 'Analysis warnings', 'sampled'] ELSE [] END
+|| ['{report.LIMITATION[:91]}', '{report.LIMITATION[92:]}'] AS lines FROM j)
+SELECT id, CAST(unnest(range(len(lines))) AS BIGINT) AS line_no, unnest(lines) AS line FROM l""")
+def report_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole reports of all jobs, those without a result too."""
+    film, k = F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 3
+    module = F.struct(F.lit("deepfake_detection").alias("module"), F.lit("completed").alias("status"), F.lit("1").alias("version"), F.lit(5).alias("duration_ms"), F.lit("{}").alias("settings"), F.lit('{"deepfake_probability":0.25}').alias("findings"), F.array(F.lit("look twice")).alias("warnings"))
+    result = F.struct(F.lit("1").alias("code_version"), F.col("created_at").alias("analysed_at"), F.lit(640).alias("width"), F.lit(360).alias("height"), F.when(film, 2.5).alias("duration_seconds"), F.when(film, 25.0).alias("frame_rate"), F.lit(3).alias("sampled_frames"), F.array(module).alias("modules"), F.array(F.lit("sampled")).alias("warnings"))
+    j = _jobs(spark, sf_dir).select("id", "status", "source_name", F.lit("video/mp4").alias("media_type"), F.sha2(F.col("id").cast("binary"), 256).alias("sha256"), F.col("o_custkey").alias("size_bytes"), "created_at", F.when(k > 0, result).alias("result"))
+    return report.full_report(j).select("id", *_long("line_no"), "line")
+
+
 # --- metrics ---------------------------------------------------------------------------------------
 
 _SCORED_SQL = "(SELECT doc_id, quality AS label, (n_chars % 1000) / 1000 AS score, lang, n_chars FROM documents JOIN labels USING (doc_id))"
