@@ -547,7 +547,7 @@ def status_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 l AS (SELECT id, ['Forensic Risk Assessment', 'Analysis ID: ' || id, 'Status: ' || status, 'Source: ' || source_name, 'Media type: video/mp4', 'SHA-256: ' || sha256(id), 'Size: ' || o_custkey || ' bytes', 'Created: ' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g')]
 || CASE WHEN done THEN ['Media', 'Code version: 1', 'Analysed: ' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g'), 'Dimensions: 640 x 360'] || CASE WHEN film THEN ['Duration: 2.500 seconds', 'Frame rate: 25.0 FPS', 'Sampled frames: 3'] ELSE [] END
 || ['Module findings', 'deepfake_detection: completed', 'Version: 1; duration: 5 ms', 'Face-manipulation model score: 25.0%', '{report.SCORE_NOTE}', 'Warning: look twice', '{{"deepfake_probability":0.25}}', 'Analysis warnings', 'sampled'] ELSE [] END
-|| ['{report.LIMITATION[:91]}', '{report.LIMITATION[92:]}'] AS lines FROM j)
+|| ['{report.LIMITATION[:92]}', '{report.LIMITATION[93:]}'] AS lines FROM j)
 SELECT id, CAST(unnest(range(len(lines))) AS BIGINT) AS line_no, unnest(lines) AS line FROM l""")
 def report_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole reports of all jobs, those without a result too."""
