@@ -53,7 +53,9 @@ def owners(starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, r
     if rule == "end":
         return last
     out = first.copy()
-    for i in np.flatnonzero(first != last):
+    # Tokens whose ends lie in different places, or in no section with one between them.
+    between = np.searchsorted(a, ends, side="left") > np.searchsorted(b, starts, side="right")
+    for i in np.flatnonzero((first != last) | ((first < 0) & between)):
         low = max(0, int(np.searchsorted(b, starts[i], side="right")))
         high = int(np.searchsorted(a, ends[i], side="left"))
         held = np.minimum(b[low:high], ends[i]) - np.maximum(a[low:high], starts[i])
@@ -143,3 +145,9 @@ def count_tokens(
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def page_field_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each page's fields, its address and its source put together, each token going where most of it lies."""
+    fields = with_fields(table(spark, sf_dir, "pages"), "page_id", ["url", "html"])
+    return count_tokens(fields, sections_col="sections", rule="largest").withColumnRenamed("doc_id", "page_id")
