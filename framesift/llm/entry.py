@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, substrings
+from . import mixing, pii, rules, secrets, substrings, tokens
 from .decontam import op7_decontaminate
 from .langid import op8_language_id
 from .mixing import op5_mixing
@@ -29,10 +29,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
     "op10_suffix_dedup": op10_suffix_dedup,
+    # Parts of operators beside the ten: what SQL can say of them, and token counts of given fields.
+    "secret_base_spans": secrets.secret_base_spans,
+    "quality_base": rules.quality_base,
+    "page_field_tokens": tokens.page_field_tokens,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_mixing": mixing.ORACLE_SQL,
     "op9_pii": pii.ORACLE_SQL,
     "op10_suffix_dedup": substrings.ORACLE_SQL,
+    "secret_base_spans": secrets.BASE_SQL,
+    "quality_base": rules.BASE_SQL,
 }

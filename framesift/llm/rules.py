@@ -186,7 +186,9 @@ def apply_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
 
     The list is learned from labelled rows that pass the base (labels with null are left out; the
     rows whose crc32 of the id modulo 4 is 2 are held out for measuring). Without labels only the
-    base decides. Repeated rows give repeated rows; an empty table gives an empty result.
+    base decides. Null and empty texts have no words and fail the base; repeated rows give repeated rows, and
+    repeated labels count each; an empty table gives an empty result. Other columns are ignored. A list has up
+    to MOST_RULES rules of up to MOST_CONDITIONS thresholds, drawn from BINS quantiles of each statistic.
     """
     stats = cut(text_statistics(docs, id_col=id_col, text_col=text_col))
     marks = labels.select(F.col(id_col).alias("doc_id"), (F.col(label_col) == 1).alias("good")).filter("good IS NOT NULL").filter(crc_fold(F.col("doc_id"), 4) != 2)
@@ -199,3 +201,22 @@ def apply_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base rule alone."""
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return text_statistics(table(spark, sf_dir, "documents")).select("doc_id", *counts, base_failed().alias("base_failed"))
+
+
+#: The same from words, lines and windows as rows.
+BASE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0b\\f\\r]')) AS lines FROM d),
+g AS (SELECT doc_id, unnest(range(1, len(words) - {WINDOW - 2})) AS i, unnest([words[k:k + {WINDOW - 1}] FOR k IN range(1, len(words) - {WINDOW - 2})]) AS g FROM w WHERE len(words) >= {WINDOW}),
+r AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (SELECT doc_id, unnest([i + k FOR k IN range({WINDOW})]) AS place FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1) GROUP BY doc_id),
+c AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN words]), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id))
+SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM c
+"""

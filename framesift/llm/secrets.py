@@ -362,3 +362,29 @@ def redact(docs: DataFrame, formats: Formats | None = None, *, text_col: str = "
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan(docs, train(docs))
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans alone, as the scan gives them."""
+    return scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+#: The base spans by their patterns; alternatives of either case are spelt out.
+_WORDS = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key"))
+_FIXED = {
+    "assign": rf"""({_WORDS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+    "access": r"AKIA[A-Z0-9]+",
+    "hex": r"[0-9a-f]+",
+}
+_RAW = " UNION ALL ".join(
+    f"SELECT doc_id, {no} AS no, '{k}' AS kind, regexp_extract_all(text, '{p}') AS ms, regexp_extract_all(text, '{p}', {2 if k == 'assign' else 0}) AS vs, regexp_split_to_array(text, '{p}') AS gaps FROM d"
+    for no, (k, p) in enumerate(_FIXED.items())
+)
+BASE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+one AS (SELECT doc_id, no, kind, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(vs) AS v, unnest(gaps[1:len(ms)]) AS gap FROM ({_RAW})),
+placed AS (SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, no ORDER BY i) AS BIGINT) AS e FROM one),
+kept AS (SELECT *, e - length(m) AS s FROM placed WHERE length(v) >= CASE kind WHEN 'assign' THEN {LEAST_ASSIGN} WHEN 'access' THEN {LEAST_ACCESS} ELSE 24 END),
+by_doc AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) AS spans FROM kept GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN by_doc USING (doc_id)
+"""

@@ -109,6 +109,65 @@ def test_statistics(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
 
 
+def covered_plainly(rows, cuts):
+    """Sequential covering restated: rows (good, prunes, values by statistic); conditions are (statistic, above, threshold)."""
+
+    def holds(rule, v):
+        return all((v[s] > t) if above else (v[s] <= t) for s, above, t in rule)
+
+    out, left = [], list(rows)
+    while len(out) < rules.MOST_RULES:
+        rule, grow = [], [r for r in left if not r[1]]
+        while len(rule) < rules.MOST_CONDITIONS:
+            here = [r for r in grow if holds(rule, r[2])]
+            p0, n0, best = sum(not r[0] for r in here), sum(r[0] for r in here), None
+            for s in rules.STATISTICS:
+                for t in cuts[s]:
+                    for above in (False, True):
+                        p = sum(not r[0] for r in here if holds([(s, above, t)], r[2]))
+                        n = sum(r[0] for r in here if holds([(s, above, t)], r[2]))
+                        if p >= rules.LEAST_COVERED and p + n < p0 + n0:
+                            gain = p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0)))
+                            if gain > 1e-9 and (best is None or gain > best[0] + 1e-12):
+                                best = (gain, (s, above, t), n)
+            if not best:
+                break
+            rule.append(best[1])
+            if not best[2]:
+                break
+        if not rule:
+            break
+        prune = [r for r in left if r[1]]
+        worth = []
+        for k in range(len(rule)):
+            p, n = (sum(r[0] == good for r in prune if holds(rule[: k + 1], r[2])) for good in (False, True))
+            worth.append(((p - n) / max(1, p + n), p))
+        keep = max(range(len(rule)), key=lambda k: (worth[k][0], -k))
+        if worth[keep][0] <= 0 or worth[keep][1] < rules.LEAST_COVERED // 2:
+            break
+        out.append(rule[: keep + 1])
+        left = [r for r in left if not holds(out[-1], r[2])]
+    return out
+
+
+def test_learner_by_plain_covering(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(400):
+        v = [rng.choice([0, 0.1, 0.2, 0.4, 0.8]) if k % 2 else round(rng.random(), 2) for k in range(len(rules.STATISTICS))]
+        bad = v[0] > 0.6 or (v[1] >= 0.4 and v[2] < 0.3) or rng.random() < 0.05
+        rows.append((i, not bad, *map(float, v)))
+    frame = spark.createDataFrame(rows, "doc_id long, good boolean, " + ", ".join(f"{s} double" for s in rules.STATISTICS))
+    told = frame.withColumn("prunes", F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).collect()
+    quantiles = frame.agg(*[F.percentile_approx(s, [i / rules.BINS for i in range(1, rules.BINS)], 10000).alias(s) for s in rules.STATISTICS]).first()
+    want = covered_plainly([(r.good, r.prunes, r.asDict()) for r in told], {s: sorted(set(quantiles[s])) for s in rules.STATISTICS})
+    got = rules.learn(frame)
+    assert len(want) >= 2 and [[(c.statistic, c.above) for c in rule] for rule in got] == [[(s, above) for s, above, _ in rule] for rule in want]
+    for rule, plain in zip(got, want):
+        for c, (s, above, t) in zip(rule, plain):  # thresholds moved, but no row changes sides
+            assert [r[s] > c.threshold for r in told] == [r[s] > t for r in told]
+
+
 def test_rules_on_held_out(spark):
     big = "/root/testdata/sf0.01"
     d, marks = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
@@ -239,6 +298,52 @@ def test_token_sections_add_up(docs, spark):
     assert lengths[ids].sum() == len("aé\n\U0001f600 x".encode())
 
 
+def test_section_counts_by_bytes():
+    """Tokens of each section, and those that reach beyond it, told byte by byte."""
+    ranks = open(tokens.VOCABULARY, "rb").read()
+    encoding, lengths = tokens.encoder(ranks)
+    rng = random.Random(12)
+    for _ in range(60):
+        text = "".join(rng.choice(["hello ", "wörld", "\n", " 12", "\U0001f600", "a", "...", "internationalisation"]) for _ in range(rng.randint(0, 25)))
+        cuts = sorted(rng.randint(0, len(text)) for _ in range(2 * rng.randint(0, 5)))
+        sections = [(f"s{k}", a, b) for k, (a, b) in enumerate(zip(cuts[::2], cuts[1::2]))]
+        byte = [0]
+        for c in text:
+            byte.append(byte[-1] + len(c.encode()))
+        place, owner_of = 0, {}
+        ends = [(byte[a], byte[b]) for _, a, b in sections]
+        for rule in tokens.RULES:
+            want, crossing, none, place = Counter(), Counter(), 0, 0
+            for token in encoding.encode_ordinary(text):
+                span = range(place, place + int(lengths[token]))
+                place = span.stop
+                inside = [sum(a <= i < b for i in span) for a, b in ends]
+                if rule == "largest":
+                    owner = inside.index(max(inside)) if inside and max(inside) else None
+                else:
+                    at = span[0] if rule == "start" else span[-1]
+                    owner = next((k for k, (a, b) in enumerate(ends) if a <= at < b), None)
+                if owner is None:
+                    none += 1
+                else:
+                    want[owner] += 1
+                    crossing[owner] += inside[owner] < len(span)
+            rows = tokens.count_sections(text, sections, ranks, rule)
+            got = {r[1]: (r[4], r[5]) for r in rows if r[0] >= 0}
+            assert got == {name: (want[k], crossing[k]) for k, (name, _, _) in enumerate(sections)}, (text, sections, rule)
+            assert [r[4] for r in rows if r[0] < 0] == ([none] if none else [])
+
+
+def test_fields_keep_their_places(spark):
+    frame = spark.createDataFrame([(1, "né", None, "last one", 7), (2, None, "", None, 8)], "k long, a string, b string, c string, sections int")
+    given = tokens.with_fields(frame, "k", ["a", "b", "c"])
+    rows = {(r.doc_id, r.name): r for r in tokens.count_tokens(given, sections_col="sections", rule="largest").collect() if r.section >= 0}
+    texts = {r.doc_id: r.text for r in given.collect()}
+    assert {k: texts[k[0]][r.char_start : r.char_end] for k, r in rows.items()} == {(1, "a"): "né", (1, "b"): "", (1, "c"): "last one", (2, "a"): "", (2, "b"): "", (2, "c"): ""}
+    encoding, _ = tokens.encoder(open(tokens.VOCABULARY, "rb").read())
+    assert sum(r.n_tokens for r in tokens.count_tokens(given, sections_col="sections").filter("doc_id = 1").collect()) == len(encoding.encode_ordinary("né\n\nlast one"))
+
+
 def test_token_owner_rules():
     ranks = open(tokens.VOCABULARY, "rb").read()
     text, spans = "hello world", [("x", 0, 3), ("y", 5, 9)]
