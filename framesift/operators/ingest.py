@@ -45,6 +45,11 @@ def extension(kind: Column) -> Column:
     return F.element_at(F.create_map(*pairs), kind)
 
 
+def stored_name(job_id: Column, kind: Column) -> Column:
+    """Name that an accepted file is kept under."""
+    return F.concat(job_id, extension(kind))
+
+
 def stays_inside(path: Column) -> Column:
     """Whether a relative path never leaves its root; absolute and drive paths do."""
     step = lambda a, s: F.struct(

@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import pixels, scalar
 from ..functions.checkpoint import shared_folder
 from ..operators import analyzers, catalog, evaluate, forensics, headers, imaging, ingest, jobs, metrics, process, report, rollups, sampling, scoring, watermark
+from ..sources import media
 from ..streaming import ingest as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +107,16 @@ def media_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""WITH d AS (SELECT doc_id, (['image/png', 'image/gif', '', 'video/mp4'])[doc_id % 4 + 1] AS mime, 'a' || doc_id || (['.JPG', '.txt', '.mov', '.gif', '.jpeg'])[doc_id % 5 + 1] AS name, n_chars * 100000 AS size FROM documents)
+SELECT doc_id, (mime IN ('image/jpeg', 'image/png', 'video/mp4', 'video/quicktime') OR regexp_matches(lower(name), '\\.(jpg|jpeg|png|mp4|mov)$')) AND size <= 524288000 AS accepted,
+doc_id || CASE mime WHEN 'image/png' THEN '.png' WHEN 'video/mp4' THEN '.mp4' END AS stored FROM d""")
+def client_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    mime, end = F.element_at(F.array(*map(F.lit, ("image/png", "image/gif", "", "video/mp4"))), (k % 4 + 1).cast("int")), F.element_at(F.array(*map(F.lit, (".JPG", ".txt", ".mov", ".gif", ".jpeg"))), (k % 5 + 1).cast("int"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", mime.alias("mime"), F.concat(F.lit("a"), k.cast("string"), end).alias("name"), (F.col("n_chars") * 100000).alias("size"))
+    return d.select("doc_id", ingest.accepted_by_client(F.col("mime"), F.col("name"), F.col("size")).alias("accepted"), ingest.stored_name(k.cast("string"), F.col("mime")).alias("stored"))
+
+
 # --- job ledger ------------------------------------------------------------------------------------
 
 _JOBS_SQL = """(SELECT CAST(o_orderkey AS VARCHAR) AS id,
@@ -558,6 +570,61 @@ def report_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.full_report(j).select("id", *_long("line_no"), "line")
 
 
+_FOURCC = "(['avc1', 'hev1', 'mp4v', 'ap4h'])[o_orderkey % 4 + 1]"
+
+
+@query(f"""SELECT o_orderkey AS key, CASE WHEN o_orderkey % 7 > 0 THEN {_FOURCC} END AS fourcc, strftime(o_orderdate + to_microseconds(o_orderkey), '%Y-%m-%dT%H:%M:%S.%f+00:00') AS at,
+replace(replace(replace(replace(replace('<' || o_orderpriority || '&''">', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#039;') AS escaped,
+CASE WHEN o_orderkey % 3 > 0 THEN printf('%.1f%%', o_orderkey % 1000 / 997.0 * 100) ELSE '—' END AS percent, round((o_totalprice::DOUBLE - 1000) / greatest((o_orderkey % 2) * 5000.0::DOUBLE, 1e-6::DOUBLE) * 255, 0) AS stretched FROM orders""")
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    code = F.element_at(F.array(*[F.lit(int.from_bytes(c.encode(), "little")) for c in ("avc1", "hev1", "mp4v", "ap4h")]), (k % 4 + 1).cast("int"))
+    low = F.lit(1000.0)
+    return _t(spark, sf_dir, "orders").select(
+        k.alias("key"), scalar.fourcc(F.when(k % 7 > 0, code).otherwise(0)).alias("fourcc"), scalar.utc_iso(F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + k)).alias("at"),
+        scalar.escaped(F.concat(F.lit("<"), "o_orderpriority", F.lit("&'\">"))).alias("escaped"), scalar.percent(F.when(k % 3 > 0, k % 1000 / 997)).alias("percent"),
+        F.round(scalar.stretched(F.col("o_totalprice").cast("double"), low, low + (k % 2) * 5000), 0).alias("stretched"),
+    )
+
+
+@query("""SELECT 's' || o_orderkey AS sample_id, 'a/' || o_orderkey || '.png' AS path, CAST(o_orderkey % 2 AS INTEGER) AS label, 'p' || o_custkey || ';q' || o_orderkey % 5 AS identity_ids, o_orderpriority AS source_group, 'set, one' AS dataset, CASE WHEN o_orderkey % 3 = 0 THEN 'say "hi"' ELSE 'unspecified' END AS manipulation, sha256(CAST(o_orderkey AS VARCHAR)) AS sha256 FROM orders""")
+def catalog_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue written as CSV to the shared folder and read again."""
+    k = F.col("o_orderkey")
+    text = k.cast("string")
+    records = _t(spark, sf_dir, "orders").select(
+        F.concat(F.lit("s"), text).alias("sample_id"), F.concat(F.lit("a/"), text, F.lit(".png")).alias("path"), (k % 2).cast("int").alias("label"), F.array(F.concat(F.lit("p"), "o_custkey"), F.concat(F.lit("q"), k % 5)).alias("identity_ids"),
+        F.col("o_orderpriority").alias("source_group"), F.lit("set, one").alias("dataset"), F.when(k % 3 == 0, 'say "hi"').otherwise("unspecified").alias("manipulation"), F.sha2(text.cast("binary"), 256).alias("sha256"),
+    )
+    at = shared_folder(spark, "catalog")
+    media.write_catalog(records, at)
+    return media.read_catalog(spark, at).withColumn("identity_ids", F.array_join("identity_ids", ";"))
+
+
+@query(f"SELECT id, 'forensic_risk_assessment' AS report_type, 'leads only' AS disclaimer, status, error IS NULL AS no_error FROM {_JOBS_SQL}")
+def json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports as JSON, read again; a null field has to be there."""
+    made = report.json_report(_jobs(spark, sf_dir).select("id", "status", "error"), "leads only")
+    body = F.from_json("report", "report_type string, disclaimer string, analysis struct<id:string,status:string,error:string>").alias("r")
+    told = made.select("id", body, F.contains("report", F.lit('"error":')).alias("named"))
+    return told.filter("named").select("id", "r.report_type", "r.disclaimer", "r.analysis.status", F.col("r.analysis.error").isNull().alias("no_error"))
+
+
+_KERNELS_SQL = ", ".join(f"({no}, {y - 2}, {x - 2}, {int(kernel[y, x])}, {divisor})" for no, (kernel, divisor) in enumerate(pixels.SRM) for y in range(5) for x in range(5) if kernel[y, x])
+
+
+@query(f"""WITH p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, least(255, floor(abs(CAST(embedding[i + 1] AS DOUBLE)) * 255)) / 255 AS v FROM embeddings, range(64) r(i)), k(no, dy, dx, w, d) AS (VALUES {_KERNELS_SQL}),
+c AS (SELECT vec_id, no, p.y - dy AS y, p.x - dx AS x, sum(v * w / d) AS s FROM p, k WHERE p.y - dy BETWEEN 0 AND 7 AND p.x - dx BETWEEN 0 AND 7 GROUP BY ALL)
+SELECT vec_id, CAST(no AS BIGINT) AS filter, round(sum(abs(s)) / 64, 9) AS level FROM c GROUP BY ALL""")
+def residual_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean absolute high-pass residual of each vector as a grey image of eight by eight, by filter."""
+    values = F.transform(F.slice("embedding", 1, 64), lambda x: F.lpad(F.hex(F.least(F.lit(255), F.floor(F.abs(x.cast("double")) * 255)).cast("long")), 2, "0"))
+    image = F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), F.unhex(F.array_join(values, "")).alias("data"))
+    levels = _t(spark, sf_dir, "embeddings").select("vec_id", imaging.residuals(image)["levels"].alias("l"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda f: F.struct(f.cast("long").alias("filter"), F.round(F.get("l", f * 3), 9).alias("level")))
+    return levels.select("vec_id", F.inline(each))
+
+
 # --- metrics ---------------------------------------------------------------------------------------
 
 _SCORED_SQL = "(SELECT doc_id, quality AS label, (n_chars % 1000) / 1000 AS score, lang, n_chars FROM documents JOIN labels USING (doc_id))"

@@ -44,6 +44,12 @@ def with_images(media: DataFrame, decoded: DataFrame) -> DataFrame:
     return media.withColumn("_at", bare(F.col("path"))).join(decoded.select(bare(F.col("path")).alias("_at"), "image"), "_at", "left").drop("_at")
 
 
+def with_frame_files(frames: DataFrame, decoded: DataFrame) -> DataFrame:
+    """frames (…, artifact) with the image of the file of that name, null where there is none; names are unique."""
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    return frames.withColumn("_name", name("artifact")).join(decoded.select(name("path").alias("_name"), "image"), "_name", "left").drop("_name")
+
+
 def image_signals(decoded: DataFrame) -> DataFrame:
     """path, signals (imaging.low_bits) and hidden (forensics.payload) of decoded images."""
     told = decoded.filter("image IS NOT NULL").select("path", imaging.low_bits(F.col("image")).alias("signals"))
