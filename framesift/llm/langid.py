@@ -33,7 +33,9 @@ CALIBRATE_EVERY = 5
 REJECT_QUANTILE, REJECT_FACTOR = 0.995, 1.5
 UND = "und"
 #: Bytes of text that are scored at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Symbols that are looked up at once.
+CHUNK = 1 << 15
 _START, _END = "\x02", "\x03"
 
 
@@ -97,6 +99,11 @@ class KneserNey:
             weight[open_] += np.where((self.contexts[order][at] == keys)[:, None], self.backoff[order][at], 0.0)
         return np.where(np.isnan(out), self.floor + weight, out)
 
+    def scores(self, codes: np.ndarray) -> np.ndarray:
+        """symbol_scores, CHUNK positions at a time."""
+        parts = [self.symbol_scores(codes[a : a + CHUNK + ORDER - 1]) for a in range(0, len(codes) - ORDER + 1, CHUNK)]
+        return np.concatenate(parts)
+
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per symbol of each text under each language, and its number of symbols."""
         words, which, starts = _split(texts)
@@ -104,7 +111,7 @@ class KneserNey:
         if not len(words):
             return total, symbols
         codes, n = _word_codes(words)
-        scores = self.symbol_scores(codes)
+        scores = self.scores(codes)
         predicted = codes[ORDER - 1 :] != ord(_START)
         scores[~predicted] = 0
         ends = np.cumsum(np.where(n > 0, n - 1, 0) + ORDER)  # each word takes its letters, an end mark and the next start marks
