@@ -51,8 +51,7 @@ def crc_fold(key: Column, folds: int) -> Column:
 
 def by_bytes(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch with at most `most` bytes in one string column, at least a row each."""
-    lengths = batch.column(column).cast(pa.large_binary()).fill_null(b"")
-    sizes = pc.binary_length(lengths).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start = held = 0
     for i, n in enumerate(sizes):
         if held and held + n > most:
