@@ -27,7 +27,7 @@ class Settings:
     max_seconds: float = 7200
     interval_seconds: float = 1.0
     max_frames: int = 300
-    retention_hours: float = 24
+    retention_hours: float = 168
     cleanup_interval_seconds: float = 3600
 
     def __post_init__(self) -> None:
