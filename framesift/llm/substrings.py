@@ -250,24 +250,25 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _open_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Segments, np.ndarray, np.ndarray]]:
     """Ids and text hashes of a batch, a piece's segments, which of them are open, and on which sides, from
-    (doc_no, text_no, text, open). open: a place's number times 4 plus its sides, and for a copy of a place
-    that place's number, else the same."""
+    (doc_no, text_no, text, open). open: a place's number times 4 plus its sides, and the place itself; for a
+    copy the place that it names, whose sides it has if that one is open."""
     for doc, text_no, texts, batch in _texts(batches):
         lists = batch.column(3)
         row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
         marks, of = (lists.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-        key = (row << 34) + (marks >> 2)
-        copy = (marks >> 2) != of
-        known = np.unique(key[~copy])
-        keep = ~copy | np.isin((row << 34) + of, known)
-        key, side = key[keep], marks[keep] & 3
+        key, named, side = (row << 34) + (marks >> 2), (row << 34) + of, marks & 3
+        own = np.flatnonzero(key == named)
+        own = own[np.argsort(key[own])]
+        at = np.minimum(np.searchsorted(key[own], named), max(0, len(own) - 1))
+        keep = np.flatnonzero(key[own][at] == named) if len(own) else own
+        key, side = key[keep], side[own[at[keep]]]
         by = np.argsort(key)
         key, side = key[by], side[by]
         for piece in pieces(texts):
             s = segments(piece)
-            own = (s.row << 34) + s.first
-            at = np.minimum(np.searchsorted(key, own), max(0, len(key) - 1))
-            chosen = np.flatnonzero(key[at] == own) if len(key) else np.zeros(0, np.int64)
+            place = (s.row << 34) + s.first
+            at = np.minimum(np.searchsorted(key, place), max(0, len(key) - 1))
+            chosen = np.flatnonzero(key[at] == place) if len(key) else np.zeros(0, np.int64)
             if len(chosen):
                 yield doc, text_no, s, chosen, side[at[chosen]]
 
@@ -416,13 +417,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         by_text = places.groupBy(*_ROW).agg(F.collect_list(F.struct("mark", "of")).alias("open"))
         return texts.join(by_text, _ROW).select(*_ROW, "text", "open").mapInArrow(rows_of, f"doc_no long, text_no long, {columns}")
 
-    places = told.filter(F.col("refine") | copies).select(*_ROW, (F.shiftleft(F.col("first").cast("long"), 2) + LEFT + RIGHT).alias("mark"), F.col("of").cast("long").alias("of"))
-    sides = refined(places, _side_rows, "anchor long, bucket long, mark long").repartition("anchor", "bucket")
+    place = lambda rows: rows.select(*_ROW, (F.shiftleft(F.col("first").cast("long"), 2) + LEFT + RIGHT).alias("mark"), F.col("of").cast("long").alias("of"))
+    sides = refined(place(told.filter("refine")), _side_rows, "anchor long, bucket long, mark long").repartition("anchor", "bucket")
     one = Window.partitionBy("anchor", "bucket")
     known = sides.select(*_ROW, "mark", ((F.col("mark").bitwiseAND(4) > 0) | (F.min("doc_no").over(one) != F.max("doc_no").over(one))).alias("shared")).filter("shared")
     first = F.shiftright("mark", 3)
     open_ = stored(known.groupBy(*_ROW, first.alias("of")).agg((F.shiftleft(F.min(first), 2) + F.bit_or(F.col("mark").bitwiseAND(3))).alias("mark")))
-    strings = refined(open_, _string_rows, "bucket long, check long, place long").repartition("bucket", "check")
+    strings = refined(open_.unionByName(place(told.filter(copies))), _string_rows, "bucket long, check long, place long").repartition("bucket", "check")
     same = Window.partitionBy("bucket", "check")
     late = strings.select(*_ROW, "place", ((F.col("place").bitwiseAND(1) == 1) | (F.min("doc_no").over(same) < F.col("doc_no"))).alias("gone")).filter("gone")
     start = F.shiftright("place", 30)
