@@ -1,7 +1,7 @@
 """Analyzers: each adds one module result to a table of media; results stay apart and failures stay local.
 
 An analyzer is a column over media rows, so a file's content is read once for all of them and nothing is
-shuffled. Media has job_id, media_type and content; what else analyzers read (image, header, watermark,
+shuffled; what its column names more than once it may prepare as columns of its own. Media has job_id, media_type and content; what else analyzers read (image, header, watermark,
 faces) is null where it was not prepared.
 """
 
@@ -22,7 +22,8 @@ PREPARED = {"image": imaging.IMAGE, "header": headers.HEADER, "watermark": water
 
 
 class Analyzer(Protocol):
-    """name: the module it reports. apply: media -> its result as a column (MODULE)."""
+    """name: the module it reports. apply: media -> its result as a column (MODULE). An analyzer may also have
+    prepare: media -> media with further columns that apply reads."""
 
     name: str
 
@@ -67,8 +68,11 @@ class Authenticity:
 
     name = "media_authenticity"
 
+    def prepare(self, media: DataFrame) -> DataFrame:
+        return media.withColumn("_provenance", forensics.provenance(F.col("content")))
+
     def apply(self, media: DataFrame) -> Column:
-        p, w = forensics.provenance(F.col("content")), F.col("watermark")
+        p, w = F.col("_provenance"), F.col("watermark")
         mark, claim = F.coalesce(w["found"], F.lit(False)), F.size(p["ai_claims"]) > 0
         findings = _nested(
             assessment=_quoted(scoring.assessment(mark, claim)),
@@ -121,18 +125,21 @@ class ImageForensics:
     def __init__(self, codec: imaging.Codec | None = None, quality: int = imaging.QUALITY, threshold: int = imaging.THRESHOLD) -> None:
         self.codec, self.quality, self.threshold = codec, quality, threshold
 
+    def prepare(self, media: DataFrame) -> DataFrame:
+        image = F.col("image")
+        error = imaging.recompression(image, self.codec, self.quality, self.threshold) if self.codec else F.lit(None).cast("struct<mean_error:double,p95_error:double,max_error:int,highlighted_ratio:double,heatmap:binary,error:string>")
+        measured = media.withColumn("_bits", imaging.low_bits(image)).withColumn("_error", error)
+        return measured.withColumn("_hidden", F.when(F.col("_bits.head").isNotNull(), forensics.payload(F.col("_bits.head"))))
+
     def apply(self, media: DataFrame) -> Column:
         still, image = F.startswith("media_type", F.lit("image/")), F.col("image")
-        bits = imaging.low_bits(image)
-        hidden = forensics.payload(bits["head"])
+        bits, hidden, error = F.col("_bits"), F.col("_hidden"), F.col("_error")
         by_channel = F.to_json(F.map_from_arrays(F.array(*map(F.lit, imaging.CHANNELS)), F.arrays_zip(F.transform(bits["ones_ratio"], _six).alias("ones_ratio"), F.transform(bits["pair_imbalance"], _six).alias("pair_imbalance"))))
         low = _nested(
             inspected_bit_plane=F.lit("0"), available_lsb_bits=bits["bits"].cast("string"), channel_statistics=by_channel, packed_stream_entropy=_six(bits["entropy"]).cast("string"),
             supported_payload_detected=hidden["payload"].isNotNull().cast("string"), extraction_method=F.coalesce(_quoted(hidden["method"]), F.lit("null")),
             extracted_size_bytes=F.coalesce(F.octet_length(hidden["payload"]), F.lit(0)).cast("string"), ascii_preview=F.coalesce(F.get(F.regexp_extract_all(_json(x=forensics.preview(hidden["payload"])), F.lit(r'^\{"x":(.*)\}$'), 1), F.lit(0)), F.lit("null")),
         )
-        none = F.lit(None)
-        error = imaging.recompression(image, self.codec, self.quality, self.threshold) if self.codec else none.cast("struct<mean_error:double,p95_error:double,max_error:int,highlighted_ratio:double,heatmap:binary,error:string>")
         ela = F.when(error.isNotNull(), _json(jpeg_quality=F.lit(self.quality), mean_error=F.round(error["mean_error"], 4), percentile_95_error=F.round(error["p95_error"], 4), max_error=error["max_error"], highlighted_pixel_ratio=_six(error["highlighted_ratio"])))
         failure = F.when(still, F.coalesce(bits["error"], error["error"], F.when(image.isNull() | bits["bits"].isNull(), "image could not be decoded")))
         findings = _nested(metadata=F.when(F.col("header").isNotNull(), headers.metadata(F.col("header"), still)), ela=ela, lsb=F.when(still, low))
@@ -164,13 +171,14 @@ def analyse(media: DataFrame, registry: Sequence[Analyzer] | None = None) -> Dat
     """
     media = media.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in PREPARED.items() if c not in media.columns])
     modules = []
-    for analyzer in default_registry() if registry is None else registry:
+    for no, analyzer in enumerate(default_registry() if registry is None else registry):
+        column = f"_module_{no}"
         failed = lambda text, name=analyzer.name: result(name, F.lit("failed"), F.lit("{}"), F.array(F.lit(text)))
         try:
-            found = analyzer.apply(media).cast(MODULE)
-            found = F.when(found["module"] == analyzer.name, found)
-            _ = media.select(found).schema  # an unknown column or type shows here, not in a task
-            modules.append(F.coalesce(found, failed("no result under this module's name")))
+            ready = analyzer.prepare(media) if hasattr(analyzer, "prepare") else media
+            found = ready.withColumn(column, analyzer.apply(ready).cast(MODULE))  # an unknown column or type shows here, not in a task
+            media = found
+            modules.append(F.when(F.col(column)["module"] == analyzer.name, F.col(column)).otherwise(failed("no result under this module's name")))
         except Exception as error:  # noqa: BLE001  one analyzer's failure is a result, not the job's end
             modules.append(failed(f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"))
     return media.select("job_id", F.array(*modules).alias("modules")).withColumn("status", jobs.status_of(F.col("modules")))
