@@ -69,7 +69,13 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all frames stored so far; frames that still read them are of no more use."""
-    for path in _STORED.pop(spark.sparkContext.applicationId, []):
-        remove(spark, path)
+def stored_so_far(spark: SparkSession) -> int:
+    """How many frames are stored and not released."""
+    return len(_STORED.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, after: int = 0) -> None:
+    """Delete the frames stored after the first `after` ones; frames that still read them are of no more use."""
+    held = _STORED.get(spark.sparkContext.applicationId, [])
+    while len(held) > after:
+        remove(spark, held.pop())

@@ -230,3 +230,46 @@ def test_artifacts_table(spark, tmp_path):
     frame = spark.createDataFrame([("a", "image/png", bytearray(b""), video.as_image(hiding(b"STEGv1:bytes\0")))], f"job_id string, media_type string, content binary, image {imaging.IMAGE}")
     media.write_artifacts(analyzers.artifacts(analyzers.analyse(frame)), str(tmp_path / "t"))
     assert [(r.kind, bytes(r.content)) for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [("extracted_payload", b"bytes")]
+
+
+def test_manifests_names_and_settings(spark, tmp_path, monkeypatch):
+    case = {"id": "e", "file": "e.png", "category": "edit", "seed": 1, "known_edit": True, "known_edit_region_xyxy": [1, 2, 3, 4], "ela_jpeg_quality": 90, "highlight_threshold": 20, "image_sha256": "0"}
+    (tmp_path / "ela.json").write_text(json.dumps({"schema_version": 1, "task": "t", "interpretation_boundary": "leads", "cases": [case]}, indent=1))
+    row = media.ela_manifest(spark, f"{tmp_path}/ela.json").first()
+    assert (row.interpretation_boundary, row.id, row.known_edit_region_xyxy, row.highlight_threshold) == ("leads", "e", [1, 2, 3, 4], 20)
+    frames = spark.createDataFrame([(1, "/artifacts/j/frame-1.jpg"), (2, "/artifacts/j/lost.jpg")], "n int, artifact string")
+    decoded = spark.createDataFrame([("file:/x/frame-1.jpg", video.as_image(np.zeros((2, 3, 3), np.uint8)))], f"path string, image {imaging.IMAGE}")
+    assert {r.n: r.image and r.image.width for r in media.with_frame_files(frames, decoded).collect()} == {1: 3, 2: None}
+    monkeypatch.setenv("FRAMESIFT_MAX_FRAMES", "7")
+    monkeypatch.setenv("FRAMESIFT_INTERVAL_SECONDS", "0.5")
+    settings = process.Settings.from_environment()
+    assert (settings.max_frames, settings.interval_seconds, settings.retention_hours) == (7, 0.5, 168)
+    monkeypatch.setenv("FRAMESIFT_MAX_FRAMES", "0")
+    with pytest.raises(ValueError):
+        process.Settings.from_environment()
+
+
+def test_actions_are_repeated(spark, tmp_path):
+    seen = []
+    running = streaming.every(spark, 1, seen.append, str(tmp_path / "k"))
+    try:
+        for _ in range(60):
+            if len(seen) > 1:
+                break
+            running.awaitTermination(0.5)
+    finally:
+        running.stop()
+    assert seen[:2] == [0, 1]
+
+
+def test_checkpoint_folder(spark):
+    from framesift.functions import checkpoint
+
+    kept, before = checkpoint.stored(spark.range(3)), checkpoint.stored_so_far(spark)
+    frame = checkpoint.stored(spark.range(5))
+    path = frame.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+    import os
+
+    assert frame.count() == 5 and os.path.isdir(path)
+    checkpoint.release(spark, before)
+    assert not os.path.isdir(path) and kept.count() == 3
