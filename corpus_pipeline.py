@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesift.llm import decontam, langid, mixing, secrets, simhash
-from framesift.llm.common import crc_fold, release, remove, shared_folder, table
+from framesift.llm.common import crc_fold, release, remove, shared_folder, stored_so_far, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -65,9 +65,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = shared_folder(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for no, (_, stage) in enumerate(STAGES):
+        before = stored_so_far(spark)
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{no}")
         docs = spark.read.parquet(f"{at}/{no}")
-        release(spark)
+        release(spark, before)
         if no:
             remove(spark, f"{at}/{no - 1}")
     return docs

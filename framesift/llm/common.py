@@ -9,9 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.checkpoint import cut, ensure_checkpoint_dir, release, remove, shared_folder, stored
+from ..functions.checkpoint import cut, ensure_checkpoint_dir, release, remove, shared_folder, stored, stored_so_far
 
-__all__ = ["SPACES", "SPACE_RUN", "by_bytes", "crc_fold", "cut", "ensure_checkpoint_dir", "release", "remove", "shared_folder", "small", "stored", "table", "thinned", "word_count"]
+__all__ = ["SPACES", "SPACE_RUN", "by_bytes", "crc_fold", "cut", "ensure_checkpoint_dir", "release", "remove", "shared_folder", "small", "stored", "stored_so_far", "table", "thinned", "word_count"]
 
 #: Word separators: space and the ASCII controls tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
