@@ -44,8 +44,10 @@ SEED = 23
 CHECKS = (6, 10)
 #: Letters by which a collision's alignment may be off beside the edits allowed.
 SLACK = 8
+#: Slots that tell windows which no item can match, as powers of two; their number follows the block's windows.
+LEAST_SLOTS, MOST_SLOTS = 20, 22
 #: Bytes of item text in one broadcast block, and of documents read at once.
-BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 19
+BLOCK_BYTES, SLICE_BYTES = 4 << 20, 1 << 19
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SPACE, _STOP = 32, 0
 
@@ -123,16 +125,17 @@ def _drawn(repetition: int) -> tuple[set[int], np.ndarray]:
     return places, moves
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return (_mix(key) >> np.uint64(44)).astype(np.int64)
+def _slot(key: np.ndarray, slots: int) -> np.ndarray:
+    """One of `slots` (a power of two) for each key."""
+    return (_mix(key) >> np.uint64(65 - slots.bit_length())).astype(np.int64)
 
 
 def window_keys(letters: Letters, repetition: int, known: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Words at which windows start, their keys, the last letter that their sampled places read, and the slots
-    of their keys as far as CHECKS. known: the slots of items' windows; without any such, a window is left."""
+    """Words at which windows start, their keys, the last letter that their sampled places read, and their keys
+    as far as CHECKS and in the end. known: slots that items' such keys take; a window without is left."""
     places, moves = _drawn(repetition)
     word, at, key = np.arange(len(letters.start)), letters.start.astype(np.int32), np.full(len(letters.start), np.uint64(repetition))
-    slots: list[np.ndarray] = []
+    partial: list[np.ndarray] = []
     read = 0
     for step in range(max(places) + 1):
         letter = letters.letters[at]
@@ -142,11 +145,12 @@ def window_keys(letters: Letters, repetition: int, known: list[np.ndarray] | Non
         if step < max(places):
             at = at + moves[step][letter]
         if step in places and (read in CHECKS or read == len(places)):
-            slots.append(_slot(key))
+            partial.append(key)
             if known is not None:
-                keep = np.flatnonzero(known[len(slots) - 1][slots[-1]])
+                taken = known[len(partial) - 1]
+                keep = np.flatnonzero(taken[_slot(key, len(taken))])
                 word, at, key = word[keep], at[keep], key[keep]
-    return word, key, at, slots
+    return word, key, at, partial
 
 
 def _sequences(letters: Letters, n: int) -> np.ndarray:
@@ -179,15 +183,15 @@ class Items:
         owner = np.repeat(np.arange(len(ids)), np.diff(self.letters.first))
         self.keys, self.item, self.offset, self.known = [], [], [], []
         for r in range(REPETITIONS):
-            _, key, last, slots = window_keys(self.letters, r)
+            _, key, last, partial = window_keys(self.letters, r)
             within = np.flatnonzero(last < high[owner])
             by = within[np.argsort(key[within], kind="stable")]
             self.keys.append(key[by])
             self.item.append(owner[by])
             self.offset.append(start[by] - low[owner[by]])
-            known = np.zeros((len(slots), 1 << 20), bool)
-            for mark, slot in zip(known, slots):
-                mark[slot[within]] = True
+            known = np.zeros((len(partial), 1 << min(MOST_SLOTS, max(LEAST_SLOTS, (64 * len(within)).bit_length()))), bool)
+            for taken, keys in zip(known, partial):
+                taken[_slot(keys[within], len(taken))] = True
             self.known.append(list(known))
         #: Items without a sure window by their number of words: sorted hashes and whose they are.
         self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
