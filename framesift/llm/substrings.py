@@ -167,7 +167,7 @@ def segments(piece: Piece) -> Segments:
     return Segments(gram[at], whole, piece.row[of], place, last - first + 1, at, first, piece.start[of], piece.end[of], deep, side)
 
 
-#: A row of the input: its id, and a hash of its text that tells rows of one id apart.
+#: A row of the input: its id, and where other texts have that id, a hash of its text.
 _ROW = ["doc_no", "text_no"]
 
 
@@ -393,9 +393,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Null texts are empty; texts under 50 bytes stay whole; an empty table gives an empty result.
     """
     least = F.lit(-(2**63))
-    given = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), least).alias("doc_no"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    ).withColumn("text_no", F.xxhash64("text"))
+    given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), least).alias("doc_no"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Ids that stand by different texts are few, or none: only their rows need the text's hash to be told apart.
+    hashed = given.select("doc_no", F.xxhash64("text").alias("h")).groupBy("doc_no").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    repeated = stored(hashed.filter("low <> high").select("doc_no", F.lit(True).alias("repeated")))
+    given = given.join(repeated, "doc_no", "left").select("doc_id", "doc_no", "text", F.when(F.col("repeated"), F.xxhash64("text")).otherwise(0).cast("long").alias("text_no"))
     texts = given.select(*_ROW, "text")
     rows = texts.filter(F.octet_length("text") >= DEPTH).mapInArrow(_segment_rows, "doc_no long, text_no long, anchor long, segment long, place long")
     kind, bucket = F.col("place").bitwiseAND(3), Window.partitionBy("anchor")
