@@ -457,3 +457,14 @@ def test_contamination_places(spark):
     assert [(r.doc_id, r.item_id, r.distance, r.similarity) for r in found] == [(4, 9, 0, 1.0)]
     text = frame.filter("doc_id = 4").first().text
     assert text[found[0].start : found[0].end] == item
+
+
+def test_items_in_several_blocks(spark, docs, monkeypatch):
+    """More blocks of items take more passes, and find the same."""
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    rows = lambda: sorted((r.doc_id, r.item_id, r.start, r.end, r.distance) for r in decontam.contaminated(docs, items).collect())
+    ids = lambda: sorted(r.doc_id for r in decontam.uncontaminated(docs, items).select("doc_id").collect())
+    one, free = rows(), ids()
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", sum(len(r.text) for r in items.collect()) // 3)
+    assert rows() == one and one
+    assert ids() == free == sorted({r.doc_id for r in docs.select("doc_id").collect()} - {d for d, *_ in one})
