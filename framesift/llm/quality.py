@@ -33,7 +33,7 @@ STEPS, RATE, RIDGE = 120, 0.1, 1e-3
 GOOD_FROM = 0.7
 #: Times that lines are labelled anew; a good document keeps this share of good lines at least, a bad one
 #: has at most that; a line changes sides if its marginal is this far on the other side.
-ROUNDS, GOOD_SHARE, BAD_SHARE, CLEAR = 2, 0.85, 0.4, 0.6
+ROUNDS, GOOD_SHARE, BAD_SHARE, CLEAR = 2, 0.9, 0.3, 0.6
 #: Byte classes counted in each line.
 _CLASSES = (
     ("lower", b"abcdefghijklmnopqrstuvwxyz"),
@@ -160,7 +160,7 @@ def relabelled(good: np.ndarray, weight: np.ndarray, first: np.ndarray, labels:
     total = np.cumsum(share)
     moved = total - np.repeat(total[first] - share[first], np.diff(np.r_[first, len(good)]))
     room = np.where(own[by] == 1, 1 - GOOD_SHARE, BAD_SHARE)
-    turned = by[(against[by] >= CLEAR) & (moved <= room)]
+    turned = by[(against[by] >= CLEAR) & (moved <= room + 1e-9)]
     own[turned] = 1 - own[turned]
     return own
 
