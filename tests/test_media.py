@@ -108,6 +108,8 @@ def test_jobs_are_processed(spark, tmp_path):
     process.Settings()
     with pytest.raises(ValueError):
         process.Settings(max_frames=0)
+    ids = process.new_job_ids(queued.drop("id")).collect()
+    assert len({r.id for r in ids}) == len(rows) and all(len(r.id) == 36 for r in ids)
     steps = spark.createDataFrame([("a", "queued", 1), ("a", "processing", 2), ("a", "completed", 3), ("b", "processing", 1), ("c", "queued", 1), ("c", "completed", 2)], "id string, status string, at int")
     assert sorted((r.id, r.status) for r in streaming.wrong_steps(steps, process.allowed_step).collect()) == [("b", "processing"), ("c", "completed")]
 
