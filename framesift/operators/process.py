@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import media as sources
-from . import analyzers, headers, imaging, ingest, jobs, video, watermark
+from . import analyzers, headers, ingest, jobs, video, watermark
 
 INGESTION = "platform_ingestion"
 MOST_ERROR = 1000

@@ -1,10 +1,12 @@
 import json
+import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from framesift.functions import scalar
-from framesift.operators import analyzers, imaging, video, views
+from framesift.operators import analyzers, imaging, scoring, video, views
+from framesift.sources import media as sources
 
 
 def media(spark):
@@ -87,3 +89,31 @@ def test_scalars(spark):
     assert one(scalar.wrapped(F.lit("aa bb  cc"), 5)) == ["aa bb", "cc"] and one(scalar.wrapped(F.lit(""))) == [""]
     assert one(scalar.wrapped(F.lit("x" * 12), 5)) == ["x" * 5, "x" * 5, "xx"]
     assert one(scalar.stretched(F.lit(3.0), F.lit(1.0), F.lit(5.0))) == 127.5
+
+
+def test_faces_are_scored_or_skipped(spark):
+    score = {"frame_index": 0, "timestamp_seconds": 0.0, "probability": 0.75}
+    faces = [("scored", {"candidate_frames": 4, "analysed_faces": 3, "probability": 0.75, "top_frame": 0, "frame_scores": [score]}), ("no_face", {"candidate_frames": 4, "analysed_faces": 0, "probability": None, "top_frame": None, "frame_scores": []}), ("no_model", None)]
+    frame = spark.createDataFrame([(k, "video/mp4", bytearray(b""), f) for k, f in faces], f"job_id string, media_type string, content binary, faces {video.FACES}")
+    for validated, decision in ((False, "evaluation_pending"), (True, "suspicious")):
+        got = {r.job_id: r for r in analyzers.analyse(frame, [analyzers.Deepfake(0.75, validated)]).collect()}
+        assert {k: r.modules[0].status for k, r in got.items()} == {"scored": "completed", "no_face": "skipped", "no_model": "skipped"}
+        found = json.loads(got["scored"].modules[0].findings)
+        assert (found["decision"], found["deepfake_probability"], found["face_coverage"], found["frame_scores"]) == (decision, 0.75, 0.75, [score])
+        assert "faces were found in part of the frames only" in got["scored"].modules[0].warnings
+        assert got["no_face"].modules[0].findings == "{}" and got["no_face"].modules[0].warnings == ["no face was found"] and got["no_model"].status == "partially_completed"
+
+
+def test_largest_face_and_crop(spark):
+    boxes = spark.createDataFrame([([(0, 0, 4, 4), (5, 5, 8, 2), (9, 9, 2, 8)],)], "boxes array<struct<x:int,y:int,w:int,h:int>>")
+    assert tuple(boxes.select(scoring.largest_box(F.col("boxes")).alias("b")).first().b) == (0, 0, 4, 4)
+
+
+def test_ledger_table(spark):
+    name = f"ledger_{uuid.uuid4().hex}"
+    try:
+        for _ in range(2):
+            sources.create_ledger(spark, name)
+        assert spark.table(name).columns[:3] == ["id", "status", "source_name"] and spark.table(name).isEmpty()
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
