@@ -454,7 +454,12 @@ def catalog_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", catalog.label(text).alias("label"), F.array_join(ids, ";").alias("identity_ids"), catalog.manipulation(tag).alias("manipulation"), catalog.sample_id("set", F.sha2(F.encode("text", "UTF-8"), 256), F.col("doc_id") + 1).alias("sample_id"))
 
 
-@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN 'bad_label' WHEN doc_id % 7 = 0 THEN 'no_identity' WHEN doc_id % 11 = 0 THEN 'unsafe_path' WHEN doc_id % 13 = 0 THEN 'bad_suffix' END AS reason FROM documents) GROUP BY reason""")
+@query(f"""WITH d AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'maybe' ELSE 'real' END AS label, CASE WHEN doc_id % 7 = 0 THEN ' ; ' ELSE 'p1;p2' END AS ids,
+CASE WHEN doc_id % 11 = 0 THEN '../' ELSE 'a/' END || doc_id || CASE WHEN doc_id % 13 = 0 THEN '.gif' ELSE '.jpeg' END AS path FROM documents),
+s AS (SELECT *, list_transform(string_split(path, '/'), lambda x: CASE x WHEN '..' THEN -1 WHEN '.' THEN 0 WHEN '' THEN 0 ELSE 1 END) AS steps FROM d),
+r AS (SELECT CASE WHEN lower(trim(label)) NOT IN {catalog.FAKE + catalog.REAL} THEN 'bad_label' WHEN len(list_filter(string_split(ids, ';'), lambda x: trim(x) <> '')) = 0 THEN 'no_identity'
+WHEN list_min([list_sum(steps[1:i]) FOR i IN range(1, len(steps) + 1)]) < 0 THEN 'unsafe_path' WHEN NOT regexp_matches(lower(path), '\\.(jpg|jpeg|png)$') THEN 'bad_suffix' END AS reason FROM s)
+SELECT reason, count(*) AS n FROM r GROUP BY reason""")
 def catalog_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     d = _t(spark, sf_dir, "documents").select(
