@@ -471,6 +471,25 @@ def catalog_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH m AS (SELECT doc_id + 2 AS line, 'a/' || CASE WHEN doc_id % 10 = 9 THEN doc_id - 1 WHEN doc_id % 23 = 5 THEN -doc_id ELSE doc_id END || '.png' AS path, CASE WHEN doc_id % 8 = 0 THEN 'unsure' ELSE ' Fake' END AS label FROM documents),
+f AS (SELECT 'a/' || doc_id || '.png' AS path, sha256(text) AS sha FROM documents),
+r AS (SELECT line, path, sha, CASE WHEN lower(trim(label)) <> 'fake' THEN 'bad_label' WHEN sha IS NULL THEN 'missing_file' END AS reason FROM m LEFT JOIN f USING (path)),
+p AS (SELECT *, min(line) FILTER (reason IS NULL) OVER (PARTITION BY path) AS first_ FROM r), q AS (SELECT line, sha, coalesce(reason, CASE WHEN line > first_ THEN 'duplicate_path of line ' || first_ END) AS reason FROM p),
+c AS (SELECT *, min(line) FILTER (reason IS NULL) OVER (PARTITION BY sha) AS first_ FROM q), t AS (SELECT line, sha, coalesce(reason, CASE WHEN line > first_ THEN 'duplicate_content of line ' || first_ END) AS reason FROM c)
+SELECT line, reason, CASE WHEN reason IS NULL THEN 'set-' || left(sha, 16) || '-' || lpad(CAST(line - 1 AS VARCHAR), 6, '0') END AS sample_id FROM t""")
+def catalog_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue of all documents as files, by lines that repeat paths and miss files, with its rejects."""
+    d, k = _t(spark, sf_dir, "documents"), F.col("doc_id")
+    file = lambda c: F.concat(F.lit("a/"), c.cast("string"), F.lit(".png"))
+    rows = d.select(
+        (k + 2).alias("line"), file(F.when(k % 10 == 9, k - 1).when(k % 23 == 5, -k).otherwise(k)).alias("path"), F.when(k % 8 == 0, "unsure").otherwise(" Fake").alias("label"),
+        F.lit("p1").alias("identity_ids"), F.lit("g").alias("source_group"), F.lit("").alias("manipulation"),
+    )
+    good, rejects = catalog.build(rows, d.select(file(k).alias("path"), F.encode("text", "UTF-8").alias("content")), "set")
+    kept = good.select((F.element_at(F.split("sample_id", "-"), -1).cast("long") + 1).alias("line"), F.lit(None).cast("string").alias("reason"), "sample_id")
+    return kept.unionByName(rejects.select("line", "reason", F.lit(None).cast("string").alias("sample_id")))
+
+
 _COMPONENTS_SQL = """WITH RECURSIVE r AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders UNION ALL SELECT o_orderkey, o_custkey + 1 FROM orders WHERE o_orderkey % 70 = 0),
 e AS (SELECT DISTINCT r.k AS a, m.k AS b FROM r JOIN (SELECT c, min(k) AS k FROM r GROUP BY c) m USING (c)), links AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 found(key, component) USING KEY (key) AS (SELECT DISTINCT k, k FROM r UNION (SELECT l.a, min(w.component) FROM links l JOIN found w ON l.b = w.key JOIN recurring.found u ON u.key = l.a WHERE w.component < u.component GROUP BY l.a))
