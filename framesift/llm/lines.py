@@ -224,7 +224,7 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     An empty table gives an empty result; other columns are ignored.
     """
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("of", F.xxhash64("text"))
-    lines = _lines(whole, min_chars)
+    lines = stored(_lines(whole, min_chars))
     keys = stored(repeated(lines))
     drops = _probed(lines, keys).select("doc_id", "of", F.lit(0).alias("kind"), "no", F.lit(None).cast("string").alias("text"))
     texts = whole.select("doc_id", "of", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("no"), "text")
