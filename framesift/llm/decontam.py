@@ -4,24 +4,27 @@ Texts are read as letters: words (lower-cased runs of letters, digits and non-AS
 space each. The CGK walk reads a window from its first letter: at step j it writes the letter under it and
 moves on if a random bit of (j, letter) is set, so windows at small edit distance fall into step again and
 agree in most written places: edit distance becomes Hamming distance. A repetition draws its own bits and
-samples PLACES of the STEPS written places; windows that agree in all of them collide. Windows start at
-every word of every document, and at every word inside each item-sized passage that is looked for, so an
-edited passage is met wherever one stretch of it still agrees in the sampled places. Each collision aligns
-an item-sized window of the document; no collision is left out. Collisions of one text, item and alignment
-are verified together by the exact edit distance of the item to the best matching part of the stretch of
-text that any passage within the limit must lie in; verified pairs have a similarity
-1 - distance / length of at least 0.8.
-
-Repetitions, steps and places are set for the recall that tests/llm measures on letters and words edited at
-random up to that limit. Items of fewer than STEPS letters, which may have no window, are also looked for as
-whole sequences of words, unchanged. Items come in blocks of bounded size, each broadcast; more items take
-more passes over the documents.
+samples some of the written places; windows that agree in all of them collide. Windows start at every word
+of every document, and at every word inside each item-sized passage that is looked for, so an edited
+passage is met wherever one stretch of it still agrees in the sampled places. Walks are shorter for shorter
+items (WALKS); windows that agree in their first places only count where two of them stand in line.
+
+Items of fewer letters than any walk's have no stretch that edits are likely to spare. They are found exactly: cut in more
+parts than they may have edits, some parts are met unchanged and in line in any passage within the limit. Items of under
+WHOLE letters, a word or three, are defined to be found unchanged only, as whole words.
+
+All hits of one text and item that stand in line align an item-sized stretch of the document, which is verified by the exact
+edit distance of the item to the best matching part of it; verified pairs have a similarity 1 - distance / length of at
+least 0.8. No such stretch is left out. Walks, repetitions and places are set for the recall that tests/llm measures on
+fresh items of every length. Items come in blocks of bounded size, each broadcast; more items take more passes over the
+documents.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 from functools import lru_cache
 
@@ -33,15 +36,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import by_bytes, table
+from .common import by_bytes, stored, table
 
 SIMILARITY = 0.8
-#: Steps of a window's walk, places sampled of them (one from each of equal stretches, as neighbouring
-#: places often read one letter), and how often that is repeated with other random bits and places.
-STEPS, PLACES, REPETITIONS = 36, 14, 4
+
+
+@dataclass(frozen=True)
+class Walk:
+    """How windows of items of `least` letters or more, up to the next walk's, are read: steps, places sampled of them (one from
+    each of equal stretches, as neighbouring places often read one letter), and how often that is repeated with other
+    random bits and places. Windows that agree in the first `part` places collide in part."""
+
+    least: int
+    steps: int
+    places: int
+    part: int
+    repetitions: int
+
+
+#: Windows grow with the items: a short item with a fifth of its letters edited has no long stretch untouched.
+WALKS = (Walk(80, 28, 14, 11, 4), Walk(128, 36, 14, 10, 3))
 SEED = 23
 #: After so many sampled places, windows that no item agrees with so far are left.
-CHECKS = (6, 10)
+CHECK = 6
+#: Two collisions in part, of windows that start so many letters apart in the item, count like a whole one.
+APART = 12
+#: Letters of items that are found by parts that no edit touches, and of those found unchanged only.
+EXACT, WHOLE = WALKS[0].least, 20
+#: Letters of such a part, or fewer where the item has too few.
+PART_LETTERS = 3
 #: Letters by which a collision's alignment may be off beside the edits allowed.
 SLACK = 8
 #: Slots that tell windows which no item can match, as powers of two; their number follows the block's windows.
@@ -116,11 +139,11 @@ def normal(text: str | None) -> str:
     return letters.text(int(letters.low[0]), int(letters.high[0]))
 
 
-def _drawn(repetition: int) -> tuple[set[int], np.ndarray]:
+def _drawn(walk: Walk, repetition: int) -> tuple[set[int], np.ndarray]:
     """Sampled places, and by step and letter whether the walk moves on; it stays at a stop."""
     rng = np.random.default_rng(SEED + repetition)
-    places = {int((k + x) * STEPS / PLACES) for k, x in enumerate(rng.random(PLACES))}
-    moves = rng.integers(0, 2, (STEPS, 256)).astype(np.int32)
+    places = {int((k + x) * walk.steps / walk.places) for k, x in enumerate(rng.random(walk.places))}
+    moves = rng.integers(0, 2, (walk.steps, 256)).astype(np.int32)
     moves[:, _STOP] = 0
     return places, moves
 
@@ -130,27 +153,41 @@ def _slot(key: np.ndarray, slots: int) -> np.ndarray:
     return (_mix(key) >> np.uint64(65 - slots.bit_length())).astype(np.int64)
 
 
-def window_keys(letters: Letters, repetition: int, known: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Words at which windows start, their keys, the last letter that their sampled places read, and their keys
-    as far as CHECKS and in the end. known: slots that items' such keys take; a window without is left."""
-    places, moves = _drawn(repetition)
+@dataclass
+class Windows:
+    """Words at which windows start, their keys after `part` and all places, and the last letter that each reads."""
+
+    word: np.ndarray
+    part: np.ndarray
+    part_last: np.ndarray
+    whole: np.ndarray
+    last: np.ndarray
+    checked: np.ndarray
+
+
+def window_keys(letters: Letters, walk: Walk, repetition: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> Windows:
+    """Windows from each word on. known: slots of items' keys after CHECK and `part` places; a window in none is left."""
+    places, moves = _drawn(walk, repetition)
     word, at, key = np.arange(len(letters.start)), letters.start.astype(np.int32), np.full(len(letters.start), np.uint64(repetition))
-    partial: list[np.ndarray] = []
+    checked = part = part_last = key
     read = 0
     for step in range(max(places) + 1):
         letter = letters.letters[at]
         if step in places:
             key = (key * _ODD) ^ (key >> np.uint64(29)) ^ letter
             read += 1
+            if read in (CHECK, walk.part):
+                if known is not None:
+                    taken = known[read == walk.part]
+                    keep = np.flatnonzero(taken[_slot(key, len(taken))])
+                    word, at, key, letter, checked = word[keep], at[keep], key[keep], letter[keep], checked[keep]
+                if read == CHECK:
+                    checked = key
+                else:
+                    part, part_last = key, at
         if step < max(places):
             at = at + moves[step][letter]
-        if step in places and (read in CHECKS or read == len(places)):
-            partial.append(key)
-            if known is not None:
-                taken = known[len(partial) - 1]
-                keep = np.flatnonzero(taken[_slot(key, len(taken))])
-                word, at, key = word[keep], at[keep], key[keep]
-    return word, key, at, partial
+    return Windows(word, part, part_last, key, at, checked)
 
 
 def _sequences(letters: Letters, n: int) -> np.ndarray:
@@ -174,34 +211,63 @@ def _sequences(letters: Letters, n: int) -> np.ndarray:
 class Items:
     """One block of benchmark items with their window keys."""
 
-    def __init__(self, ids: list, texts: list[str]) -> None:
+    def __init__(self, ids: list, texts: list[str], similarity: float = SIMILARITY) -> None:
         self.ids = list(ids)
         self.letters = Letters(pa.array(texts, pa.large_string()))
         low, high, start = self.letters.low, self.letters.high, self.letters.start
         self.size = high - low
         self.norm = [self.letters.text(int(a), int(b)) for a, b in zip(low, high)]
         owner = np.repeat(np.arange(len(ids)), np.diff(self.letters.first))
-        self.keys, self.item, self.offset, self.known = [], [], [], []
-        for r in range(REPETITIONS):
-            _, key, last, partial = window_keys(self.letters, r)
-            within = np.flatnonzero(last < high[owner])
-            by = within[np.argsort(key[within], kind="stable")]
-            self.keys.append(key[by])
+        points = np.array([len(x) for x in self.norm], np.int64)
+        self.points, self.limits = points, np.array([edit_limit(n, similarity) for n in points.tolist()], np.int64)
+        #: Hits in line that a match can't do without, of items found by parts.
+        self.needed = np.maximum(2, points // PART_LETTERS - self.limits)
+        #: Bytes by which so many edits may put letters out of line.
+        self.bytes_off = -(-self.limits * self.size // np.maximum(1, points))
+        #: By walk and repetition: keys after `part` places, sorted; the whole key (its bits turned where it doesn't fit), item and offset.
+        self.walks, self.keys, self.whole, self.item, self.offset, self.known = [], [], [], [], [], []
+        ends = [*(w.least for w in WALKS[1:]), math.inf]
+        for walk, r, end in [(w, r, e) for w, e in zip(WALKS, ends) for r in range(w.repetitions)]:
+            of = (points >= walk.least) & (points < end)
+            if not of.any():
+                continue
+            self.walks.append((walk, r))
+            w = window_keys(self.letters, walk, r)
+            within = np.flatnonzero((w.part_last < high[owner]) & of[owner])
+            by = within[np.argsort(w.part[within], kind="stable")]
+            self.keys.append(w.part[by])
+            self.whole.append(np.where(w.last[by] < high[owner[by]], w.whole[by], ~w.whole[by]))
             self.item.append(owner[by])
             self.offset.append(start[by] - low[owner[by]])
-            known = np.zeros((len(partial), 1 << min(MOST_SLOTS, max(LEAST_SLOTS, (64 * len(within)).bit_length()))), bool)
-            for taken, keys in zip(known, partial):
+            known = np.zeros((2, 1 << min(MOST_SLOTS, max(LEAST_SLOTS, (64 * len(within)).bit_length()))), bool)
+            for taken, keys in zip(known, (w.checked, w.part)):
                 taken[_slot(keys[within], len(taken))] = True
-            self.known.append(list(known))
-        #: Items without a sure window by their number of words: sorted hashes and whose they are.
+            self.known.append(tuple(known))
+        self.parts = self._parts(np.flatnonzero((points >= WHOLE) & (points < EXACT)))
+        #: Items found unchanged by their number of words: sorted hashes and whose they are.
         self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         words = np.diff(self.letters.first)
-        for n in np.unique(words[(self.size < STEPS) & (words > 0)]).tolist():
-            which = np.flatnonzero((words == n) & (self.size < STEPS))
+        for n in np.unique(words[(points < WHOLE) & (words > 0)]).tolist():
+            which = np.flatnonzero((words == n) & (points < WHOLE))
             keys = _sequences(self.letters, n)[self.letters.first[which]]
             by = np.argsort(keys, kind="stable")
             self.short[n] = keys[by], which[by]
 
+    def _parts(self, which: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By number of letters, at most eight: sorted keys of items' parts, whose they are, and their offsets.
+
+        An item that may have k edits is cut in n > k + 1 parts, so n - k at least are met unchanged, each no further
+        out of line with the next than the edits between them.
+        """
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for i in which.tolist():
+            text, n = self.norm[i], int(self.needed[i] + self.limits[i])
+            cuts = [len(text) * j // n for j in range(n + 1)]
+            for a, b in zip(cuts, cuts[1:]):
+                letters = text[a:b].encode()[:8]
+                found.setdefault(len(letters), []).append((int.from_bytes(letters, "little"), i, len(text[:a].encode())))
+        return {n: tuple(np.array(c, k) for c, k in zip(zip(*sorted(rows)), (np.uint64, np.int64, np.int64))) for n, rows in found.items()}
+
 
 def _postings(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which of wanted, place in the sorted keys) of all equal pairs."""
@@ -216,6 +282,15 @@ def edit_limit(length: int, similarity: float) -> int:
     return math.floor((1 - Fraction(str(similarity))) * length)
 
 
+@lru_cache(maxsize=1 << 10)
+def _masks(pattern: str) -> dict[str, int]:
+    """Bits of the places of each letter."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        masks[c] = masks.get(c, 0) | 1 << i
+    return masks
+
+
 def best_match(item: str, text: str, most: int) -> tuple[int, int, int] | None:
     """(distance, start, end) of the part of text nearest to item, if at most `most` edits away.
 
@@ -226,9 +301,7 @@ def best_match(item: str, text: str, most: int) -> tuple[int, int, int] | None:
         return 0, place, place + len(item)
 
     def ends(pattern: str, s: str, free_start: bool) -> tuple[int, int]:
-        masks: dict[str, int] = {}
-        for i, c in enumerate(pattern):
-            masks[c] = masks.get(c, 0) | 1 << i
+        masks = _masks(pattern)
         full, top = (1 << len(pattern)) - 1, 1 << len(pattern) - 1
         up, down, d = full, 0, len(pattern)
         found = (d, 0)
@@ -254,27 +327,61 @@ def best_match(item: str, text: str, most: int) -> tuple[int, int, int] | None:
     return d, end - back, end
 
 
-def _collisions(letters: Letters, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """(item, where it would start among the letters) of all windows that collide, each once, in order."""
-    found = []
-    for r in range(REPETITIONS):
-        hit, key, _, _ = window_keys(letters, r, items.known[r])
-        which, posting = _postings(items.keys[r], key)
-        begin = letters.start[hit[which]] - items.offset[r][posting] + (1 << 40)  # may lie before the first letter
-        found.append(np.stack([items.item[r][posting], begin, letters.start[hit[which]]], axis=1))
-    pairs = np.concatenate(found)
-    # The text of the window, not of the start, tells which text this is.
-    text = np.searchsorted(letters.low, pairs[:, 2], side="right") - 1
-    pairs = np.unique(np.stack([text, pairs[:, 0], pairs[:, 1] - (1 << 40)], axis=1), axis=0)
-    return pairs
+def _hits(letters: Letters, items: Items) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(item, offset in the item, place among the letters, whether it counts alone) of windows that collide and parts that are met."""
+    for k, (walk, r) in enumerate(items.walks):
+        w = window_keys(letters, walk, r, items.known[k])
+        which, posting = _postings(items.keys[k], w.part)
+        yield items.item[k][posting], items.offset[k][posting], letters.start[w.word[which]], items.whole[k][posting] == w.whole[which]
+    packed, size = np.zeros(len(letters.letters), np.uint64), 0
+    for n in sorted(items.parts):
+        for size in range(size, n):  # keys of one letter more, where so many follow
+            packed = packed[: len(letters.letters) - size] | letters.letters[size:].astype(np.uint64) << np.uint64(8 * size)
+        size = n
+        keys, item, offset = items.parts[n]
+        met = np.zeros(1 << MOST_SLOTS, bool)
+        met[_slot(keys, len(met))] = True
+        at = np.flatnonzero(met[_slot(packed, len(met))])
+        which, posting = _postings(keys, packed[at])
+        yield item[posting], offset[posting], at[which], np.zeros(len(which), bool)
+
+
+def _stretches(letters: Letters, items: Items) -> list[list[int]]:
+    """(text, item, first, last): where among the letters the item may start, as far as its hits stand in line and count."""
+    hits = list(zip(*_hits(letters, items)))
+    if not hits or not sum(map(len, hits[0])):
+        return []
+    item, offset, place, alone = (np.concatenate(c) for c in hits)
+    # The text of the window, not of the start, tells which text this is: the start may lie before the first letter.
+    text, begin = np.searchsorted(letters.low, place, side="right") - 1, place - offset
+    span = len(letters.letters) + int(items.size.max()) + 1
+    by = np.argsort((text * len(items.ids) + item) * span + (begin + int(items.size.max())))
+    item, offset, begin, alone, text = item[by], offset[by], begin[by], alone[by], text[by]
+    by_parts, off = items.points[item] < EXACT, items.bytes_off[item]
+    # Of a match by parts so many hits at least lie within as many bytes as its edits may put out of line.
+    last = np.minimum(np.arange(len(item)) + items.needed[item] - 1, len(item) - 1)
+    dense = by_parts & (text[last] == text) & (item[last] == item) & (begin[last] - begin <= off) & (last - np.arange(len(item)) == items.needed[item] - 1)
+    covered = np.zeros(len(item) + 1, np.int64)
+    np.add.at(covered, np.flatnonzero(dense), 1)
+    np.add.at(covered, last[dense] + 1, -1)
+    kept = np.flatnonzero(~by_parts | (np.cumsum(covered[:-1]) > 0))
+    if not len(kept):
+        return []
+    item, offset, begin, alone, text, by_parts, off = item[kept], offset[kept], begin[kept], alone[kept], text[kept], by_parts[kept], off[kept]
+    # Hits of one text and item that are no further out of line than the edits allowed are one stretch.
+    heads = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > off[1:])])
+    tails = np.r_[heads[1:], len(item)] - 1
+    apart = np.maximum.reduceat(offset, heads) - np.minimum.reduceat(offset, heads) >= APART
+    counts = by_parts[heads] | np.logical_or.reduceat(alone, heads) | apart
+    return np.c_[text[heads], item[heads], begin[heads], begin[tails]][counts].tolist()
 
 
-def find_items(texts: pa.Array, items: Items, similarity: float = SIMILARITY) -> list[tuple]:
+def find_items(texts: pa.Array, items: Items) -> list[tuple]:
     """(text, item_id, start, end, distance, similarity) of each text's best match of each item."""
-    return [(d, items.ids[i], *rest) for d, i, *rest in _found(texts, items, similarity)]
+    return [(d, items.ids[i], *rest) for d, i, *rest in _found(texts, items)]
 
 
-def _found(texts: pa.Array, items: Items, similarity: float) -> list[tuple[int, int, int, int, int, float]]:
+def _found(texts: pa.Array, items: Items) -> list[tuple[int, int, int, int, int, float]]:
     """The same with the item's number in the block."""
     letters = Letters(texts)
     if not len(letters.start) or not len(items.letters.start):
@@ -287,18 +394,11 @@ def _found(texts: pa.Array, items: Items, similarity: float) -> list[tuple[int,
             d = int(np.searchsorted(letters.low, a, side="right")) - 1
             if (d, i) not in best and letters.text(a, a + size) == items.norm[i]:
                 best[d, i] = 0, a, a + size
-    found = _collisions(letters, items)
-    limits = [edit_limit(len(x), similarity) for x in items.norm]
-    # Alignments of one text and item that are no further apart than the edits allowed are one stretch.
-    gap = np.array(limits)[found[:, 1]] * 4 + SLACK
-    new = np.r_[True, (found[1:, 0] != found[:-1, 0]) | (found[1:, 1] != found[:-1, 1]) | (found[1:, 2] - found[:-1, 2] > gap[1:])] if len(found) else np.zeros(0, bool)
-    heads = np.flatnonzero(new)
-    tails = np.r_[heads[1:], len(found)] - 1 if len(found) else heads
-    for d, i, first, last in np.c_[found[heads], found[tails, 2]].tolist():
+    for d, i, first, last in _stretches(letters, items):
         if best.get((d, i), (1,))[0] == 0:
             continue
-        size, most = int(items.size[i]), limits[i]
-        slack = -(-most * size // max(1, len(items.norm[i]))) + SLACK  # edits in bytes
+        size, most = int(items.size[i]), int(items.limits[i])
+        slack = int(items.bytes_off[i]) + SLACK
         low, high = max(int(letters.low[d]), first - slack), min(int(letters.high[d]), last + size + slack)
         text = letters.text(low, high)
         match = best_match(items.norm[i], text, most)
@@ -328,7 +428,8 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tupl
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that hold no benchmark item, all columns unchanged and none moved.
 
-    Null and empty texts stay, all rows do without items; repeated rows share their fate.
+    Null and empty texts stay, all rows do without items; repeated rows share their fate. Very long texts are read
+    whole. With more than one block of items, what each leaves is stored in the shared folder.
     """
     sc = docs.sparkSession.sparkContext
 
@@ -338,15 +439,18 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
             out = np.ones(len(texts), bool)
             at = 0
             for part in by_bytes(pa.RecordBatch.from_arrays([texts], ["text"]), 0, SLICE_BYTES):
-                out[[at + d for d, *_ in _found(part.column(0), shared.value, similarity)]] = False
+                out[[at + d for d, *_ in _found(part.column(0), shared.value)]] = False
                 at += len(part)
             return pa.array(out)
 
         return free(F.col(text_col))
 
+    left = None
     for ids, texts in _blocks(benchmark, item_col, item_text_col):
-        docs = docs.filter(free_of(sc.broadcast(Items(ids, texts))))
-    return docs
+        # What one block leaves is stored before the next, so that no task holds two blocks.
+        docs = docs if left is None else stored(left)
+        left = docs.filter(free_of(sc.broadcast(Items(ids, texts, similarity))))
+    return docs if left is None else left
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -354,8 +458,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
     start and end are code points of the best match. Null and empty texts and items without words match
     nothing; an item's id may be null or of any type; repeated rows of either side give repeated rows; empty
-    tables give an empty result. Other columns are ignored. Items of fewer than STEPS letters are sure to be
-    found unchanged, as whole words; with edits only where a window of theirs fits.
+    tables give an empty result. Other columns are ignored. Items of fewer than WHOLE letters count where they stand
+    unchanged, as whole words. Of several equally near parts of a text the first to end is told. Very long texts are
+    read whole.
     """
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind, item_kind = (given.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType)
@@ -366,13 +471,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     types = (pa.int64(), pa.int64(), pa.int32(), pa.float64())
     id_type = to_arrow_type(item_kind)
     for ids, texts in _blocks(benchmark, item_col, item_text_col):
-        shared = sc.broadcast(Items(ids, texts))
+        shared = sc.broadcast(Items(ids, texts, similarity))
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             known = pa.array(shared.value.ids, id_type)
             for whole in batches:
                 for batch in by_bytes(whole, 1, SLICE_BYTES):
-                    columns = list(zip(*_found(batch.column(1), shared.value, similarity))) or [()] * 6
+                    columns = list(zip(*_found(batch.column(1), shared.value))) or [()] * 6
                     doc, item = (pa.array(c, pa.int64()) for c in columns[:2])
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), known.take(item), *(pa.array(c, t) for c, t in zip(columns[2:], types))], names)
 

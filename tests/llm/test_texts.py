@@ -433,6 +433,23 @@ def test_contamination_recall(spark, kind):
     assert clean == []
 
 
+@pytest.mark.parametrize("least, most", [(20, 35), (36, 45), (46, 60), (61, 79), (80, 95), (96, 127), (128, 200), (200, 380)])
+def test_recall_by_length(spark, least, most):
+    """Items of every length, cut afresh from documents and edited by a fifth of their letters: all that are short, nine of ten others."""
+    rng = random.Random(least)
+    words = [w for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).collect() for w in decontam.normal(r.text).split()]
+    items = []
+    while len(items) < 150:
+        a, size = rng.randrange(len(words) - 200), rng.randint(least, most)
+        items += [x for x in [" ".join(words[a : a + 200])[:size].strip()] if least <= len(x)]
+    block = decontam.Items(list(range(150)), items)
+    texts = [" ".join(rng.choices(words, k=30)) + " " + _edited(rng, x, 0.2, "letters") + " " + " ".join(rng.choices(words, k=30)) for x in items]
+    truth = {i for i, x in enumerate(items) if decontam.best_match(x, decontam.normal(texts[i]), decontam.edit_limit(len(x), 0.8))}
+    found = decontam.find_items(pa.array(texts), block)
+    assert all(like >= 0.8 for *_, like in found)
+    assert len(truth & {d for d, i, *_ in found if d == i}) >= (1 if most < decontam.EXACT else 0.9) * len(truth)
+
+
 def test_short_items_are_found_unchanged():
     items = decontam.Items(["a", "b", "c", None], ["Paris", "same text, here again!", "", "x y"])
     texts = ["In Paris, then", "comparison of parish", "the SAME text here again", "same text here", "x y x", None, "", "y x", "x", "y"]
