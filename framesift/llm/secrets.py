@@ -2,14 +2,22 @@
 
 Three patterns give the base spans (assignments, access keys, hexadecimal tokens). Their values, as
 labelled credentials of a kind each, train one probabilistic automaton a kind by state merging: a
-prefix tree of character classes, its states folded in breadth-first order into the first kept state
-whose outgoing frequencies (and, recursively, whose successors') agree within the Hoeffding bound.
-Every candidate token of every text (a run of credential characters, LEAST_FORMAT or more, with a digit and a
-letter) is then scored whole: its log likelihood under each automaton against that of ordinary tokens, which
-must outweigh how much rarer that kind is than tokens are. Such tokens are added as spans.
-
-Ordinary tokens' statistics, how often each class follows the CONTEXT classes before it, and the numbers of
-tokens and credentials are counted over all tokens of all texts. Only the labelled credentials that make the
+prefix tree, its states folded in breadth-first order into the first kept state whose outgoing
+frequencies (and, recursively, whose successors') agree within the Hoeffding bound.
+
+The automata read formats. A credential's first symbol is the least alphabet that holds its letters and digits
+(of either case, hexadecimal or not); then come its characters: punctuation and the letters of a prefix
+that many of the kind share as themselves, all others as one symbol, whose character is as likely as any of
+the alphabet. So prefixes, lengths and places of punctuation make states, random characters don't.
+
+Every candidate token of every text (a run of credential characters, LEAST_FORMAT or more) is then scored
+whole: its log likelihood under each automaton, the probability to end there included, against that of
+ordinary tokens, which it must outweigh by more than that kind is rarer than tokens are. Such tokens are added
+as spans. A bound on the score, from the token's alphabet and length, is told for all tokens at once; only
+those that it leaves open are run through the automata.
+
+Ordinary tokens' statistics, how often each class (or the end) follows the CONTEXT classes before it, and the numbers
+of tokens and credentials are counted over all tokens of all texts. Only the labelled credentials that make the
 trees are a sample: CREDENTIALS_PER_KIND values a kind, the first by hash, of up to LONGEST characters each.
 """
 
@@ -18,8 +26,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,8 +47,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 #: Characters of candidate tokens, and the least length of a candidate.
 TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
-RUN, DIGIT = re.compile(r"[A-Za-z0-9+/_=-]*+", re.ASCII), re.compile(r"[0-9]")
 LEAST_FORMAT = 6
+#: A prefix of up to so many characters is read as itself if so large a share of a kind's values, and so many, have it.
+PREFIX, PREFIX_SHARE, PREFIX_LEAST = 12, 0.2, 8
 #: Labelled credentials that are learned from: so many a kind, of up to so many characters.
 CREDENTIALS_PER_KIND, LONGEST = 2000, 128
 SLOTS = 20
@@ -65,99 +74,154 @@ def credentials(text: str) -> Iterator[tuple[str, str]]:
         yield kind, ASSIGN.match(text[start:end])[1] if kind == "assign" else text[start:end]
 
 
-def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end of the tokens with a digit and a letter, of LEAST_FORMAT characters or more."""
-    at = 0
-    while found := DIGIT.search(text, at):
-        start, end = found.start(), RUN.match(text, found.start()).end()
-        while start > at and text[start - 1] in TOKEN:
-            start -= 1
-        at = end
-        if end - start >= LEAST_FORMAT and any(c.isalpha() for c in text[start:end]):
-            yield start, end
-
-
 def symbol(c: str) -> str:
-    """Character class that the automata read: hexadecimal letters of either case stand apart."""
-    if c.isdigit():
+    """Character class: hexadecimal letters stand apart, and so do the cases."""
+    if "0" <= c <= "9":
         return "9"
-    if "a" <= c.lower() <= "f":
-        return "a"
-    if "g" <= c <= "z":
-        return "z"
-    return "Z" if "G" <= c <= "Z" else "-"
+    if "a" <= c <= "z":
+        return "a" if c <= "f" else "z"
+    return ("A" if c <= "F" else "Z") if "A" <= c <= "Z" else "-"
 
 
-SYMBOLS = 5
-#: Number of each symbol in the background's counts, where 0 stands for the token's start.
-_NUMBER = {s: i for i, s in enumerate("9azZ-", 1)}
-_BY_BYTE = np.zeros(256, np.int16)
+SYMBOLS = 6
+#: Number of each class in the background's counts; 0 stands for the token's start and its end. Characters of a class.
+_NUMBER = {s: i for i, s in enumerate("9azAZ-", 1)}
+_CHARS = np.array([1, 10, 6, 20, 6, 20, 5])
+_CLASS = np.zeros(129, np.int64)
 for _c in sorted(TOKEN):
-    _BY_BYTE[ord(_c)] = _NUMBER[symbol(_c)]
-#: Symbols before one that tell its probability in ordinary tokens.
+    _CLASS[ord(_c)] = _NUMBER[symbol(_c)]
+#: Classes before one that tell its probability in ordinary tokens.
 CONTEXT = 3
 _SIZE = SYMBOLS + 1
 
+#: Alphabets by the classes that a token has (a bit each), and how many characters they hold.
+ALPHABETS = {"none": 1, "digits": 10, "hex": 16, "HEX": 16, "lower": 26, "UPPER": 26, "lower9": 36, "UPPER9": 36, "mixed": 52, "mixed9": 62}
+_9, _A, _Z, _UA, _UZ = (1 << i for i in range(1, 6))
+
+
+def _alphabet(bits: int) -> str:
+    low, up, digits = bits & (_A | _Z), bits & (_UA | _UZ), bits & _9
+    if low and up:
+        return "mixed9" if digits else "mixed"
+    if not low and not up:
+        return "digits" if digits else "none"
+    if not bits & (_Z | _UZ):
+        return "hex" if low else "HEX"
+    return ("lower" if low else "UPPER") + ("9" if digits else "")
+
+
+_ALPHABET = [_alphabet(bits) for bits in range(1 << _SIZE)]
+_NAMES = list(ALPHABETS)
+_ALPHABET_NO = np.array([_NAMES.index(a) for a in _ALPHABET])
+#: What stands for any character of the alphabet.
+ANY = "any"
+#: Symbols that probabilities are smoothed over: alphabets, characters, any of them, the end.
+_SMOOTHED = len(ALPHABETS) + len(TOKEN) + 2
+
+
+def classes(text: str) -> np.ndarray:
+    """Class of each code point of a text, 0 for those that no token has."""
+    return _CLASS[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 128)]
+
+
+def tokens(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of credential characters."""
+    inside = np.diff(np.concatenate([[0], (code > 0).astype(np.int8), [0]]))
+    return np.flatnonzero(inside > 0), np.flatnonzero(inside < 0)
+
+
+def _contexts(code: np.ndarray) -> np.ndarray:
+    """Number of the classes before each place, and before the end; a context does not reach beyond its token's start."""
+    padded = np.concatenate([np.zeros(CONTEXT, np.int64), code])
+    key, inside = np.zeros(len(code) + 1, np.int64), np.ones(len(code) + 1, bool)
+    for k in range(1, CONTEXT + 1):
+        before = padded[CONTEXT - k : len(padded) - k + 1]
+        inside &= before > 0
+        key += np.where(inside, before, 0) * _SIZE ** (k - 1)
+    return key
+
+
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of the tokens of LEAST_FORMAT characters or more."""
+    starts, ends = tokens(classes(text))
+    long_ = ends - starts >= LEAST_FORMAT
+    return zip(starts[long_].tolist(), ends[long_].tolist())
+
 
 @dataclass
 class Background:
-    """Ordinary tokens: how often each symbol follows each context, and the number of tokens."""
+    """Ordinary tokens: how often each class, or the end (class 0), follows each context, and the number of tokens."""
 
     counts: np.ndarray = field(default_factory=lambda: np.zeros((_SIZE**CONTEXT, _SIZE), np.int64))
     tokens: int = 0
 
-    def add(self, data: bytes) -> None:
-        """Counts all tokens of a text's bytes."""
-        code = np.concatenate([np.zeros(CONTEXT, np.int16), _BY_BYTE[np.frombuffer(data, np.uint8)]])
-        now, key = code[CONTEXT:], np.zeros(len(data), np.int16)
-        inside = np.ones(len(data), bool)
-        for k in range(1, CONTEXT + 1):  # a context does not reach beyond its token's start
-            before = code[CONTEXT - k : len(code) - k]
-            inside &= before > 0
-            key += np.where(inside, before, 0) * np.int16(_SIZE ** (k - 1))
+    def add(self, text: str) -> None:
+        """Counts all tokens of a text."""
+        code = classes(text)
+        starts, ends = tokens(code)
+        key, now = _contexts(code), np.append(code, 0)
         some = now > 0
-        self.counts += np.bincount(key[some].astype(np.int64) * _SIZE + now[some], minlength=self.counts.size).reshape(self.counts.shape)
-        self.tokens += int((some & (code[CONTEXT - 1 : -1] == 0)).sum())
+        some[ends] = True
+        self.counts += np.bincount(key[some] * _SIZE + now[some], minlength=self.counts.size).reshape(self.counts.shape)
+        self.tokens += len(starts)
 
-    def log_likelihood(self, word: str) -> float:
-        """Log probability, smoothed by one count spread over the symbols."""
-        key, out = 0, 0.0
-        for c in word:
-            s = _NUMBER[symbol(c)]
-            row = self.counts[key]
-            out += math.log((row[s] + 1 / SYMBOLS) / (row.sum() + 1))
-            key = (key * _SIZE + s) % _SIZE**CONTEXT
-        return out
+    def logs(self) -> np.ndarray:
+        """Log probability of a character, or the end, by context and class; smoothed by one count spread over the classes."""
+        return (np.log((self.counts + 1 / _SIZE) / (self.counts.sum(axis=1, keepdims=True) + 1)) - np.log(_CHARS)).ravel()
 
 
 @dataclass
 class Automaton:
-    """States with how often they are entered, left by each symbol, and ended in."""
+    """States with how often they are entered, left by each symbol, and ended in; the prefixes read as themselves."""
 
     go: list[dict[str, int]] = field(default_factory=lambda: [{}])
     left: list[dict[str, int]] = field(default_factory=lambda: [{}])
     ended: list[int] = field(default_factory=lambda: [0])
+    prefixes: frozenset[str] = frozenset()
 
     def total(self, q: int) -> int:
         return self.ended[q] + sum(self.left[q].values())
 
     def log_likelihood(self, word: str) -> float:
-        """Log probability, smoothed by one count spread over the symbols."""
+        """Log probability of the word and its end, smoothed by one count spread over the symbols."""
         q, out = 0, 0.0
-        for c in word:
-            s = symbol(c)
-            n = self.total(q) if q >= 0 else 0
-            out += math.log((((self.left[q].get(s, 0)) if q >= 0 else 0) + 1 / SYMBOLS) / (n + 1))
-            q = self.go[q].get(s, -1) if q >= 0 else -1
-        return out
-
-
-def prefix_tree(words: list[str]) -> Automaton:
+        symbols = read(word, self.prefixes)
+        share = -math.log(ALPHABETS[symbols[0]])
+        for s in symbols:
+            if q < 0:
+                out += share - math.log(_SMOOTHED)
+                continue
+            out += math.log((self.left[q].get(s, 0) + 1 / _SMOOTHED) / (self.total(q) + 1)) + (share if s == ANY else 0)
+            # Behind an alphabet that no credential has, the commonest one's format goes on.
+            q = self.go[q].get(s, -1 if q or not self.go[0] else self.go[0][max(self.left[0], key=lambda a: (self.left[0][a], a))])
+        return out + (math.log((self.ended[q] + 1 / _SMOOTHED) / (self.total(q) + 1)) if q >= 0 else -math.log(_SMOOTHED))
+
+    def best(self) -> np.ndarray:
+        """By alphabet, the most that a word's likelihood can be beside that of its characters."""
+        return np.array([math.log((self.left[0].get(a, 0) + 1 / _SMOOTHED) / (self.total(0) + 1)) for a in _NAMES])
+
+
+def common_prefixes(words: list[str]) -> frozenset[str]:
+    """Prefixes that many of the words share, none longer than PREFIX."""
+    counts = Counter(w[:k] for w in words for k in range(1, min(PREFIX, len(w)) + 1))
+    return frozenset(p for p, n in counts.items() if n >= max(PREFIX_LEAST, PREFIX_SHARE * len(words)))
+
+
+def read(word: str, prefixes: frozenset[str]) -> list[str]:
+    """A word's alphabet and symbols; the alphabet is that of the characters behind its prefix."""
+    k = next((k for k in range(min(PREFIX, len(word)), 0, -1) if word[:k] in prefixes), 0)
+    bits = 0
+    for c in word[k:]:
+        bits |= 1 << _NUMBER[symbol(c)]
+    return [_ALPHABET[bits], *word[:k], *(c if symbol(c) == "-" else ANY for c in word[k:])]
+
+
+def prefix_tree(words: list[Sequence[str]]) -> Automaton:
+    """Of words as lists of symbols."""
     tree = Automaton()
     for word in words:
         q = 0
-        for c in word:
-            s = symbol(c)
+        for s in word:
             if s not in tree.go[q]:
                 tree.go[q][s] = len(tree.go)
                 tree.go.append({}), tree.left.append({}), tree.ended.append(0)
@@ -188,7 +252,7 @@ def compatible(t: Automaton, p: int, q: int, alpha: float) -> bool:
     return True
 
 
-def infer(words: list[str], alpha: float = ALPHA) -> Automaton:
+def infer(words: list[Sequence[str]], alpha: float = ALPHA) -> Automaton:
     """Kept states are compared with each frontier state; a compatible one takes it in, with its
     subtree folded in below, else the frontier state is kept too."""
     t = prefix_tree(words)
@@ -226,21 +290,57 @@ class Formats:
     background: Background
     limits: dict[str, float]
 
+    def __post_init__(self) -> None:
+        self.logs = self.background.logs()
+        best = [a.best() - self.limits[k] for k, a in self.automata.items()]
+        self.best = np.max(best, axis=0) if best else np.full(len(ALPHABETS), -np.inf)
+
+    def ground(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Log likelihood of each token as an ordinary one."""
+        sums = np.concatenate([[0.0], np.cumsum(self.logs[_contexts(code) * _SIZE + np.append(code, 0)])])
+        return sums[ends + 1] - sums[starts]
+
     def score(self, word: str) -> float:
         """How far the likeliest format outweighs an ordinary token; positive: a credential's format."""
-        ground = self.background.log_likelihood(word)
+        ground = float(self.ground(classes(word), np.array([0]), np.array([len(word)]))[0])
         return max((a.log_likelihood(word) - ground - self.limits[k] for k, a in self.automata.items()), default=-math.inf)
 
+    def likely(self, text: str) -> Iterator[tuple[int, int]]:
+        """Start and end of the candidates of a credential's format, in order."""
+        code = classes(text)
+        starts, ends = tokens(code)
+        long_ = ends - starts >= LEAST_FORMAT
+        starts, ends = starts[long_], ends[long_]
+        if not len(starts):
+            return
+        bits = np.bitwise_or.reduceat(np.append(np.left_shift(1, code), 1), np.stack([starts, ends], axis=1).ravel())[::2]
+        plain = np.concatenate([[0], np.cumsum((code > 0) & (code < SYMBOLS))])
+        alphabet = _ALPHABET_NO[bits]
+        sizes = np.log(np.array(list(ALPHABETS.values())))
+        bound = self.best[alphabet] - (plain[ends] - plain[starts]) * sizes[alphabet] - self.ground(code, starts, ends)
+        # The bound is of words without a prefix.
+        firsts = [ord(p) for a in self.automata.values() for p in a.prefixes if len(p) == 1]
+        if firsts:
+            bound[np.isin([ord(text[i]) for i in starts.tolist()], firsts)] = np.inf
+        for start, end in zip(starts[bound > 0].tolist(), ends[bound > 0].tolist()):
+            if self.score(text[start:end]) > 0:
+                yield start, end
+
 
 def _formats(samples: dict[str, list[str]], numbers: dict[str, int], background: Background) -> Formats:
-    automata = {kind: infer(sorted(samples[kind])) for kind in KINDS if samples.get(kind)}
+    automata = {}
+    for kind in KINDS:
+        if words := sorted(samples.get(kind, [])):
+            prefixes = common_prefixes(words)
+            automata[kind] = infer([read(w, prefixes) for w in words])
+            automata[kind].prefixes = prefixes
     return Formats(automata, background, {k: max(0.0, math.log(max(1, background.tokens) / max(1, numbers[k]))) for k in automata})
 
 
 def _fit(samples: dict[str, list[str]], words: list[str]) -> Formats:
     """Formats of these credentials against these words."""
     background = Background()
-    background.add(" ".join(words).encode())
+    background.add(" ".join(words))
     return _formats(samples, {k: len(v) for k, v in samples.items()}, background)
 
 
@@ -264,7 +364,7 @@ def train(docs: DataFrame, *, text_col: str = "text") -> Formats:
                         plain.append(text[at:start])
                         at = max(at, end)
                     plain.append(text[at:])
-                ground.add(" ".join(plain).encode("utf-8", "replace"))
+                ground.add(" ".join(plain))
                 n = len(found)
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.string()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.int64())], names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.array([ground.counts.ravel().tolist()], pa.list_(pa.int64())), pa.array([ground.tokens], pa.int64())], names)
@@ -294,10 +394,10 @@ def find_spans(text: str | None, formats: Formats | None) -> tuple[list[tuple[st
     added = []
     if formats and formats.automata:
         taken, k, reach = sorted((s, e) for _, s, e in base), 0, 0
-        for start, end in candidates(text):
+        for start, end in formats.likely(text):
             while k < len(taken) and taken[k][0] < end:
                 reach, k = max(reach, taken[k][1]), k + 1
-            if reach <= start and formats.score(text[start:end]) > 0:
+            if reach <= start:
                 added.append((ADDED, start, end))
     return base, added
 

@@ -56,7 +56,7 @@ def test_automata_tell_formats_apart(spark):
 
 def merged_plainly(words, alpha):
     """State merging restated on sets of prefixes: a state is the set of prefixes that lead to it."""
-    coded = ["".join(map(secrets.symbol, w)) for w in words]
+    coded = list(words)
     blocks = {p: p for w in coded for p in (w[:i] for i in range(len(w) + 1))}  # prefix -> its state's name
 
     def futures(name):
@@ -117,19 +117,44 @@ def test_merging_by_prefix_sets():
 
 def test_background_counts_every_token():
     rng = random.Random(8)
-    text = "".join(rng.choice("ab9Z-+ é.\n") for _ in range(3000))
+    text = "".join(rng.choice("ab9ZC-+ é.\n") for _ in range(3000))
     ground, want, tokens = secrets.Background(), {}, re.findall(r"[A-Za-z0-9+/_=-]+", text)
-    ground.add(text.encode())
+    ground.add(text)
     for w in tokens:
-        codes = [0, 0, 0] + [secrets._NUMBER[secrets.symbol(c)] for c in w]
+        codes = [0, 0, 0] + [secrets._NUMBER[secrets.symbol(c)] for c in w] + [0]
         for i in range(3, len(codes)):
-            key = (codes[i - 3] * 36 + codes[i - 2] * 6 + codes[i - 1], codes[i])
+            key = (codes[i - 3] * 49 + codes[i - 2] * 7 + codes[i - 1], codes[i])
             want[key] = want.get(key, 0) + 1
     assert ground.tokens == len(tokens) and {(int(a), int(b)): int(ground.counts[a, b]) for a, b in zip(*ground.counts.nonzero())} == want
-    plain = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text) if len(m[0]) >= 6 and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    plain = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text) if len(m[0]) >= 6]
     assert list(secrets.candidates(text)) == plain
 
 
+def _credential(rng, kind):
+    make = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    return {"hex": lambda: make(40, digits + "abcdef"), "ghp": lambda: "ghp_" + make(36, lower + upper + digits), "slack": lambda: f"xoxb-{make(11, digits)}-{make(24, lower + upper + digits)}",
+            "digits": lambda: make(18, digits), "access": lambda: "AKIA" + make(16, upper + digits)}[kind]()
+
+
+def test_formats_learn_prefix_length_and_punctuation():
+    """Credentials held out, without the words that give them away, against ordinary words, names and numbers."""
+    rng = random.Random(11)
+    known = [_credential(rng, k) for k in ("hex", "ghp", "slack", "digits") for _ in range(150)]
+    words = open("/opt/tokenizers/README.md").read().split() + re.findall(r"\w+", open(secrets.__file__).read()) * 3
+    formats = secrets._fit({"assign": known, "access": [_credential(rng, "access") for _ in range(100)]}, words)
+    assert all(len(a.go) > 10 for a in formats.automata.values())
+    assert {"ghp_", "xoxb-"} <= formats.automata["assign"].prefixes and "AKIA" in formats.automata["access"].prefixes
+    held = [_credential(rng, k) for k in ("hex", "ghp", "slack", "digits", "access") for _ in range(60)]
+    text = " ".join(f"{rng.choice(words)} {x} {rng.choice(words)}" for x in held)
+    found = {text[a:b] for a, b in formats.likely(text)}
+    assert len(found & set(held)) >= 0.98 * len(held)
+    plain = " ".join(words + ["internationalization", "HTTP/1", "2026-11-28T05:00", "20261128", "CamelCaseIdentifier", "snake_case_name", "v2beta1", "ghp", "xoxb"])
+    assert not list(formats.likely(plain))
+    exact = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{6,}", text + plain) if formats.score(m[0]) > 0]
+    assert list(formats.likely(text + plain)) == exact
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
