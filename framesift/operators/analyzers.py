@@ -13,6 +13,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dct
 from . import forensics, headers, imaging, jobs, scoring, video, watermark
 
 ARTIFACT = "struct<kind:string,name:string,content:binary>"
@@ -122,14 +123,15 @@ class ImageForensics:
 
     name = "image_forensics"
 
-    def __init__(self, codec: imaging.Codec | None = None, quality: int = imaging.QUALITY, threshold: int = imaging.THRESHOLD) -> None:
+    def __init__(self, codec: imaging.Codec | None = dct.recoded, quality: int = imaging.QUALITY, threshold: int = imaging.THRESHOLD) -> None:
         self.codec, self.quality, self.threshold = codec, quality, threshold
 
     def prepare(self, media: DataFrame) -> DataFrame:
         image = F.col("image")
         error = imaging.recompression(image, self.codec, self.quality, self.threshold) if self.codec else F.lit(None).cast("struct<mean_error:double,p95_error:double,max_error:int,highlighted_ratio:double,heatmap:binary,error:string>")
         measured = media.withColumn("_bits", imaging.low_bits(image)).withColumn("_error", error)
-        return measured.withColumn("_hidden", F.when(F.col("_bits.head").isNotNull(), forensics.payload(F.col("_bits.head"))))
+        shown = imaging.as_png(image, F.col("_error.heatmap")) if self.codec else F.lit(None).cast("struct<png:binary,error:string>")
+        return measured.withColumn("_shown", shown).withColumn("_hidden", F.when(F.col("_bits.head").isNotNull(), forensics.payload(F.col("_bits.head"))))
 
     def apply(self, media: DataFrame) -> Column:
         still, image = F.startswith("media_type", F.lit("image/")), F.col("image")
@@ -148,7 +150,7 @@ class ImageForensics:
             (still & F.lit(self.codec is None), "no codec for recompression: error levels were not measured"), (error.isNotNull() & (F.col("media_type") == "image/png"), "error levels of a PNG compare it with a coding it never had"),
         )
         artifact = lambda kind, name, content: F.when(content.isNotNull(), F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), content.alias("content")))
-        artifacts = F.array_compact(F.array(artifact("ela_heatmap", "ela-heatmap.rgb", error["heatmap"]), artifact("extracted_payload", "extracted-lsb-payload.bin", hidden["payload"])))
+        artifacts = F.array_compact(F.array(artifact("ela_heatmap", "ela-heatmap.png", F.col("_shown.png")), artifact("extracted_payload", "extracted-lsb-payload.bin", hidden["payload"])))
         failed = result(self.name, F.lit("failed"), F.lit("{}"), F.array(failure))
         settings = _json(ela_jpeg_quality=F.lit(self.quality), lsb_bit_plane=F.lit(0))
         return F.when(failure.isNotNull(), failed).otherwise(result(self.name, F.lit("completed"), findings, told, settings=settings, artifacts=artifacts))
@@ -158,7 +160,7 @@ def _six(value: Column) -> Column:
     return F.round(value, 6)
 
 
-def default_registry(codec: imaging.Codec | None = None) -> list[Analyzer]:
+def default_registry(codec: imaging.Codec | None = dct.recoded) -> list[Analyzer]:
     """In the fixed order of reports; the face model is a plug-in."""
     return [Authenticity(), Unavailable("deepfake_detection", "no model checkpoint configured"), ImageForensics(codec)]
 

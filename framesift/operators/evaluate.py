@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dct
+from ..functions.checkpoint import cut
 from . import forensics, imaging, ingest, metrics, rollups, scoring
 
 CLEAN = ("clean", "clean-noise")
@@ -48,7 +50,7 @@ def images_payloads(decoded: DataFrame) -> DataFrame:
     return decoded.select(F.col("path").alias("file"), hidden.alias("h")).select("file", "h.method", "h.payload")
 
 
-def recompressed_cases(cases: DataFrame, files: DataFrame, decoded: DataFrame, codec: imaging.Codec, quality: int = imaging.QUALITY, threshold: int = imaging.THRESHOLD) -> DataFrame:
+def recompressed_cases(cases: DataFrame, files: DataFrame, decoded: DataFrame, codec: imaging.Codec = dct.recoded, quality: int = imaging.QUALITY, threshold: int = imaging.THRESHOLD) -> DataFrame:
     """cases (id, file, known_edit, known_edit_region_xyxy, image_sha256, …) with their files' error statistics,
     and those of the known region against the rest. All cases have this quality and threshold.
 
@@ -68,14 +70,16 @@ def recompressed_cases(cases: DataFrame, files: DataFrame, decoded: DataFrame, c
 
 
 def recompressed_summary(evaluated: DataFrame) -> DataFrame:
-    """One row: the one known edit against the benign cases; another number of known edits is an error."""
+    """One row: the one known edit against the benign cases; another number of known edits is an error. Of equally
+    strong benign cases the one of least id is told. The measured rows are cut once, so no image is coded again."""
+    evaluated = cut(evaluated.drop("heatmap"))
     edits = evaluated.filter("known_edit").count()
     if edits != 1:
         raise ValueError(f"one known edit is wanted, not {edits}")
     edited = evaluated.filter("known_edit").select(*[F.col(c).alias(f"edited_{c}") for c in ("id", "mean_error", "p95_error", "max_error", "highlighted_ratio", "region_mean", "background_mean", "region_ratio")])
     benign = evaluated.filter("NOT known_edit").crossJoin(F.broadcast(edited))  # one row
     ids = lambda when: F.array_sort(F.collect_list(F.when(when, F.col("id"))))  # noqa: E731  a manifest's cases
-    best = lambda c: F.max_by(F.struct("id", F.col(c).alias("value")), F.struct(c, "id"))
+    best = lambda c: F.min_by(F.struct("id", F.col(c).alias("value")), F.struct((-F.col(c)).alias("c"), "id"))
     return benign.groupBy(*edited.columns).agg(
         F.count("*").alias("benign_case_count"), ids(F.col("highlighted_ratio") > 0).alias("benign_with_highlighted_pixels"), ids(F.col("highlighted_ratio") >= F.col("edited_highlighted_ratio")).alias("benign_meeting_edited_ratio"),
         ids(F.col("p95_error") >= F.col("edited_p95_error")).alias("benign_meeting_edited_p95"), best("highlighted_ratio").alias("strongest_benign_by_ratio"), best("p95_error").alias("strongest_benign_by_p95"),

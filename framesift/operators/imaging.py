@@ -2,8 +2,7 @@
 
 An image is a struct of height, width, channels and data (blue, green, red by row), as Spark's image source
 decodes it. Kernels run in Arrow batches; one that fails for an image says so in `error` and no other row
-is touched. A codec is a plug-in, codec(rgb, quality) -> rgb after lossy coding; without one there is no
-recompression error, never a made-up one.
+is touched. A codec is codec(rgb, quality) -> rgb after lossy coding; the library's own is dct.recoded.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import pixels
+from ..functions import dct, pixels, png
 from . import forensics
 
 IMAGE = "struct<height:int,width:int,channels:int,data:binary>"
@@ -23,6 +22,8 @@ CHANNELS = ("red", "green", "blue")
 #: Bytes of the packed low bits that leave the kernel: all that a payload and its layout can take.
 STREAM_HEAD = forensics.MOST_PAYLOAD + 128
 QUALITY, THRESHOLD = 90, 20
+#: Colour of outlines.
+MARKED = (220, 38, 38)
 Codec = Callable[[np.ndarray, int], np.ndarray]
 
 
@@ -66,7 +67,7 @@ def low_bits(image: Column) -> Column:
     return per_image("bits:long;ones_ratio:array<double>;pair_imbalance:array<double>;head:binary;entropy:double", kernel)(image)
 
 
-def recompression(image: Column, codec: Codec, quality: int = QUALITY, threshold: int = THRESHOLD) -> Column:
+def recompression(image: Column, codec: Codec = dct.recoded, quality: int = QUALITY, threshold: int = THRESHOLD) -> Column:
     """Struct of mean_error, p95_error, max_error, highlighted_ratio, heatmap (red, green, blue by row), error."""
     if not 1 <= quality <= 100:
         raise ValueError("quality must lie in 1..100")
@@ -131,3 +132,22 @@ def prediction_errors(image: Column, weights: np.ndarray) -> Column:
 def _shown(values: np.ndarray) -> bytes:
     span = max(float(values.max() - values.min()), 1e-6)
     return ((values - values.min()) / span * 255).astype(np.uint8).tobytes()
+
+
+def as_png(image: Column, rgb: Column | None = None) -> Column:
+    """Struct of png, the image as a file, and error; rgb: other bytes (red, green, blue by row) of the same size, such as a heatmap."""
+    return per_image("png:binary", lambda x, other: (None if other is None else png.encoded(np.frombuffer(other, np.uint8).reshape(x.shape)),))(image, rgb) if rgb is not None else per_image(
+        "png:binary", lambda x: (png.encoded(np.ascontiguousarray(x)),)
+    )(image)
+
+
+def with_box(image: Column, box: Column, colour: tuple[int, int, int] = MARKED, thick: int = 3) -> Column:
+    """Struct of png, the image with the outline of a box (x, y, w, h), and error; without a box there is no file."""
+
+    def kernel(rgb: np.ndarray, at: dict | None) -> tuple:
+        if at is None:
+            return (None,)
+        x, y, w, h = (int(at[k]) for k in "xywh")
+        return (png.encoded(pixels.outlined(rgb, x, y, x + w - 1, y + h - 1, colour, thick)),)
+
+    return per_image("png:binary", kernel)(image, box)

@@ -101,7 +101,7 @@ def test_jobs_are_processed(spark, tmp_path):
     modules = {m["module"]: m for m in json.loads(got["a"].result)["modules"]}
     assert list(modules) == ["platform_ingestion", "media_authenticity", "deepfake_detection", "image_forensics"]
     found = json.loads(modules["image_forensics"]["findings"])
-    assert found["lsb"]["ascii_preview"] == "hello" and found["metadata"]["width"] == 64 and modules["image_forensics"]["artifacts"] == [{"kind": "extracted_payload", "name": "extracted-lsb-payload.bin"}]
+    assert found["lsb"]["ascii_preview"] == "hello" and found["metadata"]["width"] == 64 and modules["image_forensics"]["artifacts"] == [{"kind": "ela_heatmap", "name": "ela-heatmap.png"}, {"kind": "extracted_payload", "name": "extracted-lsb-payload.bin"}]
     assert json.loads(json.loads(got["c"].result)["modules"][0]["findings"])["sampled_frame_count"] == 2
     ledger = queued.select("id", F.lit("processing").alias("status"), F.lit(now).alias("updated_at"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("result"))
     assert {r.id: r.status for r in jobs.update(ledger, changes).collect()} == {i: r.status for i, r in got.items()}
@@ -231,7 +231,8 @@ def test_study(spark):
 def test_artifacts_table(spark, tmp_path):
     frame = spark.createDataFrame([("a", "image/png", bytearray(b""), video.as_image(hiding(b"STEGv1:bytes\0")))], f"job_id string, media_type string, content binary, image {imaging.IMAGE}")
     media.write_artifacts(analyzers.artifacts(analyzers.analyse(frame)), str(tmp_path / "t"))
-    assert [(r.kind, bytes(r.content)) for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [("extracted_payload", b"bytes")]
+    held = {r.kind: bytes(r.content) for r in spark.read.parquet(str(tmp_path / "t")).collect()}
+    assert held.keys() == {"ela_heatmap", "extracted_payload"} and held["extracted_payload"] == b"bytes" and held["ela_heatmap"][:8] == b"\x89PNG\r\n\x1a\n"
 
 
 def test_manifests_names_and_settings(spark, tmp_path, monkeypatch):
