@@ -32,7 +32,7 @@ def manipulation(text: Column) -> Column:
 
 
 def sample_id(dataset: str, sha256: Column, line: Column) -> Column:
-    return F.concat(F.lit(f"{dataset}-"), F.substring(sha256, 1, 16), F.lit("-"), F.lpad(line.cast("string"), 6, "0"))
+    return F.concat(F.lit(f"{dataset}-"), F.substring(sha256, 1, 16), F.lit("-"), F.format_string("%06d", line))
 
 
 def build(metadata: DataFrame, files: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:

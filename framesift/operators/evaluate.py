@@ -101,5 +101,6 @@ def scored_catalog(catalog: DataFrame, decoded: DataFrame, cropper: Callable, mo
 
 def catalog_metrics(rows: DataFrame, threshold: float) -> DataFrame:
     """One row: status counts and all metrics of the evaluated rows; an error if there are none."""
+    rows = cut(rows.select("label", "score", "status"))  # each aggregate reads these, none runs the model again
     measured = metrics.evaluate(rows.filter("status = 'evaluated'").select("label", "score"), threshold)
     return metrics.status_counts(rows).crossJoin(measured)  # single rows

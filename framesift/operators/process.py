@@ -9,6 +9,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.checkpoint import cut, stored
 from ..sources import media as sources
 from . import analyzers, headers, ingest, jobs, video, watermark
 
@@ -52,14 +53,20 @@ def allowed_step(before: Column, after: Column) -> Column:
 
 
 def prepared(files: DataFrame, decoded: DataFrame, settings: Settings, decoder: video.Decoder | None = None, cropper: Callable | None = None, model: Callable | None = None) -> DataFrame:
-    """files (job_id, path, content) -> media with type, header, image, watermark and faces, where these can be had."""
+    """files (job_id, path, content) -> media with type, header, image, watermark and faces, where these can be had.
+
+    Frames are decoded once and stored; what is found in them is narrow and cut, so that neither a frame nor a face is
+    looked at again, and contents only meet findings, not frames.
+    """
     typed = headers.inspected(ingest.ingest(files, most=settings.max_upload_bytes), most_pixels=settings.max_pixels, most_seconds=settings.max_seconds)
     media = sources.with_images(typed, decoded)
     frames = video.all_frames(media, decoder, interval_seconds=settings.interval_seconds, most=settings.max_frames)
-    counts = frames.groupBy("job_id").agg(F.count("*").alias("sampled_frames"))
-    for found in (watermark.visible_marks(frames), video.face_scores(frames, cropper, model), counts):
-        media = media.join(found, "job_id", "left")
-    return media
+    if decoder is not None:
+        frames = stored(frames)
+    found = frames.groupBy("job_id").agg(F.count("*").alias("sampled_frames"))
+    for more in (watermark.visible_marks(frames), video.face_scores(frames, cropper, model)):
+        found = found.join(more, "job_id", "left")
+    return media.join(cut(found), "job_id", "left")
 
 
 def process(queued: DataFrame, files: DataFrame, decoded: DataFrame, now: Column, *, settings: Settings | None = None, registry: Sequence[analyzers.Analyzer] | None = None,

@@ -57,10 +57,36 @@ def study_task_counts(answers: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*[F.struct(F.lit(t).alias("task"), *[F.col(f"{t}_{s}").alias(s) for s in STATUSES]) for t in TASKS])))
 
 
+def completed(tasks: Column, ratings: Column) -> Column:
+    """Whether a participant ran all the tasks and gave every rating."""
+    run = ~F.exists(F.map_values(tasks), lambda s: s == "not_run") & (F.size(tasks) > 0)
+    return F.coalesce(run & ~F.exists(F.map_values(ratings), lambda v: v.isNull()) & (F.size(ratings) > 0), F.lit(False))
+
+
 def study_completed(participants: DataFrame) -> DataFrame:
-    """participants -> those all of whose tasks were run, with their comments."""
-    done = ~F.exists(F.map_values("tasks"), lambda s: s == "not_run") & (F.size("tasks") > 0)
-    return participants.filter(done).select("id", "most_confusing", "recommended_change")
+    """participants -> those who ran all tasks and gave all ratings, with their comments."""
+    return participants.filter(completed(F.col("tasks"), F.col("ratings"))).select("id", "most_confusing", "recommended_change")
+
+
+def study_comments(participants: DataFrame) -> DataFrame:
+    """id, question, comment: what completed participants wrote, but for blank comments."""
+    both = F.inline(F.array(*[F.struct(F.lit(c).alias("question"), F.col(c).alias("comment")) for c in ("most_confusing", "recommended_change")]))
+    return study_completed(participants).select("id", both).filter(F.trim(F.coalesce("comment", F.lit(""))) != "")
+
+
+def study_summary(participants: DataFrame, required: int = 5) -> DataFrame:
+    """One row: how many participants are complete, whether that is all that are required (only then may results be
+    told), and the numbers of comments, statuses by task, and responses with means by rating. One aggregation over all rows."""
+    done = completed(F.col("tasks"), F.col("ratings"))
+    told = lambda c: F.count_if(done & (F.trim(F.coalesce(c, F.lit(""))) != ""))
+    status = lambda t, s: F.count_if(F.element_at("tasks", t) == s)
+    n = participants.agg(
+        F.count_if(done).alias("completed_participants"), told("most_confusing").alias("most_confusing_comments"), told("recommended_change").alias("recommended_changes"),
+        F.array(*[F.struct(F.lit(t).alias("task"), *[status(t, s).alias(s) for s in STATUSES]) for t in TASKS]).alias("task_results"),
+        F.array(*[F.struct(F.lit(r).alias("rating"), F.count(F.element_at("ratings", r)).alias("responses"), F.round(F.avg(F.element_at("ratings", r)), 2).alias("mean")) for r in RATINGS]).alias("rating_results"),
+    )
+    complete = F.col("completed_participants") == required
+    return n.select(complete.alias("study_complete"), complete.alias("publishable"), F.lit(required).cast("long").alias("required_participants"), "*")
 
 
 STUDY_KEYS, PARTICIPANT_KEYS = ("schema_version", "task", "participants"), ("id", "tasks", "ratings", "most_confusing", "recommended_change")
@@ -96,9 +122,9 @@ def study_errors(participants: DataFrame) -> DataFrame:
     prefix = lambda text: F.concat(F.col("id"), F.lit(": "), text)
     invalid = F.array_sort(F.array_distinct(F.filter(F.map_values("tasks"), lambda v: ~v.isin(*STATUSES))))
     found = [
-        F.when(~F.coalesce(keys(F.col("tasks"), TASKS), F.lit(False)), prefix(F.lit("tasks must contain exactly the five tasks"))).when(F.size(invalid) > 0, prefix(F.concat(F.lit("invalid task statuses "), F.array_join(invalid, ",")))),
-        F.when(~F.coalesce(keys(F.col("ratings"), RATINGS), F.lit(False)), prefix(F.lit("ratings must contain exactly the three ratings"))),
-        *[F.when(~F.coalesce(F.element_at("ratings", r).between(1, 5), F.lit(True)), prefix(F.lit(f"{r} must be an integer from 1 to 5 or null"))) for r in RATINGS],
-        *[F.when(F.coalesce(F.char_length(f) > 500, F.lit(True)), prefix(F.lit(f"{f} must be text of at most 500 characters"))) for f in ("most_confusing", "recommended_change")],
+        F.when(~F.coalesce(keys(F.col("tasks"), TASKS), F.lit(False)), prefix(F.lit("tasks are not the five asked for"))).when(F.size(invalid) > 0, prefix(F.concat(F.lit("unknown statuses: "), F.array_join(invalid, ",")))),
+        F.when(~F.coalesce(keys(F.col("ratings"), RATINGS), F.lit(False)), prefix(F.lit("ratings are not the three asked for"))),
+        *[F.when(~F.coalesce(F.element_at("ratings", r).between(1, 5), F.lit(True)), prefix(F.lit(f"{r} lies outside 1..5"))) for r in RATINGS],
+        *[F.when(F.coalesce(F.char_length(f) > 500, F.lit(True)), prefix(F.lit(f"{f} is missing or over 500 characters"))) for f in ("most_confusing", "recommended_change")],
     ]
     return participants.select("id", F.array_compact(F.array(*found)).alias("errors"))

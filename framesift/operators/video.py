@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.checkpoint import cut
 from . import imaging, sampling, scoring
 
 
@@ -76,7 +77,8 @@ def face_scores(frames: DataFrame, cropper: Callable[[np.ndarray], np.ndarray |
         return (None if face is None else np.asarray(face, float).ravel().tolist(),)
 
     found = frames.select("job_id", "frame_index", "timestamp_seconds", imaging.per_image("face:array<double>", crop)(F.col("image"))["face"].alias("face"))
-    scored = scoring.predict(found.filter("face IS NOT NULL"), model, features="face", batch=batch)
+    # Scores are narrow; cut, they are what all that follows reads, so each face is scored once.
+    scored = cut(scoring.predict(found.filter("face IS NOT NULL"), model, features="face", batch=batch).drop("face"))
     total = frames.groupBy("job_id").agg(F.count("*").alias("candidate_frames"))
     rows = F.array_sort(F.collect_list(F.struct("frame_index", "timestamp_seconds", "probability")))  # at most the sampled frames of a video
     faces = scored.groupBy("job_id").agg(F.count("*").alias("analysed_faces"), rows.alias("frame_scores"))

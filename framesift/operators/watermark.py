@@ -30,10 +30,11 @@ RESULT = "struct<found:boolean,score:double,location:string,box:struct<x:int,y:i
 
 
 def chosen(frames: DataFrame) -> DataFrame:
-    """frames (job_id, frame_index, image) -> at most FRAMES of each job."""
+    """frames (job_id, frame_index, image) -> at most FRAMES of each job, chosen by their indices alone: no image is sorted."""
     of_job = Window.partitionBy("job_id")
-    numbered = frames.withColumn("_n", F.count("*").over(of_job)).withColumn("_i", F.row_number().over(of_job.orderBy("frame_index")) - 1)
-    return numbered.filter(F.array_contains(sampling.even_indices(F.col("_n"), FRAMES), F.col("_i").cast("long"))).drop("_n", "_i")
+    numbered = frames.select("job_id", "frame_index").withColumn("_n", F.count("*").over(of_job)).withColumn("_i", F.row_number().over(of_job.orderBy("frame_index")) - 1)
+    picked = numbered.filter(F.array_contains(sampling.even_indices(F.col("_n"), FRAMES), F.col("_i").cast("long"))).drop("_n", "_i")
+    return frames.join(picked, ["job_id", "frame_index"], "left_semi")
 
 
 def evidence(frames: DataFrame) -> DataFrame:

@@ -444,7 +444,7 @@ def ela_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 0 ELSE 1 END AS label, CASE WHEN d.source < d.lang THEN d.source || ';' || d.lang ELSE d.lang || ';' || d.source END AS identity_ids,
-CASE WHEN d.doc_id % 2 = 0 THEN 'unspecified' ELSE 'Deepfakes' END AS manipulation, 'set-' || substr(sha256(d.text), 1, 16) || '-' || lpad(CAST(d.doc_id + 1 AS VARCHAR), 6, '0') AS sample_id
+CASE WHEN d.doc_id % 2 = 0 THEN 'unspecified' ELSE 'Deepfakes' END AS manipulation, 'set-' || substr(sha256(d.text), 1, 16) || '-' || printf('%06d', d.doc_id + 1) AS sample_id
 FROM documents d JOIN labels l USING (doc_id)""")
 def catalog_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id")
@@ -476,7 +476,7 @@ f AS (SELECT 'a/' || doc_id || '.png' AS path, sha256(text) AS sha FROM document
 r AS (SELECT line, path, sha, CASE WHEN lower(trim(label)) <> 'fake' THEN 'bad_label' WHEN sha IS NULL THEN 'missing_file' END AS reason FROM m LEFT JOIN f USING (path)),
 p AS (SELECT *, min(line) FILTER (reason IS NULL) OVER (PARTITION BY path) AS first_ FROM r), q AS (SELECT line, sha, coalesce(reason, CASE WHEN line > first_ THEN 'duplicate_path of line ' || first_ END) AS reason FROM p),
 c AS (SELECT *, min(line) FILTER (reason IS NULL) OVER (PARTITION BY sha) AS first_ FROM q), t AS (SELECT line, sha, coalesce(reason, CASE WHEN line > first_ THEN 'duplicate_content of line ' || first_ END) AS reason FROM c)
-SELECT line, reason, CASE WHEN reason IS NULL THEN 'set-' || left(sha, 16) || '-' || lpad(CAST(line - 1 AS VARCHAR), 6, '0') END AS sample_id FROM t""")
+SELECT line, reason, CASE WHEN reason IS NULL THEN 'set-' || left(sha, 16) || '-' || printf('%06d', line - 1) END AS sample_id FROM t""")
 def catalog_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalogue of all documents as files, by lines that repeat paths and miss files, with its rejects."""
     d, k = _t(spark, sf_dir, "documents"), F.col("doc_id")
@@ -508,12 +508,6 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.components(catalog.constraints(_records(spark, sf_dir), "key", ["identity"]))
 
 
-@query(_COMPONENTS_SQL)
-def components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same under its earlier name."""
-    return components(spark, sf_dir)
-
-
 @query("""SELECT sha256(text) AS constraint, count(DISTINCT doc_id % 3) AS splits FROM documents GROUP BY ALL HAVING count(DISTINCT doc_id % 3) > 1""")
 def split_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _t(spark, sf_dir, "documents").select(F.sha2(F.encode("text", "UTF-8"), 256).alias("constraint"), (F.col("doc_id") % 3).alias("split"))
@@ -767,7 +761,7 @@ def study_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT 'P' || page_id AS id, page_id % 4 AS k FROM pages)
-SELECT id, CASE k WHEN 1 THEN id || ': invalid task statuses maybe' WHEN 2 THEN id || ': result_clarity must be an integer from 1 to 5 or null' WHEN 3 THEN id || ': tasks must contain exactly the five tasks|' || id || ': most_confusing must be text of at most 500 characters' ELSE '' END AS errors FROM p""")
+SELECT id, CASE k WHEN 1 THEN id || ': unknown statuses: maybe' WHEN 2 THEN id || ': result_clarity lies outside 1..5' WHEN 3 THEN id || ': tasks are not the five asked for|' || id || ': most_confusing is missing or over 500 characters' ELSE '' END AS errors FROM p""")
 def study_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("page_id") % 4
     tasks = F.create_map(*[x for i, t in enumerate(rollups.TASKS) for x in (F.lit(t), F.when((k == 1) & F.lit(i == 2), "maybe").otherwise("success"))])

@@ -96,8 +96,9 @@ def write_catalog(records: DataFrame, path: str, by: str | None = None) -> None:
 
 
 def write_splits(records: DataFrame, path: str) -> DataFrame:
-    """Each split's records under `split=…`, ordered by sample_id, and the summary of all splits as JSON; gives the summary."""
-    write_catalog(records.repartition("split").sortWithinPartitions("split", "sample_id"), f"{path}/splits", "split")
+    """Each split's records under `split=…`, ordered by sample_id inside files that follow each other, and the summary of all splits as JSON; gives the summary."""
+    # By ranges of both: a split may hold most rows, and is then written by many tasks, each a stretch of its ids.
+    write_catalog(records.repartitionByRange("split", "sample_id").sortWithinPartitions("split", "sample_id"), f"{path}/splits", "split")
     told = catalog.split_summary(records)
     write_json(told.coalesce(1), f"{path}/split_summary")
     return told

@@ -105,3 +105,106 @@ def test_constrained_kernels_keep_their_sign():
         w[0, 0, 0], w[0, 1, 1] = total, 5.0
         k = pixels.constrained(w)
         assert k[0, 1, 1] == -1 and np.isclose(k[0, 0, 0], total / divisor)
+
+
+# Sample tables
+
+
+def box(kind, body, wide=False):
+    return (struct.pack(">I4sQ", 1, kind, len(body) + 16) if wide else struct.pack(">I4s", len(body) + 8, kind)) + body
+
+
+def table(form, rows):
+    return struct.pack(">II", 0, len(rows)) + b"".join(struct.pack(form, *r) for r in rows)
+
+
+def film(stts, stsc, sizes, chunks, keys=None, fixed=0, wide=False, kind=b"vide", scale=600, samples=None):
+    n = len(sizes) if samples is None else samples
+    stbl = box(b"stts", table(">II", stts)) + box(b"stsc", table(">III", [(a, b, 1) for a, b in stsc])) + box(b"stsz", struct.pack(">III", 0, fixed, n) + (b"" if fixed else b"".join(struct.pack(">I", s) for s in sizes)))
+    stbl += box(b"co64", table(">Q", [(c,) for c in chunks])) if wide else box(b"stco", table(">I", [(c,) for c in chunks]))
+    stbl += box(b"stss", table(">I", [(k,) for k in keys])) if keys is not None else b""
+    head = struct.pack(">IQQIQI", 1 << 24, 0, 0, scale, 9, 0) if wide else struct.pack(">IIIIII", 0, 0, 0, scale, 9, 0)
+    return box(b"trak", box(b"mdia", box(b"mdhd", head) + box(b"hdlr", struct.pack(">II4s12x", 0, 0, kind)) + box(b"minf", box(b"stbl", stbl, wide))))
+
+
+def expanded(stts, stsc, sizes, chunks, keys, scale):
+    """A film's samples, one after the other."""
+    deltas = [d for n, d in stts for _ in range(n)]
+    per = [next(p for f, p in reversed(stsc) if f <= c) for c in range(1, len(chunks) + 1)]
+    rows, time, sample = [], 0, 0
+    for no, (start, n) in enumerate(zip(chunks, per), 1):
+        at = start
+        for _ in range(n):
+            if sample < len(sizes):
+                rows.append((sample, time / scale, deltas[sample] / scale, at, sizes[sample], no, keys is None or sample + 1 in keys))
+                time, at, sample = time + deltas[sample], at + sizes[sample], sample + 1
+    return rows
+
+
+def test_sample_tables(spark):
+    from framesift.operators import samples
+
+    sound = film([(9, 1)], [(1, 9)], [1] * 9, [7], kind=b"soun")
+    films = {
+        "plain": ([(5, 20), (1, 100), (4, 25)], [(1, 3), (3, 1), (4, 5)], [10, 20, 30, 40, 50, 60, 70, 80, 90, 100], [1000, 5000, 200, 9000], [1, 4, 9]),
+        "all keys": ([(4, 600)], [(1, 2)], [8, 8, 8, 8], [50, 90], None),
+        "none": ([], [], [], [], None),
+    }
+    made = {k: box(b"ftyp", b"isom") + box(b"moov", sound + film(*v)) for k, v in films.items()}
+    made["wide"] = box(b"mdat", b"x" * 40) + box(b"moov", film(*films["plain"], wide=True))
+    made["fixed"] = box(b"moov", film([(4, 600)], [(1, 2)], [], [50, 90], fixed=8, samples=4))
+    broken = {"cut": made["plain"][:-30], "no video": box(b"moov", sound), "no moov": b"\0\0\0\x08free", "small box": b"\0\0\0\x01\0\0\0\x01" * 3, "text": b"hello", "empty": b"", "null": None}
+    frame = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in {**made, **broken}.items()], "path string, content binary").select("path", samples.tables(F.col("content")).alias("tables"))
+    assert {r.path for r in frame.filter("tables.warning IS NOT NULL").collect()} == set(broken) - {"null"}
+    found = {}
+    for r in samples.samples(frame).collect():
+        found.setdefault(r.path, []).append((r.sample, r.seconds, r.duration, r.offset, r["size"], r.chunk, r.key_frame))
+    want = {k: expanded(*films[n], 600) for k, n in (("plain", "plain"), ("wide", "plain"), ("all keys", "all keys"), ("fixed", "all keys"))}
+    assert {k: sorted(v) for k, v in found.items()} == want
+    picked = samples.sampled(samples.samples(frame.filter("path = 'plain'")), interval_seconds=0.1).orderBy("sample").collect()
+    assert [(r.sample, r.decode_from) for r in picked] == [(0, 0), (3, 3), (6, 3), (8, 8)]
+
+
+def test_each_frame_and_face_once(spark):
+    """A decoder, a cropper and a model that count what they see."""
+    from framesift.operators import analyzers, headers, jobs, process, video
+
+    sc = spark.sparkContext
+    decoded, scored, read = sc.accumulator(0), sc.accumulator(0), sc.accumulator(0)
+
+    class Counting:
+        def frame(self, content, index):
+            decoded.add(1)
+            return np.full((64, 64, 3), index % 250, np.uint8)
+
+    def model():
+        def run(batch):
+            scored.add(len(batch))
+            return [0.25] * len(batch)
+
+        return run
+
+    data = _mp4(64, 64, 30, 60)
+    files = spark.createDataFrame([("/v.mp4", bytearray(data))], "path string, content binary")
+    sha = files.select(F.sha2("content", 256)).first()[0]
+    queued = spark.createDataFrame([("j", "/v.mp4", sha)], "id string, source_path string, sha256 string")
+    nothing = spark.createDataFrame([], f"path string, image {imaging.IMAGE}")
+    registry = [analyzers.Authenticity(), analyzers.Deepfake(), analyzers.ImageForensics()]
+    done = process.process(queued, files, nothing, F.current_timestamp(), registry=registry, decoder=Counting(), cropper=lambda rgb: rgb[:8, :8], model=model)
+    row = done.first()
+    assert row.status == "completed" and jobs and headers and video and read.value == 0
+    assert decoded.value == 2 and scored.value == 2
+
+    catalog = spark.createDataFrame([(f"s{i}", f"{i}.png", i % 2) for i in range(6)], "sample_id string, path string, label int")
+    images = spark.createDataFrame([(f"{i}.png", video.as_image(np.full((8, 8, 3), i, np.uint8))) for i in range(6)], f"path string, image {imaging.IMAGE}")
+    before = scored.value
+    told = evaluate.catalog_metrics(evaluate.scored_catalog(catalog, images, lambda rgb: rgb, model, 0.5), 0.5).collect()
+    assert len(told) == 1 and scored.value - before == 6
+
+
+def _mp4(width, height, rate, frames):
+    """A head that says so many frames at that rate."""
+    entry = struct.pack(">I4s", 86, b"avc1") + b"\0" * 24 + struct.pack(">HH", width, height) + b"\0" * 50
+    stbl = box(b"stsd", struct.pack(">II", 0, 1) + entry) + box(b"stts", table(">II", [(frames, 1)]))
+    media = box(b"mdhd", struct.pack(">IIIIII", 0, 0, 0, rate, frames, 0)) + box(b"hdlr", struct.pack(">II4s12x", 0, 0, b"vide")) + box(b"minf", box(b"stbl", stbl))
+    return box(b"ftyp", b"isom\0\0\2\0isomiso2") + box(b"moov", box(b"trak", box(b"mdia", media)))

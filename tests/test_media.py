@@ -224,7 +224,7 @@ def test_study(spark):
     assert got["bad"] == ["document lacks: task", "document has unexpected: extra", "schema_version must be 1", "participant ids must differ", "participant ids must not be blank", "participant 2 has unexpected: more", "participant 3 lacks: most_confusing,ratings,recommended_change,tasks"]
     counts = {r.task: (r.success, r.failed) for r in rollups.study_task_counts(spark.createDataFrame([("p", "upload", "success")], "participant string, task string, status string")).collect()}
     assert counts["upload"] == (1, 0) and counts["history"] == (0, 0) and len(counts) == 5
-    done = rollups.study_completed(spark.createDataFrame([("a", {"x": "success"}, "m", "r"), ("b", {"x": "not_run"}, "m", "r")], "id string, tasks map<string,string>, most_confusing string, recommended_change string"))
+    done = rollups.study_completed(spark.createDataFrame([("a", {"x": "success"}, {"y": 3}, "m", "r"), ("b", {"x": "not_run"}, {"y": 3}, "m", "r"), ("c", {"x": "failed"}, {"y": None}, "m", "r"), ("d", {"x": "failed"}, None, "m", "r")], "id string, tasks map<string,string>, ratings map<string,int>, most_confusing string, recommended_change string"))
     assert [r.id for r in done.collect()] == ["a"]
 
 
