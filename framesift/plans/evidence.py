@@ -7,7 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dct
-from ..operators import imaging, rollups, samples
+from ..functions.checkpoint import shared_folder
+from ..operators import imaging, process, rollups, samples
+from ..sources import checkpoint, manifest
+from ..streaming import ingest as streaming
+from ..streaming import machine
 from .catalogue import _rounded, _t, query
 
 # --- error levels ----------------------------------------------------------------------------------
@@ -148,3 +152,62 @@ def media_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first sample of each twentieth of a second, and the key frame to decode from."""
     found = samples.samples(_films(spark, sf_dir).select("path", samples.tables(F.col("content")).alias("tables"))).withColumn("seconds", F.round("seconds", 6))
     return samples.sampled(found, interval_seconds=0.05).select("path", "sample", "seconds", "decode_from")
+
+
+# --- the status machine as a stream ----------------------------------------------------------------
+
+_STATUS = {"signup": "queued", "view": "processing", "click": "partially_completed", "purchase": "completed", "error": "failed"}
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS id, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATUS.items())} END AS status, ts FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, status) AS no FROM e),
+m AS (SELECT id, no, status, ts, status = 'queued' AS ok, CASE WHEN status = 'queued' THEN status END AS now, CASE WHEN status = 'queued' THEN 'accepted' ELSE 'forbidden' END AS outcome FROM n WHERE no = 1
+UNION ALL SELECT id, no, status, ts, step, CASE WHEN step THEN status ELSE now END, CASE WHEN step THEN 'accepted' WHEN now = status THEN 'repeated' ELSE 'forbidden' END FROM (
+  SELECT n.*, m.now, CASE WHEN m.now IS NULL THEN n.status = 'queued' {" ".join(f"WHEN m.now = '{b}' THEN n.status IN ({', '.join(repr(x) for x in a)})" for b, a in process.STEPS.items())} ELSE FALSE END AS step FROM m JOIN n ON n.id = m.id AND n.no = m.no + 1))
+SELECT id, status, epoch_us(ts) AS "at", outcome FROM m""")
+def status_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events that have arrived as a log of steps, a user's day being a job, checked by the stateful stream."""
+    at = shared_folder(spark, "machine")
+    source = spark.readStream.schema(_t(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    status = F.element_at(F.create_map(*[F.lit(x) for pair in _STATUS.items() for x in pair]), F.col("event_type"))
+    log = source.select(F.concat(F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd")).alias("id"), status.alias("status"), F.col("ts").alias("at"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", machine.PROVIDER)
+    try:
+        streaming.run_available(machine.checked_steps(log), f"{at}/state", lambda batch, no: batch.write.mode("overwrite").parquet(f"{at}/log/batch={no}")).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(f"{machine.OUT}, batch int").parquet(f"{at}/log").select("id", "status", F.unix_micros("at").alias("at"), "outcome")
+
+
+# --- manifests -------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(trim(text, E'\\r\\n')) AS sha256, lang, coalesce(source, '') AS source FROM documents")
+def csv_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as CSV with their line breaks, several files, and read back by record."""
+    at = shared_folder(spark, "manifest")
+    text = F.btrim("text", F.lit("\r\n"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", text.alias("text"), "lang", "source")
+    docs.write.option("header", True).option("quoteAll", True).option("escape", '"').option("lineSep", "\n").csv(at)
+    read = manifest.csv_records(spark, at, ["source", "doc_id", "lang", "text"])
+    return read.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2("text", 256).alias("sha256"), "lang", "source")
+
+
+# --- checkpoints -----------------------------------------------------------------------------------
+
+
+@query("""WITH t AS (SELECT conv_id, turn, coalesce(role, 'none') AS role, coalesce(text, '') AS text FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) AS path, role || '.' || turn AS name, 'U8' AS dtype, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha256(text) AS sha256 FROM t""")
+def checkpoint_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a container whose tensors are its turns' bytes, read by their ranges."""
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    turns = F.struct("turn", F.concat(F.lit("module._orig_mod."), F.coalesce("role", F.lit("none")), F.lit("."), "turn").alias("key"), text.alias("data"))
+    held = _t(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.array_sort(F.collect_list(turns)).alias("s"))  # one conversation
+    held = held.withColumn("ends", F.transform("s", lambda _, i: F.aggregate(F.slice("s", 1, i + 1), F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t["data"]))))
+    entry = lambda t, i: F.struct(t["key"], F.struct(F.lit("U8").alias("dtype"), F.array(F.octet_length(t["data"]).cast("long")).alias("shape"), F.array(F.get("ends", i) - F.octet_length(t["data"]), F.get("ends", i)).alias("data_offsets")))
+    header = F.to_json(F.map_from_entries(F.transform("s", entry)))
+    size = F.regexp_replace(F.lpad(F.hex(F.octet_length(header).cast("long")), 16, "0"), "^(..)(..)(..)(..)(..)(..)(..)(..)$", "$8$7$6$5$4$3$2$1")
+    data = F.array_join(F.transform("s", lambda t: F.hex(t["data"])), "")
+    files = held.select("path", F.concat(F.unhex(size), F.encode(header, "UTF-8"), F.unhex(data)).alias("content"))
+    return checkpoint.tensors(files).select("path", "name", "dtype", F.get("shape", F.lit(0)).alias("size"), F.sha2("data", 256).alias("sha256"))

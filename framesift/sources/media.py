@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import catalog, forensics, imaging, ingest
+from . import manifest
 
 METADATA = "path string, label string, identity_ids string, source_group string, manipulation string"
 CATALOG = "sample_id string, path string, label int, identity_ids string, source_group string, dataset string, manipulation string, sha256 string"
@@ -65,17 +65,12 @@ def required(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV file with a header that has to name all columns of the schema, in any order; extra ones are left
-    out. line: the number of the row's line, the header being the first; for files of one row a line."""
-    text = spark.read.option("header", True).csv(path)
+    """Records of CSV files with headers that have to name all columns of the schema, in any order; extra ones are left
+    out. line: the number of the record in its file, the header being the first; cells may hold line breaks."""
     names = [part.split()[0] for part in schema.split(", ")]
     types = [part.split()[1] for part in schema.split(", ")]
-    # Lines of one file in its order: places come from the file, so no window over all rows is needed.
-    rows = required(text, names).select(*[F.col(n).try_cast(t).alias(n) for n, t in zip(names, types)], F.monotonically_increasing_id().alias("_id"), F.spark_partition_id().alias("_part"))
-    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    before = counts.select("_part", "_first", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
-    placed = rows.join(F.broadcast(before), "_part")
-    return placed.select(*names, (F.col("_before") + F.col("_id") - F.col("_first") + 2).alias("line"))
+    rows = manifest.csv_records(spark, path, names)
+    return rows.select(*[F.nullif(F.col(n), F.lit("")).try_cast(t).alias(n) for n, t in zip(names, types)], "line")
 
 
 def metadata_csv(spark: SparkSession, path: str) -> DataFrame:
