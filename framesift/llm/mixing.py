@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, table, word_count
+from .common import cut, small, table, word_count
 
 SEED = 20
 BLOCK_WORDS = 16
@@ -121,6 +121,7 @@ def mix_sources(
         [(r["source"], i, sizes[i], wanted[i], shards[i], quotas[i]) for i, r in enumerate(totals)],
         "source string, source_no int, source_size long, target double, shards int, quota long",
     )
+    plan = small(plan, len(totals))
     dealt = sized.join(plan, sized.source.eqNullSafe(plan.source)).select(
         "doc_id", "size", "key", "source_no", "source_size", "target", "quota",
         (F.conv(F.substring("key", 1, 7), 16, 10).cast("long") % F.col("shards")).cast("int").alias("shard"),
