@@ -416,7 +416,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def refined(places: DataFrame, rows_of, columns: str) -> DataFrame:  # noqa: ANN001
         """rows_of the texts with their open places (mark, of)."""
-        by_text = places.groupBy(*_ROW).agg(F.collect_list(F.struct("mark", "of")).alias("open"))
+        by_text = places.groupBy(*_ROW).agg(F.collect_set(F.struct("mark", "of")).alias("open"))  # rows of one id and text have the same places
         return texts.join(by_text, _ROW).select(*_ROW, "text", "open").mapInArrow(rows_of, f"doc_no long, text_no long, {columns}")
 
     place = lambda rows: rows.select(*_ROW, (F.shiftleft(F.col("first").cast("long"), 2) + LEFT + RIGHT).alias("mark"), F.col("of").cast("long").alias("of"))
@@ -432,7 +432,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     end = start + F.shiftright("place", 1).bitwiseAND(F.lit((1 << 29) - 1).cast("long")) + DEPTH
     late = stored(late.select(*_ROW, start.cast("int").alias("start"), end.cast("int").alias("end")))
     whole = told.filter(F.col("covered") | copies).select(*_ROW, F.col("first").alias("start"), (F.col("first") + F.col("strings") - 1 + DEPTH).alias("end"), F.when(copies, F.col("of")).alias("of"))
-    spans = whole.union(late.withColumn("of", F.lit(LATE))).groupBy(*_ROW).agg(F.collect_list(F.struct("start", "end", "of")).alias("spans"))
+    spans = whole.union(late.withColumn("of", F.lit(LATE))).groupBy(*_ROW).agg(F.collect_set(F.struct("start", "end", "of")).alias("spans"))
 
     id_kind = given.schema["doc_id"].dataType.simpleString()
     return given.join(spans, _ROW, "left").select("doc_id", "text", "spans").mapInArrow(_clean, f"doc_id {id_kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
