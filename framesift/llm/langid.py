@@ -7,7 +7,7 @@ serves all languages; unseen n-grams go down to shorter ones with the context's
 The language of lowest cross-entropy per letter wins; a text whose best cross-entropy lies beyond
 what held-back training texts of that language show is rejected.
 
-Training: at most DOCS_PER_LANGUAGE labelled texts a language, the first by a hash of the id. Counts
+Training: at most DOCS_PER_LANGUAGE labelled texts a language, and BYTES_PER_LANGUAGE of them, the first by a hash of the id. Counts
 are made by Spark; the model's arrays are as large as the sample's distinct n-grams.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from .common import by_bytes, crc_fold, small, table
 
 ORDER = 4
-DOCS_PER_LANGUAGE = 1000
+DOCS_PER_LANGUAGE, BYTES_PER_LANGUAGE = 1000, 4 << 20
 #: One in so many sampled texts calibrates instead of training.
 CALIBRATE_EVERY = 5
 #: Accepted up to this factor times the calibration texts' quantile of cross-entropy.
@@ -187,7 +187,8 @@ def _labelled(docs: DataFrame, per_language: int) -> DataFrame:
     bounds = [(r["lang"], min(span - 1, -span + 2 * span * 2 * per_language // r["n"])) for r in counts]
     thin = known.join(small(docs.sparkSession.createDataFrame(bounds, "lang string, bound long"), len(bounds)), "lang").filter("pick <= bound AND text IS NOT NULL")
     pick = Window.partitionBy("lang").orderBy("pick", "text")
-    return thin.withColumn("rank", F.row_number().over(pick)).filter(F.col("rank") <= per_language)
+    held = F.sum(F.octet_length("text")).over(pick.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return thin.withColumn("rank", F.row_number().over(pick)).withColumn("held", held).filter((F.col("rank") <= per_language) & (F.col("held") <= BYTES_PER_LANGUAGE))
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = DOCS_PER_LANGUAGE) -> KneserNey | None:

@@ -10,7 +10,7 @@ Training: labels are known of documents, not of lines, so the lines' labels are
 alone, as whole chains of one label would say only that labels repeat; after each fit, the lines whose
 marginals speak most clearly against their document's label change sides, for as long as their document's length-weighted share of
 good lines still agrees with its label. Learned from are at most TRAIN_DOCS labelled documents of up to
-TRAIN_BYTES each (the first by a hash of the id); the conditional likelihood with an L2 term is climbed on the
+TRAIN_BYTES and TRAIN_LINES each (the first by a hash of the id); the conditional likelihood with an L2 term is climbed on the
 driver, whose data are those documents' line statistics only. Scoring is one pass over all texts without shuffle.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import by_bytes, crc_fold, table, thinned
 
 #: Labelled documents that are learned from: so many, of up to so many bytes.
-TRAIN_DOCS, TRAIN_BYTES = 4000, 1 << 18
+TRAIN_DOCS, TRAIN_BYTES, TRAIN_LINES = 4000, 1 << 18, 512
 STEPS, RATE, RIDGE = 120, 0.1, 1e-3
 GOOD_FROM = 0.7
 #: Times that lines are labelled anew; a good document keeps this share of good lines at least, a bad one
@@ -204,14 +204,15 @@ def climbed(x: np.ndarray, first: np.ndarray, y: np.ndarray, chain: Chain, free:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCS) -> Chain:
     """Field of the labelled documents; without any, every line is good at one half.
 
-    Labels that are null or neither 0 nor 1, null ids, and labelled texts over TRAIN_BYTES say nothing; a null
+    Labels that are null or neither 0 nor 1, null ids, and labelled texts over TRAIN_BYTES or TRAIN_LINES say nothing; a null
     text is one empty line; rows that repeat a label count each; other columns are ignored.
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IN (0, 1)")
     sample = thinned(marks, F.xxhash64("id"), most).orderBy(F.xxhash64("id"), "id", "label").limit(most)
     # `most` rows at most: the hint's bound.
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("label", "text")
-    picked = picked.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
+    text = F.coalesce("text", F.lit(""))
+    picked = picked.filter((F.octet_length(text) <= TRAIN_BYTES) & (F.length(text) - F.length(F.replace(text, F.lit("\n"))) < TRAIN_LINES))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
