@@ -208,3 +208,28 @@ def _mp4(width, height, rate, frames):
     stbl = box(b"stsd", struct.pack(">II", 0, 1) + entry) + box(b"stts", table(">II", [(frames, 1)]))
     media = box(b"mdhd", struct.pack(">IIIIII", 0, 0, 0, rate, frames, 0)) + box(b"hdlr", struct.pack(">II4s12x", 0, 0, b"vide")) + box(b"minf", box(b"stbl", stbl))
     return box(b"ftyp", b"isom\0\0\2\0isomiso2") + box(b"moov", box(b"trak", box(b"mdia", media)))
+
+
+def test_star_template():
+    """Drawn, softened and shrunk; figures of the drawing by counting places."""
+    corners = [(32, 1), (40, 23), (62, 32), (40, 40), (32, 62), (23, 40), (1, 32), (23, 23)]
+    shape = pixels.drawn(64, corners)
+    area = abs(sum(ax * by - bx * ay for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]))) / 2
+    assert abs(shape.sum() - area) < 120 and all(shape[y, x] for x, y in corners) and not shape[0].any() and not shape[10, 10]
+    full = pixels.star_template(64)
+    assert full.max() == 255 and full.shape == (64, 64) and set(np.unique(full)) <= set(range(256)) and (full[31, 28:36] == 255).all()
+    for size in (18, 24, 32, 48, 64, 80, 96):
+        t = pixels.star_template(size)
+        assert t.shape == (size, size) and abs(t.sum() / full.sum() - (size / 64) ** 2) < 0.03 * (size / 64) ** 2
+        region = np.zeros((size + 40, size + 60))
+        region[13 : 13 + size, 29 : 29 + size] = t * 0.7 + 20 * (t > 0)
+        scores = pixels.correlation(region, t)
+        assert np.unravel_index(scores.argmax(), scores.shape) == (13, 29) and scores.max() > 0.97
+        other = pixels.correlation(region, pixels.star_template(size + size // 5))
+        assert other.max() < scores.max()
+    flat = pixels.bright_contrast(np.full((40, 50), 9.0))
+    assert (flat == 0).all()
+    spot = np.full((90, 90), 50.0)
+    spot[40:48, 40:48] = 200
+    found = pixels.bright_contrast(spot)
+    assert found.max() == 255 and (found == np.rint(found)).all() and found[44, 44] > 250 > found[0, 0]
