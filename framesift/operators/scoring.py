@@ -60,11 +60,11 @@ def largest_box(boxes: Column) -> Column:
 
 
 def crop_box(box: Column, width: Column, height: Column, margin: float = 1.5) -> Column:
-    """Square of `margin` times the longer side around a box's centre, cut to the image; halves to even."""
-    side = F.rint(F.greatest(box["w"], box["h"]) * margin)
-    left, top = F.rint(box["x"] + box["w"] / 2 - side / 2), F.rint(box["y"] + box["h"] / 2 - side / 2)
-    x0, y0 = F.greatest(left, F.lit(0.0)), F.greatest(top, F.lit(0.0))
-    x1, y1 = F.least(left + side, width.cast("double")), F.least(top + side, height.cast("double"))
+    """Square of `margin` times the longer side around a box's centre, cut to the image; each edge's halves to even."""
+    half = F.greatest(box["w"], box["h"]) * margin / 2
+    x, y = box["x"] + box["w"] / 2, box["y"] + box["h"] / 2
+    x0, y0 = F.greatest(F.rint(x - half), F.lit(0.0)), F.greatest(F.rint(y - half), F.lit(0.0))
+    x1, y1 = F.least(F.rint(x + half), width.cast("double")), F.least(F.rint(y + half), height.cast("double"))
     return F.struct(*[v.cast("int").alias(n) for v, n in ((x0, "x0"), (y0, "y0"), (x1, "x1"), (y1, "y1"))])
 
 

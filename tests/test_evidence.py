@@ -232,4 +232,86 @@ def test_star_template():
     spot = np.full((90, 90), 50.0)
     spot[40:48, 40:48] = 200
     found = pixels.bright_contrast(spot)
-    assert found.max() == 255 and (found == np.rint(found)).all() and found[44, 44] > 250 > found[0, 0]
+    assert found.max() == 255 and (found == np.rint(found)).all() and found[44, 44] > 150 > found[0, 0]
+
+
+# Faces
+
+
+def pattern(size):
+    """A bright square with a dark band across its upper half, as the cascade below looks for."""
+    p = np.full((size, size), 200.0)
+    p[size // 4 : size // 2] = 60
+    return p
+
+
+STUMPS = [
+    (0, 1.0, 0, 0.45, 0.0, 1.0, [(0, 12, 24, 6, 1.0), (0, 6, 24, 6, -1.0)]), (1, 1.5, 0, 0.4, 0.0, 1.0, [(0, 0, 24, 6, 1.0), (0, 6, 24, 6, -1.0)]),
+    (1, 1.5, 1, 0.12, 1.0, 0.0, [(0, 0, 12, 24, 1.0), (12, 0, 12, 24, -1.0)]), (2, 1.0, 0, -0.12, 0.0, 1.0, [(0, 0, 12, 24, 1.0), (12, 0, 12, 24, -1.0)]),
+]
+
+
+def plain_windows(plane, of, step):
+    out = []
+    for y in range(0, plane.shape[0] - of.height + 1, step):
+        for x in range(0, plane.shape[1] - of.width + 1, step):
+            part = plane[y : y + of.height, x : x + of.width]
+            spread, ok = max(1.0, part.std()), True
+            for least, stumps in of.stages:
+                votes = 0.0
+                for s in stumps:
+                    value = sum(k * part[b : b + h, a : a + w].sum() for a, b, w, h, k in s.rects) / part.size
+                    votes += s.low if value < s.threshold * spread else s.high
+                ok = ok and votes >= least
+            if ok:
+                out.append([x, y])
+    return out
+
+
+def test_faces_by_cascade(spark):
+    from framesift.functions import cascade
+    from framesift.operators import faces, video
+
+    of = faces.cascade_of(spark.createDataFrame([(*r[:6], [(a, b, w, h, k) for a, b, w, h, k in r[6]]) for r in STUMPS], faces.STUMPS).repartition(3), 24, 24)
+    assert [len(s) for _, s in of.stages] == [1, 2, 1]
+    rng = np.random.default_rng(6)
+    scene = rng.integers(90, 120, (260, 340)).astype(float)
+    scene[30:78, 40:88], scene[120:216, 180:276] = pattern(48), pattern(96)
+    for plane in (scene[20:90, 30:100], rng.integers(0, 256, (50, 60)).astype(float), scene[:20, :60]):
+        for step in (1, 2):
+            assert cascade.windows(plane, of, step).tolist() == plain_windows(plane, of, step)
+    found = cascade.detected(scene, of, neighbours=3)
+    assert len(found) >= 2
+    for x, y, side in ((180, 120, 96), (40, 30, 48)):
+        assert any(abs(a - x) <= side // 5 and abs(b - y) <= side // 5 and abs(w - side) <= side // 4 for a, b, w, h in found), found
+    rgb = np.repeat(scene[..., None], 3, 2).astype(np.uint8)
+    frame = spark.createDataFrame([("a", video.as_image(rgb)), ("b", video.as_image(np.full((90, 90, 3), 7, np.uint8))), ("c", None)], f"id string, image {imaging.IMAGE}")
+    rows = {r.id: r for r in faces.with_boxes(frame, of, neighbours=3).collect()}
+    assert [tuple(b) for b in rows["a"].face_boxes] == cascade.detected(pixels.gray(rgb), of, neighbours=3) and rows["b"].face_boxes == [] and rows["c"].face_boxes is None
+    crop = faces.cropper(of, size=64, neighbours=3)
+    face = crop(rgb)
+    assert face.shape == (64, 64, 3) and crop(np.full((90, 90, 3), 7, np.uint8)) is None
+    x, y, w, h = found[0]
+    assert np.array_equal(face, cascade.cropped(rgb, found[0], 64))
+    with pytest.raises(ValueError, match="leaves the window"):
+        faces.cascade_of(spark.createDataFrame([(0, 1.0, 0, 0.0, 0.0, 1.0, [(20, 0, 9, 9, 1.0)])], faces.STUMPS), 24, 24)
+    with pytest.raises(ValueError, match="stumps"):
+        faces.cascade_of(spark.createDataFrame([], faces.STUMPS), 24, 24)
+
+
+def test_crops_by_definition(spark):
+    """Edges are rounded each for itself, as in the plain crop."""
+    from framesift.functions import cascade
+    from framesift.operators import scoring
+
+    rng = np.random.default_rng(3)
+    boxes = [tuple(int(v) for v in (*rng.integers(0, 200, 2), *rng.integers(40, 160, 2))) for _ in range(200)]
+    frame = spark.createDataFrame([(i, b) for i, b in enumerate(boxes)], "i int, box struct<x:int,y:int,w:int,h:int>")
+    for r in frame.select("i", scoring.crop_box(F.col("box"), F.lit(300), F.lit(260)).alias("c")).collect():
+        x, y, w, h = boxes[r.i]
+        side = max(w, h) * 1.5
+        assert tuple(r.c) == (max(0, round(x + w / 2 - side / 2)), max(0, round(y + h / 2 - side / 2)), min(300, round(x + w / 2 + side / 2)), min(260, round(y + h / 2 + side / 2)))
+    image = rng.integers(0, 256, (260, 300, 3), dtype=np.uint8)
+    assert np.array_equal(cascade.cropped(image, (100, 90, 40, 40), 60), image[80:140, 90:150]) and cascade.cropped(image, (900, 900, 40, 40)) is None
+    flat = cascade.cropped(np.full((70, 90, 3), 33, np.uint8), (10, 10, 40, 41), 512)
+    assert flat.shape == (512, 512, 3) and (flat == 33).all()
