@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..functions.checkpoint import cut
 from . import jobs, report
 
 
@@ -23,13 +24,52 @@ def signal_cards(results: DataFrame) -> DataFrame:
     return results.select("job_id", F.inline(cards))
 
 
+#: What a finding's type in JSON is called; numbers are any of Spark's number types.
+_SCALARS = {"STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+
+
+def kind(value: Column) -> Column:
+    """string, boolean, null, number, object or array: the type of a variant."""
+    t = F.schema_of_variant(value)
+    told = F.when(F.startswith(t, F.lit("OBJECT<")), "object").when(F.startswith(t, F.lit("ARRAY<")), "array")
+    for spark_name, name in _SCALARS.items():
+        told = told.when(t == spark_name, name)
+    return told.otherwise("number")
+
+
+def findings(results: DataFrame, depth: int = 6) -> DataFrame:
+    """results (job_id, modules with findings as JSON) -> job_id, module, path, kind, value: a row for each scalar, however
+    deep, its path joined by dots with places of arrays as numbers from 0.
+
+    value is the scalar as text, null for a null. What is deeper than `depth` levels is a row as it stands, as JSON, with
+    kind object or array, as are empty objects and arrays. Findings that are not JSON have no rows.
+    """
+    spark = results.sparkSession
+    top = results.select("job_id", F.explode("modules").alias("m")).select("job_id", "m.module", "m.findings")
+    # Findings are narrow; cut, they are parsed level by level without another look at the media.
+    level = cut(top).select("job_id", "module", F.lit("").alias("path"), F.try_parse_json("findings").alias("v")).filter("v IS NOT NULL")
+    out = []
+    for no in range(depth):
+        each = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
+        step = F.coalesce("key", F.col("pos").cast("string"))
+        found = each.select("job_id", "module", F.when(F.col("path") == "", step).otherwise(F.concat_ws(".", "path", step)).alias("path"), kind(F.col("value")).alias("kind"), F.col("value").alias("v"))
+        nested = F.col("kind").isin("object", "array") & ~F.to_json("v").isin("{}", "[]")
+        out.append(found if no == depth - 1 else found.filter(~nested))
+        level = found.filter(nested).select("job_id", "module", "path", "v")
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    return rows.select("job_id", "module", "path", "kind", F.when(F.col("kind") != "null", F.col("v").cast("string")).alias("value"))
+
+
 def module_rows(results: DataFrame) -> DataFrame:
     """results (job_id, modules with findings as JSON) -> module, status, detail: scalar findings joined by
-    ` · ` without assessment and decision; warnings for modules that did not complete."""
+    ` · ` without assessment and decision; warnings for modules that did not complete. A text is a scalar whatever it
+    looks like."""
     m = results.select("job_id", F.explode("modules").alias("m"))
-    entries = F.map_entries(F.from_json("m.findings", "map<string,string>"))
-    scalars = F.filter(entries, lambda e: e["value"].isNotNull() & ~e["key"].isin("assessment", "decision") & ~e["value"].rlike(r"^[\[{]"))
-    told = F.array_join(F.transform(scalars, lambda e: F.concat(F.replace(e["key"], F.lit("_"), F.lit(" ")), F.lit(": "), e["value"])), " · ")
+    entries = F.map_entries(F.from_json("m.findings", "map<string,variant>"))
+    scalars = F.filter(entries, lambda e: ~e["key"].isin("assessment", "decision") & kind(e["value"]).isin("string", "number", "boolean"))
+    told = F.array_join(F.transform(scalars, lambda e: F.concat(F.replace(e["key"], F.lit("_"), F.lit(" ")), F.lit(": "), e["value"].cast("string"))), " · ")
     return m.select("job_id", "m.module", "m.status", F.when(F.col("m.status") == "completed", told).otherwise(F.array_join("m.warnings", " · ")).alias("detail"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dct
 from ..functions.checkpoint import shared_folder
-from ..operators import imaging, process, rollups, samples
+from ..operators import analyzers, imaging, process, rollups, samples, views
 from ..sources import checkpoint, manifest
 from ..streaming import ingest as streaming
 from ..streaming import machine
@@ -211,3 +211,21 @@ def checkpoint_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.array_join(F.transform("s", lambda t: F.hex(t["data"])), "")
     files = held.select("path", F.concat(F.unhex(size), F.encode(header, "UTF-8"), F.unhex(data)).alias("content"))
     return checkpoint.tensors(files).select("path", "name", "dtype", F.get("shape", F.lit(0)).alias("size"), F.sha2("data", 256).alias("sha256"))
+
+
+# --- findings as rows ------------------------------------------------------------------------------
+
+_PATHS = ("ela.jpeg_quality", "ela.max_error", "ela.mean_error", "ela.highlighted_pixel_ratio", "lsb.available_lsb_bits", "lsb.channel_statistics.green.ones_ratio", "lsb.channel_statistics.red.pair_imbalance")
+
+
+@query(f"""WITH {_levels_sql(90)}, s AS (SELECT vec_id, max(e) AS most, round(avg(e), 4) AS mean, round(avg(CASE WHEN e >= 20 THEN 1.0 ELSE 0.0 END), 6) AS share FROM e GROUP BY vec_id),
+h AS (SELECT vec_id, CAST(v AS BIGINT) // 2 AS pair, count(*) AS n, sum(CAST(v AS BIGINT) % 2) AS ones FROM p GROUP BY ALL),
+l AS (SELECT vec_id, round(sum(ones) / sum(n), 6) AS ones, round(avg(abs(n - 2 * ones) / n), 6) AS pairs FROM h GROUP BY vec_id),
+r AS (SELECT vec_id, unnest({list(_PATHS)}) AS path, unnest([90.0::DOUBLE, most, mean, share, 192, ones, pairs]) AS number FROM s JOIN l USING (vec_id))
+SELECT vec_id, path, 'number' AS kind, round(number, 6) AS number FROM r""")
+def analysis_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's image analysed, and its findings as rows by path."""
+    grey = _grey_images(spark, sf_dir)
+    media = grey.select(F.col("vec_id").alias("job_id"), F.lit("image/png").alias("media_type"), F.col("image.data").alias("content"), "image")
+    rows = views.findings(analyzers.analyse(media)).filter(F.col("path").isin(*_PATHS))
+    return rows.select(F.col("job_id").alias("vec_id"), "path", "kind", F.round(F.col("value").cast("double"), 6).alias("number"))

@@ -117,3 +117,19 @@ def test_ledger_table(spark):
         assert spark.table(name).columns[:3] == ["id", "status", "source_name"] and spark.table(name).isEmpty()
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_findings_by_path(spark):
+    from framesift.operators import views
+
+    body = {"a": 1, "b": "[x]", "c": True, "d": None, "e": {"f": [1.5, {"g": "h.i"}], "z": {}}, "i": [], "j": "5", "assessment": "left", "deep": {"1": {"2": {"3": {"4": {"5": {"6": 7}}}}}}}
+    result = lambda findings, status: (status, [("m", status, "1", "{}", findings, [], ["w1", "w2"])])
+    rows = [(k, *result(v, s)) for k, v, s in (("x", json.dumps(body), "completed"), ("y", "{}", "completed"), ("z", "broken", "failed"))]
+    frame = spark.createDataFrame(rows, f"job_id string, status string, modules array<{analyzers.MODULE}>")
+    found = {(r.job_id, r.path): (r.kind, r.value) for r in views.findings(frame).collect()}
+    assert found == {
+        ("x", "a"): ("number", "1"), ("x", "b"): ("string", "[x]"), ("x", "c"): ("boolean", "true"), ("x", "d"): ("null", None), ("x", "e.f.0"): ("number", "1.5"), ("x", "e.f.1.g"): ("string", "h.i"),
+        ("x", "e.z"): ("object", "{}"), ("x", "i"): ("array", "[]"), ("x", "j"): ("string", "5"), ("x", "assessment"): ("string", "left"), ("x", "deep.1.2.3.4.5"): ("object", '{"6":7}'),
+    }
+    told = {r.job_id: r.detail for r in views.module_rows(frame).collect()}
+    assert told == {"x": "a: 1 · b: [x] · c: true · j: 5", "y": "", "z": "w1 · w2"}
