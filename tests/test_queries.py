@@ -1,6 +1,6 @@
 import pytest
 
-from framesift.plans import evidence  # noqa: F401  registers more
+from framesift.plans import evidence, results  # noqa: F401  these register more
 from framesift.plans.catalogue import ORACLE_SQL, QUERIES
 from tests.oracle import rows_of, sql_rows
 
