@@ -112,6 +112,28 @@ def write_artifacts(found: DataFrame, path: str) -> None:
     found.write.partitionBy("kind").parquet(path)
 
 
+#: Files that one call writes one by one.
+MOST_FILES = 1000
+
+
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Each row (file, content) as a file of its own, through Spark's file systems; for corpora of up to MOST_FILES, more are
+    an error. Tables of artefacts go to write_artifacts."""
+    n = rows.count()
+    if n > MOST_FILES:
+        raise ValueError(f"{n} files, {MOST_FILES} are written one by one")
+    spark = rows.sparkSession
+    for r in rows.select("file", "content").toLocalIterator():
+        if "/" in r["file"] or r["file"] in ("", ".", ".."):
+            raise ValueError(f"not a file's name: {r['file']!r}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{r['file']}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        try:
+            out.write(bytearray(r["content"]))
+        finally:
+            out.close()
+
+
 def create_ledger(spark: SparkSession, name: str) -> None:
     """The job ledger's table, if it is not there."""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({LEDGER}) USING parquet")

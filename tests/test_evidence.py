@@ -315,3 +315,22 @@ def test_crops_by_definition(spark):
     assert np.array_equal(cascade.cropped(image, (100, 90, 40, 40), 60), image[80:140, 90:150]) and cascade.cropped(image, (900, 900, 40, 40)) is None
     flat = cascade.cropped(np.full((70, 90, 3), 33, np.uint8), (10, 10, 40, 41), 512)
     assert flat.shape == (512, 512, 3) and (flat == 33).all()
+
+
+def test_commands(spark, tmp_path):
+    """Corpora as files and manifests, evaluated by the commands that read these."""
+    from framesift import cli
+
+    for kind in ("coded", "hidden"):
+        cli.main(["corpus", kind, f"{tmp_path}/{kind}"], spark)
+    assert sorted(p.name for p in (tmp_path / "coded" / "images").glob("*.png")) == sorted(f"{c}.png" for c in CODED)
+    cli.main(["ela", f"{tmp_path}/coded/manifest", f"{tmp_path}/coded/images", f"{tmp_path}/ela"], spark)
+    told = spark.read.json(f"{tmp_path}/ela/summary").first()
+    assert (told.edited_id, told.benign_case_count, told.strongest_benign_by_ratio.id) == ("jpeg-edited-region-88", 9, "jpeg-noise")
+    cli.main(["stego", f"{tmp_path}/hidden/manifest", f"{tmp_path}/hidden/images", f"{tmp_path}/stego"], spark)
+    s = spark.read.json(f"{tmp_path}/stego/summary").first()
+    assert (s.supported_payloads_detected, s.correct_payload_count, s.clean_false_positive_count, s.unsupported_detection_count) == (5, 5, 0, 0)
+    (tmp_path / "p.csv").write_text("sample_id,label,score,status\na,1,0.9,evaluated\nb,0,0.8,evaluated\nc,0,0.1,evaluated\nd,1,,no_face\n")
+    cli.main(["evaluate", f"{tmp_path}/p.csv", "0.5", f"{tmp_path}/e"], spark)
+    m = spark.read.json(f"{tmp_path}/e/metrics").first()
+    assert (m.samples, m.no_face, m.tp, m.fp, m.tn) == (4, 1, 1, 1, 1)
