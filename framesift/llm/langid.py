@@ -277,7 +277,8 @@ def identify(docs: DataFrame, model: KneserNey | None, *, id_col: str = "doc_id"
     """doc_id, lang_pred, score, entropy, accepted; one row per input row.
 
     Null texts, texts without a letter, and all texts without a model are `und` with score 0, not
-    accepted. Repeated rows give repeated rows; an empty table gives an empty result. Other columns
+    accepted. Of languages with equal entropies the first by name is told. Very long texts are read whole, a chunk of
+    their words at a time. Repeated rows give repeated rows; an empty table gives an empty result. Other columns
     are ignored, whatever their names.
     """
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

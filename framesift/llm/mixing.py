@@ -100,6 +100,7 @@ def mix_sources(
 ) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken.
 
+    Very long texts count whole; of equal quotients that of the earlier source, or shard, goes first.
     Null text has size 0 and is never taken; a null source is a source of its own, ordered last;
     rows that repeat an id are dealt by their sizes too, so that they don't share one shard, and those that
     repeat both are laid out one after the other; an empty table gives an empty result. Other

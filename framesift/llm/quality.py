@@ -235,7 +235,8 @@ def score(docs: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: st
     """One row per input row: doc_id, score, predicted.
 
     Null and empty texts are scored as one empty line; repeated rows give repeated rows; an empty
-    table gives an empty result. Other columns are ignored, whatever their names.
+    table gives an empty result. A score at the threshold is good. Very long texts are read whole, their lines as
+    one chain. Other columns are ignored, whatever their names.
     """
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(chain)

@@ -188,7 +188,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     rows whose crc32 of the id modulo 4 is 2 are held out for measuring). Without labels only the
     base decides. Null and empty texts have no words and fail the base; repeated rows give repeated rows, and
     repeated labels count each; an empty table gives an empty result. Other columns are ignored. A list has up
-    to MOST_RULES rules of up to MOST_CONDITIONS thresholds, drawn from BINS quantiles of each statistic.
+    to MOST_RULES rules of up to MOST_CONDITIONS thresholds, drawn from BINS quantiles of each statistic. Of
+    conditions that gain equally the first by statistic, then threshold, is taken. Very long texts are counted whole.
     """
     stats = cut(text_statistics(docs, id_col=id_col, text_col=text_col))
     marks = labels.select(F.col(id_col).alias("doc_id"), (F.col(label_col) == 1).alias("good")).filter("good IS NOT NULL").filter(crc_fold(F.col("doc_id"), 4) != 2)

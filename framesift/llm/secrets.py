@@ -412,7 +412,7 @@ def scan(docs: DataFrame, formats: Formats | None = None, *, id_col: str = "doc_
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added.
 
     A null text counts as empty and has no spans; repeated rows give repeated rows; an empty table
-    gives an empty result. Other columns are ignored, whatever their names.
+    gives an empty result. Spans of one start follow the order of their kinds. Very long texts are read whole. Other columns are ignored, whatever their names.
     """
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(formats)

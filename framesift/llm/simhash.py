@@ -151,7 +151,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null, empty and blank texts have fingerprint 0 and are linked like any other; repeated rows and
     ties share a fingerprint; a null doc_id takes part but is never a component's id unless it is
-    alone; an empty table gives an empty result. Other columns are ignored, whatever their names.
+    alone; an empty table gives an empty result. A bit that half of the hashes set is 0. Very long texts are
+    read whole, a text's hashes at a time. Other columns are ignored, whatever their names.
     """
     marked = cut(fingerprints(docs, id_col=id_col, text_col=text_col))
     firsts = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))

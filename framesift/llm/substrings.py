@@ -390,6 +390,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Ids are integers. A byte goes if a 50-byte string over it also starts in a row with a smaller id:
     rows that repeat an id never remove from each other, and a null id counts as the smallest long.
+    Very long texts are read whole, in pieces that overlap.
     Null texts are empty; texts under 50 bytes stay whole; an empty table gives an empty result.
     """
     least = F.lit(-(2**63))

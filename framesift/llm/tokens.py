@@ -113,6 +113,7 @@ def count_tokens(
 ) -> DataFrame:
     """One row per section of each input row: doc_id, section, name, char_start, char_end, n_tokens, n_crossing.
 
+    Very long texts are encoded whole, one at a time; a token that lies equally in two sections goes by the rule.
     Without sections_col, sections are lines. Null and empty texts have one empty line of 0 tokens;
     with sections_col, a null list has no sections. Repeated rows give repeated rows; an empty table
     gives an empty result. Other columns are ignored. The vocabulary file is read on the driver.

@@ -68,3 +68,17 @@ def test_contaminated_edges(spark, docs):
     assert sorted((r.doc_id, r.item_id, r.distance) for r in found.collect()) == [(8, 3, 0), (9, 3, 0)]
     assert decontam.contaminated(docs.limit(0), items).collect() == []
     assert decontam.contaminated(docs, items.limit(0)).collect() == []
+
+
+def test_parts_beside_the_operators(spark, docs):
+    """Base spans alone, the base rule's counts, and tokens of given fields, on the same rows."""
+    spans = secrets.scan(docs).collect()
+    assert len(spans) == docs.count() and all(r.n_added == 0 for r in spans) and {r.doc_id: r.n_assign for r in spans}[7] == 1
+    assert all(r.spans == "" for r in spans if r.doc_id in (0, 1, 2)) and secrets.scan(docs.limit(0)).collect() == []
+    counts = rules.text_statistics(docs).collect()
+    assert len(counts) == docs.count() and {r.doc_id: r.n_words for r in counts}[2] == 0 and rules.text_statistics(docs.limit(0)).collect() == []
+    fields = tokens.with_fields(docs, "doc_id", ["source", "text"])
+    rows = tokens.count_tokens(fields, sections_col="sections", rule="largest").filter("section >= 0").collect()
+    assert len(rows) == 2 * docs.count() and {r.name for r in rows} == {"source", "text"}
+    assert all(r.n_tokens == 0 for r in rows if r.name == "text" and r.doc_id in (0, 1))
+    assert tokens.count_tokens(fields.limit(0), sections_col="sections", rule="largest").collect() == []
