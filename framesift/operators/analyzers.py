@@ -65,12 +65,16 @@ class Unavailable:
 
 class Authenticity:
     """A visible generator mark, and provenance claims in the file's head and tail; a claim is a lead, its
-    signature is never checked. Always completed: without a decoded frame there is just no mark."""
+    signature is never checked. Always completed: without a decoded frame there is just no mark. A still with a mark
+    comes with a picture of where it is."""
 
     name = "media_authenticity"
 
     def prepare(self, media: DataFrame) -> DataFrame:
-        return media.withColumn("_provenance", forensics.provenance(F.col("content")))
+        # Only where there is a mark is the image drawn on, and so read, at all.
+        box = F.when(F.col("watermark.found"), F.col("watermark.box"))
+        drawn = imaging.with_box(F.when(box.isNotNull(), F.col("image")), box)
+        return media.withColumn("_provenance", forensics.provenance(F.col("content"))).withColumn("_marked", drawn)
 
     def apply(self, media: DataFrame) -> Column:
         p, w = F.col("_provenance"), F.col("watermark")
@@ -87,7 +91,9 @@ class Authenticity:
             (~claim & (F.size(p["providers"]) > 0), "provider named without a claim"),
         )
         settings = _json(video_threshold=F.lit(watermark.ENOUGH), image_threshold=F.lit(watermark.ENOUGH_ALONE), scan_bytes=F.lit(forensics.SCAN_BYTES), most_frames=F.lit(watermark.FRAMES), most_edge=F.lit(watermark.EDGE))
-        return result(self.name, F.lit("completed"), findings, told, settings=settings)
+        png = F.col("_marked.png")
+        artifacts = F.array_compact(F.array(F.when(png.isNotNull(), F.struct(F.lit("watermark_evidence").alias("kind"), F.lit("visible-watermark.png").alias("name"), png.alias("content")))))
+        return result(self.name, F.lit("completed"), findings, told, settings=settings, artifacts=artifacts)
 
 
 def _quoted(text: Column) -> Column:

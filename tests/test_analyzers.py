@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from framesift.functions import scalar
-from framesift.operators import analyzers, imaging, scoring, video, views
+from framesift.operators import analyzers, imaging, scoring, video, views, watermark
 from framesift.sources import media as sources
 
 
@@ -133,3 +133,15 @@ def test_findings_by_path(spark):
     }
     told = {r.job_id: r.detail for r in views.module_rows(frame).collect()}
     assert told == {"x": "a: 1 · b: [x] · c: true · j: 5", "y": "", "z": "w1 · w2"}
+
+
+def test_mark_is_shown(spark):
+    """A still with a mark has a picture of its place; one without, or a video, has none."""
+    rgb = np.full((60, 80, 3), 90, np.uint8)
+    mark = lambda found: (found, 0.9, "bottom_right", (50, 30, 20, 20), 1)
+    rows = [("a", "image/png", bytearray(b"x"), video.as_image(rgb), mark(True)), ("b", "image/png", bytearray(b"x"), video.as_image(rgb), mark(False)), ("c", "video/mp4", bytearray(b"x"), None, mark(True))]
+    frame = spark.createDataFrame(rows, f"job_id string, media_type string, content binary, image {imaging.IMAGE}, watermark {watermark.RESULT}")
+    done = analyzers.analyse(frame, [analyzers.Authenticity()])
+    shown = [(r.job_id, r.name, bytes(r.content)) for r in analyzers.artifacts(done).collect()]
+    assert [(j, n) for j, n, _ in shown] == [("a", "visible-watermark.png")] and shown[0][2][:4] == b"\x89PNG"
+    assert {r.job_id: json.loads(r.modules[0].findings)["assessment"] for r in done.collect()} == {"a": "strong_ai_origin_evidence", "b": "inconclusive", "c": "strong_ai_origin_evidence"}
