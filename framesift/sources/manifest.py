@@ -1,29 +1,52 @@
 """Records of CSV files whose cells may hold line breaks, numbered, whatever the splits they are read in.
 
 Files are read as lines, in blocks as Spark splits them. Whether a line begins inside quotes follows from the quotes
-before it: those of earlier blocks, one number a block, and those before it in its block. So records and their
-numbers are told without a task that reads a whole file; only the lines of records that hold line breaks are
-brought together.
+before it: those of earlier blocks, a row a block, and those before it in its block, counted as the block is read. So records
+and their numbers are told without a task that reads a whole file, and without moving a line; only the lines of records that
+hold line breaks are brought together.
 """
 
 from __future__ import annotations
 
 import csv
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.checkpoint import stored
+from ..functions.checkpoint import cut
 
 #: Different headers that one read may have.
 MOST_HEADERS = 1000
 BOM = "\ufeff"
 
 
-def _before(total: Column, *by: str) -> Column:
-    """Sum of what stands before, block by block."""
-    return F.coalesce(F.sum(total).over(Window.partitionBy("file").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+_PLACED = "file string, block long, at long, value string, quotes long, blank boolean, odd boolean, even_record long, odd_record long"
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of blocks, as they come, with what stands before them in their block: whether an odd number of quotes, and the
+    number of records begun, theirs included, if the block begins outside quotes (even) or inside (odd)."""
+    now, quotes, even, odd = None, 0, 0, 0
+    for b in batches:
+        files, blocks = b.column(0).to_pylist(), b.column(1).to_numpy()
+        n, blank = b.column(4).to_numpy(), b.column(5).to_numpy(zero_copy_only=False).astype(bool)
+        cuts = [0, *[i for i in range(1, len(files)) if blocks[i] != blocks[i - 1] or files[i] != files[i - 1]], len(files)]
+        inside, evens, odds = np.zeros(len(files), bool), np.zeros(len(files), np.int64), np.zeros(len(files), np.int64)
+        for start, end in zip(cuts, cuts[1:]):
+            if start == end:
+                continue
+            if (files[start], blocks[start]) != now:
+                now, quotes, even, odd = (files[start], blocks[start]), 0, 0, 0
+            part = slice(start, end)
+            inside[part] = (quotes + np.cumsum(n[part]) - n[part]) % 2 == 1
+            evens[part] = even + np.cumsum(~inside[part] & ~blank[part])
+            odds[part] = odd + np.cumsum(inside[part] & ~blank[part])
+            quotes, even, odd = quotes + int(n[part].sum()), int(evens[end - 1]), int(odds[end - 1])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(inside), pa.array(evens), pa.array(odds)], [x.split()[0] for x in _PLACED.split(", ")])
 
 
 def raw_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -34,18 +57,22 @@ def raw_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     value = F.col("value")
     lines = spark.read.option("lineSep", "\n").text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value", (F.length(value) - F.length(F.replace(value, F.lit('"')))).alias("quotes")
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value",
+        (F.length(value) - F.length(F.replace(value, F.lit('"')))).cast("long").alias("quotes"), value.isin("", "\r", BOM).alias("blank"),
     )
-    in_block = Window.partitionBy("file", "block").orderBy("at")
-    blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("n")).withColumn("earlier", _before(F.col("n"), "block")).drop("n")
-    quotes = F.col("earlier") + F.coalesce(F.sum("quotes").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    told = lines.join(blocks, ["file", "block"]).withColumn("inside", quotes % 2 == 1).drop("earlier")
-    told = stored(told.filter(F.col("inside") | ~F.col("value").isin("", "\r", BOM)))
-    starts = told.groupBy("file", "block").agg(F.count_if(~F.col("inside")).alias("n")).withColumn("earlier", _before(F.col("n"), "block")).drop("n")
-    numbered = told.join(starts, ["file", "block"]).withColumn("record", F.col("earlier") + F.count_if(~F.col("inside")).over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
-    alone = ~F.col("inside") & (F.col("quotes") % 2 == 0)
-    parts = numbered.filter(~alone).groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("parts"))  # one record's lines
-    records = numbered.filter(alone).select("file", "record", "value").unionByName(parts.select("file", "record", F.array_join("parts.value", "\n").alias("value")))
+    placed = lines.mapInArrow(_placed, _PLACED)
+    # A row a block: whether it begins inside quotes, then how many records were begun before it.
+    of_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c: F.coalesce(F.sum(c).over(of_file), F.lit(0))
+    narrow = lines.withColumn("value", F.lit("")).mapInArrow(_placed, _PLACED)
+    blocks = narrow.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"), F.max("even_record").alias("even"), F.max("odd_record").alias("odd"))
+    blocks = blocks.withColumn("inside", earlier("quotes") % 2 == 1)
+    blocks = cut(blocks.select("file", "block", F.col("inside").alias("begins_inside"), earlier(F.when(F.col("inside"), F.col("odd")).otherwise(F.col("even"))).alias("before")))
+    told = placed.join(blocks, ["file", "block"]).withColumn("inside", F.col("odd") != F.col("begins_inside")).filter(F.col("inside") | ~F.col("blank"))
+    record = F.col("before") + F.when(F.col("begins_inside"), F.col("odd_record")).otherwise(F.col("even_record"))
+    numbered = told.select("file", "block", "at", "value", record.alias("record"), (~F.col("inside") & (F.col("quotes") % 2 == 0)).alias("alone"))
+    parts = numbered.filter("NOT alone").groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("parts"))  # one record's lines
+    records = numbered.filter("alone").select("file", "record", "value").unionByName(parts.select("file", "record", F.array_join("parts.value", "\n").alias("value")))
     bare = F.regexp_replace(F.when(F.col("record") == 1, F.regexp_replace("value", f"^{BOM}", "")).otherwise(F.col("value")), r"\r\z", "")
     return records.select("file", "record", bare.alias("text"))
 
