@@ -69,8 +69,9 @@ def recompressed_cases(cases: DataFrame, files: DataFrame, decoded: DataFrame, c
     )
 
 
-def recompressed_summary(evaluated: DataFrame) -> DataFrame:
-    """One row: the one known edit against the benign cases; another number of known edits is an error. Of equally
+def recompressed_summary(evaluated: DataFrame, listed: bool = True) -> DataFrame:
+    """One row: the one known edit against the benign cases; another number of known edits is an error. Benign cases that
+    reach the edit are listed by id, as a manifest has few; listed=False counts them, for tables of any size. Of equally
     strong benign cases the one of least id is told. The measured rows are cut once, so no image is coded again."""
     evaluated = cut(evaluated.drop("heatmap"))
     edits = evaluated.filter("known_edit").count()
@@ -78,7 +79,7 @@ def recompressed_summary(evaluated: DataFrame) -> DataFrame:
         raise ValueError(f"one known edit is wanted, not {edits}")
     edited = evaluated.filter("known_edit").select(*[F.col(c).alias(f"edited_{c}") for c in ("id", "mean_error", "p95_error", "max_error", "highlighted_ratio", "region_mean", "background_mean", "region_ratio")])
     benign = evaluated.filter("NOT known_edit").crossJoin(F.broadcast(edited))  # one row
-    ids = lambda when: F.array_sort(F.collect_list(F.when(when, F.col("id"))))  # noqa: E731  a manifest's cases
+    ids = (lambda when: F.array_sort(F.collect_list(F.when(when, F.col("id"))))) if listed else F.count_if
     best = lambda c: F.min_by(F.struct("id", F.col(c).alias("value")), F.struct((-F.col(c)).alias("c"), "id"))
     return benign.groupBy(*edited.columns).agg(
         F.count("*").alias("benign_case_count"), ids(F.col("highlighted_ratio") > 0).alias("benign_with_highlighted_pixels"), ids(F.col("highlighted_ratio") >= F.col("edited_highlighted_ratio")).alias("benign_meeting_edited_ratio"),

@@ -86,10 +86,9 @@ def recompressed_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = grey.select("file", F.col("image.data").alias("content"))
     known = F.col("vec_id") == F.col("least")
     cases = grey.crossJoin(F.broadcast(least)).select("id", "file", known.alias("known_edit"), F.when(known, F.array(*map(F.lit, (2, 2, 6, 6)))).alias("known_edit_region_xyxy"), F.sha2("image.data", 256).alias("image_sha256"))  # one row
-    told = evaluate.recompressed_summary(evaluate.recompressed_cases(cases, files, grey.select(F.col("file").alias("path"), "image")))
-    size = lambda c: F.size(c).cast("long")
+    told = evaluate.recompressed_summary(evaluate.recompressed_cases(cases, files, grey.select(F.col("file").alias("path"), "image")), listed=False)
     return told.select(
-        "edited_id", "edited_mean_error", "benign_case_count", size("benign_with_highlighted_pixels").alias("with_highlights"), size("benign_meeting_edited_ratio").alias("meeting_ratio"), size("benign_meeting_edited_p95").alias("meeting_p95"),
+        "edited_id", "edited_mean_error", "benign_case_count", F.col("benign_with_highlighted_pixels").alias("with_highlights"), F.col("benign_meeting_edited_ratio").alias("meeting_ratio"), F.col("benign_meeting_edited_p95").alias("meeting_p95"),
         F.col("strongest_benign_by_p95.id").alias("strongest"), F.col("strongest_benign_by_p95.value").alias("strongest_p95"),
     )
 
