@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.checkpoint import cut
+from ..functions.checkpoint import stored
 
 #: Different headers that one read may have.
 MOST_HEADERS = 1000
@@ -67,7 +67,8 @@ def raw_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     narrow = lines.withColumn("value", F.lit("")).mapInArrow(_placed, _PLACED)
     blocks = narrow.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"), F.max("even_record").alias("even"), F.max("odd_record").alias("odd"))
     blocks = blocks.withColumn("inside", earlier("quotes") % 2 == 1)
-    blocks = cut(blocks.select("file", "block", F.col("inside").alias("begins_inside"), earlier(F.when(F.col("inside"), F.col("odd")).otherwise(F.col("even"))).alias("before")))
+    # Stored, its size is known: few blocks are broadcast, and no line is moved to meet them.
+    blocks = stored(blocks.select("file", "block", F.col("inside").alias("begins_inside"), earlier(F.when(F.col("inside"), F.col("odd")).otherwise(F.col("even"))).alias("before")))
     told = placed.join(blocks, ["file", "block"]).withColumn("inside", F.col("odd") != F.col("begins_inside")).filter(F.col("inside") | ~F.col("blank"))
     record = F.col("before") + F.when(F.col("begins_inside"), F.col("odd_record")).otherwise(F.col("even_record"))
     numbered = told.select("file", "block", "at", "value", record.alias("record"), (~F.col("inside") & (F.col("quotes") % 2 == 0)).alias("alone"))
@@ -84,7 +85,7 @@ def csv_records(spark: SparkSession, path: str | list[str], names: list[str]) ->
     says which. Cells that a short record lacks are empty, as empty ones are. Of columns of one name the first counts.
     """
     records = raw_records(spark, path)
-    heads = records.filter("record = 1").select("file", F.col("text").alias("head"))
+    heads = stored(records.filter("record = 1").select("file", F.col("text").alias("head")))
     found = [r["head"] for r in heads.select("head").distinct().limit(MOST_HEADERS + 1).collect()]
     if len(found) > MOST_HEADERS:
         raise ValueError(f"more than {MOST_HEADERS} different headers")
