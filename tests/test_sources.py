@@ -7,6 +7,7 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,50 @@ def test_finished_jobs_expire(spark, stateful, tmp_path):
     assert len(found) == 8
 
 
+def test_state_is_fetched_once_a_part():
+    """Calls of the state store grow with the parts, not with the jobs; a part's jobs expire each at their own time."""
+    calls = []
+
+    class Held:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        def __init__(self):
+            self.held, self.timers = Held(), set()
+
+        def getValueState(self, *_):  # noqa: N802
+            return self.held
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.add(at)
+
+    class Fired:
+        def __init__(self, at):
+            self.getExpiryTimeInMs = lambda: at
+
+    handle, part = Handle(), machine.StatusMachine(10)
+    part.init(handle)
+    entries = [(f"j{k}", s, (k * 10 + i) * 1_000_000) for k in range(500) for i, s in enumerate(("queued", "processing", "failed"))]
+    frames = [pd.DataFrame(entries[i::2], columns=["id", "status", "micros"]) for i in range(2)]
+    (told,) = part.handleInputRows((0,), iter(frames), None)
+    assert len(told) == 1500 and set(told["outcome"]) == {"accepted"} and calls == ["get", "update"]
+    assert handle.timers == {(k * 10 + 2 + 10) * 1000 for k in range(500)}
+    (gone,) = part.handleExpiredTimer((0,), None, Fired(22_000))
+    assert gone.to_numpy().tolist() == [["j0", "failed", 2_000_000, "expired"], ["j1", "failed", 12_000_000, "expired"]]
+    assert len(handle.held.value[0]) == 498 and list(part.handleExpiredTimer((0,), None, Fired(22_000))) == []
+
+
 def container(tensors, metadata=None):
     """name -> array as a container."""
     body, header = b"", {"__metadata__": metadata} if metadata else {}
