@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.checkpoint import cut
+from ..functions.checkpoint import cut, stored
 from ..functions.graph import connected_components
 from . import ingest
 
@@ -75,13 +75,17 @@ def constraints(records: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def components(rows: DataFrame) -> DataFrame:
     """(key, constraint) -> (key, component), the least key of those connected through constraints.
 
-    Each record is linked to the least record of each of its constraints: links grow with the rows,
-    not with the square of a constraint's records.
+    Constraints, told by their least records, are the nodes: a record links those that it holds to the least of them, so
+    records of one constraint link nothing and only those of several take part in the rounds. The least key of a
+    component is the least record of a constraint.
     """
     least = rows.groupBy("constraint").agg(F.min("key").alias("b"))
-    links = rows.join(least, "constraint").select(F.col("key").alias("a"), "b")
-    found = connected_components(links)
-    return rows.select("key").distinct().join(found.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("component", "key").alias("component"))
+    alone = rows.filter("constraint IS NULL").select("key", F.lit(None).cast(rows.schema["key"].dataType).alias("b"))
+    pairs = stored(rows.join(least, "constraint").select("key", "b").unionByName(alone))
+    held = pairs.groupBy("key").agg(F.min("b").alias("b"), F.max("b").alias("most"))
+    links = pairs.withColumnRenamed("b", "a").join(held.filter("b < most").select("key", "b"), "key").select("a", "b")
+    found = connected_components(links).withColumnRenamed("node", "b")
+    return held.select("key", "b").join(found, "b", "left").select("key", F.coalesce("component", "b", "key").alias("component"))
 
 
 def leaks(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framesift.functions import pixels
+from framesift.functions import graph, pixels
 from framesift.operators import catalog, forensics, headers, imaging, ingest, jobs, metrics, report, rollups, sampling, scoring, video, watermark
 from framesift.sources import media
 from framesift.streaming import ingest as streaming
@@ -193,6 +193,17 @@ def test_split_covers_all_records(spark):
     assert len({(r.component, r.split) for r in got}) == len(set(want.values())) and {r.split for r in got} == set(catalog.SPLITS)
 
 
+def test_components_link_only_records_of_several_constraints(spark, monkeypatch):
+    """Rounds see one link a constraint of a record that holds several; records of one constraint link nothing."""
+    seen = []
+    monkeypatch.setattr(catalog, "connected_components", lambda links: seen.append(links.filter("a <> b").count()) or graph.connected_components(links))
+    rows = [(k, f"c{k % 40}") for k in range(400)] + [(7, "c8"), (8, "c9"), (39, "c0"), (39, "c1"), (500, None), (501, "alone")]
+    got = dict(catalog.components(spark.createDataFrame(rows, "key long, constraint string")).collect())
+    head = {r: r for r in range(40)} | {8: 7, 9: 7, 39: 0, 1: 0}
+    assert got == {k: head[k % 40] for k in range(400)} | {500: 500, 501: 501}
+    assert seen == [3]
+
+
 def test_long_chain_is_one_component(spark):
     links = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     from framesift.functions.graph import connected_components
