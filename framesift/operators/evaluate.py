@@ -46,8 +46,8 @@ def hidden_summary(evaluated: DataFrame) -> DataFrame:
 
 def images_payloads(decoded: DataFrame) -> DataFrame:
     """Decoded images (path, image) -> file, method, payload."""
-    hidden = forensics.payload(imaging.low_bits(F.col("image"))["head"])
-    return decoded.select(F.col("path").alias("file"), hidden.alias("h")).select("file", "h.method", "h.payload")
+    bits = decoded.select(F.col("path").alias("file"), imaging.low_bits(F.col("image"))["head"].alias("head"))
+    return bits.select("file", forensics.payload(F.col("head")).alias("h")).select("file", "h.method", "h.payload")
 
 
 def recompressed_cases(cases: DataFrame, files: DataFrame, decoded: DataFrame, codec: imaging.Codec = dct.recoded, quality: int = imaging.QUALITY, threshold: int = imaging.THRESHOLD) -> DataFrame:

@@ -7,12 +7,14 @@ is touched. A codec is codec(rgb, quality) -> rgb after lossy coding; the librar
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from ..functions import dct, pixels, png
 from . import forensics
@@ -22,6 +24,8 @@ CHANNELS = ("red", "green", "blue")
 #: Bytes of the packed low bits that leave the kernel: all that a payload and its layout can take.
 STREAM_HEAD = forensics.MOST_PAYLOAD + 128
 QUALITY, THRESHOLD = 90, 20
+#: Rows of a batch that are Python objects at once.
+SLICE = 64
 #: Colour of outlines.
 MARKED = (220, 38, 38)
 Codec = Callable[[np.ndarray, int], np.ndarray]
@@ -33,24 +37,35 @@ def rgb_of(image: dict) -> np.ndarray:
 
 
 def per_image(schema: str, kernel: Callable[..., tuple]) -> Callable[..., Column]:
-    """UDF over images and further columns -> struct of the kernel's values and `error`; null for no image."""
+    """UDF over images and further columns -> struct of the kernel's values and `error`; null for no image.
+
+    Told as not deterministic, so that a filter on what it gives is not pushed below it, where each image would be
+    looked at twice, by two workers; where several values are taken, it is made a column first.
+    Of a batch only SLICE rows at a time are Python objects, so a worker's memory follows these, not the batch.
+    """
     names = [part.split(":")[0] for part in schema.split(";")]
-    fields = ",".join(schema.split(";"))
-
-    @F.pandas_udf(f"struct<{fields},error:string>")
-    def run(images: pd.DataFrame, *others: pd.Series) -> pd.DataFrame:
-        rows = []
-        for i, image in enumerate(images.to_dict("records")):
-            values, error = (None,) * len(names), None
-            if image["data"] is not None:
-                try:
-                    values = kernel(rgb_of({k: v if k == "data" else int(v) for k, v in image.items()}), *(o.iloc[i] for o in others))
-                except Exception as failure:  # noqa: BLE001  one image's failure is its result
-                    error = f"{type(failure).__name__}: {failure}"
-            rows.append((*values, error))
-        return pd.DataFrame(rows, columns=[*names, "error"], dtype=object)
-
-    return lambda image, *others: F.when(image.isNotNull(), run(image, *others))
+    fields = f"struct<{','.join(schema.split(';'))},error:string>"
+    kind = to_arrow_type(DataType.fromDDL(fields))
+
+    def row(image: dict | None, others: tuple) -> dict:
+        values, error = (None,) * len(names), None
+        if image is not None and image["data"] is not None:
+            try:
+                values = kernel(rgb_of(image), *others)
+            except Exception as failure:  # noqa: BLE001  one image's failure is its result
+                error = f"{type(failure).__name__}: {failure}"
+        return {**dict(zip(names, values)), "error": error}
+
+    @F.arrow_udf(fields)
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            columns = columns if isinstance(columns, tuple) else (columns,)
+            for at in range(0, len(columns[0]), SLICE):
+                images, *others = (c.slice(at, SLICE).to_pylist() for c in columns)
+                yield pa.array([row(*x) for x in zip(images, zip(*others) if others else [()] * len(images))], kind)
+
+    once = run.asNondeterministic()
+    return lambda image, *others: F.when(image.isNotNull(), once(image, *others))
 
 
 def low_bits(image: Column) -> Column:
