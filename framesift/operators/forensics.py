@@ -33,6 +33,8 @@ PAYLOAD_MARK = "STEGv1:"
 SIGNATURES = {"25504446": "PDF", "504B0304": "ZIP", "89504E470D0A1A0A": "PNG", "4D5A": "Windows executable"}
 MOST_PAYLOAD = 64 << 10
 PREVIEW = 160
+#: Rows whose histograms are held at once.
+SLICE = 256
 
 
 def head_and_tail(content: Column, k: int = SCAN_BYTES) -> Column:
@@ -50,17 +52,22 @@ def provenance(content: Column, k: int = SCAN_BYTES) -> Column:
 
 def histograms(rows: DataFrame, key: str, content: str, channels: int = 1) -> DataFrame:
     """key, channel, counts: how often each byte value stands at the places of each channel (place modulo
-    channels); a row for each channel that has a byte. Counted inside the row's batch: nothing is shuffled."""
+    channels); a row for each channel that has a byte. Counted inside the row's batch, SLICE rows at a time: nothing
+    is shuffled, and counts of few rows are held at once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            which, channel, found = [], [], []
-            for i, data in enumerate(batch.column(1).cast(pa.large_binary())):
-                raw = np.frombuffer(data.as_buffer() or b"", np.uint8) if data.is_valid else np.zeros(0, np.uint8)
-                for c in range(min(channels, len(raw))):
-                    which.append(i), channel.append(c), found.append(np.bincount(raw[c::channels], minlength=256))
-            counts = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * 256, pa.int32()), pa.array(np.concatenate(found or [np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), pa.array(channel, pa.int32()), counts], [key, "channel", "counts"])
+            for at in range(0, batch.num_rows, SLICE):
+                yield counted(batch.slice(at, SLICE))
+
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        which, channel, found = [], [], []
+        for i, data in enumerate(batch.column(1).cast(pa.large_binary())):
+            raw = np.frombuffer(data.as_buffer() or b"", np.uint8) if data.is_valid else np.zeros(0, np.uint8)
+            for c in range(min(channels, len(raw))):
+                which.append(i), channel.append(c), found.append(np.bincount(raw[c::channels], minlength=256))
+        counts = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * 256, pa.int32()), pa.array(np.concatenate(found or [np.zeros(0, np.int64)])))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), pa.array(channel, pa.int32()), counts], [key, "channel", "counts"])
 
     return rows.select(key, content).mapInArrow(count, f"{key} {rows.schema[key].dataType.simpleString()}, channel int, counts array<long>")
 
