@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,13 +76,18 @@ def predict(frames: DataFrame, model: Callable | None, *, features: str, batch:
     """
     if model is None:
         return frames.select("*", F.lit(None).cast("double").alias("probability"), F.lit("skipped").alias("status"))
-    @F.pandas_udf("double")
-    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+    whole = max(1, 256 // batch) * batch  # rows that are Python objects at once
+
+    @F.arrow_udf("double")
+    def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         run = model()
         for part in parts:
-            out: list[float] = []
-            for i in range(0, len(part), batch):
-                out += list(run(part.iloc[i : i + batch].tolist()))
-            yield pd.Series(out, dtype="float64")
+            for at in range(0, len(part), whole):
+                out: list[float] = []
+                some = [np.asarray(x) if isinstance(x, list) else x for x in part.slice(at, whole).to_pylist()]
+                for i in range(0, len(some), batch):
+                    out += list(run(some[i : i + batch]))
+                yield pa.array(out, pa.float64())
 
     return frames.select("*", scored(F.col(features)).alias("probability"), F.lit("completed").alias("status"))

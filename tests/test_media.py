@@ -276,3 +276,22 @@ def test_checkpoint_folder(spark):
     assert frame.count() == 5 and os.path.isdir(path)
     checkpoint.release(spark, before)
     assert not os.path.isdir(path) and kept.count() == 3
+
+
+def test_scores_see_few_rows_and_batches_at_once():
+    """A model's batches are whole but for the last; a worker's rows leave by few hundred, in order."""
+    import types
+
+    import pyarrow as pa
+
+    from framesift.operators import scoring
+
+    seen, taken = [], []
+    before, scoring.F = scoring.F, types.SimpleNamespace(arrow_udf=lambda _: lambda f: taken.append(f) or (lambda c: types.SimpleNamespace(alias=lambda _: c)), col=lambda c: c, lit=lambda x: types.SimpleNamespace(alias=lambda _: x))
+    try:
+        scoring.predict(types.SimpleNamespace(select=lambda *_: None), lambda: lambda rows: seen.append(len(rows)) or [float(r[0]) for r in rows], features="f", batch=7)
+    finally:
+        scoring.F = before
+    out = list(taken[0](iter([pa.array([[float(k), 1.0] for k in range(1000)])])))
+    assert [x for part in out for x in part.to_pylist()] == list(range(1000))
+    assert seen == [7] * 142 + [6] and max(map(len, out)) <= 256
