@@ -58,14 +58,13 @@ def recompressed_cases(cases: DataFrame, files: DataFrame, decoded: DataFrame, c
     """
     hashed = ingest.verify_hashes(cases.select("file", F.col("image_sha256").alias("sha256")), files, key="file").select("file", "status")
     joined = cases.join(hashed, "file").join(decoded.select(F.col("path").alias("file"), "image"), "file", "left")
-    error = joined.withColumn("e", imaging.recompression(F.col("image"), codec, quality, threshold))
-    told = error.withColumn("r", imaging.region_means(F.col("image"), F.col("e.heatmap"), F.col("known_edit_region_xyxy")))
+    told = joined.withColumn("e", imaging.recompression(F.col("image"), codec, quality, threshold, F.col("known_edit_region_xyxy")))
     broken = F.when(F.col("status") != "ok", F.concat(F.lit("image checksum mismatch for "), "id")).when(F.coalesce(F.col("e.mean_error").isNull(), F.lit(True)), F.concat(F.lit("image not decoded for "), "id"))
     sound = told.filter(F.when(broken.isNotNull(), F.raise_error(broken).isNull()).otherwise(F.lit(True)))
-    means = lambda k: F.round(F.col(f"r.{k}"), 4)
+    means = lambda k: F.round(F.col(f"e.{k}"), 4)
     return sound.select(
         *cases.columns, F.round("e.mean_error", 4).alias("mean_error"), F.round("e.p95_error", 4).alias("p95_error"), F.col("e.max_error").alias("max_error"), F.round("e.highlighted_ratio", 6).alias("highlighted_ratio"),
-        means("region_mean").alias("region_mean"), means("background_mean").alias("background_mean"), F.round(F.try_divide("r.region_mean", "r.background_mean"), 4).alias("region_ratio"), F.col("e.heatmap").alias("heatmap"),
+        means("region_mean").alias("region_mean"), means("background_mean").alias("background_mean"), F.round(F.try_divide("e.region_mean", "e.background_mean"), 4).alias("region_ratio"), F.col("e.heatmap").alias("heatmap"),
     )
 
 

@@ -82,31 +82,50 @@ def low_bits(image: Column) -> Column:
     return per_image("bits:long;ones_ratio:array<double>;pair_imbalance:array<double>;head:binary;entropy:double", kernel)(image)
 
 
-def recompression(image: Column, codec: Codec = dct.recoded, quality: int = QUALITY, threshold: int = THRESHOLD) -> Column:
-    """Struct of mean_error, p95_error, max_error, highlighted_ratio, heatmap (red, green, blue by row), error."""
+def recompression(image: Column, codec: Codec = dct.recoded, quality: int = QUALITY, threshold: int = THRESHOLD, region: Column | None = None) -> Column:
+    """Struct of mean_error, p95_error, max_error, highlighted_ratio, heatmap (red, green, blue by row), error.
+
+    With a region (x0, y0, x1, y1; null for none) also region_mean and background_mean, as region_means gives them, by the
+    worker that coded the image; a region that can't be taken leaves these two null and the rest as it is.
+    """
     if not 1 <= quality <= 100:
         raise ValueError("quality must lie in 1..100")
 
-    def kernel(rgb: np.ndarray) -> tuple:
+    def kernel(rgb: np.ndarray, *box: list | None) -> tuple:
         again = codec(rgb, quality)
         mean, p95, most, share = pixels.error_summary(pixels.error_levels(rgb, again), threshold)
-        return mean, p95, most, share, pixels.heatmap(rgb, again).tobytes()
+        heat, means = pixels.heatmap(rgb, again), ()
+        if box:
+            try:
+                means = _means(heat, box[0])
+            except Exception:  # noqa: BLE001  one region's failure is not its image's
+                means = (None, None)
+        return mean, p95, most, share, heat.tobytes(), *means
 
-    return per_image("mean_error:double;p95_error:double;max_error:int;highlighted_ratio:double;heatmap:binary", kernel)(image)
+    schema = "mean_error:double;p95_error:double;max_error:int;highlighted_ratio:double;heatmap:binary"
+    return per_image(schema, kernel)(image) if region is None else per_image(f"{schema};region_mean:double;background_mean:double", kernel)(image, region)
+
+
+def _means(heat: np.ndarray, box: list | None) -> tuple[float | None, float | None]:
+    """Mean of a heatmap's brightest channel inside a box, and outside it."""
+    if box is None:
+        return None, None
+    x0, y0, x1, y1 = (int(v) for v in box)
+    level = heat.max(axis=2).astype(float)
+    inside = np.zeros(level.shape, bool)
+    inside[y0:y1, x0:x1] = True
+    mean = lambda v: float(v.mean()) if v.size else None
+    return mean(level[inside]), mean(level[~inside])
 
 
 def region_means(image: Column, heatmap: Column, region: Column) -> Column:
-    """Struct of region_mean and background_mean of a heatmap's brightest channel; region: x0, y0, x1, y1."""
+    """Struct of region_mean and background_mean of a heatmap's brightest channel; region: x0, y0, x1, y1.
+
+    For heatmaps that are stored; where the image is coded in the same plan, recompression takes the region itself.
+    """
 
     def kernel(rgb: np.ndarray, heat: bytes | None, box: list | None) -> tuple:
-        if heat is None or box is None:
-            return None, None
-        x0, y0, x1, y1 = (int(v) for v in box)
-        level = np.frombuffer(heat, np.uint8).reshape(rgb.shape).max(axis=2).astype(float)
-        inside = np.zeros(level.shape, bool)
-        inside[y0:y1, x0:x1] = True
-        mean = lambda v: float(v.mean()) if v.size else None
-        return mean(level[inside]), mean(level[~inside])
+        return (None, None) if heat is None else _means(np.frombuffer(heat, np.uint8).reshape(rgb.shape), box)
 
     return per_image("region_mean:double;background_mean:double", kernel)(image, heatmap, region)
 

@@ -49,9 +49,7 @@ h AS (SELECT vec_id, y, x, round_even(e * (255.0::DOUBLE / greatest(max(e) OVER
 SELECT vec_id, round(avg(e) FILTER (y BETWEEN 2 AND 5 AND x BETWEEN 1 AND 4), 4) AS region_mean, round(avg(e) FILTER (NOT (y BETWEEN 2 AND 5 AND x BETWEEN 1 AND 4)), 4) AS background_mean FROM h GROUP BY vec_id""")
 def heat_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heat inside a box of each vector's image against the rest."""
-    image = F.col("image")
-    heat = _grey_images(spark, sf_dir).withColumn("heat", imaging.recompression(image)["heatmap"])
-    told = heat.select("vec_id", imaging.region_means(image, F.col("heat"), F.array(*map(F.lit, (1, 2, 5, 6)))).alias("r"))
+    told = _grey_images(spark, sf_dir).select("vec_id", imaging.recompression(F.col("image"), region=F.array(*map(F.lit, (1, 2, 5, 6)))).alias("r"))
     return told.select("vec_id", F.round("r.region_mean", 4).alias("region_mean"), F.round("r.background_mean", 4).alias("background_mean"))
 
 

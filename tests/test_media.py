@@ -295,3 +295,22 @@ def test_scores_see_few_rows_and_batches_at_once():
     out = list(taken[0](iter([pa.array([[float(k), 1.0] for k in range(1000)])])))
     assert [x for part in out for x in part.to_pylist()] == list(range(1000))
     assert seen == [7] * 142 + [6] and max(map(len, out)) <= 256
+
+
+def test_region_in_the_coding_pass(spark):
+    """A case's coding and its region take one Python worker a task, not a chain of two; a bad region leaves the rest."""
+    rgb = np.random.default_rng(5).integers(0, 256, (16, 24, 3), dtype=np.uint8)
+    boxes = [("box", [3, 2, 9, 12]), ("none", None), ("all", [0, 0, 24, 16]), ("empty", [5, 5, 5, 5]), ("short", [1, 2]), ("hole", [1, None, 3, 4])]
+    content = bytearray(rgb.tobytes())
+    cases = spark.createDataFrame([(k, k, False, b, hashlib.sha256(content).hexdigest()) for k, b in boxes], "id string, file string, known_edit boolean, known_edit_region_xyxy array<int>, image_sha256 string")
+    files = spark.createDataFrame([(k, content) for k, _ in boxes], "file string, content binary")
+    decoded = spark.createDataFrame([(k, video.as_image(rgb)) for k, _ in boxes], f"path string, image {imaging.IMAGE}")
+    rows = evaluate.recompressed_cases(cases, files, decoded)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    got = {r.id: r for r in rows.collect()}
+    stored = cases.join(rows.select("id", "heatmap"), "id").join(decoded, F.col("path") == F.col("file"))
+    apart = {r.id: r.r for r in stored.select("id", imaging.region_means(F.col("image"), F.col("heatmap"), F.col("known_edit_region_xyxy")).alias("r")).collect()}
+    for k, _ in boxes:
+        assert (got[k].region_mean, got[k].background_mean) == tuple(v and round(v, 4) for v in (apart[k].region_mean, apart[k].background_mean))
+        assert got[k].mean_error == got["box"].mean_error and got[k].heatmap == got["box"].heatmap
+    assert got["box"].region_mean > 0 and got["all"].background_mean is None and got["empty"].region_mean is None and got["short"].background_mean is None
