@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dct
 from ..functions.checkpoint import cut
-from . import forensics, imaging, ingest, metrics, rollups, scoring
+from . import forensics, imaging, ingest, metrics, rollups
 
 CLEAN = ("clean", "clean-noise")
 UNSUPPORTED = "unsupported-"
@@ -88,15 +88,16 @@ def recompressed_summary(evaluated: DataFrame, listed: bool = True) -> DataFrame
 
 def scored_catalog(catalog: DataFrame, decoded: DataFrame, cropper: Callable, model: Callable, threshold: float, *, batch: int = 4) -> DataFrame:
     """catalog (sample_id, path, label, …) -> its rows with score (to eight places), prediction and status:
-    evaluated, no_face or read_error. Paths that leave the data's root are an error."""
+    evaluated, no_face or read_error. Paths that leave the data's root are an error. Rows that repeat a sample_id, or have
+    none, are each scored. An image is cropped and scored by one worker, and no row is joined with its own score."""
     unsafe = catalog.filter(~ingest.stays_inside(F.col("path")))
     if not unsafe.isEmpty():
         raise ValueError("a path leaves the data root")
-    crop = imaging.per_image("face:array<double>", lambda rgb: (None if (face := cropper(rgb)) is None else face.astype(float).ravel().tolist(),))
-    seen = catalog.join(decoded.select("path", "image"), "path", "left").withColumn("face", crop(F.col("image"))["face"])
-    scored = scoring.predict(seen.filter("face IS NOT NULL").select("sample_id", "face"), model, features="face", batch=batch).select("sample_id", F.round("probability", 8).alias("score"))
-    status = F.when(F.col("image").isNull() | F.col("image.data").isNull(), "read_error").when(F.col("score").isNull(), "no_face").otherwise("evaluated")
-    return seen.join(scored, "sample_id", "left").select(*catalog.columns, "score", (F.col("score") >= threshold).cast("int").alias("prediction"), status.alias("status"))
+    score = F.lit(None).cast("double") if model is None else imaging.face_scores(F.col("image"), cropper, model, batch=batch)
+    scored = catalog.join(decoded.select("path", "image"), "path", "left").select(*catalog.columns, F.col("image.data").isNotNull().alias("_readable"), score.alias("_score"))
+    scored = scored.select(*catalog.columns, "_readable", F.round("_score", 8).alias("score"))
+    status = F.when(~F.col("_readable"), "read_error").when(F.col("score").isNull(), "no_face").otherwise("evaluated")
+    return scored.select(*catalog.columns, "score", (F.col("score") >= threshold).cast("int").alias("prediction"), status.alias("status"))
 
 
 def catalog_metrics(rows: DataFrame, threshold: float) -> DataFrame:

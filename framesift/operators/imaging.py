@@ -68,6 +68,36 @@ def per_image(schema: str, kernel: Callable[..., tuple]) -> Callable[..., Column
     return lambda image, *others: F.when(image.isNotNull(), once(image, *others))
 
 
+def face_scores(image: Column, cropper: Callable, model: Callable, *, batch: int = 4) -> Column:
+    """What a model says of each image's face; null for no image, or one whose face is not found or can't be cropped.
+
+    cropper: rgb -> face or None; model: loads once a worker and maps lists of flat faces, up to `batch` of them, to
+    numbers. One worker crops and scores, so no face leaves it; of a batch only SLICE rows are Python objects at once.
+    """
+
+    def face(image: dict | None) -> np.ndarray | None:
+        try:
+            found = None if image is None or image["data"] is None else cropper(rgb_of(image))
+            return None if found is None else np.asarray(found, float).ravel()
+        except Exception:  # noqa: BLE001  one image's failure is its result
+            return None
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        told = model()
+        for images in batches:
+            for at in range(0, len(images), SLICE):
+                faces = [face(x) for x in images.slice(at, SLICE).to_pylist()]
+                seen, out = [i for i, x in enumerate(faces) if x is not None], [None] * len(faces)
+                for k in range(0, len(seen), batch):
+                    some = seen[k : k + batch]
+                    for i, score in zip(some, told([faces[i] for i in some]), strict=True):
+                        out[i] = score
+                yield pa.array(out, pa.float64())
+
+    return run.asNondeterministic()(image)
+
+
 def low_bits(image: Column) -> Column:
     """Struct of bits, ones_ratio and pair_imbalance by red, green, blue, head (first bytes of the packed low
     bits), entropy of the first 64 KiB of them, and error."""

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.checkpoint import shared_folder
+from ..functions.checkpoint import cut, shared_folder
 from ..operators import analyzers, evaluate, forensics, imaging, rollups, video, views, watermark
 from ..sources import media
 from .catalogue import _JOBS_SQL, _jobs, _listed, _rounded, _seconds, _t, query
@@ -68,7 +68,7 @@ UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, CASE label WHEN 0 THEN 'real' ELS
 def evaluation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An evaluation's files, predictions and the matrix, written and read back."""
     at = shared_folder(spark, "evaluation")
-    rows = evaluate.scored_catalog(*_catalog(spark, sf_dir), _upper_half, _model, 0.55)
+    rows = cut(evaluate.scored_catalog(*_catalog(spark, sf_dir), _upper_half, _model, 0.55))  # its files read these, none runs the model again
     media.write_evaluation(rows, evaluate.catalog_metrics(rows, 0.55), at)
     read = spark.read.option("header", True).schema("sample_id string, path string, label int, score double, prediction int, status string").csv(f"{at}/predictions")
     matrix = spark.read.option("header", True).schema("actual string, real long, fake long").csv(f"{at}/confusion_matrix")

@@ -314,3 +314,38 @@ def test_region_in_the_coding_pass(spark):
         assert (got[k].region_mean, got[k].background_mean) == tuple(v and round(v, 4) for v in (apart[k].region_mean, apart[k].background_mean))
         assert got[k].mean_error == got["box"].mean_error and got[k].heatmap == got["box"].heatmap
     assert got["box"].region_mean > 0 and got["all"].background_mean is None and got["empty"].region_mean is None and got["short"].background_mean is None
+
+
+def test_catalogue_rows_are_scored_in_one_pass(spark):
+    """Crop and model take one worker a task and no join by sample_id: rows that repeat one stay as many, a null one is scored."""
+    rows = [("d", "0.png", 0), ("d", "1.png", 1), (None, "2.png", 0), ("bad", "3.png", 1), ("none", "4.png", 1), ("gone", "5.png", 1)]
+    frame = spark.createDataFrame(rows, "sample_id string, path string, label int")
+    decoded = spark.createDataFrame([(f"{i}.png", video.as_image(np.full((4, 4, 3), 10 * i, np.uint8))) for i in range(5)] + [("5.png", None)], f"path string, image {imaging.IMAGE}")
+
+    def crop(rgb):
+        if rgb[0, 0, 0] == 30:
+            raise ValueError("no crop")
+        return None if rgb[0, 0, 0] == 40 else rgb[..., 0]
+
+    got = evaluate.scored_catalog(frame, decoded, crop, lambda: lambda faces: [f[0] / 40 for f in faces], 0.5)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Join") == 1
+    want = [("0.png", 0.0, 0, "evaluated"), ("1.png", 0.25, 0, "evaluated"), ("2.png", 0.5, 1, "evaluated"), ("3.png", None, None, "no_face"), ("4.png", None, None, "no_face"), ("5.png", None, None, "read_error")]
+    assert sorted((r.path, r.score, r.prediction, r.status) for r in got.collect()) == want
+    none = evaluate.scored_catalog(frame, decoded, crop, None, 0.5).filter("score IS NOT NULL")
+    assert none.isEmpty()
+
+
+def test_evaluation_files_score_each_face_once(spark, monkeypatch):
+    """Predictions and metrics are of one run of the model."""
+    from framesift.plans import results
+
+    scored, model = spark.sparkContext.accumulator(0), results._model
+
+    def counting():
+        run = model()
+        return lambda batch: scored.add(len(batch)) or run(batch)
+
+    monkeypatch.setattr(results, "_model", counting)
+    rows = results.evaluation_files(spark, "/root/testdata/sf0.001")
+    assert scored.value == rows.filter("status = 'evaluated'").count() > 0
